@@ -181,6 +181,145 @@ FROM tiered"""
     return q
 
 
+# ------------------------------------------------------------------ vectors
+DIM = 64
+K = 5
+CELLS = 16
+SEEDS = ("the", "der", "zzz-none")
+
+
+def dist(a: str, b: str) -> str:
+    """Squared L2 in double precision."""
+    return (
+        f"list_sum(list_transform(list_zip(CAST({a} AS DOUBLE[]), CAST({b} AS DOUBLE[])), "
+        f"lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
+    )
+
+
+VECS_CTE = "vecs AS (SELECT vec_id AS item_id, embedding FROM embeddings)"
+CENTS_CTE = f"cents AS (SELECT CAST(vec_id AS INTEGER) AS cell_id, embedding AS centroid FROM embeddings WHERE vec_id < {CELLS})"
+
+
+def ranked_cells_cte(name: str, vecs: str, cents: str) -> str:
+    return f"""{name} AS (
+SELECT item_id, cell_id, row_number() OVER (PARTITION BY item_id ORDER BY d, cell_id) AS rn
+FROM (SELECT v.item_id, c.cell_id, {dist('v.embedding', 'c.centroid')} AS d FROM {vecs} v CROSS JOIN {cents} c))"""
+
+
+def topk_select(cand: str, vecs: str, k: int = K, digits: int = 6) -> str:
+    return f"""SELECT query_id, item_id, rank, round(d, {digits}) AS distance FROM (
+  SELECT query_id, item_id, d, row_number() OVER (PARTITION BY query_id ORDER BY d, item_id) AS rank
+  FROM (SELECT c.query_id, c.item_id, {dist('q.embedding', 'x.embedding')} AS d
+        FROM {cand} c JOIN {vecs} q ON q.item_id = c.query_id JOIN {vecs} x ON x.item_id = c.item_id))
+WHERE rank <= {k}"""
+
+
+def ivf_sql(nprobe: int) -> str:
+    return with_ctes(
+        VECS_CTE,
+        CENTS_CTE,
+        ranked_cells_cte("ranked", "vecs", "cents"),
+        f"""cand AS (SELECT p.item_id AS query_id, a.item_id FROM ranked p
+  JOIN ranked a ON a.cell_id = p.cell_id AND a.rn = 1 WHERE p.rn <= {nprobe} AND a.item_id <> p.item_id)""",
+    ) + topk_select("cand", "vecs")
+
+
+EXACT_SQL = with_ctes(
+    VECS_CTE,
+    "cand AS (SELECT q.item_id AS query_id, x.item_id FROM vecs q CROSS JOIN vecs x WHERE q.item_id <> x.item_id)",
+) + topk_select("cand", "vecs")
+
+HV_CTES = PREP_CTES + (
+    "emb AS (SELECT item_id, embedding_input FROM prepared WHERE embedding_input IS NOT NULL)",
+    f"""toks AS (SELECT item_id, unnest(regexp_split_to_array(lower({strip('embedding_input')}), {WS_RUN_SQL})) AS tok
+  FROM emb)""",
+    "hashed AS (SELECT item_id, md5(tok) AS h FROM toks WHERE tok <> '')",
+    f"""coded AS (SELECT item_id, CAST(('0x' || substr(h, 1, 8))::BIGINT % {DIM} AS INTEGER) AS bucket,
+  CASE WHEN substr(h, 9, 1) < '8' THEN 1 ELSE -1 END AS s FROM hashed)""",
+    "summed AS (SELECT item_id, bucket, sum(s) AS v FROM coded GROUP BY item_id, bucket)",
+    f"grid AS (SELECT e.item_id, CAST(g.range AS INTEGER) AS bucket FROM emb e CROSS JOIN range(0, {DIM}) g)",
+    """hv AS (SELECT grid.item_id, list(CAST(coalesce(summed.v, 0) AS FLOAT) ORDER BY grid.bucket) AS embedding
+  FROM grid LEFT JOIN summed ON summed.item_id = grid.item_id AND summed.bucket = grid.bucket
+  GROUP BY grid.item_id)""",
+    f"""hcents AS (SELECT CAST(item_id AS INTEGER) AS cell_id, embedding AS centroid FROM hv
+  ORDER BY item_id LIMIT {CELLS})""",
+    ranked_cells_cte("hranked", "hv", "hcents"),
+    "hassigned AS (SELECT item_id, cell_id FROM hranked WHERE rn = 1)",
+)
+
+SEEDS_VALUES = "seeds AS (SELECT * FROM (VALUES " + ", ".join(f"('{s}')" for s in SEEDS) + ") v(seed))"
+MATCHES_CTE = """matches AS (SELECT s.seed, p.item_id, p.title_final AS title FROM prepared p JOIN seeds s
+  ON regexp_matches(p.title_final, s.seed, 'i') WHERE p.embedding_input IS NOT NULL)"""
+
+
+def vector_oracles() -> dict[str, str]:
+    q: dict[str, str] = {}
+    q["validate_vectors"] = f"""
+SELECT count(*) AS n_rows, count(*) FILTER (WHERE embedding IS NULL) AS n_null,
+  CAST(min(len(embedding)) AS INTEGER) AS dim_min, CAST(max(len(embedding)) AS INTEGER) AS dim_max,
+  count(*) FILTER (WHERE embedding IS NULL OR len(embedding) <> {DIM}
+                   OR list_bool_or(list_transform(embedding, lambda x: x IS NULL OR isnan(x)))) AS n_bad
+FROM embeddings"""
+    q["l2_distance"] = f"""
+SELECT a.vec_id AS item_id, b.vec_id AS next_id, round({dist('a.embedding', 'b.embedding')}, 6) AS distance
+FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1"""
+    q["hash_embed"] = with_ctes(*HV_CTES) + "SELECT item_id, embedding FROM hv"
+    q["embed_python_encoder"] = q["hash_embed"]
+    q["assign_cells"] = with_ctes(VECS_CTE, CENTS_CTE, ranked_cells_cte("ranked", "vecs", "cents")) + (
+        "SELECT item_id, cell_id FROM ranked WHERE rn = 1"
+    )
+    q["knn_exact"] = EXACT_SQL
+    q["knn_exact_tiled"] = EXACT_SQL
+    q["knn_ivf_nprobe1"] = ivf_sql(1)
+    q["knn_ivf_nprobe4"] = ivf_sql(4)
+    q["knn_ivf_nprobe4_tiled"] = ivf_sql(4)
+    q["knn_ivf_nprobe16"] = ivf_sql(16)
+    q["recall_at_k"] = f"""
+WITH ivf AS ({ivf_sql(1)}), exact AS ({EXACT_SQL})
+SELECT count(DISTINCT e.query_id) AS n_queries, count(*) AS n_expected, count(i.item_id) AS n_found,
+  round(CAST(count(i.item_id) AS DOUBLE) / CAST(count(*) AS DOUBLE), 6) AS recall
+FROM exact e LEFT JOIN ivf i ON i.query_id = e.query_id AND i.item_id = e.item_id"""
+    q["cell_sizes"] = with_ctes(VECS_CTE, CENTS_CTE, ranked_cells_cte("ranked", "vecs", "cents")) + (
+        "SELECT cell_id, count(*) AS n_items FROM ranked WHERE rn = 1 GROUP BY cell_id"
+    )
+    q["index_integrity"] = with_ctes(VECS_CTE, CENTS_CTE, ranked_cells_cte("ranked", "vecs", "cents")) + """
+SELECT count(a.item_id) AS n_indexed, count(v.item_id) AS n_embedded,
+  count(*) FILTER (WHERE a.item_id IS NULL) AS n_missing, count(*) FILTER (WHERE v.item_id IS NULL) AS n_extra,
+  (count(*) FILTER (WHERE a.item_id IS NULL) = 0 AND count(*) FILTER (WHERE v.item_id IS NULL) = 0
+   AND count(a.item_id) = count(v.item_id)) AS ok
+FROM (SELECT item_id FROM ranked WHERE rn = 1) a FULL OUTER JOIN vecs v ON v.item_id = a.item_id"""
+    q["search_titles"] = with_ctes(*PREP_CTES, SEEDS_VALUES, MATCHES_CTE) + "SELECT * FROM matches"
+    q["build_hash_index"] = with_ctes(*HV_CTES) + "SELECT item_id, cell_id FROM hassigned"
+    q["similar_items"] = with_ctes(
+        *HV_CTES,
+        SEEDS_VALUES,
+        MATCHES_CTE,
+        "firsts AS (SELECT seed, min(item_id) AS seed_item_id FROM matches GROUP BY seed)",
+        """cand AS (SELECT DISTINCT f.seed_item_id AS query_id, a.item_id FROM firsts f
+  JOIN hassigned p ON p.item_id = f.seed_item_id JOIN hassigned a ON a.cell_id = p.cell_id
+  WHERE a.item_id <> f.seed_item_id)""",
+        f"nbrs AS ({topk_select('cand', 'hv', K, 4)})",
+    ) + f"""
+SELECT f.seed, f.seed_item_id, st.title_final AS seed_title, n.rank, n.item_id,
+  coalesce(nt.title_final, '(unknown)') AS title, n.distance
+FROM firsts f LEFT JOIN prepared st ON st.item_id = f.seed_item_id
+JOIN nbrs n ON n.query_id = f.seed_item_id
+LEFT JOIN prepared nt ON nt.item_id = n.item_id"""
+    q["run_summary"] = with_ctes(*HV_CTES) + """
+SELECT 'tier_' || CAST(embedding_tier AS VARCHAR) AS metric, CAST(count(*) AS DOUBLE) AS value
+FROM prepared GROUP BY embedding_tier
+UNION ALL SELECT 'items_total', CAST(count(*) AS DOUBLE) FROM prepared
+UNION ALL SELECT 'items_embeddable', CAST(count(embedding_input) AS DOUBLE) FROM prepared
+UNION ALL SELECT 'true_gaps', CAST(count(*) FILTER (WHERE embedding_input IS NULL) AS DOUBLE) FROM prepared
+UNION ALL SELECT 'index_rows', CAST(count(*) AS DOUBLE) FROM hassigned
+UNION ALL SELECT 'index_cells', CAST(count(DISTINCT cell_id) AS DOUBLE) FROM hassigned"""
+    q["pending_embeddings"] = with_ctes(*PREP_CTES) + """
+SELECT p.item_id, p.embedding_input FROM prepared p
+WHERE p.embedding_input IS NOT NULL AND NOT EXISTS (SELECT 1 FROM embeddings e WHERE e.vec_id = p.item_id)"""
+    return q
+
+
 def all_oracles() -> dict[str, str]:
     q = dict(text_oracles())
+    q.update(vector_oracles())
     return q

@@ -12,9 +12,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearfield.functions.text import embedding_input, is_present, truncate_words, word_count
+from nearfield.functions.vectors import l2_sq
 from nearfield.operators import enrich as E
 from nearfield.operators import reports as R
+from nearfield.operators.embed import PythonHashEncoder, embed, hash_embed
+from nearfield.operators.index import assign_cells, build_index, knn_ivf, vector_stats
+from nearfield.operators.knn import SearchConfig, knn_exact, recall_at_k
+from nearfield.plans.jobs import search_titles, similar_items
 from nearfield.sources import fixtures as FX
+from nearfield.sources.catalog import pending
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -131,8 +137,169 @@ def text_queries() -> dict[str, Query]:
     }
 
 
+# ------------------------------------------------------------------ vectors
+# Fixed parameters of the vector queries.
+DIM = 64
+K_NEIGHBOURS = 5
+SUPPLIED_CELLS = 16
+SEEDS = ["the", "der", "zzz-none"]
+TINY_TILES = SearchConfig(item_tile_rows=64, query_tile_rows=32, max_broadcast_bytes=0)
+
+
+def _emb(spark, sf):
+    return FX.embeddings_table(spark, sf)
+
+
+def _supplied_index(spark, sf):
+    return build_index(_emb(spark, sf), centroids=FX.supplied_centroids(spark, sf, SUPPLIED_CELLS), nlist=SUPPLIED_CELLS)
+
+
+def _queries_from(df):
+    return df.select(F.col("item_id").alias("query_id"), "embedding")
+
+
+def _rounded(df, digits=6):
+    return df.withColumn("distance", F.round("distance", digits))
+
+
+def q_validate_vectors(spark, sf):
+    return vector_stats(_emb(spark, sf), DIM)
+
+
+def q_l2_distance(spark, sf):
+    a = _emb(spark, sf).alias("a")
+    b = _emb(spark, sf).alias("b")
+    j = a.join(b, F.col("b.item_id") == F.col("a.item_id") + 1)
+    return j.select(
+        F.col("a.item_id").alias("item_id"),
+        F.col("b.item_id").alias("next_id"),
+        F.round(l2_sq("a.embedding", "b.embedding"), 6).alias("distance"),
+    )
+
+
+def _hash_vectors(spark, sf):
+    return hash_embed(_prepared(spark, sf), DIM)
+
+
+def q_hash_embed(spark, sf):
+    return _hash_vectors(spark, sf)
+
+
+def q_embed_python_encoder(spark, sf):
+    return embed(_prepared(spark, sf), lambda: PythonHashEncoder(DIM), DIM)
+
+
+def q_assign_cells(spark, sf):
+    a = assign_cells(_emb(spark, sf), FX.supplied_centroids(spark, sf, SUPPLIED_CELLS))
+    return a.select("item_id", "cell_id")
+
+
+def _knn_exact(strategy, cfg=None):
+    def run(spark, sf):
+        e = _emb(spark, sf)
+        kw = {"cfg": cfg} if cfg else {}
+        return _rounded(knn_exact(_queries_from(e), e, K_NEIGHBOURS, exclude_self=True, strategy=strategy, **kw))
+
+    return run
+
+
+def _knn_ivf(nprobe, strategy="auto", cfg=None):
+    def run(spark, sf):
+        kw = {"cfg": cfg} if cfg else {}
+        idx = _supplied_index(spark, sf)
+        res = knn_ivf(_queries_from(_emb(spark, sf)), idx, K_NEIGHBOURS, nprobe, exclude_self=True, strategy=strategy, **kw)
+        return _rounded(res)
+
+    return run
+
+
+def q_recall_at_k(spark, sf):
+    e = _emb(spark, sf)
+    ivf = knn_ivf(_queries_from(e), _supplied_index(spark, sf), K_NEIGHBOURS, 1, exclude_self=True)
+    exact = knn_exact(_queries_from(e), e, K_NEIGHBOURS, exclude_self=True)
+    return recall_at_k(ivf, exact).withColumn("recall", F.round("recall", 6))
+
+
+def q_cell_sizes(spark, sf):
+    return R.cell_sizes(_supplied_index(spark, sf).cells)
+
+
+def q_index_integrity(spark, sf):
+    return R.index_integrity(_supplied_index(spark, sf).cells, _emb(spark, sf))
+
+
+def q_search_titles(spark, sf):
+    return search_titles(E.embeddable(_prepared(spark, sf)), SEEDS)
+
+
+def _hash_index(spark, sf):
+    hv = _hash_vectors(spark, sf)
+    cents = hv.orderBy("item_id").limit(SUPPLIED_CELLS).select(
+        F.col("item_id").cast("int").alias("cell_id"), F.col("embedding").alias("centroid")
+    )
+    return hv, build_index(hv, centroids=cents, nlist=SUPPLIED_CELLS)
+
+
+def q_build_hash_index(spark, sf):
+    _, idx = _hash_index(spark, sf)
+    return idx.cells.select("item_id", "cell_id")
+
+
+def q_similar_items(spark, sf):
+    hv, idx = _hash_index(spark, sf)
+    return similar_items(_prepared(spark, sf), hv, idx, SEEDS, K_NEIGHBOURS, nprobe=1)
+
+
+def q_run_summary(spark, sf):
+    _, idx = _hash_index(spark, sf)
+    return R.run_summary(_prepared(spark, sf), idx.cells)
+
+
+def q_pending_embeddings(spark, sf):
+    todo = E.embeddable(_prepared(spark, sf)).select("item_id", "embedding_input")
+    return pending(todo, _emb(spark, sf))
+
+
+def q_build_index_trained(spark, sf):
+    idx = build_index(_emb(spark, sf), nlist=SUPPLIED_CELLS, seed=7, max_iter=10)
+    return R.cell_sizes(idx.cells)
+
+
+def q_knn_ivf_trained(spark, sf):
+    e = _emb(spark, sf)
+    idx = build_index(e, nlist=SUPPLIED_CELLS, seed=7, max_iter=10)
+    return _rounded(knn_ivf(_queries_from(e), idx, K_NEIGHBOURS, 2, exclude_self=True))
+
+
+def vector_queries() -> dict[str, Query]:
+    return {
+        "validate_vectors": q_validate_vectors,
+        "l2_distance": q_l2_distance,
+        "hash_embed": q_hash_embed,
+        "embed_python_encoder": q_embed_python_encoder,
+        "assign_cells": q_assign_cells,
+        "knn_exact": _knn_exact("auto"),
+        "knn_exact_tiled": _knn_exact("tiled", TINY_TILES),
+        "knn_ivf_nprobe1": _knn_ivf(1),
+        "knn_ivf_nprobe4": _knn_ivf(4),
+        "knn_ivf_nprobe4_tiled": _knn_ivf(4, "tiled", TINY_TILES),
+        "knn_ivf_nprobe16": _knn_ivf(16),
+        "recall_at_k": q_recall_at_k,
+        "cell_sizes": q_cell_sizes,
+        "index_integrity": q_index_integrity,
+        "search_titles": q_search_titles,
+        "build_hash_index": q_build_hash_index,
+        "similar_items": q_similar_items,
+        "run_summary": q_run_summary,
+        "pending_embeddings": q_pending_embeddings,
+        "build_index_trained": q_build_index_trained,
+        "knn_ivf_trained": q_knn_ivf_trained,
+    }
+
+
 def all_queries() -> dict[str, Query]:
     q = dict(text_queries())
+    q.update(vector_queries())
     return q
 
 
