@@ -13,7 +13,7 @@ the centroids as the item side.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +33,14 @@ class IvfIndex:
     cells: DataFrame  # item_id bigint, embedding array<float>, cell_id int
     nlist: int
     dim: int
+    # (cell ids, centroid matrix) once fetched, or False when too large to ship.
+    _matrix: object = field(default=None, repr=False)
+
+    def centroid_matrix(self, cfg: SearchConfig = DEFAULT_CONFIG):
+        """Centroids as driver-side arrays (size-checked), fetched once."""
+        if self._matrix is None:
+            self._matrix = _centroid_matrix(self.centroids, cfg, self.nlist, self.dim) or False
+        return self._matrix or None
 
 
 def vector_stats(df: DataFrame, dim: int | None = None, col: str = "embedding") -> DataFrame:
@@ -85,12 +93,20 @@ def validate_query(df: DataFrame, dim: int) -> None:
         raise ValueError(f"{r['n_bad']} query vectors are null, NaN or not of dimension {dim}")
 
 
-def _centroid_matrix(centroids: DataFrame, cfg: SearchConfig):
-    stats = centroids.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("centroid")).alias("dim")).first()
-    size = (stats["n"] or 0) * (stats["dim"] or 0) * 8
-    if size > cfg.max_broadcast_bytes:
+def _centroid_matrix(centroids: DataFrame, cfg: SearchConfig, max_rows: int | None = None, dim: int | None = None):
+    """``(cell_ids, matrix)`` on the driver, or None past the broadcast bound.
+
+    With a known row bound and dimension the size is proven without a
+    counting pass; otherwise the rows are counted first.
+    """
+    if max_rows is None or dim is None:
+        stats = centroids.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("centroid")).alias("dim")).first()
+        max_rows, dim = stats["n"] or 0, stats["dim"] or 0
+    if max_rows * dim * 8 > cfg.max_broadcast_bytes:
         return None
     t = centroids.select(F.col("cell_id").cast("bigint"), F.col("centroid").cast("array<float>")).toArrow()
+    if t.num_rows > max_rows:
+        raise ValueError(f"{t.num_rows} centroids, more than the stated bound {max_rows}")
     return K.to_ids(t.column("cell_id")), K.to_matrix(t.column("centroid"))
 
 
@@ -100,12 +116,16 @@ def assign_cells(
     n: int = 1,
     id_col: str = "item_id",
     cfg: SearchConfig = DEFAULT_CONFIG,
+    matrix=None,
 ) -> DataFrame:
     """``(id, embedding, cell_id, probe)``: the ``n`` nearest cells of each
-    vector, ``probe`` 1..n by ``(distance, cell_id)``."""
+    vector, ``probe`` 1..n by ``(distance, cell_id)``.
+
+    ``matrix`` may carry the centroids already fetched as ``(ids, matrix)``.
+    """
     spark = vectors.sparkSession
     src = vectors.select(F.col(id_col).cast("bigint").alias(id_col), F.col("embedding").cast("array<float>"))
-    mat = _centroid_matrix(centroids, cfg)
+    mat = matrix if matrix is not None else _centroid_matrix(centroids, cfg)
     if mat is None:
         near = knn_exact(
             src.select(F.col(id_col).alias("query_id"), "embedding"),
@@ -166,6 +186,11 @@ def train_centroids(
     return vectors.sparkSession.createDataFrame(rows, "cell_id int, centroid array<float>")
 
 
+def _matrix_of_rows(df: DataFrame):
+    t = df.toArrow()
+    return K.to_ids(t.column("cell_id")), K.to_matrix(t.column("centroid"))
+
+
 def build_index(
     vectors: DataFrame,
     nlist: int = DEFAULT_NLIST,
@@ -174,22 +199,27 @@ def build_index(
     max_iter: int = 20,
     sample_fraction: float | None = None,
     validate: bool = True,
+    dim: int | None = None,
     cfg: SearchConfig = DEFAULT_CONFIG,
 ) -> IvfIndex:
     """Validate, train (unless ``centroids`` are supplied) and assign.
 
-    ``vectors``: ``(item_id, embedding)``.
+    ``vectors``: ``(item_id, embedding)``. Supplied centroids are fetched once
+    (at most ``nlist`` rows, checked). ``validate=False`` skips the checking
+    pass for vectors valid by construction; ``dim`` must then be given.
     """
     if validate:
-        _, dim = validate_vectors(vectors, nlist if centroids is None else None)
-    else:
-        dim = int(vectors.select(F.size("embedding")).first()[0])
+        _, dim = validate_vectors(vectors, nlist if centroids is None else None, dim)
+    elif dim is None:
+        raise ValueError("dim is required when validate=False")
     if centroids is None:
         centroids = train_centroids(vectors, nlist, seed, max_iter, sample_fraction)
     else:
         centroids = centroids.select(F.col("cell_id").cast("int"), F.col("centroid").cast("array<float>"))
-    cells = assign_cells(vectors, centroids, 1, cfg=cfg).select("item_id", "embedding", "cell_id")
-    return IvfIndex(centroids=centroids, cells=cells, nlist=nlist, dim=dim)
+    index = IvfIndex(centroids=centroids, cells=None, nlist=nlist, dim=dim)
+    cells = assign_cells(vectors, centroids, 1, cfg=cfg, matrix=index.centroid_matrix(cfg))
+    index.cells = cells.select("item_id", "embedding", "cell_id")
+    return index
 
 
 def knn_ivf(
@@ -200,18 +230,23 @@ def knn_ivf(
     exclude_self: bool = False,
     strategy: str = "auto",
     cfg: SearchConfig = DEFAULT_CONFIG,
+    max_queries: int | None = None,
 ) -> DataFrame:
     """IVF search: probe the ``nprobe`` nearest cells, exact distance inside.
 
     ``queries``: ``(query_id, embedding)``. Returns ``(query_id, item_id, rank,
     distance)``; fewer than k rows when the probed cells hold fewer items.
+    ``max_queries`` is a proven bound on the query count (e.g. a seed list),
+    which lets the broadcast strategy skip its counting pass.
     """
     if nprobe <= 0:
         raise ValueError(f"nprobe must be positive, got {nprobe}")
-    probes = assign_cells(queries, index.centroids, nprobe, id_col="query_id", cfg=cfg).select(
+    mat = index.centroid_matrix(cfg)
+    probes = assign_cells(queries, index.centroids, nprobe, id_col="query_id", cfg=cfg, matrix=mat).select(
         "query_id", "embedding", "cell_id"
     )
-    return search(probes, index.cells, k, exclude_self, strategy, cfg)
+    bound = None if max_queries is None else max_queries * nprobe
+    return search(probes, index.cells, k, exclude_self, strategy, cfg, max_probe_rows=bound, dim=index.dim)
 
 
 def index_from_tables(spark: SparkSession, centroids: DataFrame, cells: DataFrame) -> IvfIndex:

@@ -181,6 +181,8 @@ def search(
     exclude_self: bool = False,
     strategy: str = "auto",
     cfg: SearchConfig = DEFAULT_CONFIG,
+    max_probe_rows: int | None = None,
+    dim: int | None = None,
 ) -> DataFrame:
     """k nearest items per query, restricted to matching ``cell_id``.
 
@@ -201,12 +203,16 @@ def search(
         F.col("item_id").cast("bigint"), F.col("embedding").cast("array<float>"), F.col("cell_id").cast("bigint")
     )
     if strategy != "tiled":
-        stats = probes.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("dim")).first()
-        size = (stats["n"] or 0) * (stats["dim"] or 0) * 4
+        if max_probe_rows is None or dim is None:
+            stats = probes.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("dim")).first()
+            max_probe_rows, dim = stats["n"] or 0, stats["dim"] or 0
+        size = max_probe_rows * dim * 4
         if strategy == "broadcast" or size <= cfg.max_broadcast_bytes:
             if strategy == "broadcast" and size > cfg.max_broadcast_bytes:
                 raise ValueError(f"query side of {size} bytes exceeds the broadcast bound")
             table = probes.toArrow()
+            if table.num_rows > max_probe_rows:
+                raise ValueError(f"{table.num_rows} probe rows, more than the stated bound {max_probe_rows}")
             cands = _broadcast_candidates(items, table, k, exclude_self, cfg)
             return _final_topk(cands, k)
     probes = cut_lineage(probes)

@@ -79,7 +79,7 @@ def similar_items(
     # len(seeds) * k rows, so the big tables are never shuffled here.
     seed_ids = F.broadcast(first.select(F.col("seed_item_id").alias("item_id")).distinct())
     q = vectors.join(seed_ids, "item_id").select(F.col("item_id").alias("query_id"), "embedding")
-    nbrs = knn_ivf(q, index, k, nprobe, exclude_self=True)
+    nbrs = knn_ivf(q, index, k, nprobe, exclude_self=True, max_queries=len(seeds))
     seed_titles = titles.join(seed_ids, "item_id").select(
         F.col("item_id").alias("seed_item_id"), F.col("title_final").alias("seed_title")
     )

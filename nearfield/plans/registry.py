@@ -20,6 +20,7 @@ from nearfield.operators.index import assign_cells, build_index, knn_ivf, vector
 from nearfield.operators.knn import SearchConfig, knn_exact, recall_at_k
 from nearfield.plans.jobs import search_titles, similar_items
 from nearfield.sources import fixtures as FX
+from nearfield.session import cut_lineage
 from nearfield.sources.catalog import pending
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -232,12 +233,15 @@ def q_search_titles(spark, sf):
     return search_titles(E.embeddable(_prepared(spark, sf)), SEEDS)
 
 
-def _hash_index(spark, sf):
-    hv = _hash_vectors(spark, sf)
+def _hash_index(spark, sf, prepared=None):
+    """Hash vectors (materialised once: several jobs read them) and an index
+    whose centroids are the vectors of the 16 smallest item ids."""
+    prepared = prepared if prepared is not None else _prepared(spark, sf)
+    hv = cut_lineage(hash_embed(prepared, DIM))
     cents = hv.orderBy("item_id").limit(SUPPLIED_CELLS).select(
         F.col("item_id").cast("int").alias("cell_id"), F.col("embedding").alias("centroid")
     )
-    return hv, build_index(hv, centroids=cents, nlist=SUPPLIED_CELLS)
+    return hv, build_index(hv, centroids=cents, nlist=SUPPLIED_CELLS, validate=False, dim=DIM)
 
 
 def q_build_hash_index(spark, sf):
@@ -246,13 +250,15 @@ def q_build_hash_index(spark, sf):
 
 
 def q_similar_items(spark, sf):
-    hv, idx = _hash_index(spark, sf)
-    return similar_items(_prepared(spark, sf), hv, idx, SEEDS, K_NEIGHBOURS, nprobe=1)
+    prepared = cut_lineage(_prepared(spark, sf))
+    hv, idx = _hash_index(spark, sf, prepared)
+    return similar_items(prepared, hv, idx, SEEDS, K_NEIGHBOURS, nprobe=1)
 
 
 def q_run_summary(spark, sf):
-    _, idx = _hash_index(spark, sf)
-    return R.run_summary(_prepared(spark, sf), idx.cells)
+    prepared = cut_lineage(_prepared(spark, sf))
+    _, idx = _hash_index(spark, sf, prepared)
+    return R.run_summary(prepared, idx.cells)
 
 
 def q_pending_embeddings(spark, sf):

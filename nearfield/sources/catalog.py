@@ -128,3 +128,15 @@ def materialize(
 def pending(items: DataFrame, done: DataFrame, key: str = "item_id") -> DataFrame:
     """Rows of ``items`` whose key is not yet in ``done`` (left anti-join)."""
     return items.join(done.select(key), key, "left_anti")
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin repartition only when the input has fewer partitions than
+    the cluster has cores (e.g. one small file holding a single row group).
+
+    Large inputs already arrive in many splits, so there this is a no-op and
+    adds no shuffle; it only keeps heavy per-row work off a single core.
+    """
+    want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    have = df.rdd.getNumPartitions()
+    return df.repartition(want) if have < want else df

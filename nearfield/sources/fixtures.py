@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from nearfield.sources.catalog import spread
+
 # Number of characters of a document kept as the item description (fixed value).
 DESCRIPTION_CHARS = 400
 
@@ -33,7 +35,7 @@ def user_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def items_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``items(item_id, title, genres, description, review_text)``."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
     r = user_reviews(spark, sf_dir)
     j = d.join(r, d["doc_id"] == r["conv_id"], "left")
     m10, m7, m5 = F.col("doc_id") % 10, F.col("doc_id") % 7, F.col("doc_id") % 5
@@ -88,7 +90,7 @@ def responses_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def embeddings_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Driver vectors as ``(item_id, embedding)``."""
-    e = table(spark, sf_dir, "embeddings")
+    e = spread(table(spark, sf_dir, "embeddings"))
     return e.select(F.col("vec_id").alias("item_id"), F.col("embedding").cast("array<float>"))
 
 
