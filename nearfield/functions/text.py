@@ -85,6 +85,16 @@ def truncate_words(col: Column | str, max_words: int) -> Column:
     )
 
 
+def tier_from_flags(t: Column, g: Column, d: Column, r: Column) -> Column:
+    """Tier 1..4 from four presence flags (title, genres, description, review)."""
+    return (
+        F.when(t & g & d & r, F.lit(1))
+        .when(t & g & d, F.lit(2))
+        .when(t & g, F.lit(3))
+        .otherwise(F.lit(4))
+    )
+
+
 def embedding_tier(title, genres, description, review) -> Column:
     """Tier 1..4 from the presence of the four fields.
 
@@ -92,13 +102,7 @@ def embedding_tier(title, genres, description, review) -> Column:
     genres; 4 = anything else (a review without description is ignored,
     genres without title count for nothing).
     """
-    t, g, d, r = (is_present(x) for x in (title, genres, description, review))
-    return (
-        F.when(t & g & d & r, F.lit(1))
-        .when(t & g & d, F.lit(2))
-        .when(t & g, F.lit(3))
-        .otherwise(F.lit(4))
-    )
+    return tier_from_flags(*(is_present(x) for x in (title, genres, description, review)))
 
 
 def embedding_input(
@@ -108,23 +112,26 @@ def embedding_input(
     review,
     max_review_words: int = DEFAULT_MAX_REVIEW_WORDS,
     tier: Column | None = None,
+    stripped: bool = False,
 ) -> Column:
     """The text fed to the encoder: stripped parts joined by ``" | "``.
 
     Parts by tier: title and genres always, description for tiers 1-2, the
     word-capped review for tier 1. Null for tier 4. ``tier`` may be passed
-    when it is already computed, to avoid re-deriving it.
+    when it is already computed, and ``stripped=True`` when the four inputs
+    are already stripped, to avoid re-deriving either.
     """
     if tier is None:
         tier = embedding_tier(title, genres, description, review)
-    review_part = truncate_words(strip(review), max_review_words)
+    s = (lambda c: _c(c)) if stripped else strip
+    review_part = truncate_words(s(review), max_review_words)
     return F.when(
         tier < 4,
         F.concat_ws(
             PART_SEPARATOR,
-            strip(title),
-            strip(genres),
-            F.when(tier <= 2, strip(description)),
+            s(title),
+            s(genres),
+            F.when(tier <= 2, s(description)),
             F.when(tier == 1, review_part),
         ),
     )

@@ -17,21 +17,25 @@ from nearfield.functions.text import (
     DEFAULT_MAX_REVIEW_WORDS,
     coalesce_present,
     embedding_input,
-    embedding_tier,
     is_present,
+    strip,
+    tier_from_flags,
 )
 
 ENRICHED = ("e_title", "e_description", "e_genres")
 
 
 def with_tier(items: DataFrame, name: str = "initial_tier", prefix: str = "") -> DataFrame:
-    """Add the tier of ``{prefix}title`` / genres / description and the review."""
-    return items.withColumn(
-        name,
-        embedding_tier(
-            F.col(prefix + "title"), F.col(prefix + "genres"), F.col(prefix + "description"), F.col("review_text")
-        ),
-    )
+    """Add the tier of ``{prefix}title`` / genres / description and the review.
+
+    Presence flags are projected first and the tier from them, so each field
+    is stripped once per row (Catalyst keeps the non-cheap flags in their own
+    projection instead of re-inlining them).
+    """
+    fields = (prefix + "title", prefix + "genres", prefix + "description", "review_text")
+    flags = [f"_p{i}" for i in range(4)]
+    staged = items.select("*", *[is_present(F.col(c)).alias(f) for c, f in zip(fields, flags)])
+    return staged.select(*items.columns, tier_from_flags(*[F.col(f) for f in flags]).alias(name))
 
 
 def needs_enrichment(items: DataFrame) -> DataFrame:
@@ -82,20 +86,23 @@ def merge_enrichment(items: DataFrame, enrichment: DataFrame) -> DataFrame:
 
 
 def finalize(df: DataFrame, max_review_words: int = DEFAULT_MAX_REVIEW_WORDS) -> DataFrame:
-    """Add ``embedding_tier`` and ``embedding_input`` from the final fields."""
-    tier = embedding_tier(F.col("title_final"), F.col("genres_final"), F.col("description_final"), F.col("review_text"))
-    staged = df.withColumn("embedding_tier", tier)
-    return staged.withColumn(
-        "embedding_input",
-        embedding_input(
-            F.col("title_final"),
-            F.col("genres_final"),
-            F.col("description_final"),
-            F.col("review_text"),
-            max_review_words=max_review_words,
-            tier=F.col("embedding_tier"),
-        ),
+    """Add ``embedding_tier`` and ``embedding_input`` from the final fields.
+
+    Three narrow projections: stripped fields, then presence flags and tier,
+    then the text from the stripped fields.
+    """
+    fields = ("title_final", "genres_final", "description_final", "review_text")
+    stripped = [f"_s{i}" for i in range(4)]
+    s1 = df.select("*", *[strip(F.col(c)).alias(n) for c, n in zip(fields, stripped)])
+    tier = tier_from_flags(*[F.coalesce(F.length(F.col(n)) > 0, F.lit(False)) for n in stripped])
+    s2 = s1.select("*", tier.alias("embedding_tier"))
+    text = embedding_input(
+        *[F.col(n) for n in stripped],
+        max_review_words=max_review_words,
+        tier=F.col("embedding_tier"),
+        stripped=True,
     )
+    return s2.select(*df.columns, "embedding_tier", text.alias("embedding_input"))
 
 
 def prepare_items(

@@ -144,6 +144,9 @@ DIM = 64
 K_NEIGHBOURS = 5
 SUPPLIED_CELLS = 16
 SEEDS = ["the", "der", "zzz-none"]
+# Forces the tiled strategy with default tile sizes.
+TILED = SearchConfig(max_broadcast_bytes=0)
+# Forces the tiled strategy with tiles small enough to split every cell.
 TINY_TILES = SearchConfig(item_tile_rows=64, query_tile_rows=32, max_broadcast_bytes=0)
 
 
@@ -285,7 +288,7 @@ def vector_queries() -> dict[str, Query]:
         "embed_python_encoder": q_embed_python_encoder,
         "assign_cells": q_assign_cells,
         "knn_exact": _knn_exact("auto"),
-        "knn_exact_tiled": _knn_exact("tiled", TINY_TILES),
+        "knn_exact_tiled": _knn_exact("tiled", TILED),
         "knn_ivf_nprobe1": _knn_ivf(1),
         "knn_ivf_nprobe4": _knn_ivf(4),
         "knn_ivf_nprobe4_tiled": _knn_ivf(4, "tiled", TINY_TILES),

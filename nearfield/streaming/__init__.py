@@ -1 +1,5 @@
-"""nearfield package."""
+"""Streaming form of the resumable embedding stage."""
+
+from nearfield.streaming.incremental import embed_stream
+
+__all__ = ["embed_stream"]
