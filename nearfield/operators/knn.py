@@ -110,7 +110,10 @@ def _broadcast_candidates(
                 [pa.array(qids[q]), pa.array(x), pa.array(d)], names=["query_id", "item_id", "distance"]
             )
 
-    return items.select("item_id", "embedding", "cell_id").mapInArrow(scan, CANDIDATE_SCHEMA)
+    # Only probed cells are read: on an index stored partitioned by cell_id
+    # this is partition pruning, which makes the search sub-linear.
+    probed = items.where(F.col("cell_id").isin([int(c) for c in cell_keys]))
+    return probed.select("item_id", "embedding", "cell_id").mapInArrow(scan, CANDIDATE_SCHEMA)
 
 
 # --------------------------------------------------------------------- tiled

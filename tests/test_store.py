@@ -83,3 +83,19 @@ def test_build_job_resumes_without_rework(spark, scratch_dir):
     assert pending(todo, r2.embeddings).count() == 0
     metrics = {r["metric"]: r["value"] for r in r2.summary.collect()}
     assert metrics["index_rows"] == n1 == metrics["items_embeddable"]
+
+
+def test_probe_reads_only_probed_cells_of_stored_index(spark, scratch_dir):
+    from nearfield.operators.index import knn_ivf
+
+    e = FX.embeddings_table(spark, SF_SMALL)
+    idx = build_index(e, nlist=16, centroids=FX.supplied_centroids(spark, SF_SMALL, 16))
+    path = os.path.join(scratch_dir, "index")
+    save_index(idx, path)
+    back = load_index(spark, path)
+    q = e.where(F.col("item_id").isin(3, 77)).select(F.col("item_id").alias("query_id"), "embedding")
+    res = knn_ivf(q, back, 5, 1, exclude_self=True, max_queries=2)
+    plan = res._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [cell_id" in plan and " IN (" in plan
+    mem = knn_ivf(q, idx, 5, 1, exclude_self=True, max_queries=2)
+    assert sorted(map(tuple, res.collect())) == sorted(map(tuple, mem.collect()))
