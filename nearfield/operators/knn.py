@@ -149,6 +149,9 @@ def _tiled_candidates(
         return spark.createDataFrame([], CANDIDATE_SCHEMA)
     # One row per cell: bounded by the number of cells, so broadcasting is safe.
     tiles = F.broadcast(spark.createDataFrame(plan, "cell_id bigint, ib int, qb int"))
+    if len(plan) < len(i_counts):
+        # Cells no query probes are never read (partition pruning when stored).
+        items = items.where(F.col("cell_id").isin([c for c, _, _ in plan]))
     it = items.join(tiles, "cell_id").select(
         "item_id",
         "embedding",

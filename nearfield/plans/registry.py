@@ -313,5 +313,5 @@ def all_queries() -> dict[str, Query]:
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
-    """The headline query used by ``entry()``."""
-    return q_tier_distribution_after(spark, sf)
+    """The headline query used by ``entry()``: the similar-items report."""
+    return q_similar_items(spark, sf)

@@ -69,3 +69,38 @@ def test_merge_keeps_row_count(spark):
     items = E.with_tier(FX.items_view(spark, SF_MID))
     enr = E.enrich(items.where(F.col("initial_tier") == 4), FX.responses_view(spark, SF_MID))
     assert E.merge_enrichment(items, enr).count() == items.count()
+
+
+def test_check_keys_rejects_null_and_duplicate(spark):
+    import pytest
+
+    from nearfield.sources.catalog import check_keys
+
+    ok = _items(spark, [(1, "a", None, None, None), (2, "b", None, None, None)])
+    check_keys(ok)
+    with pytest.raises(ValueError, match="duplicate"):
+        check_keys(_items(spark, [(1, "a", None, None, None), (1, "b", None, None, None)]))
+    with pytest.raises(ValueError, match="null"):
+        check_keys(_items(spark, [(None, "a", None, None, None)]))
+
+
+def test_search_titles_regex_and_literal(spark):
+    from nearfield.plans.jobs import first_matches, search_titles
+
+    items = spark.createDataFrame(
+        [(1, "The Dark"), (2, "a.b"), (3, "axb"), (4, None), (5, "ÉTÉ été")], "item_id bigint, title_final string"
+    )
+    regex = {(r["seed"], r["item_id"]) for r in search_titles(items, ["the", "a.b", "été"]).collect()}
+    assert regex == {("the", 1), ("a.b", 2), ("a.b", 3), ("été", 5)}
+    literal = {(r["seed"], r["item_id"]) for r in search_titles(items, ["a.b"], literal=True).collect()}
+    assert literal == {("a.b", 2)}
+    firsts = {r["seed"]: r["seed_item_id"] for r in first_matches(search_titles(items, ["a.b"])).collect()}
+    assert firsts == {"a.b": 2}
+
+
+def test_reports_on_empty_input_give_null_percent(spark):
+    from nearfield.operators import reports as R
+
+    empty = spark.createDataFrame([], "item_id bigint, embedding_input string")
+    r = R.gap_report(empty).first()
+    assert r["n_items"] == 0 and r["gap_pct"] is None
