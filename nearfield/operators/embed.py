@@ -22,17 +22,28 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.functions.text import WS_RUN, strip
+from nearfield.functions.text import WS_CHARS
 from nearfield.operators import kernels as K
 
 Encoder = Callable[[Sequence[str]], np.ndarray]
 DEFAULT_BATCH = 512
 
 
+def tokens(text: Column) -> Column:
+    """Non-empty whitespace-separated pieces of the lower-cased text.
+
+    Every whitespace character is first mapped to a plain space (a character
+    translation), so the split is a literal single-character split instead of
+    a regex; dropping empty pieces makes this equal to splitting the stripped
+    text on whitespace runs.
+    """
+    spaced = F.translate(F.lower(text), WS_CHARS, " " * len(WS_CHARS))
+    return F.filter(F.split(spaced, " "), lambda t: t != F.lit(""))
+
+
 def token_codes(text: Column, dim: int) -> Column:
     """``array<int>`` of ``2 * bucket + negative`` per token (JVM-side)."""
-    tokens = F.filter(F.split(F.lower(strip(text)), WS_RUN), lambda t: t != F.lit(""))
-    digests = F.transform(tokens, lambda t: F.md5(t))
+    digests = F.transform(tokens(text), lambda t: F.md5(t))
 
     def code(h: Column) -> Column:
         bucket = F.pmod(F.conv(F.substring(h, 1, 8), 16, 10).cast("bigint"), F.lit(dim))

@@ -130,13 +130,24 @@ def pending(items: DataFrame, done: DataFrame, key: str = "item_id") -> DataFram
     return items.join(done.select(key), key, "left_anti")
 
 
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin repartition only when the input has fewer partitions than
-    the cluster has cores (e.g. one small file holding a single row group).
+# Inputs smaller than this are left in one task: spreading them costs more
+# (an extra stage) than it saves.
+SPREAD_MIN_BYTES = 1 << 20
+
+
+def spread(df: DataFrame, min_partitions: int | None = None, min_bytes: int = SPREAD_MIN_BYTES) -> DataFrame:
+    """Round-robin repartition only when a non-trivial input has fewer
+    partitions than the cluster has cores (e.g. one file holding a single row
+    group).
 
     Large inputs already arrive in many splits, so there this is a no-op and
     adds no shuffle; it only keeps heavy per-row work off a single core.
     """
     want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    have = df.rdd.getNumPartitions()
-    return df.repartition(want) if have < want else df
+    qe = df._jdf.queryExecution()
+    # Partition count of the scan's RDD and its estimated size, from the JVM
+    # plan (no job runs).
+    have = qe.executedPlan().execute().getNumPartitions()
+    if have >= want or int(str(qe.optimizedPlan().stats().sizeInBytes())) < min_bytes:
+        return df
+    return df.repartition(want)

@@ -19,7 +19,8 @@ DESCRIPTION_CHARS = 400
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A driver table, spread over the cores when it arrives in too few splits."""
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def user_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,14 +36,16 @@ def user_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def items_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``items(item_id, title, genres, description, review_text)``."""
-    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     r = user_reviews(spark, sf_dir)
     j = d.join(r, d["doc_id"] == r["conv_id"], "left")
     m10, m7, m5 = F.col("doc_id") % 10, F.col("doc_id") % 7, F.col("doc_id") % 5
     title = (
         F.when(m10.isin(0, 1), F.lit(None).cast("string"))
         .when(m10 == 2, F.lit("  "))
-        .otherwise(F.split_part(F.col("text"), F.lit("\n"), F.lit(1)))
+        # First line; substring_index stops at the first newline instead of
+        # splitting the whole text (same result as split_part(text, '\n', 1)).
+        .otherwise(F.substring_index(F.col("text"), "\n", 1))
     )
     genres = (
         F.when(m7 == 0, F.lit(None).cast("string"))
@@ -90,7 +93,7 @@ def responses_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def embeddings_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Driver vectors as ``(item_id, embedding)``."""
-    e = spread(table(spark, sf_dir, "embeddings"))
+    e = table(spark, sf_dir, "embeddings")
     return e.select(F.col("vec_id").alias("item_id"), F.col("embedding").cast("array<float>"))
 
 
