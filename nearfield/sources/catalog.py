@@ -132,7 +132,7 @@ def pending(items: DataFrame, done: DataFrame, key: str = "item_id") -> DataFram
 
 # Inputs smaller than this are left in one task: spreading them costs more
 # (an extra stage) than it saves.
-SPREAD_MIN_BYTES = 1 << 20
+SPREAD_MIN_BYTES = 256 << 10
 
 
 def spread(df: DataFrame, min_partitions: int | None = None, min_bytes: int = SPREAD_MIN_BYTES) -> DataFrame:

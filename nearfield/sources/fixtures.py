@@ -18,9 +18,10 @@ from nearfield.sources.catalog import spread
 DESCRIPTION_CHARS = 400
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def table(spark: SparkSession, sf_dir: str, name: str, min_bytes: int | None = None) -> DataFrame:
     """A driver table, spread over the cores when it arrives in too few splits."""
-    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if min_bytes is None else spread(df, min_bytes=min_bytes)
 
 
 def user_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,7 +94,9 @@ def responses_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def embeddings_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Driver vectors as ``(item_id, embedding)``."""
-    e = table(spark, sf_dir, "embeddings")
+    # Vector rows carry heavy per-row work (distances), so even a small file
+    # is spread when it arrives in fewer splits than there are cores.
+    e = table(spark, sf_dir, "embeddings", min_bytes=0)
     return e.select(F.col("vec_id").alias("item_id"), F.col("embedding").cast("array<float>"))
 
 

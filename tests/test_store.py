@@ -35,7 +35,7 @@ def test_load_missing_index_names_path(spark, scratch_dir):
 def test_load_items_requires_key(spark):
     df = spark.createDataFrame([(1, "t")], "id bigint, title string")
     with pytest.raises(KeyError):
-        load_items(spark, df, key="asin")
+        load_items(spark, df, key="sku")
     got = load_items(spark, df, key="id")
     assert got.columns == ["item_id", "title", "genres", "description", "review_text"]
 
