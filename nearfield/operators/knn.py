@@ -147,19 +147,26 @@ def _tiled_candidates(
     plan = _tile_plan(q_counts, i_counts, cfg, spark.sparkContext.defaultParallelism)
     if not plan:
         return spark.createDataFrame([], CANDIDATE_SCHEMA)
-    # One row per cell: bounded by the number of cells, so broadcasting is safe.
-    tiles = F.broadcast(spark.createDataFrame(plan, "cell_id bigint, ib int, qb int"))
-    if len(plan) < len(i_counts):
-        # Cells no query probes are never read (partition pruning when stored).
-        items = items.where(F.col("cell_id").isin([c for c, _, _ in plan]))
-    it = items.join(tiles, "cell_id").select(
+    if len(plan) == 1:
+        # One cell (exact search): the block counts are plain literals.
+        c, ib, qb = plan[0]
+        items = items.where(F.col("cell_id") == c).withColumns({"ib": F.lit(ib), "qb": F.lit(qb)})
+        probes = probes.where(F.col("cell_id") == c).withColumns({"ib": F.lit(ib), "qb": F.lit(qb)})
+    else:
+        # One row per cell: bounded by the number of cells, so broadcasting is safe.
+        tiles = F.broadcast(spark.createDataFrame(plan, "cell_id bigint, ib int, qb int"))
+        if len(plan) < len(i_counts):
+            # Cells no query probes are never read (partition pruning when stored).
+            items = items.where(F.col("cell_id").isin([c for c, _, _ in plan]))
+        items, probes = items.join(tiles, "cell_id"), probes.join(tiles, "cell_id")
+    it = items.select(
         "item_id",
         "embedding",
         "cell_id",
         F.pmod(F.xxhash64("item_id"), F.col("ib")).cast("int").alias("iblock"),
         F.explode(F.sequence(F.lit(0), F.col("qb") - 1)).alias("qblock"),
     )
-    qt = probes.join(tiles, "cell_id").select(
+    qt = probes.select(
         "query_id",
         "embedding",
         "cell_id",

@@ -18,7 +18,7 @@ def test_scan_prunes_columns_and_pushes_filters(spark):
 
 
 def test_knn_plans_use_window_group_limit_and_no_cross_join(spark):
-    for name in ("knn_exact", "knn_ivf_nprobe4", "knn_ivf_nprobe4_tiled"):
+    for name in ("knn_exact", "knn_exact_tiled", "knn_ivf_nprobe4", "knn_ivf_nprobe4_tiled", "similar_items"):
         df = RG.all_queries()[name](spark, SF_SMALL)
         plan = df._jdf.queryExecution().sparkPlan().toString()
         assert "WindowGroupLimit" in plan, name
