@@ -119,3 +119,20 @@ def test_trained_index_runs(spark):
     idx = build_index(e, nlist=8, seed=1, max_iter=5)
     assert idx.cells.count() == e.count()
     assert 1 <= idx.cells.select("cell_id").distinct().count() <= 8
+
+
+def test_tile_plan_bounds_hot_cells():
+    import math
+
+    from nearfield.operators.knn import _tile_plan
+
+    cfg = SearchConfig(item_tile_rows=1000, query_tile_rows=500)
+    # Cell 7 holds a third of all items and a third of all queries.
+    q_counts = {c: 300 for c in range(20)} | {7: 3000, 99: 5}
+    i_counts = {c: 600 for c in range(20)} | {7: 6000}
+    plan = {c: (ib, qb) for c, ib, qb in _tile_plan(q_counts, i_counts, cfg, parallelism=8)}
+    assert 99 not in plan  # no items there: the cell is never read
+    for c, (ib, qb) in plan.items():
+        assert math.ceil(i_counts[c] / ib) <= cfg.item_tile_rows
+        assert math.ceil(q_counts[c] / qb) <= cfg.query_tile_rows
+    assert plan[7][0] >= 6 and plan[7][1] >= 6
