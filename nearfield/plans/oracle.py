@@ -29,7 +29,7 @@ def words(x: str) -> str:
 
 
 def word_count(x: str) -> str:
-    return f"(CASE WHEN {strip(x)} = '' THEN 0 ELSE len({words(x)}) END)"
+    return f"CAST(CASE WHEN {strip(x)} = '' THEN 0 ELSE len({words(x)}) END AS INTEGER)"
 
 
 def truncate(x: str, n: int) -> str:
