@@ -123,7 +123,6 @@ def assign_cells(
 
     ``matrix`` may carry the centroids already fetched as ``(ids, matrix)``.
     """
-    spark = vectors.sparkSession
     src = vectors.select(F.col(id_col).cast("bigint").alias(id_col), F.col("embedding").cast("array<float>"))
     mat = matrix if matrix is not None else _centroid_matrix(centroids, cfg)
     if mat is None:
@@ -140,10 +139,9 @@ def assign_cells(
             F.col("item_id").cast("int").alias("cell_id"),
             F.col("rank").cast("int").alias("probe"),
         )
-    bc = spark.sparkContext.broadcast(mat)
-
+    # Shipped in the task closure (broadcast by PySpark above its threshold).
     def nearest(batches):
-        cids, C = bc.value
+        cids, C = mat
         for rb in batches:
             if rb.num_rows == 0:
                 continue

@@ -50,6 +50,14 @@ class SearchConfig:
 DEFAULT_CONFIG = SearchConfig()
 
 
+def parallelism(spark) -> int:
+    """Cores available to the session (shuffle partitions as a fallback)."""
+    try:
+        return int(spark.sparkContext.defaultParallelism)
+    except Exception:  # noqa: BLE001 - sessions without a driver-side context
+        return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def _final_topk(cands: DataFrame, k: int) -> DataFrame:
     w = Window.partitionBy("query_id").orderBy("distance", "item_id")
     return (
@@ -73,12 +81,13 @@ def _broadcast_candidates(
     order = np.argsort(cells_all, kind="stable")
     cell_keys, starts = np.unique(cells_all[order], return_index=True)
     ptr = np.r_[starts, len(order)]
+    # The payload rides in the task closure; PySpark ships closures above its
+    # size threshold as a broadcast, so each executor fetches it once.
     payload = (uq, Q, cell_keys, ptr, qpos[order])
-    bc = items.sparkSession.sparkContext.broadcast(payload)
     merge_every = cfg.merge_every_rows
 
     def scan(batches):
-        qids, Qf, ckeys, cptr, cq = bc.value
+        qids, Qf, ckeys, cptr, cq = payload
         Qd = Qf.astype(np.float64)
         acc_q, acc_x, acc_d, held = [], [], [], 0
         for rb in batches:
@@ -144,7 +153,7 @@ def _tiled_candidates(
     spark = items.sparkSession
     q_counts = {r["cell_id"]: r["n"] for r in probes.groupBy("cell_id").agg(F.count(F.lit(1)).alias("n")).collect()}
     i_counts = {r["cell_id"]: r["n"] for r in items.groupBy("cell_id").agg(F.count(F.lit(1)).alias("n")).collect()}
-    plan = _tile_plan(q_counts, i_counts, cfg, spark.sparkContext.defaultParallelism)
+    plan = _tile_plan(q_counts, i_counts, cfg, parallelism(spark))
     if not plan:
         return spark.createDataFrame([], CANDIDATE_SCHEMA)
     if len(plan) == 1:

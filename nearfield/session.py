@@ -44,13 +44,17 @@ def local_session(
 
 def checkpoint_dir(spark: SparkSession) -> str | None:
     """The shared checkpoint folder of the session, if any."""
-    d = spark.sparkContext.getCheckpointDir()
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - sessions without a driver-side context
+        return None
+    d = sc.getCheckpointDir()
     if d:
         return d
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    conf = sc.getConf().get("spark.checkpoint.dir")
     if conf:
-        spark.sparkContext.setCheckpointDir(conf)
-        return spark.sparkContext.getCheckpointDir()
+        sc.setCheckpointDir(conf)
+        return sc.getCheckpointDir()
     return None
 
 

@@ -143,11 +143,15 @@ def spread(df: DataFrame, min_partitions: int | None = None, min_bytes: int = SP
     Large inputs already arrive in many splits, so there this is a no-op and
     adds no shuffle; it only keeps heavy per-row work off a single core.
     """
-    want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    qe = df._jdf.queryExecution()
-    # Partition count of the scan's RDD and its estimated size, from the JVM
-    # plan (no job runs).
-    have = qe.executedPlan().execute().getNumPartitions()
-    if have >= want or int(str(qe.optimizedPlan().stats().sizeInBytes())) < min_bytes:
+    try:
+        want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+        qe = df._jdf.queryExecution()
+        # Partition count of the scan's RDD and its estimated size, from the
+        # JVM plan (no job runs).
+        have = qe.executedPlan().execute().getNumPartitions()
+        size = int(str(qe.optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # noqa: BLE001 - no JVM plan access: leave the input as is
+        return df
+    if have >= want or size < min_bytes:
         return df
     return df.repartition(want)

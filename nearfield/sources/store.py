@@ -14,6 +14,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from nearfield.operators.index import IvfIndex
+from nearfield.operators.knn import parallelism
 from nearfield.sources.catalog import is_complete
 
 
@@ -22,7 +23,7 @@ def save_index(index: IvfIndex, path: str, num_files: int | None = None) -> None
     spark = index.cells.sparkSession
     root = path.rstrip("/")
     index.centroids.write.mode("overwrite").parquet(f"{root}/centroids")
-    n = num_files or spark.sparkContext.defaultParallelism
+    n = num_files or parallelism(spark)
     (
         index.cells.repartitionByRange(n, "cell_id", "item_id")
         .write.mode("overwrite")
