@@ -229,16 +229,21 @@ def knn_ivf(
     strategy: str = "auto",
     cfg: SearchConfig = DEFAULT_CONFIG,
     max_queries: int | None = None,
+    validate: bool = False,
 ) -> DataFrame:
     """IVF search: probe the ``nprobe`` nearest cells, exact distance inside.
 
     ``queries``: ``(query_id, embedding)``. Returns ``(query_id, item_id, rank,
     distance)``; fewer than k rows when the probed cells hold fewer items.
     ``max_queries`` is a proven bound on the query count (e.g. a seed list),
-    which lets the broadcast strategy skip its counting pass.
+    which lets the broadcast strategy skip its counting pass. ``validate``
+    checks the query vectors first (one aggregate) and raises ``ValueError``
+    on null, NaN or wrong-dimension vectors.
     """
     if nprobe <= 0:
         raise ValueError(f"nprobe must be positive, got {nprobe}")
+    if validate:
+        validate_query(queries, index.dim)
     mat = index.centroid_matrix(cfg)
     probes = assign_cells(queries, index.centroids, nprobe, id_col="query_id", cfg=cfg, matrix=mat).select(
         "query_id", "embedding", "cell_id"

@@ -136,3 +136,11 @@ def test_tile_plan_bounds_hot_cells():
         assert math.ceil(i_counts[c] / ib) <= cfg.item_tile_rows
         assert math.ceil(q_counts[c] / qb) <= cfg.query_tile_rows
     assert plan[7][0] >= 6 and plan[7][1] >= 6
+
+
+def test_query_validation_rejects_wrong_dimension(spark):
+    e = _emb(spark)
+    idx = build_index(e, nlist=16, centroids=FX.supplied_centroids(spark, SF_MID, 16))
+    bad = spark.createDataFrame([(1, [1.0, 2.0])], "query_id bigint, embedding array<float>")
+    with pytest.raises(ValueError, match="dimension 64"):
+        knn_ivf(bad, idx, 5, validate=True)
