@@ -5,7 +5,9 @@ Two physical strategies, chosen from a size check:
 * **broadcast** — the query side (vectors plus probe cells) is bounded by
   ``max_broadcast_bytes``; it is shipped once to every task and the item side
   is scanned where it lies, with no shuffle of items. Each task keeps a
-  running top-k per query and emits at most k rows per query.
+  running top-k per query and emits at most k rows per query, so the merge
+  volume (queries x k x item partitions) is bounded too, by
+  ``max_broadcast_candidates``.
 * **tiled** — otherwise. Each cell is cut into a grid of (query block,
   item block) tiles sized from per-cell counts, so a cell holding a third of
   all rows is spread over many tasks and no task holds more than one tile.
@@ -45,6 +47,9 @@ class SearchConfig:
     query_tile_rows: int = 4096
     # Candidates kept in memory per task before a running top-k merge.
     merge_every_rows: int = 1 << 20
+    # Largest candidate volume (queries x k x item partitions) the broadcast
+    # strategy may send to its final merge; past it the tiled strategy runs.
+    max_broadcast_candidates: int = 1 << 28
 
 
 DEFAULT_CONFIG = SearchConfig()
@@ -58,6 +63,18 @@ def parallelism(spark) -> int:
         return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def estimated_partitions(df: DataFrame) -> int:
+    """Input partitions of ``df`` estimated from Catalyst's size statistics
+    and the split size (no job runs); at least the session's parallelism."""
+    spark = df.sparkSession
+    try:
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        split = int(str(spark.conf.get("spark.sql.files.maxPartitionBytes")).rstrip("b"))
+    except Exception:  # noqa: BLE001 - no JVM plan access
+        return parallelism(spark)
+    return max(parallelism(spark), -(-size // max(1, split)))
+
+
 def _final_topk(cands: DataFrame, k: int) -> DataFrame:
     w = Window.partitionBy("query_id").orderBy("distance", "item_id")
     return (
@@ -229,7 +246,8 @@ def search(
             stats = probes.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("dim")).first()
             max_probe_rows, dim = stats["n"] or 0, stats["dim"] or 0
         size = max_probe_rows * dim * 4
-        if strategy == "broadcast" or size <= cfg.max_broadcast_bytes:
+        cands = max_probe_rows * k * estimated_partitions(items)
+        if strategy == "broadcast" or (size <= cfg.max_broadcast_bytes and cands <= cfg.max_broadcast_candidates):
             if strategy == "broadcast" and size > cfg.max_broadcast_bytes:
                 raise ValueError(f"query side of {size} bytes exceeds the broadcast bound")
             table = probes.toArrow()

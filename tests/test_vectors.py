@@ -144,3 +144,12 @@ def test_query_validation_rejects_wrong_dimension(spark):
     bad = spark.createDataFrame([(1, [1.0, 2.0])], "query_id bigint, embedding array<float>")
     with pytest.raises(ValueError, match="dimension 64"):
         knn_ivf(bad, idx, 5, validate=True)
+
+
+def test_candidate_volume_bound_switches_to_tiled(spark):
+    e = _emb(spark).where(F.col("item_id") < 100)
+    q = e.select(F.col("item_id").alias("query_id"), "embedding")
+    small = SearchConfig(max_broadcast_candidates=1)
+    auto = knn_exact(q, e, 3, exclude_self=True, cfg=small)
+    assert "FlatMapCoGroupsInArrow" in auto._jdf.queryExecution().executedPlan().toString()
+    assert _rows(auto) == _rows(knn_exact(q, e, 3, exclude_self=True, strategy="broadcast"))
