@@ -33,7 +33,6 @@ from nearfield.operators import kernels as K
 from nearfield.session import cut_lineage
 
 CANDIDATE_SCHEMA = "query_id bigint, item_id bigint, distance double"
-NEIGHBOUR_COLUMNS = ("query_id", "item_id", "rank", "distance")
 
 
 @dataclass(frozen=True)

@@ -9,6 +9,7 @@ way therefore loses at most its own unfinished folder.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -151,7 +152,7 @@ def build_job(
     dim: int = 64,
     nlist: int = 16,
     centroids: DataFrame | None = None,
-    encoder_factory=None,
+    encoder_factory: Callable[[], Encoder] | None = None,
     max_review_words: int = 256,
     seed: int = 42,
 ) -> BuildResult:

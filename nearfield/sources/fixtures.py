@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from nearfield.functions.vectors import to_float_vector
 from nearfield.sources.catalog import spread
 
 # Number of characters of a document kept as the item description (fixed value).
@@ -97,7 +98,7 @@ def embeddings_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Vector rows carry heavy per-row work (distances), so even a small file
     # is spread when it arrives in fewer splits than there are cores.
     e = table(spark, sf_dir, "embeddings", min_bytes=0)
-    return e.select(F.col("vec_id").alias("item_id"), F.col("embedding").cast("array<float>"))
+    return e.select(F.col("vec_id").alias("item_id"), to_float_vector("embedding").alias("embedding"))
 
 
 def supplied_centroids(spark: SparkSession, sf_dir: str, nlist: int = 16) -> DataFrame:

@@ -99,3 +99,27 @@ def test_probe_reads_only_probed_cells_of_stored_index(spark, scratch_dir):
     assert "PartitionFilters: [cell_id" in plan and " IN (" in plan
     mem = knn_ivf(q, idx, 5, 1, exclude_self=True, max_queries=2)
     assert sorted(map(tuple, res.collect())) == sorted(map(tuple, mem.collect()))
+
+
+def test_sources_and_sinks_round_trip(spark, scratch_dir):
+    from nearfield.operators import enrich as E
+    from nearfield.sources.catalog import (
+        load_embeddings,
+        load_responses,
+        read_enrichment,
+        write_embeddings,
+        write_enrichment,
+    )
+
+    resp_path = os.path.join(scratch_dir, "responses")
+    FX.responses_view(spark, SF_SMALL).withColumnRenamed("item_id", "sku").write.parquet(resp_path)
+    responses = load_responses(spark, resp_path, key="sku")
+    enr = E.enrich(E.needs_enrichment(FX.items_view(spark, SF_SMALL)), responses)
+    write_enrichment(enr, os.path.join(scratch_dir, "enrichment"))
+    back = read_enrichment(spark, os.path.join(scratch_dir, "enrichment"))
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, enr.collect()))
+    emb = FX.embeddings_table(spark, SF_SMALL)
+    write_embeddings(emb, os.path.join(scratch_dir, "emb"))
+    got = load_embeddings(spark, os.path.join(scratch_dir, "emb"))
+    assert got.schema == emb.schema or got.dtypes == emb.dtypes
+    assert got.count() == emb.count() and pending(emb, got).count() == 0
