@@ -10,7 +10,6 @@ as CTEs so each statement stands alone.
 from __future__ import annotations
 
 from nearfield.functions.text import DEFAULT_MAX_REVIEW_WORDS, PART_SEPARATOR, TIER_LABELS, WS_CLASS, WS_CODE_POINTS
-from nearfield.sources.fixtures import DESCRIPTION_CHARS
 
 WS_SQL = "(" + "||".join(f"chr({c})" for c in WS_CODE_POINTS) + ")"
 WS_RUN_SQL = "'" + WS_CLASS + "+'"
@@ -65,13 +64,13 @@ def pct(part: str, whole: str) -> str:
     return f"round(CAST({part} AS DOUBLE) * CAST(100 AS DOUBLE) / nullif(CAST({whole} AS DOUBLE), 0), 4)"
 
 
-ITEMS_CTE = f"""items AS (
+ITEMS_CTE = """items AS (
 SELECT d.doc_id AS item_id,
   CASE WHEN d.doc_id % 10 IN (0,1) THEN NULL WHEN d.doc_id % 10 = 2 THEN '  '
        ELSE split_part(d.text, chr(10), 1) END AS title,
   CASE WHEN d.doc_id % 7 = 0 THEN NULL WHEN d.doc_id % 7 = 1 THEN ''
        ELSE concat(d.lang, '|', d.source) END AS genres,
-  CASE WHEN d.doc_id % 5 = 0 THEN NULL ELSE substring(d.text, 1, {DESCRIPTION_CHARS}) END AS description,
+  CASE WHEN d.doc_id % 5 = 0 THEN NULL ELSE d.text END AS description,
   r.text AS review_text
 FROM documents d
 LEFT JOIN (SELECT conv_id, max(text) AS text FROM conversations

@@ -15,9 +15,6 @@ from pyspark.sql import functions as F
 from nearfield.functions.vectors import to_float_vector
 from nearfield.sources.catalog import spread
 
-# Number of characters of a document kept as the item description (fixed value).
-DESCRIPTION_CHARS = 400
-
 
 def table(spark: SparkSession, sf_dir: str, name: str, min_bytes: int | None = None) -> DataFrame:
     """A driver table, spread over the cores when it arrives in too few splits."""
@@ -54,9 +51,8 @@ def items_view(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(m7 == 1, F.lit(""))
         .otherwise(F.concat(F.col("lang"), F.lit("|"), F.col("source")))
     )
-    description = F.when(m5 == 0, F.lit(None).cast("string")).otherwise(
-        F.substring(F.col("text"), 1, DESCRIPTION_CHARS)
-    )
+    # The description is the whole document text (never a prefix).
+    description = F.when(m5 == 0, F.lit(None).cast("string")).otherwise(F.col("text"))
     return j.select(
         F.col("doc_id").alias("item_id"),
         title.alias("title"),
