@@ -7,9 +7,11 @@ float32 ``(n, dim)`` matrix; no normalisation is applied.
 ``hash_embed`` is the offline encoder: tokens are the non-empty pieces of
 the lower-cased, stripped text split on whitespace; each token's md5 picks a
 bucket (hex chars 1-8 as an integer, mod dim) and a sign (hex char 9 below
-``8`` is +). The vector element is the signed token count. Tokenising and
-hashing run in the JVM; only the O(tokens) fold into a dense vector runs as
-an Arrow UDF, with no shuffle.
+``8`` is +). The vector element is the signed token count. Lower-casing and
+whitespace mapping run in the JVM; splitting, hashing (cached per batch) and
+the fold into a dense vector run in one Arrow UDF, with no shuffle. Measured
+about a quarter faster than per-token md5 in JVM higher-order functions,
+which Spark evaluates interpreted.
 """
 
 from __future__ import annotations
@@ -29,34 +31,18 @@ Encoder = Callable[[Sequence[str]], np.ndarray]
 DEFAULT_BATCH = 512
 
 
-def tokens(text: Column) -> Column:
-    """Non-empty whitespace-separated pieces of the lower-cased text.
-
-    Every whitespace character is first mapped to a plain space (a character
-    translation), so the split is a literal single-character split instead of
-    a regex; dropping empty pieces makes this equal to splitting the stripped
-    text on whitespace runs.
-    """
-    spaced = F.translate(F.lower(text), WS_CHARS, " " * len(WS_CHARS))
-    return F.filter(F.split(spaced, " "), lambda t: t != F.lit(""))
-
-
-def token_codes(text: Column, dim: int) -> Column:
-    """``array<int>`` of ``2 * bucket + negative`` per token (JVM-side)."""
-    digests = F.transform(tokens(text), lambda t: F.md5(t))
-
-    def code(h: Column) -> Column:
-        bucket = F.pmod(F.conv(F.substring(h, 1, 8), 16, 10).cast("bigint"), F.lit(dim))
-        negative = F.when(F.substring(h, 9, 1) >= F.lit("8"), 1).otherwise(0)
-        return (bucket * 2 + negative).cast("int")
-
-    return F.transform(digests, code)
+def spaced_lower(text: Column) -> Column:
+    """Lower-cased text with every whitespace character mapped to a plain
+    space (a JVM character translation, no regex), so a split on ``" "``
+    with empty pieces dropped equals splitting the stripped text on
+    whitespace runs."""
+    return F.translate(F.lower(text), WS_CHARS, " " * len(WS_CHARS))
 
 
 def _fold_udf(dim: int):
     @F.arrow_udf("array<float>")
-    def fold(codes: pa.Array) -> pa.Array:
-        return K.fold_signed_codes(codes, dim)
+    def fold(texts: pa.Array) -> pa.Array:
+        return K.fold_spaced_texts(texts, dim)
 
     return fold
 
@@ -65,7 +51,7 @@ def hash_embed(df: DataFrame, dim: int, text_col: str = "embedding_input", id_co
     """``(item_id, embedding)`` for every row with a non-null text."""
     src = df.where(F.col(text_col).isNotNull())
     return src.select(
-        F.col(id_col).alias("item_id"), _fold_udf(dim)(token_codes(F.col(text_col), dim)).alias("embedding")
+        F.col(id_col).alias("item_id"), _fold_udf(dim)(spaced_lower(F.col(text_col))).alias("embedding")
     )
 
 

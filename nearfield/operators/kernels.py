@@ -1,8 +1,8 @@
 """NumPy kernels that run inside Spark tasks (Arrow batches in, Arrow out).
 
-These are the only numeric hot loops that leave the JVM: bulk squared-L2
-top-k and the dense fold of hashed tokens. Spark partitions and shuffles the
-work; each call sees one bounded batch or tile.
+These are the only hot loops that leave the JVM: bulk squared-L2 top-k and
+the hashed-token fold of the offline encoder. Spark partitions and shuffles
+the work; each call sees one bounded batch or tile.
 
 Top-k is exact. A BLAS pass (``|q|^2 + |x|^2 - 2 q.x``) shortlists every
 candidate within a safe error margin of the k-th value, the shortlist is
@@ -12,6 +12,8 @@ the smaller id, so results agree with any exact engine.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -125,19 +127,32 @@ def merge_topk(q: np.ndarray, x: np.ndarray, d: np.ndarray, k: int):
     return q[keep], x[keep], d[keep]
 
 
-def fold_signed_codes(codes, dim: int) -> pa.Array:
-    """Dense ``array<float>`` per row from hashed token codes.
+def fold_spaced_texts(texts, dim: int) -> pa.Array:
+    """Dense ``array<float>`` per row of hashed, signed token counts.
 
-    A code is ``2 * bucket + s`` with ``s = 1`` for a negative sign; the
-    element of a bucket is the signed token count. A null or empty code list
-    gives an all-zero vector.
+    Each text arrives lower-cased with every whitespace character already
+    mapped to a plain space (done in the JVM), so tokens are the non-empty
+    pieces of a split on ``" "``. A token's md5 hex digest picks the bucket
+    (hex chars 1-8 as an integer, mod ``dim``) and the sign (hex char 9
+    below ``8`` is +). Digests are cached per batch, so a repeated word is
+    hashed once. A null text gives an all-zero vector.
     """
-    arr = as_list_array(codes)
-    n = len(arr)
-    lengths = pc.fill_null(pc.list_value_length(arr), 0).to_numpy(zero_copy_only=False)
-    values = pc.list_flatten(arr).to_numpy(zero_copy_only=False).astype(np.int64, copy=False)
-    rows = np.repeat(np.arange(n, dtype=np.int64), lengths)
-    weights = 1.0 - 2.0 * (values & 1)
-    dense = np.bincount(rows * dim + (values >> 1), weights=weights, minlength=n * dim)
+    vals = as_list_array(texts).to_pylist()
+    n = len(vals)
+    dense = np.zeros((n, dim), dtype=np.float64)
+    cache: dict[str, tuple[int, float]] = {}
+    md5 = hashlib.md5
+    for r, text in enumerate(vals):
+        if not text:
+            continue
+        row = dense[r]
+        for tok in text.split(" "):
+            if not tok:
+                continue
+            hit = cache.get(tok)
+            if hit is None:
+                h = md5(tok.encode("utf-8")).hexdigest()
+                hit = cache[tok] = (int(h[:8], 16) % dim, -1.0 if h[8] >= "8" else 1.0)
+            row[hit[0]] += hit[1]
     offsets = pa.array(np.arange(0, n * dim + 1, dim, dtype=np.int32))
-    return pa.ListArray.from_arrays(offsets, pa.array(dense.astype(np.float32)))
+    return pa.ListArray.from_arrays(offsets, pa.array(dense.reshape(-1).astype(np.float32)))

@@ -153,3 +153,19 @@ def test_candidate_volume_bound_switches_to_tiled(spark):
     auto = knn_exact(q, e, 3, exclude_self=True, cfg=small)
     assert "FlatMapCoGroupsInArrow" in auto._jdf.queryExecution().executedPlan().toString()
     assert _rows(auto) == _rows(knn_exact(q, e, 3, exclude_self=True, strategy="broadcast"))
+
+
+def test_hashed_fold_kernel_matches_python_encoder():
+    import pyarrow as pa
+
+    from nearfield.operators.embed import PythonHashEncoder
+
+    texts = ["the cat  the cat", "", None, "x", "  Ünïcode words\tand\nmore  ", "a " * 50]
+    # The kernel sees JVM-lowered text with whitespace mapped to spaces.
+    spaced = [None if t is None else " ".join(t.lower().split()) for t in texts]
+    got = K.fold_spaced_texts(pa.array(spaced, pa.string()), 16).to_pylist()
+    want = PythonHashEncoder(16)([t or "" for t in texts])
+    assert len(got) == len(texts)
+    for g, w in zip(got, want):
+        assert g == pytest.approx(list(w))
+    assert got[2] == [0.0] * 16 and got[5][int(np.argmax(np.abs(got[5])))] in (50.0, -50.0)
