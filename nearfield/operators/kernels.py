@@ -24,6 +24,8 @@ EXACT_BLOCK_PAIRS = 1 << 18
 SCORE_BLOCK = 1 << 22
 # Relative error margin of the BLAS shortlist, far above float64 rounding.
 REL_MARGIN = 1e-8
+# Texts turned into Python strings at once by the hashed-token fold.
+FOLD_SLICE_ROWS = 1024
 
 
 def as_list_array(col) -> pa.Array:
@@ -137,22 +139,25 @@ def fold_spaced_texts(texts, dim: int) -> pa.Array:
     below ``8`` is +). Digests are cached per batch, so a repeated word is
     hashed once. A null text gives an all-zero vector.
     """
-    vals = as_list_array(texts).to_pylist()
-    n = len(vals)
+    arr = as_list_array(texts)
+    n = len(arr)
     dense = np.zeros((n, dim), dtype=np.float64)
     cache: dict[str, tuple[int, float]] = {}
     md5 = hashlib.md5
-    for r, text in enumerate(vals):
-        if not text:
-            continue
-        row = dense[r]
-        for tok in text.split(" "):
-            if not tok:
+    # Python strings are made one slice at a time, so a batch of long texts
+    # is never held twice (Arrow buffer plus Python objects) in full.
+    for s in range(0, n, FOLD_SLICE_ROWS):
+        for r, text in enumerate(arr.slice(s, FOLD_SLICE_ROWS).to_pylist(), start=s):
+            if not text:
                 continue
-            hit = cache.get(tok)
-            if hit is None:
-                h = md5(tok.encode("utf-8")).hexdigest()
-                hit = cache[tok] = (int(h[:8], 16) % dim, -1.0 if h[8] >= "8" else 1.0)
-            row[hit[0]] += hit[1]
+            row = dense[r]
+            for tok in text.split(" "):
+                if not tok:
+                    continue
+                hit = cache.get(tok)
+                if hit is None:
+                    h = md5(tok.encode("utf-8")).hexdigest()
+                    hit = cache[tok] = (int(h[:8], 16) % dim, -1.0 if h[8] >= "8" else 1.0)
+                row[hit[0]] += hit[1]
     offsets = pa.array(np.arange(0, n * dim + 1, dim, dtype=np.int32))
     return pa.ListArray.from_arrays(offsets, pa.array(dense.reshape(-1).astype(np.float32)))

@@ -169,3 +169,13 @@ def test_hashed_fold_kernel_matches_python_encoder():
     for g, w in zip(got, want):
         assert g == pytest.approx(list(w))
     assert got[2] == [0.0] * 16 and got[5][int(np.argmax(np.abs(got[5])))] in (50.0, -50.0)
+
+
+def test_hashed_fold_kernel_slices_batches(monkeypatch):
+    import pyarrow as pa
+
+    texts = pa.array(["b a", None, "a", "c c c", "", "a b"], pa.string())
+    whole = K.fold_spaced_texts(texts, 8).to_pylist()
+    monkeypatch.setattr(K, "FOLD_SLICE_ROWS", 4)
+    assert K.fold_spaced_texts(texts, 8).to_pylist() == whole
+    assert whole[0] == whole[5] and whole[1] == [0.0] * 8
