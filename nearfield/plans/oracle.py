@@ -282,11 +282,13 @@ FROM exact e LEFT JOIN ivf i ON i.query_id = e.query_id AND i.item_id = e.item_i
         "SELECT cell_id, count(*) AS n_items FROM ranked WHERE rn = 1 GROUP BY cell_id"
     )
     q["index_integrity"] = with_ctes(VECS_CTE, CENTS_CTE, ranked_cells_cte("ranked", "vecs", "cents")) + """
-SELECT count(a.item_id) AS n_indexed, count(v.item_id) AS n_embedded,
-  count(*) FILTER (WHERE a.item_id IS NULL) AS n_missing, count(*) FILTER (WHERE v.item_id IS NULL) AS n_extra,
-  (count(*) FILTER (WHERE a.item_id IS NULL) = 0 AND count(*) FILTER (WHERE v.item_id IS NULL) = 0
-   AND count(a.item_id) = count(v.item_id)) AS ok
-FROM (SELECT item_id FROM ranked WHERE rn = 1) a FULL OUTER JOIN vecs v ON v.item_id = a.item_id"""
+SELECT n_indexed, n_embedded, n_missing, n_extra,
+  (n_missing = 0 AND n_extra = 0 AND n_indexed = n_embedded) AS ok
+FROM (SELECT CAST(coalesce(sum(a.n), 0) AS BIGINT) AS n_indexed, CAST(coalesce(sum(v.n), 0) AS BIGINT) AS n_embedded,
+  CAST(coalesce(sum(v.n) FILTER (WHERE a.item_id IS NULL), 0) AS BIGINT) AS n_missing,
+  CAST(coalesce(sum(a.n) FILTER (WHERE v.item_id IS NULL), 0) AS BIGINT) AS n_extra
+FROM (SELECT item_id, count(*) AS n FROM ranked WHERE rn = 1 GROUP BY item_id) a
+FULL OUTER JOIN (SELECT item_id, count(*) AS n FROM vecs GROUP BY item_id) v ON v.item_id = a.item_id) t"""
     q["search_titles"] = with_ctes(*PREP_CTES, SEEDS_VALUES, MATCHES_CTE) + "SELECT * FROM matches"
     q["build_hash_index"] = with_ctes(*HV_CTES) + "SELECT item_id, cell_id FROM hassigned"
     q["similar_items"] = with_ctes(

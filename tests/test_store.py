@@ -123,3 +123,15 @@ def test_sources_and_sinks_round_trip(spark, scratch_dir):
     got = load_embeddings(spark, os.path.join(scratch_dir, "emb"))
     assert got.schema == emb.schema or got.dtypes == emb.dtypes
     assert got.count() == emb.count() and pending(emb, got).count() == 0
+
+
+def test_index_integrity_counts_rows_under_a_hot_duplicate_key(spark):
+    from nearfield.operators.reports import index_integrity
+
+    # Key 1 holds most rows on both sides: rows are counted, pairs never formed.
+    cells = spark.createDataFrame([(1,)] * 300 + [(2,), (3,)], "item_id bigint")
+    emb = spark.createDataFrame([(1,)] * 200 + [(2,), (4,)], "item_id bigint")
+    r = index_integrity(cells, emb).first()
+    assert (r.n_indexed, r.n_embedded, r.n_missing, r.n_extra, r.ok) == (302, 202, 1, 1, False)
+    same = index_integrity(cells.where("item_id <> 3"), cells.where("item_id <> 3")).first()
+    assert (same.n_missing, same.n_extra, same.ok) == (0, 0, True)
