@@ -51,7 +51,15 @@ def top_results(responses: DataFrame) -> DataFrame:
     )
     fields = top_result_fields(F.col("top"))
     narrow = parsed.select("item_id", *[c.alias(n) for n, c in fields.items()])
-    return narrow.groupBy("item_id").agg(F.min(F.struct(*ENRICHED)).alias("e")).select("item_id", "e.*")
+    return one_per_item(narrow)
+
+
+def one_per_item(enrichment: DataFrame) -> DataFrame:
+    """One enrichment row per item: the smallest ``(e_title, e_description,
+    e_genres)`` record. A partial aggregate on the join key, so a key repeated
+    in a third of all rows is combined map-side and adds no shuffle before the
+    join on ``item_id``."""
+    return enrichment.groupBy("item_id").agg(F.min(F.struct(*ENRICHED)).alias("e")).select("item_id", "e.*")
 
 
 def enrich(weak: DataFrame, responses: DataFrame) -> DataFrame:
@@ -78,10 +86,11 @@ def _finals(df: DataFrame, enriched: bool) -> DataFrame:
 def merge_enrichment(items: DataFrame, enrichment: DataFrame) -> DataFrame:
     """Items left-joined to an enrichment table, with blank-aware final fields.
 
-    Every item keeps exactly one row; the review never comes from enrichment.
+    Every item keeps exactly one row, also when the enrichment table repeats
+    a key (the smallest record wins); the review never comes from enrichment.
     """
     base = items if "initial_tier" in items.columns else with_tier(items)
-    joined = base.join(enrichment.select("item_id", *ENRICHED), "item_id", "left")
+    joined = base.join(one_per_item(enrichment.select("item_id", *ENRICHED)), "item_id", "left")
     return _finals(joined, enriched=True)
 
 

@@ -71,6 +71,14 @@ def test_merge_keeps_row_count(spark):
     assert E.merge_enrichment(items, enr).count() == items.count()
 
 
+def test_merge_keeps_one_row_under_a_hot_repeated_key(spark):
+    items = _items(spark, [(1, None, "g", "d", None), (2, "t", "g", "d", None)])
+    rows = [(1, f"title {i:03d}", "desc", "7") for i in range(200)] + [(3, "x", "y", "z")]
+    enr = spark.createDataFrame(rows, "item_id bigint, e_title string, e_description string, e_genres string")
+    out = {r["item_id"]: r for r in E.merge_enrichment(items, enr).collect()}
+    assert len(out) == 2 and out[1]["title_final"] == "title 000" and out[2]["title_final"] == "t"
+
+
 def test_check_keys_rejects_null_and_duplicate(spark):
     import pytest
 
