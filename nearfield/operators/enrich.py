@@ -1,10 +1,13 @@
 """Tiering and enrichment of weak items (Q1, item preparation).
 
-Plan shape at scale: only tier-4 rows take part in the join with the parsed
-responses. Stronger rows never meet a shuffle; the two branches are unioned.
-Responses are parsed and narrowed map-side, filtered to found results, and
-reduced to one result per item with a partial aggregate, so a key repeated
-across a third of the responses cannot fan out the join.
+Plan shape: the items are read once. Responses are parsed and narrowed
+map-side, filtered to found results and reduced to one result per item with
+a partial aggregate, so a key repeated across a third of the responses
+cannot fan out the join. The items then meet that table in one left join on
+``item_id``, and only tier-4 items take its fields. When the response table
+is small, adaptive execution broadcasts it and the items never shuffle. At
+scale, the items are already hash-partitioned on the key by the review
+join, so only the response side shuffles.
 """
 
 from __future__ import annotations
@@ -67,12 +70,9 @@ def enrich(weak: DataFrame, responses: DataFrame) -> DataFrame:
     return weak.select("item_id").join(top_results(responses), "item_id", "left")
 
 
-def _finals(df: DataFrame, enriched: bool) -> DataFrame:
-    if enriched:
-        pairs = (("title", "e_title"), ("genres", "e_genres"), ("description", "e_description"))
-        t, g, d = (coalesce_present(F.col(c), F.col(e)) for c, e in pairs)
-    else:
-        t, g, d = (F.when(is_present(F.col(c)), F.col(c)) for c in ("title", "genres", "description"))
+def _finals(df: DataFrame) -> DataFrame:
+    pairs = (("title", "e_title"), ("genres", "e_genres"), ("description", "e_description"))
+    t, g, d = (coalesce_present(F.col(c), F.col(e)) for c, e in pairs)
     return df.select(
         "item_id",
         t.alias("title_final"),
@@ -91,7 +91,7 @@ def merge_enrichment(items: DataFrame, enrichment: DataFrame) -> DataFrame:
     """
     base = items if "initial_tier" in items.columns else with_tier(items)
     joined = base.join(one_per_item(enrichment.select("item_id", *ENRICHED)), "item_id", "left")
-    return _finals(joined, enriched=True)
+    return _finals(joined)
 
 
 def finalize(df: DataFrame, max_review_words: int = DEFAULT_MAX_REVIEW_WORDS) -> DataFrame:
@@ -120,11 +120,13 @@ def prepare_items(
     """Q1: ``(item_id, title_final, genres_final, description_final,
     review_text, initial_tier, embedding_tier, embedding_input)``."""
     tiered = with_tier(items)
-    weak = tiered.where(F.col("initial_tier") == 4)
-    strong = tiered.where(F.col("initial_tier") != 4)
-    weak_joined = weak.join(top_results(responses), "item_id", "left")
-    merged = _finals(weak_joined, enriched=True).unionByName(_finals(strong, enriched=False))
-    return finalize(merged, max_review_words)
+    # One pass over the items: every item meets the one-row-per-item response
+    # table, and only tier-4 items take its fields (the others see nulls,
+    # which leave their own fields unchanged). The items are read once.
+    joined = tiered.join(top_results(responses), "item_id", "left")
+    weak = F.col("initial_tier") == 4
+    masked = joined.select(*tiered.columns, *[F.when(weak, F.col(e)).alias(e) for e in ENRICHED])
+    return finalize(_finals(masked), max_review_words)
 
 
 def gaps(prepared: DataFrame) -> DataFrame:

@@ -23,3 +23,9 @@ def test_knn_plans_use_window_group_limit_and_no_cross_join(spark):
         plan = df._jdf.queryExecution().sparkPlan().toString()
         assert "WindowGroupLimit" in plan, name
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
+
+
+def test_item_preparation_reads_documents_once_without_python(spark):
+    plan = RG.q_prepare_items(spark, SF_SMALL)._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("documents.parquet") == 1
+    assert "ArrowEvalPython" not in plan and "BatchEvalPython" not in plan
