@@ -112,3 +112,12 @@ def test_reports_on_empty_input_give_null_percent(spark):
     empty = spark.createDataFrame([], "item_id bigint, embedding_input string")
     r = R.gap_report(empty).first()
     assert r["n_items"] == 0 and r["gap_pct"] is None
+
+
+def test_item_descriptions_are_whole_texts(spark):
+    items = FX.items_view(spark, SF_MID).where(F.col("description").isNotNull())
+    docs = spark.read.parquet(f"{SF_MID}/documents.parquet").select(F.col("doc_id").alias("item_id"), "text")
+    r = items.join(docs, "item_id").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("description") != F.col("text")).alias("differ")
+    ).first()
+    assert r["n"] > 0 and r["differ"] == 0
