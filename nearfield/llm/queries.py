@@ -22,6 +22,104 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from nearfield.llm.secrets import find_secrets
+
+    def listed(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start, s.end)), ",")
+
+    def count(kind):
+        return F.size(F.filter("spans", lambda s: s.kind == kind)).cast("bigint").alias(f"n_{kind}")
+
+    base = F.filter("spans", lambda s: s.kind != "novel")
+    return find_secrets(table(spark, sf_dir, "documents")).select(
+        "doc_id", count("assign"), count("access"), count("hex"),
+        F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed("spans").alias("spans"), count("novel"),
+    )
+
+
+#: Fixed by the query's contract: host and path prefix, and the verdict.
+URL_RULES = (
+    ("org/", "allow"),
+    ("example.org/es/", "block"),
+    ("example.org/en/1", "block"),
+    ("com/fr/", "allow"),
+    ("com/de/", "block"),
+)
+
+
+def op3_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from nearfield.llm.url_filter import judge_urls
+
+    rules = spark.createDataFrame(list(URL_RULES), "rule string, verdict string")
+    return judge_urls(table(spark, sf_dir, "pages"), rules, default="allow")
+
+
+OP3_SQL = """
+WITH parsed AS (
+  SELECT page_id,
+    translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path
+  FROM pages
+), rules(rule, verdict) AS (
+  VALUES ('org/', 'allow'), ('example.org/es/', 'block'), ('example.org/en/1', 'block'), ('com/fr/', 'allow'), ('com/de/', 'block')
+), split AS (
+  SELECT rule, verdict, split_part(rule, '/', 1) AS rule_host, substr(rule, strpos(rule, '/')) AS rule_path FROM rules
+), urls AS (
+  SELECT DISTINCT host, path FROM parsed
+), best AS (
+  SELECT u.host, u.path, arg_max(s.rule, length(s.rule)) AS rule, arg_max(s.verdict, length(s.rule)) AS verdict
+  FROM urls u JOIN split s
+    ON (u.host = s.rule_host OR ends_with(u.host, '.' || s.rule_host)) AND starts_with(u.path, s.rule_path)
+  GROUP BY u.host, u.path
+)
+SELECT p.page_id, p.host, p.path, b.rule, coalesce(b.verdict, 'allow') AS verdict
+FROM parsed p LEFT JOIN best b ON b.host = p.host AND b.path = p.path
+"""
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from nearfield.llm.toxicity import held_out, score_documents
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return score_documents(docs, table(spark, sf_dir, "labels")).select(
+        "doc_id", held_out().alias("held_out"), F.col("toxicity_score_").alias("score"), F.col("toxicity_predicted_").alias("predicted")
+    )
+
+
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from nearfield.llm.sharding import shard_by_size
+
+    return shard_by_size(table(spark, sf_dir, "documents"), shards=24).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from nearfield.llm.langid import held_out, identify, learn
+
+    docs = table(spark, sf_dir, "documents")
+    model = learn(docs.where(~held_out()))
+    return identify(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op9_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from nearfield.llm.exact_dedup import exact_groups
+
+    return exact_groups(table(spark, sf_dir, "documents"))
+
+
+OP9_SQL = """
+WITH n AS (
+  SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+), g AS (
+  SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY t
+)
+SELECT n.doc_id, g.keep_id, g.group_size, n.doc_id = g.keep_id AS kept, sha256(n.t) AS text_sha256
+FROM n JOIN g ON n.t = g.t
+"""
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from nearfield.llm.bpe import encode_decode
 
@@ -36,9 +134,18 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": op1_packing,
+        "op2_secrets": op2_secrets,
+        "op3_urls": op3_urls,
+        "op5_toxicity": op5_toxicity,
+        "op6_sharding": op6_sharding,
+        "op8_language": op8_language,
+        "op9_exact": op9_exact,
         "op10_bpe": op10_bpe,
     }
 
 
 def all_oracles() -> dict[str, str]:
-    return {}
+    return {
+        "op3_urls": OP3_SQL,
+        "op9_exact": OP9_SQL,
+    }

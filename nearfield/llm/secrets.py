@@ -1,0 +1,175 @@
+"""Secret scan: fixed patterns plus dictionary-primed compression novelty.
+
+Three pattern kinds are found in every text, leftmost and non-overlapping per
+kind; a match that is too short is dropped but still consumes its characters:
+
+* ``assign``: a credential name, an assignment sign and a value of 12 characters or more;
+* ``access``: ``AKIA`` and capitals or digits, 18 characters or more;
+* ``hex``: a run of 16 or more lower-case hexadecimal digits.
+
+A fourth kind, ``novel``, reports values that no pattern covers: a run of
+``min_novel`` or more key characters mixing letters and digits, at most
+``reach`` characters after a sensitive word. Zstandard is primed with the
+identifier dictionary and the text around the candidate, and the bytes it
+adds for the candidate are divided by its length. What repeats its
+surroundings or common identifiers costs little; random key material costs
+about as much as it is long and is reported from ``novelty`` upwards. Parts
+already covered by a pattern are no candidates.
+
+Spans are code points, end exclusive, and include the name and sign of an
+``assign`` match. Null text counts as empty (no spans). Repeated rows are
+scanned each time, null ids are carried, an empty table gives an empty result
+and other columns are ignored. No shuffle.
+"""
+
+from __future__ import annotations
+
+import re
+
+import pyarrow as pa
+import zstandard
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+
+from nearfield.llm.common import slices
+
+KINDS = ("assign", "access", "hex", "novel")
+
+ASSIGN = re.compile(
+    r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE
+)
+ACCESS = re.compile(r"AKIA[A-Z0-9]+")
+HEX = re.compile(r"[0-9a-f]{16,}")  # runs are maximal, so this equals dropping shorter ones
+
+SENSITIVE = ("password", "passwd", "passphrase", "secret", "token", "api_key", "apikey", "access_key", "private_key",
+             "credential", "authorization", "bearer", "client_secret", "signature")
+#: Prime content: what commonly surrounds or imitates a secret in code and configuration.
+IDENTIFIERS = (
+    "access_key_id secret_access_key api_key apikey api-key client_id client_secret authorization bearer basic token "
+    "refresh_token access_token id_token session_token auth_token csrf_token password passwd passphrase username "
+    "private_key public_key signature credential credentials certificate config settings environment variable "
+    "example changeme placeholder your_api_key_here your-secret-here xxxxxxxxxxxxxxxxxxxxxxxx 00000000000000000000 "
+    "0123456789abcdef 0123456789ABCDEF abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 01234567890 "
+    "https://www.example.com/path/index.html?utm_source= localhost:8080 127.0.0.1 application/json text/html utf-8 "
+    "sha256 sha512 md5 base64 uuid version 1.0.0 2.0.0 v1 v2 .txt .json .yaml .html .com .org .net"
+)
+
+
+def pattern_spans(text: str) -> list[tuple[int, int, str]]:
+    """``(start, end, kind)`` of the three pattern kinds."""
+    lower = text.lower()
+    out = []
+    if any(w in lower for w in ("password", "passwd", "secret", "token", "apikey", "api_key")):
+        out += [(m.start(), m.end(), "assign") for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 12]
+    if "AKIA" in text:
+        out += [(m.start(), m.end(), "access") for m in ACCESS.finditer(text) if m.end() - m.start() >= 18]
+    out += [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
+    return out
+
+
+class Novelty:
+    """Marginal compressed size of a string against a dictionary and its surroundings."""
+
+    def __init__(self, identifiers: str = IDENTIFIERS, level: int = 3):
+        self.prime = identifiers.encode()
+        self.level = level
+
+    def share(self, value: str, before: str, after: str) -> float:
+        """Bytes that ``value`` adds to its compressed surroundings, per character."""
+        # the text before comes last: the closest offsets are the cheapest
+        known = self.prime + b"\n" + after.encode("utf-8", "replace") + b"\n" + before.encode("utf-8", "replace")
+        primed = zstandard.ZstdCompressor(
+            level=self.level,
+            dict_data=zstandard.ZstdCompressionDict(known, dict_type=zstandard.DICT_TYPE_RAWCONTENT),
+            write_content_size=False, write_checksum=False, write_dict_id=False,
+        )
+        return (len(primed.compress(value.encode())) - len(primed.compress(b""))) / len(value)
+
+
+def novel_spans(
+    text: str, covered: list[tuple[int, int, str]], novelty: Novelty, threshold: float, min_novel: int, reach: int, window: int
+) -> list[tuple[int, int, str]]:
+    """Incompressible key-like runs close after a sensitive word and outside ``covered``."""
+    lower = text.lower()
+    if len(lower) != len(text) or not any(w in lower for w in SENSITIVE):
+        lower = "".join(c.lower() if c.isascii() else c for c in text)
+        if not any(w in lower for w in SENSITIVE):
+            return []
+    out, taken = [], sorted((a, b) for a, b, _ in covered)
+    run = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % min_novel)
+    seen = 0
+    for word in _SENSITIVE.finditer(lower):
+        for m in run.finditer(text, max(seen, word.end()), min(len(text), word.end() + reach + 4096)):
+            a, b = m.span()
+            if a > word.end() + reach:
+                break
+            seen = b
+            value = m.group()
+            if any(x < b and a < y for x, y in taken):
+                continue
+            if not (any(c.isdigit() for c in value) and any(c.isalpha() for c in value)):
+                continue
+            if novelty.share(value, text[max(0, a - window) : a], text[b : b + window]) >= threshold:
+                out.append((a, b, "novel"))
+    return out
+
+
+_SENSITIVE = re.compile("|".join(map(re.escape, SENSITIVE)))
+
+
+def find_secrets(
+    docs: DataFrame,
+    novelty: float = 0.8,
+    min_novel: int = 20,
+    reach: int = 48,
+    window: int = 1024,
+    identifiers: str = IDENTIFIERS,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    carry: tuple[str, ...] = (),
+) -> DataFrame:
+    """One row per document: id, ``spans`` (array of start, end, kind; by start, then kind),
+    ``masked`` (the text with every span replaced by ``[SECRET]``, null for null) and ``carry`` columns.
+    """
+    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *[F.col(c).alias(f"carry_{c}") for c in carry])
+    span = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())])
+    kept = [f for f in src.schema if f.name != "text"]
+    schema = pa.schema(
+        [(f.name, to_arrow_type(f.dataType)) for f in kept] + [("spans", pa.list_(span)), ("masked", pa.string())]
+    )
+
+    def scan(text, measure):
+        found = pattern_spans(text)
+        found += novel_spans(text, found, measure, novelty, min_novel, reach, window)
+        found.sort(key=lambda s: (s[0], KINDS.index(s[2])))
+        return found
+
+    def mask(text, spans):
+        out, at = [], 0
+        for a, b, _ in spans:
+            if b > at:
+                out += [text[at : max(a, at)], "[SECRET]"] if a >= at else []
+                at = b
+        return "".join([*out, text[at:]]) if spans else text
+
+    def kernel(batches):
+        measure = Novelty(identifiers)
+        names = [f.name for f in kept]
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 512):
+                part = batch.slice(lo, 512)
+                (texts,) = next(slices(part, 512, ["text"]))
+                spans = [scan(t or "", measure) for t in texts]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(part.schema.get_field_index(n)).cast(schema.field(n).type) for n in names]
+                    + [pa.array([[{"start": a, "end": b, "kind": k} for a, b, k in s] for s in spans], pa.list_(span)),
+                       pa.array([t if t is None else mask(t, s) for t, s in zip(texts, spans)], pa.string())],
+                    schema=schema,
+                )
+
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
+    out = src.mapInArrow(kernel, types + ", spans array<struct<start:bigint,end:bigint,kind:string>>, masked string")
+    return out.select(
+        F.col("id").alias(id_col), "spans", "masked", *[F.col(f"carry_{c}").alias(c) for c in carry if c != id_col]
+    )
