@@ -23,7 +23,7 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from nearfield.llm.secrets import find_secrets
+    from nearfield.llm.secret_scan import find_secrets
 
     def listed(spans):
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start, s.end)), ",")
@@ -95,6 +95,12 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from nearfield.llm.ngram_join import join_similar
+
+    return join_similar(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "kept")
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from nearfield.llm.langid import held_out, identify, learn
 
@@ -138,6 +144,7 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_urls": op3_urls,
         "op5_toxicity": op5_toxicity,
         "op6_sharding": op6_sharding,
+        "op7_ngram_join": op7_ngram_join,
         "op8_language": op8_language,
         "op9_exact": op9_exact,
         "op10_bpe": op10_bpe,

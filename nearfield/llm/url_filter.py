@@ -108,8 +108,8 @@ class RuleIndex:
 
     @staticmethod
     def write(folder: str, rules: list[str]) -> tuple[str, list[str]]:
-        """Write the three files; their common name is a digest of the rules."""
-        name = "url-rules-" + xxhash.xxh64_hexdigest("\n".join(rules).encode())
+        """Write the three files; they share the folder's name, as Spark ships files of one name once."""
+        name = os.path.basename(folder)
         split = [_split_rule(r) for r in rules]
         hosts = sorted({h for h, _ in split})
         paths = [os.path.join(folder, f"{name}.{kind}") for kind in ("hosts", "rules", "lengths")]
