@@ -78,6 +78,12 @@ FROM parsed p LEFT JOIN best b ON b.host = p.host AND b.path = p.path
 """
 
 
+def op4_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from nearfield.llm.lattice_dedup import link_embeddings
+
+    return link_embeddings(table(spark, sf_dir, "embeddings"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from nearfield.llm.toxicity import held_out, score_documents
 
@@ -137,17 +143,25 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": op1_packing,
         "op2_secrets": op2_secrets,
         "op3_urls": op3_urls,
+        "op4_lattice": op4_lattice,
         "op5_toxicity": op5_toxicity,
         "op6_sharding": op6_sharding,
         "op7_ngram_join": op7_ngram_join,
         "op8_language": op8_language,
         "op9_exact": op9_exact,
         "op10_bpe": op10_bpe,
+        "pipeline": pipeline,
     }
 
 
