@@ -1,0 +1,96 @@
+import numpy as np
+import pytest
+from nearfield.llm.lattice_dedup import Lattice, link_embeddings, minimal_vectors, nearest_e8
+from nearfield.llm.queries import all_queries
+from pyspark.sql import functions as F
+
+SF = "/root/testdata/sf0.001"
+SCHEMA = "vec_id bigint, embedding array<float>, label int"
+
+
+def brute(rows, threshold=0.9):
+    """(links, component) per vec_id by every pair's cosine."""
+    good = [(k, np.array(v, float)) for k, v in rows if v and None not in v and np.isfinite(np.array(v, float)).all() and any(v)]
+    units = [(k, v / np.linalg.norm(v)) for k, v in good]
+    links = {k: set() for k, _ in rows}
+    for i, (a, x) in enumerate(units):
+        for b, y in units[:i]:
+            if len(x) == len(y) and x @ y >= threshold:
+                links[a].add(b)
+                links[b].add(a)
+    out = {}
+    for k in sorted(links):
+        if k not in out:
+            todo = [k]
+            while todo:
+                x = todo.pop()
+                if x not in out:
+                    out[x] = k
+                    todo += links[x]
+    return {k: (len(links[k]), out[k]) for k in links}
+
+
+def test_query_on_the_given_table(spark):
+    rows = [(r.vec_id, list(r.embedding)) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()]
+    got = all_queries()["op4_lattice"](spark, SF).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == brute(rows)
+    assert all(r.kept == (r.vec_id == r.component_id) for r in got)
+
+
+@pytest.mark.parametrize("hot_cell", [128, 4])
+def test_groups_of_near_copies(spark, hot_cell):
+    rng = np.random.default_rng(2)
+    rows = []
+    for size, noise in ((60, 0.01), (15, 0.02), (6, 0.03)):
+        base = rng.normal(size=64)
+        base /= np.linalg.norm(base)
+        rows += [base + rng.normal(size=64) * noise for _ in range(size)]
+    rows += list(rng.normal(size=(100, 64)))
+    rows += [rows[0]] * 10 + [3 * rows[1]]
+    data = [(i, [float(np.float32(x)) for x in v]) for i, v in enumerate(rows)]
+    df = spark.createDataFrame([(k, v, 0) for k, v in data], SCHEMA)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in link_embeddings(df, hot_cell=hot_cell, block_rows=32).collect()}
+    want = brute(data)
+    assert all(got[k][0] <= want[k][0] for k in want)  # nothing below the threshold
+    assert sum(n for n, _ in got.values()) >= 0.98 * sum(n for n, _ in want.values())
+    assert sum(got[k][1] == want[k][1] for k in want) >= 0.98 * len(want)
+
+
+def test_recall_near_the_threshold(spark):
+    rng = np.random.default_rng(3)
+    data = []
+    for i in range(300):
+        a = rng.normal(size=64)
+        a /= np.linalg.norm(a)
+        b = rng.normal(size=64)
+        b -= (b @ a) * a
+        b /= np.linalg.norm(b)
+        data += [(2 * i, a.tolist()), (2 * i + 1, (0.905 * a + np.sqrt(1 - 0.905**2) * b).tolist())]
+    got = link_embeddings(spark.createDataFrame([(k, v, 0) for k, v in data], SCHEMA)).agg(F.sum("n_links")).first()[0]
+    want = sum(n for n, _ in brute(data).values())
+    assert want >= 590 and 0.9 * want <= got <= want
+
+
+def test_odd_rows(spark):
+    unit = [1.0] + [0.0] * 15
+    rows = [(1, None), (2, []), (3, [0.0] * 16), (4, [float("nan")] * 16), (5, [None, *unit[1:]]), (6, [float("inf"), *unit[1:]]), (7, unit),
+            (8, unit), (8, unit), (9, [1.0, 0.0, 0.0]), (10, [2.0, 0.0, 0.0]), (11, [1e-30] + [0.0] * 15), (None, unit), (12, [-1.0] + [0.0] * 15)]
+    df = spark.createDataFrame([(k, v, 0) for k, v in rows], SCHEMA).withColumns({c: F.lit("x") for c in ("node", "payload", "n_links", "id", "v")})
+    got = sorted((r.vec_id or 0, r.n_links, r.component_id, r.kept) for r in link_embeddings(df).collect())
+    assert got == [(0, 4, 7, False), (1, 0, 1, True), (2, 0, 2, True), (3, 0, 3, True), (4, 0, 4, True), (5, 0, 5, True), (6, 0, 6, True),
+                   (7, 4, 7, True), (8, 4, 7, False), (8, 4, 7, False), (9, 1, 9, True), (10, 1, 9, False), (11, 4, 7, False), (12, 0, 12, True)]
+    assert link_embeddings(df.limit(0)).collect() == []
+
+
+def test_e8_decoding_finds_the_nearest_point():
+    minimal = minimal_vectors()
+    assert minimal.shape == (240, 8) and np.allclose((minimal**2).sum(1), 2)
+    x = np.random.default_rng(1).uniform(-3, 3, (500, 8))
+    points = nearest_e8(x)
+    doubled = np.rint(2 * points).astype(int)
+    assert (doubled % 2 == doubled[:, :1] % 2).all() and (points.sum(1) % 2 == 0).all()
+    own = ((x - points) ** 2).sum(1)
+    # no neighbour through a minimal vector is nearer, which for E8 means that no point is
+    assert (own[:, None] <= ((x[:, None, :] - points[:, None, :] - minimal[None]) ** 2).sum(2) + 1e-9).all()
+    own, near = Lattice(8, 3, 1, 2, 0.25, 1).cells(x / np.linalg.norm(x, axis=1)[:, None])
+    assert own.shape == (500, 3) and near.shape == (500, 6)
