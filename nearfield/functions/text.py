@@ -79,8 +79,10 @@ def truncate_words(col: Column | str, max_words: int) -> Column:
     if max_words < 0:
         raise ValueError(f"max_words must be >= 0, got {max_words}")
     c = _c(col)
-    words = F.split(strip(c), WS_RUN)
-    return F.when(word_count(c) <= max_words, c).otherwise(
+    s = strip(c)
+    # At most one piece past the limit, which holds the rest of the text.
+    words = F.split(s, WS_RUN, max_words + 1)
+    return F.when((s == "") | (F.size(words) <= max_words), c).otherwise(
         F.array_join(F.slice(words, 1, max_words), " ")
     )
 
