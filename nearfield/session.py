@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -36,7 +36,11 @@ def local_session(
         b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    # A folder of this machine serves local masters only; a cluster names its own.
+    local = spark.sparkContext.master.startswith("local")
     if checkpoint_dir is not None and spark.sparkContext.getCheckpointDir() is None:
+        if not local and (checkpoint_dir.startswith("file:") or "://" not in checkpoint_dir):
+            raise ValueError("executors of a cluster do not share local folders; set spark.checkpoint.dir to a shared one")
         os.makedirs(checkpoint_dir, exist_ok=True)
         spark.sparkContext.setCheckpointDir(checkpoint_dir)
     return spark
@@ -44,10 +48,7 @@ def local_session(
 
 def checkpoint_dir(spark: SparkSession) -> str | None:
     """The shared checkpoint folder of the session, if any."""
-    try:
-        sc = spark.sparkContext
-    except Exception:  # noqa: BLE001 - sessions without a driver-side context
-        return None
+    sc = spark.sparkContext
     d = sc.getCheckpointDir()
     if d:
         return d
@@ -58,16 +59,20 @@ def checkpoint_dir(spark: SparkSession) -> str | None:
     return None
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` once so later jobs do not recompute it.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the session names in ``spark.checkpoint.dir``; a fresh one of
+    this machine where a local master names none."""
+    named = checkpoint_dir(spark)
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="nearfield-checkpoint-"))
+    return checkpoint_dir(spark)
 
-    With a shared checkpoint folder this is a reliable ``checkpoint()`` that
-    survives executor loss; without one the rows are persisted (memory, then
-    disk) and recomputed from lineage if an executor is lost.
-    """
-    spark = df.sparkSession
-    if checkpoint_dir(spark):
-        return df.checkpoint(eager=True)
-    out = df.persist(StorageLevel.MEMORY_AND_DISK)
-    out.count()
-    return out
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write ``df`` once to the shared folder, so later jobs read it instead of
+    recomputing it and a lost executor costs nothing."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
