@@ -8,15 +8,14 @@ float32 ``(n, dim)`` matrix; no normalisation is applied.
 the lower-cased, stripped text split on whitespace; each token's md5 picks a
 bucket (hex chars 1-8 as an integer, mod dim) and a sign (hex char 9 below
 ``8`` is +). The vector element is the signed token count. Lower-casing and
-whitespace mapping run in the JVM; splitting, hashing (cached per batch) and
-the fold into a dense vector run in one Arrow UDF, with no shuffle. Measured
+whitespace mapping run in the JVM; splitting, hashing (each distinct token
+once) and the fold into a dense vector run in one Arrow UDF, with no shuffle. Measured
 about a quarter faster than per-token md5 in JVM higher-order functions,
 which Spark evaluates interpreted.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable, Sequence
 
 import numpy as np
@@ -26,6 +25,7 @@ from pyspark.sql import functions as F
 
 from nearfield.functions.text import WS_CHARS
 from nearfield.operators import kernels as K
+from nearfield.operators.knn import id_column
 
 Encoder = Callable[[Sequence[str]], np.ndarray]
 DEFAULT_BATCH = 512
@@ -47,6 +47,12 @@ def _fold_udf(dim: int):
     return fold
 
 
+def hash_vector(text_col: str, dim: int) -> Column:
+    """The hashed vector of a text column; null for a null text."""
+    text = F.col(text_col)
+    return F.when(text.isNotNull(), _fold_udf(dim)(spaced_lower(text)))
+
+
 def hash_embed(df: DataFrame, dim: int, text_col: str = "embedding_input", id_col: str = "item_id") -> DataFrame:
     """``(item_id, embedding)`` for every row with a non-null text."""
     src = df.where(F.col(text_col).isNotNull())
@@ -70,7 +76,7 @@ def embed(
     """
     if batch_size <= 0:
         raise ValueError("batch_size must be positive")
-    src = df.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("item_id"), F.col(text_col))
+    src = df.where(F.col(text_col).isNotNull()).select(id_column(df, id_col).alias("item_id"), F.col(text_col))
 
     def run(batches):
         encoder = None
@@ -88,21 +94,17 @@ def embed(
                     names=["item_id", "embedding"],
                 )
 
-    return src.mapInArrow(run, "item_id bigint, embedding array<float>")
+    return src.mapInArrow(run, f"item_id {dict(src.dtypes)['item_id']}, embedding array<float>")
 
 
 class PythonHashEncoder:
-    """Pure-Python restatement of the hashing encoder, usable through
-    ``embed``; agrees with ``hash_embed`` on texts whose lower-casing is the
-    same in Python and Java."""
+    """The hashing encoder in the form ``embed`` takes (texts in, matrix out);
+    agrees with ``hash_embed`` on texts whose lower-casing is the same in
+    Python and Java."""
 
     def __init__(self, dim: int):
         self.dim = dim
 
     def __call__(self, texts: Sequence[str]) -> np.ndarray:
-        out = np.zeros((len(texts), self.dim), dtype=np.float32)
-        for i, t in enumerate(texts):
-            for tok in t.strip().lower().split():
-                h = hashlib.md5(tok.encode("utf-8")).hexdigest()
-                out[i, int(h[:8], 16) % self.dim] += 1.0 if h[8] < "8" else -1.0
-        return out
+        spaced = pa.array([" ".join(t.lower().split()) for t in texts], pa.string())
+        return K.to_matrix(K.fold_spaced_texts(spaced, self.dim), self.dim).astype(np.float32)

@@ -59,10 +59,12 @@ def top_results(responses: DataFrame) -> DataFrame:
 
 def one_per_item(enrichment: DataFrame) -> DataFrame:
     """One enrichment row per item: the smallest ``(e_title, e_description,
-    e_genres)`` record. A partial aggregate on the join key, so a key repeated
+    e_genres)`` record that holds anything (records of nulls only say that
+    nothing was found). A partial aggregate on the join key, so a key repeated
     in a third of all rows is combined map-side and adds no shuffle before the
     join on ``item_id``."""
-    return enrichment.groupBy("item_id").agg(F.min(F.struct(*ENRICHED)).alias("e")).select("item_id", "e.*")
+    found = F.coalesce(*ENRICHED).isNotNull()
+    return enrichment.where(found).groupBy("item_id").agg(F.min(F.struct(*ENRICHED)).alias("e")).select("item_id", "e.*")
 
 
 def enrich(weak: DataFrame, responses: DataFrame) -> DataFrame:

@@ -8,7 +8,8 @@ inside them.
 Cell assignment ships the centroids (nlist x dim, size-checked) to every
 task and scores each Arrow batch with BLAS: no shuffle and no centroid-fold
 row blow-up. Past the size bound it falls back to the tiled exact search with
-the centroids as the item side.
+the centroids as the item side, on a tag per row, so both forms return the
+same cells for the same rows, repeated ids included.
 """
 
 from __future__ import annotations
@@ -22,15 +23,14 @@ from pyspark.sql import functions as F
 
 from nearfield.functions.vectors import bad_vector
 from nearfield.operators import kernels as K
-from nearfield.operators.knn import DEFAULT_CONFIG, SearchConfig, knn_exact, search
-
-DEFAULT_NLIST = 100
+from nearfield.operators.knn import DEFAULT_CONFIG, SearchConfig, id_column, knn_exact, search
+from nearfield.session import cut_lineage
 
 
 @dataclass
 class IvfIndex:
     centroids: DataFrame  # cell_id int, centroid array<float>
-    cells: DataFrame  # item_id bigint, embedding array<float>, cell_id int
+    cells: DataFrame  # item_id bigint or string, embedding array<float>, cell_id int
     nlist: int
     dim: int
     # (cell ids, centroid matrix) once fetched, or False when too large to ship.
@@ -70,7 +70,11 @@ def vector_stats(df: DataFrame, dim: int | None = None, col: str = "embedding")
 
 
 def validate_vectors(df: DataFrame, nlist: int | None = None, dim: int | None = None) -> tuple[int, int]:
-    """Raise ``ValueError`` on bad vectors or too few rows; return ``(n, dim)``."""
+    """Raise ``ValueError`` on bad vectors or too few rows; return ``(n, dim)``.
+
+    Elements must be single-precision floats (cast first if they are not).
+    """
+    _check_float32(df)
     r = vector_stats(df, dim).first()
     n = r["n_rows"]
     if n == 0:
@@ -82,17 +86,24 @@ def validate_vectors(df: DataFrame, nlist: int | None = None, dim: int | None =
     if r["n_bad"]:
         raise ValueError(f"{r['n_bad']} vectors hold null or NaN elements")
     if nlist is not None and n < nlist:
-        raise ValueError(f"nlist ({nlist}) must be <= number of vectors ({n}); reduce nlist or add vectors")
+        raise ValueError(f"{n} vectors cannot fill {nlist} cells: pass nlist of at most {n}")
     return n, int(r["dim_min"])
 
 
 def validate_query(df: DataFrame, dim: int) -> None:
     """Query vectors must be non-null, finite and of the index dimension."""
+    _check_float32(df)
     r = vector_stats(df, dim).first()
     if r["n_bad"]:
         raise ValueError(f"{r['n_bad']} query vectors are null, NaN or not of dimension {dim}")
 
 
+def _check_float32(df: DataFrame, col: str = "embedding") -> None:
+    kind = dict(df.dtypes)[col]
+    if kind != "array<float>":
+        raise ValueError(f"column '{col}' is {kind}; vectors must be array<float>")
+
+
 def _centroid_matrix(centroids: DataFrame, cfg: SearchConfig, max_rows: int | None = None, dim: int | None = None):
     """``(cell_ids, matrix)`` on the driver, or None past the broadcast bound.
 
@@ -123,34 +134,36 @@ def assign_cells(
 
     ``matrix`` may carry the centroids already fetched as ``(ids, matrix)``.
     """
-    src = vectors.select(F.col(id_col).cast("bigint").alias(id_col), F.col("embedding").cast("array<float>"))
+    src = vectors.select(id_column(vectors, id_col), F.col("embedding").cast("array<float>"))
+    id_type = dict(src.dtypes)[id_col]
     mat = matrix if matrix is not None else _centroid_matrix(centroids, cfg)
     if mat is None:
+        # Rows are told apart by a tag, fixed by writing it: ids may repeat.
+        tagged = cut_lineage(src.withColumn("row_tag", F.monotonically_increasing_id()))
         near = knn_exact(
-            src.select(F.col(id_col).alias("query_id"), "embedding"),
+            tagged.select(F.col("row_tag").alias("query_id"), "embedding"),
             centroids.select(F.col("cell_id").alias("item_id"), F.col("centroid").alias("embedding")),
             n,
             strategy="tiled",
             cfg=cfg,
         )
-        return near.join(src.withColumnRenamed(id_col, "query_id"), "query_id").select(
-            F.col("query_id").alias(id_col),
-            "embedding",
-            F.col("item_id").cast("int").alias("cell_id"),
-            F.col("rank").cast("int").alias("probe"),
+        found = near.select(
+            F.col("query_id").alias("row_tag"), F.col("item_id").cast("int").alias("cell_id"), F.col("rank").cast("int").alias("probe")
         )
+        return tagged.join(found, "row_tag").select(id_col, "embedding", "cell_id", "probe")
     # Shipped in the task closure (broadcast by PySpark above its threshold).
     def nearest(batches):
         cids, C = mat
         for rb in batches:
             if rb.num_rows == 0:
                 continue
-            ids = K.to_ids(rb.column(id_col))
-            qi, ci, _ = K.topk(K.to_matrix(rb.column("embedding")), ids, C, cids, n)
+            # Rows are compared by position, and ids only carried through.
+            rows = np.arange(rb.num_rows, dtype=np.int64)
+            qi, ci, _ = K.topk(K.to_matrix(rb.column("embedding")), rows, C, cids, n)
             probe = np.arange(len(qi)) - np.searchsorted(qi, qi)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(ids[qi]),
+                    rb.column(id_col).take(pa.array(qi)),
                     rb.column("embedding").take(pa.array(qi)),
                     pa.array(ci.astype(np.int32)),
                     pa.array((probe + 1).astype(np.int32)),
@@ -158,7 +171,7 @@ def assign_cells(
                 names=[id_col, "embedding", "cell_id", "probe"],
             )
 
-    schema = f"{id_col} bigint, embedding array<float>, cell_id int, probe int"
+    schema = f"{id_col} {id_type}, embedding array<float>, cell_id int, probe int"
     return src.mapInArrow(nearest, schema)
 
 
@@ -168,25 +181,48 @@ def train_centroids(
     seed: int = 42,
     max_iter: int = 20,
     sample_fraction: float | None = None,
+    dim: int | None = None,
+    cfg: SearchConfig = DEFAULT_CONFIG,
 ) -> DataFrame:
     """k-means centroids with Spark ML (distributed Lloyd iterations).
 
     Returns ``(cell_id, centroid)``; k-means may return fewer than ``nlist``
-    cells on duplicate-heavy data. ``sample_fraction`` trains on a sample.
+    cells on duplicate-heavy data. ``sample_fraction`` trains on a sample (of
+    keys, so the same rows whatever the file layout). One cell has the mean
+    vector as its centroid. k-means keeps all centres on the driver and in
+    every task, so their size is checked against ``max_broadcast_bytes`` first.
     """
     from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
 
-    src = vectors if sample_fraction is None else vectors.sample(fraction=sample_fraction, seed=seed)
-    feats = src.select(array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
+    if nlist <= 0:
+        raise ValueError(f"nlist must be positive, got {nlist}")
+    if dim is None:
+        dim = vectors.agg(F.max(F.size("embedding"))).first()[0] or 0
+    if nlist * dim * 8 > cfg.max_broadcast_bytes:
+        raise ValueError(f"{nlist} centres of {dim} elements exceed max_broadcast_bytes ({cfg.max_broadcast_bytes}); train fewer")
+    src = vectors
+    if sample_fraction is not None:
+        src = vectors.where(F.pmod(F.xxhash64("item_id", F.lit(seed)), F.lit(1_000_000)) < F.lit(sample_fraction * 1e6))
+    # Sorted by key, so the layout of the input files decides nothing.
+    feats = src.orderBy("item_id").select(array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
+    if nlist == 1:
+        mean = feats.agg(vector_to_array(Summarizer.mean(F.col("features"))).cast("array<float>").alias("centroid"))
+        return mean.select(F.lit(0).alias("cell_id"), "centroid")
     model = KMeans(k=nlist, seed=seed, maxIter=max_iter, featuresCol="features").fit(feats)
     rows = [(i, [float(x) for x in np.asarray(c, dtype=np.float32)]) for i, c in enumerate(model.clusterCenters())]
     return vectors.sparkSession.createDataFrame(rows, "cell_id int, centroid array<float>")
 
 
+def default_nlist(n: int) -> int:
+    """Square root of the number of vectors, one at least."""
+    return max(1, round(n**0.5))
+
+
 def build_index(
     vectors: DataFrame,
-    nlist: int = DEFAULT_NLIST,
+    nlist: int | None = None,
     centroids: DataFrame | None = None,
     seed: int = 42,
     max_iter: int = 20,
@@ -197,16 +233,20 @@ def build_index(
 ) -> IvfIndex:
     """Validate, train (unless ``centroids`` are supplied) and assign.
 
-    ``vectors``: ``(item_id, embedding)``. Supplied centroids are fetched once
+    ``vectors``: ``(item_id, embedding)``; ``nlist`` defaults to the square root
+    of their number (of the supplied centroids'). Supplied centroids are fetched once
     (at most ``nlist`` rows, checked). ``validate=False`` skips the checking
     pass for vectors valid by construction; ``dim`` must then be given.
     """
+    n = None
     if validate:
-        _, dim = validate_vectors(vectors, nlist if centroids is None else None, dim)
+        n, dim = validate_vectors(vectors, nlist if centroids is None else None, dim)
     elif dim is None:
         raise ValueError("dim is required when validate=False")
+    if nlist is None:
+        nlist = default_nlist(n if n is not None else vectors.count()) if centroids is None else centroids.count()
     if centroids is None:
-        centroids = train_centroids(vectors, nlist, seed, max_iter, sample_fraction)
+        centroids = train_centroids(vectors, nlist, seed, max_iter, sample_fraction, dim, cfg)
     else:
         centroids = centroids.select(F.col("cell_id").cast("int"), F.col("centroid").cast("array<float>"))
     index = IvfIndex(centroids=centroids, cells=None, nlist=nlist, dim=dim)
@@ -224,7 +264,7 @@ def knn_ivf(
     strategy: str = "auto",
     cfg: SearchConfig = DEFAULT_CONFIG,
     max_queries: int | None = None,
-    validate: bool = False,
+    validate: bool = True,
 ) -> DataFrame:
     """IVF search: probe the ``nprobe`` nearest cells, exact distance inside.
 
@@ -233,7 +273,8 @@ def knn_ivf(
     ``max_queries`` is a proven bound on the query count (e.g. a seed list),
     which lets the broadcast strategy skip its counting pass. ``validate``
     checks the query vectors first (one aggregate) and raises ``ValueError``
-    on null, NaN or wrong-dimension vectors.
+    on vectors that are null, hold NaN, or differ in type or dimension from
+    the index; switch it off only for queries taken from the index itself.
     """
     if nprobe <= 0:
         raise ValueError(f"nprobe must be positive, got {nprobe}")

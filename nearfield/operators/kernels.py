@@ -7,7 +7,9 @@ the work; each call sees one bounded batch or tile.
 Top-k is exact. A BLAS pass (``|q|^2 + |x|^2 - 2 q.x``) shortlists every
 candidate within a safe error margin of the k-th value, the shortlist is
 re-scored with the direct sum of squared differences, and ties are broken by
-the smaller id, so results agree with any exact engine.
+the smaller id, so results agree with any exact engine. Ids are integers or
+strings. A vector with a non-finite element raises ``ValueError`` instead of
+hiding its neighbours.
 """
 
 from __future__ import annotations
@@ -51,9 +53,31 @@ def to_matrix(col, dim: int | None = None) -> np.ndarray:
 
 
 def to_ids(col) -> np.ndarray:
+    """Ids as int64, or as Python strings in an object array (code point order, as Spark's)."""
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks()
-    return col.to_numpy(zero_copy_only=False).astype(np.int64, copy=False)
+    if col.null_count:
+        raise ValueError(f"{col.null_count} null ids")
+    if pa.types.is_integer(col.type):
+        return col.to_numpy(zero_copy_only=False).astype(np.int64, copy=False)
+    out = np.empty(len(col), dtype=object)
+    out[:] = col.cast(pa.string()).to_pylist()
+    return out
+
+
+def ranks(*ids: np.ndarray) -> list[np.ndarray]:
+    """Ids as integers of the same order: themselves, or their ranks over all arrays given."""
+    if all(i.dtype.kind == "i" for i in ids):
+        return list(ids)
+    # Python's sort: object arrays of strings
+    order = {v: k for k, v in enumerate(sorted({v for i in ids for v in i.tolist()}))}
+    return [np.fromiter((order[v] for v in i.tolist()), np.int64, len(i)) for i in ids]
+
+
+def check_finite(M: np.ndarray, what: str) -> None:
+    bad = int((~np.isfinite(M)).any(axis=1).sum())
+    if bad:
+        raise ValueError(f"{bad} {what} vectors hold non-finite elements; remove them or validate first")
 
 
 def _exact(Q, X, rows, cols) -> np.ndarray:
@@ -78,10 +102,13 @@ def topk(
     Returns ``(q_index, x_id, distance)`` arrays ordered by query, then by
     ``(distance, x_id)``; at most k rows per query.
     """
-    empty = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float64))
+    empty = (np.zeros(0, np.int64), xids[:0], np.zeros(0, np.float64))
     nq, nx = len(Q), len(X)
     if nq == 0 or nx == 0 or k <= 0:
         return empty
+    check_finite(Q, "query")
+    check_finite(X, "item")
+    qrank, xrank = ranks(qids, xids)
     xn = np.einsum("ij,ij->i", X, X)
     xmax = float(xn.max())
     step = max(1, SCORE_BLOCK // nx)
@@ -91,7 +118,7 @@ def topk(
         qn = np.einsum("ij,ij->i", Qc, Qc)
         approx = qn[:, None] + xn[None, :] - 2.0 * (Qc @ X.T)
         if exclude_self:
-            approx[qids[s : s + step, None] == xids[None, :]] = np.inf
+            approx[qrank[s : s + step, None] == xrank[None, :]] = np.inf
         kk = min(k, nx)
         if kk < nx:
             thresh = np.partition(approx, kk - 1, axis=1)[:, kk - 1]
@@ -103,9 +130,8 @@ def topk(
         if len(rows) == 0:
             continue
         d = _exact(Qc, X, rows, cols)
-        cx = xids[cols]
-        order = np.lexsort((cx, d, rows))
-        rows, cx, d = rows[order], cx[order], d[order]
+        order = np.lexsort((xrank[cols], d, rows))
+        rows, cx, d = rows[order], xids[cols[order]], d[order]
         start = np.r_[0, np.flatnonzero(np.diff(rows)) + 1]
         rank = np.arange(len(rows)) - np.repeat(start, np.diff(np.r_[start, len(rows)]))
         keep = rank < k
@@ -121,7 +147,7 @@ def merge_topk(q: np.ndarray, x: np.ndarray, d: np.ndarray, k: int):
     """Keep the k best ``(distance, x)`` rows per ``q`` from candidate arrays."""
     if len(q) == 0:
         return q, x, d
-    order = np.lexsort((x, d, q))
+    order = np.lexsort((ranks(x)[0], d, q))
     q, x, d = q[order], x[order], d[order]
     start = np.r_[0, np.flatnonzero(np.diff(q)) + 1]
     rank = np.arange(len(q)) - np.repeat(start, np.diff(np.r_[start, len(q)]))
@@ -136,28 +162,29 @@ def fold_spaced_texts(texts, dim: int) -> pa.Array:
     mapped to a plain space (done in the JVM), so tokens are the non-empty
     pieces of a split on ``" "``. A token's md5 hex digest picks the bucket
     (hex chars 1-8 as an integer, mod ``dim``) and the sign (hex char 9
-    below ``8`` is +). Digests are cached per batch, so a repeated word is
-    hashed once. A null text gives an all-zero vector.
+    below ``8`` is +). Splitting and counting run in Arrow and NumPy; Python
+    sees each distinct token of a slice once. A null text gives an all-zero
+    vector.
     """
-    arr = as_list_array(texts)
+    arr = as_list_array(texts).cast(pa.string())
     n = len(arr)
-    dense = np.zeros((n, dim), dtype=np.float64)
-    cache: dict[str, tuple[int, float]] = {}
-    md5 = hashlib.md5
-    # Python strings are made one slice at a time, so a batch of long texts
-    # is never held twice (Arrow buffer plus Python objects) in full.
+    dense = np.zeros(n * dim, dtype=np.float64)
+    known: dict[str, tuple[int, float]] = {}
+    # One slice at a time, so a batch of long texts is never held twice in full.
     for s in range(0, n, FOLD_SLICE_ROWS):
-        for r, text in enumerate(arr.slice(s, FOLD_SLICE_ROWS).to_pylist(), start=s):
-            if not text:
-                continue
-            row = dense[r]
-            for tok in text.split(" "):
-                if not tok:
-                    continue
-                hit = cache.get(tok)
-                if hit is None:
-                    h = md5(tok.encode("utf-8")).hexdigest()
-                    hit = cache[tok] = (int(h[:8], 16) % dim, -1.0 if h[8] >= "8" else 1.0)
-                row[hit[0]] += hit[1]
+        pieces = pc.split_pattern(arr.slice(s, FOLD_SLICE_ROWS), " ")
+        tokens = pc.list_flatten(pieces).dictionary_encode()
+        row = pc.list_parent_indices(pieces).to_numpy(zero_copy_only=False) + s
+        words = tokens.dictionary.to_pylist()
+        for w in words:
+            if w not in known:
+                h = hashlib.md5(w.encode("utf-8")).hexdigest()
+                known[w] = (int(h[:8], 16) % dim, (-1.0 if h[8] >= "8" else 1.0) if w else 0.0)
+        if not words:
+            continue
+        bucket, sign = (np.array(c) for c in zip(*[known[w] for w in words]))
+        code = tokens.indices.to_numpy(zero_copy_only=False)
+        lo, hi = s * dim, min(n, s + FOLD_SLICE_ROWS) * dim
+        dense[lo:hi] = np.bincount((row - s) * dim + bucket[code], weights=sign[code], minlength=hi - lo)
     offsets = pa.array(np.arange(0, n * dim + 1, dim, dtype=np.int32))
-    return pa.ListArray.from_arrays(offsets, pa.array(dense.reshape(-1).astype(np.float32)))
+    return pa.ListArray.from_arrays(offsets, pa.array(dense.astype(np.float32)))

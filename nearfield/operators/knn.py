@@ -26,13 +26,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nearfield.operators import kernels as K
 from nearfield.session import cut_lineage
 
-CANDIDATE_SCHEMA = "query_id bigint, item_id bigint, distance double"
+
+def _candidate_schema(query_id: str, item_id: str) -> str:
+    return f"query_id {query_id}, item_id {item_id}, distance double"
 
 
 @dataclass(frozen=True)
@@ -56,21 +58,15 @@ DEFAULT_CONFIG = SearchConfig()
 
 def parallelism(spark) -> int:
     """Cores available to the session (shuffle partitions as a fallback)."""
-    try:
-        return int(spark.sparkContext.defaultParallelism)
-    except Exception:  # noqa: BLE001 - sessions without a driver-side context
-        return int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return int(spark.sparkContext.defaultParallelism)
 
 
 def estimated_partitions(df: DataFrame) -> int:
     """Input partitions of ``df`` estimated from Catalyst's size statistics
     and the split size (no job runs); at least the session's parallelism."""
     spark = df.sparkSession
-    try:
-        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-        split = int(str(spark.conf.get("spark.sql.files.maxPartitionBytes")).rstrip("b"))
-    except Exception:  # noqa: BLE001 - no JVM plan access
-        return parallelism(spark)
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
     return max(parallelism(spark), -(-size // max(1, split)))
 
 
@@ -85,15 +81,20 @@ def _final_topk(cands: DataFrame, k: int) -> DataFrame:
 
 # ----------------------------------------------------------------- broadcast
 def _broadcast_candidates(
-    items: DataFrame, probes: pa.Table, k: int, exclude_self: bool, cfg: SearchConfig
+    items: DataFrame, probes: pa.Table, query_type: str, k: int, exclude_self: bool, cfg: SearchConfig
 ) -> DataFrame:
     """Scan ``items (item_id, embedding, cell_id)`` against a shipped probe table
     ``(query_id, embedding, cell_id)``."""
     qids_all = K.to_ids(probes.column("query_id"))
     cells_all = K.to_ids(probes.column("cell_id"))
-    uq, first = np.unique(qids_all, return_index=True)
-    Q = K.to_matrix(probes.column("embedding")).astype(np.float32)[first]
-    qpos = np.searchsorted(uq, qids_all)
+    _, first, qpos = np.unique(K.ranks(qids_all)[0], return_index=True, return_inverse=True)
+    uq = qids_all[first]
+    vectors = K.to_matrix(probes.column("embedding")).astype(np.float32)
+    Q = vectors[first]
+    # Q[qpos] is every probe's vector, unless an id came with several
+    if not np.array_equal(Q[qpos], vectors, equal_nan=True) or len(set(zip(qpos.tolist(), cells_all.tolist()))) < len(qpos):
+        raise ValueError(_REPEATED)
+    K.check_finite(Q, "query")
     order = np.argsort(cells_all, kind="stable")
     cell_keys, starts = np.unique(cells_all[order], return_index=True)
     ptr = np.r_[starts, len(order)]
@@ -101,6 +102,8 @@ def _broadcast_candidates(
     # size threshold as a broadcast, so each executor fetches it once.
     payload = (uq, Q, cell_keys, ptr, qpos[order])
     merge_every = cfg.merge_every_rows
+    schema = _candidate_schema(query_type, dict(items.dtypes)["item_id"])
+    qtype, xtype = (_arrow_id(t) for t in (query_type, dict(items.dtypes)["item_id"]))
 
     def scan(batches):
         qids, Qf, ckeys, cptr, cq = payload
@@ -111,6 +114,7 @@ def _broadcast_candidates(
                 continue
             xids = K.to_ids(rb.column("item_id"))
             X = K.to_matrix(rb.column("embedding"))
+            K.check_finite(X, "item")
             xcell = K.to_ids(rb.column("cell_id"))
             xo = np.argsort(xcell, kind="stable")
             bcells, bstart = np.unique(xcell[xo], return_index=True)
@@ -132,13 +136,13 @@ def _broadcast_candidates(
         if acc_q:
             q, x, d = K.merge_topk(np.concatenate(acc_q), np.concatenate(acc_x), np.concatenate(acc_d), k)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(qids[q]), pa.array(x), pa.array(d)], names=["query_id", "item_id", "distance"]
+                [pa.array(qids[q], qtype), pa.array(x, xtype), pa.array(d)], names=["query_id", "item_id", "distance"]
             )
 
     # Only probed cells are read: on an index stored partitioned by cell_id
     # this is partition pruning, which makes the search sub-linear.
     probed = items.where(F.col("cell_id").isin([int(c) for c in cell_keys]))
-    return probed.select("item_id", "embedding", "cell_id").mapInArrow(scan, CANDIDATE_SCHEMA)
+    return probed.select("item_id", "embedding", "cell_id").mapInArrow(scan, schema)
 
 
 # --------------------------------------------------------------------- tiled
@@ -167,11 +171,14 @@ def _tiled_candidates(
     probes: DataFrame, items: DataFrame, k: int, exclude_self: bool, cfg: SearchConfig
 ) -> DataFrame:
     spark = items.sparkSession
+    types = [dict(d.dtypes)[c] for d, c in ((probes, "query_id"), (items, "item_id"))]
+    schema = _candidate_schema(*types)
+    qtype, xtype = map(_arrow_id, types)
     q_counts = {r["cell_id"]: r["n"] for r in probes.groupBy("cell_id").agg(F.count(F.lit(1)).alias("n")).collect()}
     i_counts = {r["cell_id"]: r["n"] for r in items.groupBy("cell_id").agg(F.count(F.lit(1)).alias("n")).collect()}
     plan = _tile_plan(q_counts, i_counts, cfg, parallelism(spark))
     if not plan:
-        return spark.createDataFrame([], CANDIDATE_SCHEMA)
+        return spark.createDataFrame([], schema)
     if len(plan) == 1:
         # One cell (exact search): the block counts are plain literals.
         c, ib, qb = plan[0]
@@ -205,10 +212,34 @@ def _tiled_candidates(
         qi, xi, d = K.topk(
             K.to_matrix(left.column("embedding")), qids, K.to_matrix(right.column("embedding")), xids, k, exclude_self
         )
-        return pa.table({"query_id": pa.array(qids[qi]), "item_id": pa.array(xi), "distance": pa.array(d)})
+        return pa.table({"query_id": pa.array(qids[qi], qtype), "item_id": pa.array(xi, xtype), "distance": pa.array(d)})
 
     keys = ["cell_id", "iblock", "qblock"]
-    return qt.groupBy(*keys).cogroup(it.groupBy(*keys)).applyInArrow(tile, CANDIDATE_SCHEMA)
+    return qt.groupBy(*keys).cogroup(it.groupBy(*keys)).applyInArrow(tile, schema)
+
+
+_REPEATED = "a query id is given more than once; query ids must be unique"
+
+
+def _check_unique_queries(probes: DataFrame) -> None:
+    """One partial aggregate: every query id has one vector and each of its cells once."""
+    per_query = probes.groupBy("query_id").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_distinct("cell_id").alias("cells"),
+        F.min(F.xxhash64("embedding")).alias("low"),
+        F.max(F.xxhash64("embedding")).alias("high"),
+    )
+    if not per_query.where("n != cells or low != high").isEmpty():
+        raise ValueError(_REPEATED)
+
+
+def id_column(df: DataFrame, name: str) -> Column:
+    """A key column: strings as they are, whole numbers as bigint."""
+    return F.col(name) if dict(df.dtypes)[name] == "string" else F.col(name).cast("bigint").alias(name)
+
+
+def _arrow_id(spark_type: str) -> pa.DataType:
+    return pa.string() if spark_type == "string" else pa.int64()
 
 
 # ------------------------------------------------------------------ public
@@ -228,20 +259,25 @@ def search(
     ``items``: ``(item_id, embedding, cell_id)``.
     Returns ``(query_id, item_id, rank, distance)`` with squared L2
     distances, ranks 1..k ordered by ``(distance, item_id)``; self matches are
-    removed before ranking when ``exclude_self``.
+    removed before ranking when ``exclude_self``. Ids are whole numbers or
+    strings. Both strategies raise ``ValueError`` on a repeated query id, a
+    null id, and a null, uneven or non-finite vector among the rows compared.
     """
     if k <= 0:
         raise ValueError(f"k must be positive, got {k}")
     if strategy not in ("auto", "broadcast", "tiled"):
         raise ValueError(f"unknown strategy {strategy!r}")
     probes = probes.select(
-        F.col("query_id").cast("bigint"), F.col("embedding").cast("array<float>"), F.col("cell_id").cast("bigint")
+        id_column(probes, "query_id"), F.col("embedding").cast("array<float>"), F.col("cell_id").cast("bigint")
     )
     items = items.select(
-        F.col("item_id").cast("bigint"), F.col("embedding").cast("array<float>"), F.col("cell_id").cast("bigint")
+        id_column(items, "item_id"), F.col("embedding").cast("array<float>"), F.col("cell_id").cast("bigint")
     )
+    held = False
     if strategy != "tiled":
         if max_probe_rows is None or dim is None:
+            # Read by this count, by the fetch and, past the bounds, by the tiles.
+            probes, held = cut_lineage(probes), True
             stats = probes.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("dim")).first()
             max_probe_rows, dim = stats["n"] or 0, stats["dim"] or 0
         size = max_probe_rows * dim * 4
@@ -252,9 +288,11 @@ def search(
             table = probes.toArrow()
             if table.num_rows > max_probe_rows:
                 raise ValueError(f"{table.num_rows} probe rows, more than the stated bound {max_probe_rows}")
-            cands = _broadcast_candidates(items, table, k, exclude_self, cfg)
+            cands = _broadcast_candidates(items, table, dict(probes.dtypes)["query_id"], k, exclude_self, cfg)
             return _final_topk(cands, k)
-    probes = cut_lineage(probes)
+    if not held:
+        probes = cut_lineage(probes)
+    _check_unique_queries(probes)
     return _final_topk(_tiled_candidates(probes, items, k, exclude_self, cfg), k)
 
 

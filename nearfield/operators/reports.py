@@ -83,24 +83,40 @@ def cell_sizes(cells: DataFrame) -> DataFrame:
     return cells.groupBy("cell_id").agg(F.count(F.lit(1)).alias("n_items"))
 
 
-def run_summary(prepared: DataFrame, cells: DataFrame) -> DataFrame:
+def run_summary(
+    prepared: DataFrame, cells: DataFrame, text_col: str = "embedding_input", figures: dict[str, float] | None = None
+) -> DataFrame:
     """``(metric, value)`` rows: items per final tier, embedded, gaps, index
-    rows and non-empty cells, each as a double."""
-    per_tier = prepared.groupBy("embedding_tier").agg(F.count(F.lit(1)).alias("v")).select(
-        F.concat(F.lit("tier_"), F.col("embedding_tier").cast("string")).alias("metric"),
-        F.col("v").cast("double").alias("value"),
-    )
-    totals = prepared.agg(
-        F.count(F.lit(1)).alias("items_total"),
-        F.count("embedding_input").alias("items_embeddable"),
-        F.count_if(F.col("embedding_input").isNull()).alias("true_gaps"),
-    )
-    idx = cells.agg(
-        F.count(F.lit(1)).alias("index_rows"), F.count_distinct("cell_id").alias("index_cells")
+    rows and non-empty cells, each as a double, and ``figures`` as given.
+
+    Each input is read once, by one aggregate (per tier, per cell); the totals
+    are taken from its few rows. ``text_col`` is any column that is null
+    exactly for items without an embedding text.
+    """
+    per_tier = prepared.groupBy("embedding_tier").agg(F.count(F.lit(1)).alias("n"), F.count(text_col).alias("n_text"))
+    sizes = cell_sizes(cells)
+
+    def metric(name, value) -> F.Column:
+        return F.struct(name.alias("metric"), value.cast("double").alias("value"))
+
+    def total(col) -> F.Column:
+        return F.coalesce(F.sum(col), F.lit(0))
+
+    tiers = per_tier.agg(
+        F.collect_list(metric(F.concat(F.lit("tier_"), F.col("embedding_tier").cast("string")), F.col("n"))).alias("tiers"),
+        total("n").alias("items_total"),
+        total("n_text").alias("items_embeddable"),
+        total(F.col("n") - F.col("n_text")).alias("true_gaps"),
     )
-    stack = lambda df: df.select(
-        F.explode(
-            F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in df.columns])
-        ).alias("m")
-    ).select("m.*")
-    return per_tier.unionByName(stack(totals)).unionByName(stack(idx))
+    index = sizes.agg(total("n_items").alias("index_rows"), F.count(F.lit(1)).alias("index_cells"))
+
+    def rows(df, names, *more) -> DataFrame:
+        parts = F.array(*[metric(F.lit(n), F.col(n)) for n in names])
+        return df.select(F.explode(F.concat(parts, *more)).alias("m")).select("m.*")
+
+    out = rows(tiers, ["items_total", "items_embeddable", "true_gaps"], F.col("tiers"))
+    out = out.unionByName(rows(index, ["index_rows", "index_cells"]))
+    if figures:
+        given = prepared.sparkSession.createDataFrame(list(figures.items()), "metric string, value double")
+        out = out.unionByName(given)
+    return out

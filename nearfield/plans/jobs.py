@@ -5,10 +5,16 @@ each run writes its new rows to a fresh ``run=<n>`` folder, a folder counts
 only once its ``_SUCCESS`` marker exists, and the next run processes only
 keys missing from the completed folders (left anti-join). A run killed half
 way therefore loses at most its own unfinished folder.
+
+What is stored is what was found, so a rerun equals a clean run on the same
+inputs: an item whose response lands later is looked up again until one is
+found, and a vector is kept under its item and the digest of its text, so a
+changed text is encoded anew and the old vector is no longer taken.
 """
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -19,13 +25,16 @@ from nearfield.operators import enrich as E
 from nearfield.operators import reports as R
 from nearfield.operators.embed import Encoder, embed, hash_embed
 from nearfield.operators.index import IvfIndex, build_index, knn_ivf
-from nearfield.sources.catalog import ENRICHMENT_SCHEMA, EMBEDDING_SCHEMA, is_complete, path_exists, pending
-from nearfield.sources.store import load_index, save_index
+from nearfield.operators.knn import DEFAULT_CONFIG
+from nearfield.sources.catalog import check_keys, embedding_schema, enrichment_schema, is_complete, key_type, path_exists
+from nearfield.sources.store import index_bytes, load_index, save_index
 
 # Shown when a neighbour has no title (fixed value).
 UNKNOWN_TITLE = "(unknown)"
 DEFAULT_K = 5
 DISTANCE_DIGITS = 4
+# Generous size of a key in a broadcast table.
+ROW_BYTES = 512
 
 
 # ------------------------------------------------------------ title search
@@ -60,7 +69,7 @@ def first_matches(matches: DataFrame) -> DataFrame:
 
 # --------------------------------------------------------- similar items
 def similar_items(
-    prepared: DataFrame,
+    titles: DataFrame,
     vectors: DataFrame,
     index: IvfIndex,
     seeds: list[str],
@@ -70,21 +79,28 @@ def similar_items(
 ) -> DataFrame:
     """Q3: ``(seed, seed_item_id, seed_title, rank, item_id, title, distance)``.
 
+    ``titles`` needs ``(item_id, title_final)`` of the embeddable items only, so
+    no text of any item takes part.
+
     For each seed, the first embeddable item whose title matches, then its k
     nearest indexed items (itself excluded) by squared L2 distance rounded to
     4 decimals. Seeds without a match produce no rows.
     """
-    titles = E.embeddable(prepared).select("item_id", "title_final")
+    titles = titles.select("item_id", "title_final")
     first = first_matches(search_titles(titles, seeds, literal))
-    # Every side marked for broadcast below holds at most len(seeds) or
-    # len(seeds) * k rows, so the big tables are never shuffled here.
-    seed_ids = F.broadcast(first.select(F.col("seed_item_id").alias("item_id")).distinct())
+    # The sides marked below hold at most len(seeds) or len(seeds) * k rows: while
+    # that many stay under the broadcast bound, the big tables are never shuffled
+    # here; past it the joins are left to the optimizer.
+    small = len(seeds) * k * ROW_BYTES <= DEFAULT_CONFIG.max_broadcast_bytes
+    sent = F.broadcast if small else (lambda df: df)
+    seed_ids = sent(first.select(F.col("seed_item_id").alias("item_id")).distinct())
     q = vectors.join(seed_ids, "item_id").select(F.col("item_id").alias("query_id"), "embedding")
-    nbrs = knn_ivf(q, index, k, nprobe, exclude_self=True, max_queries=len(seeds))
+    # The queries are rows of the index, which were checked when it was built.
+    nbrs = knn_ivf(q, index, k, nprobe, exclude_self=True, max_queries=len(seeds), validate=False)
     seed_titles = titles.join(seed_ids, "item_id").select(
         F.col("item_id").alias("seed_item_id"), F.col("title_final").alias("seed_title")
     )
-    nbr_titles = titles.join(F.broadcast(nbrs.select("item_id").distinct()), "item_id")
+    nbr_titles = titles.join(sent(nbrs.select("item_id").distinct()), "item_id")
     out = (
         first.join(seed_titles, "seed_item_id", "left")
         .join(nbrs, F.col("seed_item_id") == F.col("query_id"))
@@ -124,11 +140,11 @@ def _next_run(spark: SparkSession, root: str) -> str:
     return f"{root.rstrip('/')}/run={max(used, default=-1) + 1:05d}"
 
 
-def append_missing(spark: SparkSession, root: str, todo: DataFrame, build, schema) -> DataFrame:
+def append_missing(spark: SparkSession, root: str, todo: DataFrame, build, schema, keys: list[str]) -> DataFrame:
     """Build rows for keys of ``todo`` missing under ``root`` into a new run
     folder; return all completed rows."""
     done = _read_runs(spark, root, schema)
-    missing = pending(todo, done)
+    missing = todo.join(done.select(*keys), keys, "left_anti")
     new = build(missing)
     target = _next_run(spark, root)
     new.select([F.col(f.name).cast(f.dataType) for f in schema.fields]).write.mode("overwrite").parquet(target)
@@ -142,6 +158,9 @@ class BuildResult:
     index: IvfIndex
     integrity: DataFrame
     summary: DataFrame
+    index_path: str
+    embeddings_path: str
+    elapsed_seconds: float
 
 
 def build_job(
@@ -150,7 +169,7 @@ def build_job(
     responses: DataFrame,
     out_dir: str,
     dim: int = 64,
-    nlist: int = 16,
+    nlist: int | None = None,
     centroids: DataFrame | None = None,
     encoder_factory: Callable[[], Encoder] | None = None,
     max_review_words: int = 256,
@@ -159,26 +178,47 @@ def build_job(
     """Q2 + Q4: prepare, enrich (resumable), embed (resumable), index, verify.
 
     ``encoder_factory`` plugs a batch encoder (``() -> Encoder``); by default
-    the hashing encoder is used.
+    the hashing encoder is used. ``nlist`` defaults to the square root of the
+    number of vectors. Null or repeated item keys raise ``ValueError``.
     """
+    began = time.time()
     root = out_dir.rstrip("/")
+    check_keys(items)
+    key = key_type(items)
     tiered = E.with_tier(items)
     weak = tiered.where(F.col("initial_tier") == 4)
     enrichment = append_missing(
-        spark, f"{root}/enrichment", weak.select("item_id"), lambda m: E.enrich(m, responses), ENRICHMENT_SCHEMA
+        spark,
+        f"{root}/enrichment",
+        weak.select("item_id"),
+        # Found results only: an item without one stays due for the next run.
+        lambda due: due.join(E.top_results(responses), "item_id"),
+        enrichment_schema(key),
+        ["item_id"],
     )
+    # Items that are no longer weak keep their own fields, as in a clean run.
+    enrichment = enrichment.join(weak.select("item_id"), "item_id", "left_semi")
     prepared = E.finalize(E.merge_enrichment(tiered, enrichment), max_review_words)
-    todo = E.embeddable(prepared).select("item_id", "embedding_input")
+    todo = E.embeddable(prepared).select("item_id", F.md5("embedding_input").alias("text_md5"), "embedding_input")
+    stored = embedding_schema(key).add("text_md5", "string")
 
     def encode(missing: DataFrame) -> DataFrame:
         if encoder_factory is None:
-            return hash_embed(missing, dim)
-        return embed(missing, encoder_factory, dim)
-
-    embeddings = append_missing(spark, f"{root}/embeddings", todo, encode, EMBEDDING_SCHEMA)
+            vectors = hash_embed(missing, dim)
+        else:
+            vectors = embed(missing, encoder_factory, dim)
+        return vectors.join(missing.select("item_id", "text_md5"), "item_id")
+
+    embeddings_path = f"{root}/embeddings"
+    kept = append_missing(spark, embeddings_path, todo, encode, stored, ["item_id", "text_md5"])
+    # Only the vectors of the present texts count.
+    embeddings = kept.join(todo.select("item_id", "text_md5"), ["item_id", "text_md5"], "left_semi").select("item_id", "embedding")
     index = build_index(embeddings, nlist=nlist, centroids=centroids, seed=seed)
-    save_index(index, f"{root}/index")
-    index = load_index(spark, f"{root}/index")
+    index_path = f"{root}/index"
+    save_index(index, index_path)
+    index = load_index(spark, index_path)
     integrity = R.index_integrity(index.cells, embeddings)
-    summary = R.run_summary(prepared, index.cells)
-    return BuildResult(prepared, embeddings, index, integrity, summary)
+    elapsed = round(time.time() - began, 3)
+    figures = {"index_bytes": float(index_bytes(spark, index_path)), "elapsed_seconds": elapsed}
+    summary = R.run_summary(prepared, index.cells, figures=figures)
+    return BuildResult(prepared, embeddings, index, integrity, summary, index_path, embeddings_path, elapsed)

@@ -306,6 +306,32 @@ SELECT f.seed, f.seed_item_id, st.title_final AS seed_title, n.rank, n.item_id,
 FROM firsts f LEFT JOIN prepared st ON st.item_id = f.seed_item_id
 JOIN nbrs n ON n.query_id = f.seed_item_id
 LEFT JOIN prepared nt ON nt.item_id = n.item_id"""
+    # The same report over text keys: every key is 'B' and the number.
+    text_keys = {
+        "SELECT d.doc_id AS item_id": "SELECT 'B' || d.doc_id AS item_id",
+        "SELECT p_partkey AS item_id": "SELECT 'B' || p_partkey AS item_id",
+        "CAST(item_id AS INTEGER) AS cell_id": "CAST(substr(item_id, 2) AS INTEGER) AS cell_id",
+        "SELECT vec_id AS item_id": "SELECT 'B' || vec_id AS item_id",
+    }
+
+    def with_text_keys(sql: str) -> str:
+        for number, text in text_keys.items():
+            sql = sql.replace(number, text)
+        return sql
+
+    q["similar_items_string_keys"] = with_text_keys(q["similar_items"])
+    q["knn_exact_string_keys"] = with_text_keys(EXACT_SQL)
+    q["assign_cells_fallback"] = q["assign_cells"]
+    q["load_items"] = """
+SELECT doc_id AS item_id, CASE WHEN doc_id % 3 <> 0 THEN doc_id END AS title, lang AS genres, text AS description,
+  CAST(NULL AS VARCHAR) AS review_text
+FROM documents"""
+    q["load_responses_parquet"] = q["load_responses_json"] = with_ctes(RESPONSES_CTE) + "SELECT item_id, body FROM responses"
+    q["embeddings_round_trip"] = with_ctes(VECS_CTE) + "SELECT item_id, embedding FROM vecs"
+    # What holds for any trained index, and its exact search when every cell is probed.
+    q["build_index_trained"] = """
+SELECT count(*) AS n_rows, true AS cells_in_bound, CAST(0 AS BIGINT) AS n_not_nearest FROM embeddings"""
+    q["knn_ivf_trained"] = EXACT_SQL
     q["run_summary"] = with_ctes(*HV_CTES) + """
 SELECT 'tier_' || CAST(embedding_tier AS VARCHAR) AS metric, CAST(count(*) AS DOUBLE) AS value
 FROM prepared GROUP BY embedding_tier

@@ -6,6 +6,7 @@ full; names and column aliases match ``nearfield.plans.oracle``.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,13 +16,13 @@ from nearfield.functions.text import embedding_input, is_present, truncate_words
 from nearfield.functions.vectors import l2_sq
 from nearfield.operators import enrich as E
 from nearfield.operators import reports as R
-from nearfield.operators.embed import PythonHashEncoder, embed, hash_embed
+from nearfield.operators.embed import PythonHashEncoder, embed, hash_embed, hash_vector
 from nearfield.operators.index import assign_cells, build_index, knn_ivf, vector_stats
 from nearfield.operators.knn import SearchConfig, knn_exact, recall_at_k
 from nearfield.plans.jobs import search_titles, similar_items
 from nearfield.sources import fixtures as FX
-from nearfield.session import cut_lineage
-from nearfield.sources.catalog import pending
+from nearfield.session import cut_lineage, shared_folder
+from nearfield.sources.catalog import load_embeddings, load_items, load_responses, pending, write_embeddings
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -236,32 +237,93 @@ def q_search_titles(spark, sf):
     return search_titles(E.embeddable(_prepared(spark, sf)), SEEDS)
 
 
-def _hash_index(spark, sf, prepared=None):
-    """Hash vectors (materialised once: several jobs read them) and an index
-    whose centroids are the vectors of the 16 smallest item ids."""
-    prepared = prepared if prepared is not None else _prepared(spark, sf)
-    hv = cut_lineage(hash_embed(prepared, DIM))
-    cents = hv.orderBy("item_id").limit(SUPPLIED_CELLS).select(
-        F.col("item_id").cast("int").alias("cell_id"), F.col("embedding").alias("centroid")
+def _vector_base(spark, sf, prepared):
+    """What the reports on items and vectors need, written once: key, title, tier
+    and hashed vector (null without an embedding text). No text is kept."""
+    return cut_lineage(
+        prepared.select("item_id", "title_final", "embedding_tier", hash_vector("embedding_input", DIM).alias("embedding"))
     )
-    return hv, build_index(hv, centroids=cents, nlist=SUPPLIED_CELLS, validate=False, dim=DIM)
+
+
+def _base_vectors(base):
+    return base.where(F.col("embedding").isNotNull()).select("item_id", "embedding")
+
+
+def _lowest_index(vectors):
+    """An index whose centroids are the vectors of the 16 smallest item ids."""
+    number = F.regexp_replace(F.col("item_id").cast("string"), "^B", "").cast("int")  # the key's number is the cell's
+    lowest = vectors.orderBy("item_id").limit(SUPPLIED_CELLS)
+    cents = lowest.select(number.alias("cell_id"), F.col("embedding").alias("centroid"))
+    return build_index(vectors, centroids=cents, nlist=SUPPLIED_CELLS, validate=False, dim=DIM)
 
 
 def q_build_hash_index(spark, sf):
-    _, idx = _hash_index(spark, sf)
-    return idx.cells.select("item_id", "cell_id")
+    vectors = cut_lineage(_hash_vectors(spark, sf))
+    return _lowest_index(vectors).cells.select("item_id", "cell_id")
+
+
+def _similar(spark, sf, prepared):
+    base = _vector_base(spark, sf, prepared)
+    vectors = _base_vectors(base)
+    titles = base.where(F.col("embedding").isNotNull()).select("item_id", "title_final")
+    return similar_items(titles, vectors, _lowest_index(vectors), SEEDS, K_NEIGHBOURS, nprobe=1)
 
 
 def q_similar_items(spark, sf):
-    prepared = cut_lineage(_prepared(spark, sf))
-    hv, idx = _hash_index(spark, sf, prepared)
-    return similar_items(prepared, hv, idx, SEEDS, K_NEIGHBOURS, nprobe=1)
+    return _similar(spark, sf, _prepared(spark, sf))
+
+
+def _text_key(df):
+    return df.withColumn("item_id", F.concat(F.lit("B"), F.col("item_id").cast("string")))
+
+
+def q_similar_items_string_keys(spark, sf):
+    items, responses = _text_key(_items(spark, sf)), _text_key(FX.responses_view(spark, sf))
+    return _similar(spark, sf, E.prepare_items(items, responses))
+
+
+def q_knn_exact_string_keys(spark, sf):
+    e = _text_key(_emb(spark, sf))
+    return _rounded(knn_exact(_queries_from(e), e, K_NEIGHBOURS, exclude_self=True))
+
+
+def q_assign_cells_fallback(spark, sf):
+    """The form for centroids past the broadcast bound."""
+    a = assign_cells(_emb(spark, sf), FX.supplied_centroids(spark, sf, SUPPLIED_CELLS), cfg=TILED)
+    return a.select("item_id", "cell_id")
 
 
 def q_run_summary(spark, sf):
-    prepared = cut_lineage(_prepared(spark, sf))
-    _, idx = _hash_index(spark, sf, prepared)
-    return R.run_summary(prepared, idx.cells)
+    base = _vector_base(spark, sf, _prepared(spark, sf))
+    return R.run_summary(base, _lowest_index(_base_vectors(base)).cells, text_col="embedding")
+
+
+def _shared(spark, name):
+    """A new folder where all executors write and read."""
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def q_load_items(spark, sf):
+    """Documents as a catalogue with its own key name, one text column absent and one of floats."""
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    rank = F.when(F.col("doc_id") % 3 == 0, F.lit(float("nan"))).otherwise(F.col("doc_id").cast("double"))
+    src = d.select(F.col("doc_id").alias("sku"), F.col("text").alias("description"), F.col("lang").alias("genres"), rank.alias("title"))
+    return load_items(spark, src, key="sku").withColumn("title", F.col("title").cast("double").cast("bigint"))
+
+
+def _load_responses(fmt):
+    def run(spark, sf):
+        path = _shared(spark, f"responses-{fmt}")
+        FX.responses_view(spark, sf).withColumnRenamed("item_id", "sku").write.format(fmt).save(path)
+        return load_responses(spark, path, key="sku", fmt=fmt)
+
+    return run
+
+
+def q_embeddings_round_trip(spark, sf):
+    path = _shared(spark, "embeddings")
+    write_embeddings(_emb(spark, sf), path)
+    return load_embeddings(spark, path)
 
 
 def q_pending_embeddings(spark, sf):
@@ -269,15 +331,34 @@ def q_pending_embeddings(spark, sf):
     return pending(todo, _emb(spark, sf))
 
 
+def _trained_index(spark, sf):
+    return build_index(_emb(spark, sf), nlist=SUPPLIED_CELLS, seed=7, max_iter=10)
+
+
 def q_build_index_trained(spark, sf):
-    idx = build_index(_emb(spark, sf), nlist=SUPPLIED_CELLS, seed=7, max_iter=10)
-    return R.cell_sizes(idx.cells)
+    """What holds for any trained index: all rows are in it, in at most ``nlist`` cells,
+    each in its nearest one (found again by the exact search over the centroids)."""
+    index = _trained_index(spark, sf)
+    cells = cut_lineage(index.cells)
+    near = knn_exact(
+        cells.select(F.col("item_id").alias("query_id"), "embedding"),
+        index.centroids.select(F.col("cell_id").alias("item_id"), F.col("centroid").alias("embedding")),
+        1,
+        strategy="tiled",
+    )
+    both = cells.join(near.select(F.col("query_id").alias("item_id"), F.col("item_id").alias("nearest")), "item_id", "left")
+    return both.agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        (F.count_distinct("cell_id") <= SUPPLIED_CELLS).alias("cells_in_bound"),
+        F.count_if(~F.col("cell_id").eqNullSafe(F.col("nearest"))).alias("n_not_nearest"),
+    )
 
 
 def q_knn_ivf_trained(spark, sf):
+    """Probing every cell of a trained index is exact search."""
     e = _emb(spark, sf)
-    idx = build_index(e, nlist=SUPPLIED_CELLS, seed=7, max_iter=10)
-    return _rounded(knn_ivf(_queries_from(e), idx, K_NEIGHBOURS, 2, exclude_self=True))
+    res = knn_ivf(_queries_from(e), _trained_index(spark, sf), K_NEIGHBOURS, SUPPLIED_CELLS, exclude_self=True)
+    return _rounded(res)
 
 
 def vector_queries() -> dict[str, Query]:
@@ -299,6 +380,13 @@ def vector_queries() -> dict[str, Query]:
         "search_titles": q_search_titles,
         "build_hash_index": q_build_hash_index,
         "similar_items": q_similar_items,
+        "similar_items_string_keys": q_similar_items_string_keys,
+        "knn_exact_string_keys": q_knn_exact_string_keys,
+        "assign_cells_fallback": q_assign_cells_fallback,
+        "load_items": q_load_items,
+        "load_responses_parquet": _load_responses("parquet"),
+        "load_responses_json": _load_responses("json"),
+        "embeddings_round_trip": q_embeddings_round_trip,
         "run_summary": q_run_summary,
         "pending_embeddings": q_pending_embeddings,
         "build_index_trained": q_build_index_trained,

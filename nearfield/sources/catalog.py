@@ -14,20 +14,31 @@ from pyspark.sql import types as T
 
 TEXT_COLUMNS = ("title", "genres", "description", "review_text")
 
-ENRICHMENT_SCHEMA = T.StructType(
-    [
-        T.StructField("item_id", T.LongType(), False),
-        T.StructField("e_title", T.StringType()),
-        T.StructField("e_description", T.StringType()),
-        T.StructField("e_genres", T.StringType()),
-    ]
-)
-EMBEDDING_SCHEMA = T.StructType(
-    [
-        T.StructField("item_id", T.LongType(), False),
-        T.StructField("embedding", T.ArrayType(T.FloatType())),
-    ]
-)
+
+def enrichment_schema(key: T.DataType = T.LongType()) -> T.StructType:
+    """Landed enrichment rows; keys are whole numbers or strings."""
+    return T.StructType(
+        [
+            T.StructField("item_id", key, False),
+            T.StructField("e_title", T.StringType()),
+            T.StructField("e_description", T.StringType()),
+            T.StructField("e_genres", T.StringType()),
+        ]
+    )
+
+
+def embedding_schema(key: T.DataType = T.LongType()) -> T.StructType:
+    return T.StructType(
+        [
+            T.StructField("item_id", key, False),
+            T.StructField("embedding", T.ArrayType(T.FloatType())),
+        ]
+    )
+
+
+def key_type(df: DataFrame, key: str = "item_id") -> T.DataType:
+    """The stored type of a key column: string, or bigint for whole numbers."""
+    return T.StringType() if isinstance(df.schema[key].dataType, T.StringType) else T.LongType()
 
 
 def _as_df(spark: SparkSession, src: str | DataFrame) -> DataFrame:
@@ -73,30 +84,36 @@ def check_keys(items: DataFrame) -> None:
         raise ValueError(f"{r['n_key'] - r['n_distinct']} duplicate item_id values")
 
 
-def load_responses(spark: SparkSession, src: str | DataFrame, key: str = "item_id") -> DataFrame:
-    """Landed search responses ``(item_id, body)``."""
-    df = _as_df(spark, src)
+def load_responses(
+    spark: SparkSession, src: str | DataFrame, key: str = "item_id", fmt: str = "parquet", key_as: str = "bigint"
+) -> DataFrame:
+    """Landed search responses ``(item_id, body)`` from parquet, JSON lines
+    (``fmt="json"``, keys read as ``key_as``) or a DataFrame."""
+    if isinstance(src, str) and fmt == "json":
+        df = spark.read.schema(f"`{key}` {key_as}, body string").json(src)
+    elif fmt not in ("parquet", "json"):
+        raise ValueError(f"unknown response format {fmt!r}")
+    else:
+        df = _as_df(spark, src)
     return df.select(F.col(key).alias("item_id"), F.col("body").cast("string"))
 
 
 def write_enrichment(df: DataFrame, path: str) -> None:
-    df.select([F.col(f.name).cast(f.dataType) for f in ENRICHMENT_SCHEMA.fields]).write.mode(
-        "overwrite"
-    ).parquet(path)
+    schema = enrichment_schema(key_type(df))
+    df.select([F.col(f.name).cast(f.dataType) for f in schema.fields]).write.mode("overwrite").parquet(path)
 
 
-def read_enrichment(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(ENRICHMENT_SCHEMA).parquet(path)
+def read_enrichment(spark: SparkSession, path: str, key: T.DataType = T.LongType()) -> DataFrame:
+    return spark.read.schema(enrichment_schema(key)).parquet(path)
 
 
 def write_embeddings(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    df.select(F.col("item_id").cast("bigint"), F.col("embedding").cast("array<float>")).write.mode(
-        mode
-    ).parquet(path)
+    schema = embedding_schema(key_type(df))
+    df.select([F.col(f.name).cast(f.dataType) for f in schema.fields]).write.mode(mode).parquet(path)
 
 
-def load_embeddings(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(EMBEDDING_SCHEMA).parquet(path)
+def load_embeddings(spark: SparkSession, path: str, key: T.DataType = T.LongType()) -> DataFrame:
+    return spark.read.schema(embedding_schema(key)).parquet(path)
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -128,30 +145,3 @@ def materialize(
 def pending(items: DataFrame, done: DataFrame, key: str = "item_id") -> DataFrame:
     """Rows of ``items`` whose key is not yet in ``done`` (left anti-join)."""
     return items.join(done.select(key), key, "left_anti")
-
-
-# Inputs smaller than this are left in one task: spreading them costs more
-# (an extra stage) than it saves.
-SPREAD_MIN_BYTES = 256 << 10
-
-
-def spread(df: DataFrame, min_partitions: int | None = None, min_bytes: int = SPREAD_MIN_BYTES) -> DataFrame:
-    """Round-robin repartition only when a non-trivial input has fewer
-    partitions than the cluster has cores (e.g. one file holding a single row
-    group).
-
-    Large inputs already arrive in many splits, so there this is a no-op and
-    adds no shuffle; it only keeps heavy per-row work off a single core.
-    """
-    try:
-        want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-        qe = df._jdf.queryExecution()
-        # Partition count of the scan's RDD and its estimated size, from the
-        # JVM plan (no job runs).
-        have = qe.executedPlan().execute().getNumPartitions()
-        size = int(str(qe.optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # noqa: BLE001 - no JVM plan access: leave the input as is
-        return df
-    if have >= want or size < min_bytes:
-        return df
-    return df.repartition(want)

@@ -13,7 +13,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearfield.functions.vectors import to_float_vector
-from nearfield.sources.catalog import spread
+
+# Tables smaller than this are left in one task: spreading them costs more
+# (an extra stage) than it saves.
+SPREAD_MIN_BYTES = 256 << 10
+
+
+def spread(df: DataFrame, min_bytes: int = SPREAD_MIN_BYTES) -> DataFrame:
+    """Round-robin repartition of a given table that arrives in fewer splits
+    than there are cores (one file with a single row group), so that heavy
+    per-row work does not stay on one core. Tuning of these fixtures only:
+    tables at scale arrive in many splits and are left as they are."""
+    want = df.sparkSession.sparkContext.defaultParallelism
+    plan = df._jdf.queryExecution()
+    # Splits and estimated size from the JVM plan (no job runs).
+    have = plan.executedPlan().execute().getNumPartitions()
+    size = int(str(plan.optimizedPlan().stats().sizeInBytes()))
+    return df if have >= want or size < min_bytes else df.repartition(want)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, min_bytes: int | None = None) -> DataFrame:

@@ -1,54 +1,95 @@
-"""Index storage: two parquet tables under one folder.
-
-``centroids/`` holds ``(cell_id, centroid)``; ``cells/`` holds
-``(item_id, embedding)`` partitioned by ``cell_id``, so a probe that names
-its cells reads only their folders (partition pruning). Rows are range
-partitioned on ``(cell_id, item_id)`` before the write: each task writes a
-few neighbouring cells, and a cell holding a third of all rows is still
-split over many tasks.
+"""Index storage: run folders published by a manifest.
+
+A save writes ``centroids`` (``cell_id, centroid``) and ``cells``
+(``item_id, embedding`` partitioned by ``cell_id``) into a new folder under
+``runs/`` and then a one-row ``manifest/v=<n>`` table that names it. Only a
+manifest whose write finished counts, and the latest one is loaded, so a save
+that is killed anywhere leaves the former index whole. Former runs stay until
+their owner deletes them.
+
+Rows are range partitioned on ``(cell_id, item_id)`` before the write, into as
+many ranges as the vectors' bytes ask for: each task writes a few neighbouring
+cells, and a cell holding a third of all rows is still split over many tasks.
+A probe that names its cells reads only their folders (partition pruning).
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from nearfield.operators.index import IvfIndex
-from nearfield.operators.knn import parallelism
-from nearfield.sources.catalog import is_complete
+from nearfield.operators.knn import id_column
+from nearfield.session import cut_lineage
+from nearfield.sources.catalog import is_complete, path_exists
+
+# Vector bytes that one written range holds about.
+TARGET_FILE_BYTES = 128 << 20
+
+
+def _hadoop(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _versions(spark: SparkSession, root: str) -> list[str]:
+    """Finished manifests, oldest first."""
+    if not path_exists(spark, f"{root}/manifest"):
+        return []
+    p, fs = _hadoop(spark, f"{root}/manifest")
+    names = sorted(str(s.getPath().toString()) for s in fs.listStatus(p) if s.isDirectory())
+    return [n for n in names if "/v=" in n and is_complete(spark, n)]
+
+
+def file_count(n_rows: int, dim: int, target_bytes: int = TARGET_FILE_BYTES) -> int:
+    """Ranges for ``n_rows`` float vectors of ``dim`` elements with their keys."""
+    return max(1, -(-n_rows * (4 * dim + 16) // target_bytes))
 
 
 def save_index(index: IvfIndex, path: str, num_files: int | None = None) -> None:
-    """Write the index; parents are created by the writer."""
+    """Write the index and publish it; parents are created by the writer."""
     spark = index.cells.sparkSession
     root = path.rstrip("/")
-    index.centroids.write.mode("overwrite").parquet(f"{root}/centroids")
-    n = num_files or parallelism(spark)
-    (
-        index.cells.repartitionByRange(n, "cell_id", "item_id")
-        .write.mode("overwrite")
-        .partitionBy("cell_id")
-        .parquet(f"{root}/cells")
-    )
+    run = f"runs/{uuid.uuid4().hex}"
+    index.centroids.write.parquet(f"{root}/{run}/centroids")
+    cells = cut_lineage(index.cells)  # counted, sampled for the ranges and written
+    n = num_files or file_count(cells.count(), index.dim)
+    cells.repartitionByRange(n, "cell_id", "item_id").write.partitionBy("cell_id").parquet(f"{root}/{run}/cells")
+    done = _versions(spark, root)
+    last = int(done[-1].rsplit("=", 1)[-1]) if done else -1
+    manifest = spark.createDataFrame([(run, index.nlist, index.dim)], "run string, nlist int, dim int")
+    manifest.coalesce(1).write.mode("overwrite").parquet(f"{root}/manifest/v={last + 1:08d}")
+
+
+def _current(spark: SparkSession, root: str):
+    done = _versions(spark, root)
+    if not done:
+        raise FileNotFoundError(
+            f"no finished vector index under '{root}': build one with nearfield.plans.jobs.build_job, "
+            "or with build_index and save_index, and load it from the path given there"
+        )
+    return spark.read.schema("run string, nlist int, dim int").parquet(done[-1]).first()
 
 
 def load_index(spark: SparkSession, path: str) -> IvfIndex:
-    """Read an index written by ``save_index``.
+    """Read the index published last under ``path``.
 
     Raises ``FileNotFoundError`` naming the path and the step that builds it.
     """
     root = path.rstrip("/")
-    for part in ("centroids", "cells"):
-        if not is_complete(spark, f"{root}/{part}"):
-            raise FileNotFoundError(
-                f"vector index not found at '{root}' (missing {part}/). "
-                "Run the build job (nearfield.plans.jobs.build_job or build_index + save_index) first."
-            )
-    centroids = spark.read.parquet(f"{root}/centroids").select(
+    now = _current(spark, root)
+    centroids = spark.read.parquet(f"{root}/{now['run']}/centroids").select(
         F.col("cell_id").cast("int"), F.col("centroid").cast("array<float>")
     )
-    cells = spark.read.parquet(f"{root}/cells").select(
-        F.col("item_id").cast("bigint"), F.col("embedding").cast("array<float>"), F.col("cell_id").cast("int")
-    )
-    head = centroids.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("centroid")).alias("dim")).first()
-    return IvfIndex(centroids=centroids, cells=cells, nlist=int(head["n"]), dim=int(head["dim"] or 0))
+    cells = spark.read.parquet(f"{root}/{now['run']}/cells")
+    cells = cells.select(id_column(cells, "item_id"), F.col("embedding").cast("array<float>"), F.col("cell_id").cast("int"))
+    return IvfIndex(centroids=centroids, cells=cells, nlist=now["nlist"], dim=now["dim"])
+
+
+def index_bytes(spark: SparkSession, path: str) -> int:
+    """Stored size of the index published last under ``path``."""
+    root = path.rstrip("/")
+    p, fs = _hadoop(spark, f"{root}/{_current(spark, root)['run']}")
+    return int(fs.getContentSummary(p).getLength())

@@ -121,3 +121,13 @@ def test_item_descriptions_are_whole_texts(spark):
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("description") != F.col("text")).alias("differ")
     ).first()
     assert r["n"] > 0 and r["differ"] == 0
+
+
+def test_a_found_record_beats_a_null_one(spark):
+    items = _items(spark, [(1, None, None, None, None), (2, None, None, None, None)])
+    enr = spark.createDataFrame(
+        [(1, None, None, None), (1, "Found", "d", "7"), (2, None, None, None)],
+        "item_id bigint, e_title string, e_description string, e_genres string",
+    )
+    got = sorted(map(tuple, E.merge_enrichment(items, enr).select("item_id", "title_final", "genres_final").collect()), key=lambda r: r[0])
+    assert got == [(1, "Found", "7"), (2, None, None)]

@@ -25,6 +25,25 @@ def test_knn_plans_use_window_group_limit_and_no_cross_join(spark):
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
 
 
+def test_reports_on_vectors_checkpoint_no_text(spark, monkeypatch):
+    # the class that classic sessions use
+    cls = type(spark.range(1))
+    cut, checkpoint = [], cls.checkpoint
+
+    def note(self, *args, **kw):
+        cut.append(self)
+        return checkpoint(self, *args, **kw)
+
+    monkeypatch.setattr(cls, "checkpoint", note)
+    for name in ("similar_items", "run_summary"):
+        cut.clear()
+        RG.all_queries()[name](spark, SF_SMALL)
+        base = cut[0]
+        assert base.columns == ["item_id", "title_final", "embedding_tier", "embedding"]
+        assert base._jdf.queryExecution().sparkPlan().toString().count("documents.parquet") == 1
+        assert not any({"embedding_input", "description_final", "review_text"} & set(d.columns) for d in cut)
+
+
 def test_item_preparation_reads_documents_once_without_python(spark):
     plan = RG.q_prepare_items(spark, SF_SMALL)._jdf.queryExecution().sparkPlan().toString()
     assert plan.count("documents.parquet") == 1

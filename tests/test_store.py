@@ -32,6 +32,41 @@ def test_load_missing_index_names_path(spark, scratch_dir):
         load_index(spark, os.path.join(scratch_dir, "nowhere"))
 
 
+def test_a_killed_save_leaves_the_old_index_whole(spark, scratch_dir, monkeypatch):
+    from pyspark.sql import DataFrameWriter
+
+    e = FX.embeddings_table(spark, SF_SMALL)
+    path = os.path.join(scratch_dir, "index")
+    cents = FX.supplied_centroids(spark, SF_SMALL, 16)
+    save_index(build_index(e, nlist=16, centroids=cents), path)
+    want = sorted(map(tuple, load_index(spark, path).cells.select("item_id", "cell_id").collect()))
+    other = build_index(e, nlist=4, centroids=cents.where("cell_id < 4"))
+    write = DataFrameWriter.parquet
+    for killed_at in ("/cells", "/manifest/"):
+
+        def die(self, out, *args, at=killed_at, **kw):
+            if at in out:
+                raise KeyboardInterrupt
+            return write(self, out, *args, **kw)
+
+        monkeypatch.setattr(DataFrameWriter, "parquet", die)
+        with pytest.raises(KeyboardInterrupt):
+            save_index(other, path)
+        monkeypatch.setattr(DataFrameWriter, "parquet", write)
+        os.makedirs(os.path.join(path, "manifest", "v=00000009"), exist_ok=True)  # a manifest without its marker
+        back = load_index(spark, path)
+        assert back.nlist == 16 and sorted(map(tuple, back.cells.select("item_id", "cell_id").collect())) == want
+    save_index(other, path)
+    assert load_index(spark, path).nlist == 4
+
+
+def test_file_count_follows_the_data_size(spark, scratch_dir):
+    from nearfield.sources.store import file_count
+
+    assert file_count(0, 64) == file_count(500, 64) == 1
+    assert file_count(10**9, 384) == -(-(10**9) * (4 * 384 + 16) // (128 << 20)) > 10_000
+
+
 def test_load_items_requires_key(spark):
     df = spark.createDataFrame([(1, "t")], "id bigint, title string")
     with pytest.raises(KeyError):
@@ -83,6 +118,52 @@ def test_build_job_resumes_without_rework(spark, scratch_dir):
     assert pending(todo, r2.embeddings).count() == 0
     metrics = {r["metric"]: r["value"] for r in r2.summary.collect()}
     assert metrics["index_rows"] == n1 == metrics["items_embeddable"]
+    assert metrics["index_bytes"] > 0 and metrics["elapsed_seconds"] > 0
+    assert r2.index_path == f"{out}/index" and r2.embeddings_path == f"{out}/embeddings"
+
+
+FULL = '{"results":[{"title":"Found","overview":"d","genre_ids":[7]}]}'
+
+
+def _job_state(result):
+    vectors = {r.item_id: tuple(r.embedding) for r in result.embeddings.collect()}
+    tiers = {r.item_id: r.embedding_tier for r in result.prepared.collect()}
+    cells = sorted(r.item_id for r in result.index.cells.collect())
+    return vectors, tiers, cells
+
+
+@pytest.mark.parametrize("text_keys", [False, True])
+def test_rerun_equals_a_clean_run(spark, scratch_dir, text_keys):
+    key = (lambda i: f"B{i}") if text_keys else (lambda i: i)
+    kind = "string" if text_keys else "bigint"
+    items_schema = f"item_id {kind}, title string, genres string, description string, review_text string"
+
+    def items(title):
+        rows = [(key(1), None, "g", "d", "r"), (key(2), title, "g", "d", "r"), (key(3), "t3", "g", None, None), (key(4), None, None, None, None)]
+        return spark.createDataFrame(rows, items_schema)
+
+    def responses(*bodies):
+        return spark.createDataFrame([(key(i), b) for i, b in bodies], f"item_id {kind}, body string")
+
+    out = os.path.join(scratch_dir, "job")
+    first = build_job(spark, items("t2"), responses((4, "not json")), out, dim=16, nlist=1)
+    assert _job_state(first)[1] == {key(1): 4, key(2): 1, key(3): 3, key(4): 4}
+    # A late response, one next to a failed one, and a changed title.
+    now = (items("changed title"), responses((1, FULL), (4, "not json"), (4, FULL)))
+    again = build_job(spark, *now, out, dim=16, nlist=1)
+    clean = build_job(spark, *now, os.path.join(scratch_dir, "clean"), dim=16, nlist=1)
+    assert _job_state(again) == _job_state(clean)
+    assert _job_state(again)[1] == {key(1): 1, key(2): 1, key(3): 3, key(4): 2}
+    assert _job_state(again)[0][key(2)] != _job_state(first)[0][key(2)]
+    back = build_job(spark, items("t2"), responses(), out, dim=16, nlist=1)
+    assert _job_state(back)[0][key(2)] == _job_state(first)[0][key(2)] and back.integrity.first()["ok"]
+
+
+def test_build_job_rejects_repeated_or_null_keys(spark, scratch_dir):
+    for rows in ([(1, "t"), (1, "u")], [(None, "t")]):
+        items = load_items(spark, spark.createDataFrame(rows, "item_id bigint, title string"))
+        with pytest.raises(ValueError):
+            build_job(spark, items, FX.responses_view(spark, SF_SMALL), os.path.join(scratch_dir, "bad"))
 
 
 def test_probe_reads_only_probed_cells_of_stored_index(spark, scratch_dir):
@@ -117,7 +198,8 @@ def test_sources_and_sinks_round_trip(spark, scratch_dir):
     enr = E.enrich(E.needs_enrichment(FX.items_view(spark, SF_SMALL)), responses)
     write_enrichment(enr, os.path.join(scratch_dir, "enrichment"))
     back = read_enrichment(spark, os.path.join(scratch_dir, "enrichment"))
-    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, enr.collect()))
+    by_key = lambda rows: sorted(map(tuple, rows), key=lambda r: r[0])
+    assert by_key(back.collect()) == by_key(enr.collect())
     emb = FX.embeddings_table(spark, SF_SMALL)
     write_embeddings(emb, os.path.join(scratch_dir, "emb"))
     got = load_embeddings(spark, os.path.join(scratch_dir, "emb"))

@@ -85,6 +85,89 @@ def test_assign_cells_fallback_equals_broadcast(spark):
     assert a == b and len(a) == 2 * e.count()
 
 
+@pytest.mark.parametrize("strategy", ["broadcast", "tiled"])
+def test_one_result_on_every_path(spark, strategy):
+    schema = "item_id bigint, embedding array<float>"
+    good = [(i, [float(i), 1.0]) for i in range(20)]
+    query = lambda rows: spark.createDataFrame(rows, "query_id bigint, embedding array<float>")
+    q = query([(100, [3.2, 1.0])])
+    # A vector that is not finite stops the search instead of emptying it.
+    for bad in (float("nan"), float("inf")):
+        with pytest.raises(Exception, match="non-finite"):
+            knn_exact(q, spark.createDataFrame(good + [(50, [bad, 0.0])], schema), 3, strategy=strategy).collect()
+        with pytest.raises(Exception, match="non-finite"):
+            knn_exact(query([(100, [bad, 0.0])]), spark.createDataFrame(good, schema), 3, strategy=strategy).collect()
+    # A repeated item id is two items; a repeated query id is an error.
+    twice = spark.createDataFrame(good + [(3, [3.1, 1.0])], schema)
+    assert [(r.item_id, round(r.distance, 4)) for r in sorted(knn_exact(q, twice, 2, strategy=strategy).collect(), key=lambda r: r.rank)] == [
+        (3, 0.01), (3, 0.04)]
+    for second in ([3.2, 1.0], [9.0, 1.0]):
+        with pytest.raises(ValueError, match="unique"):
+            knn_exact(query([(100, [3.2, 1.0]), (100, second)]), twice, 2, strategy=strategy).collect()
+
+
+def test_repeated_ids_keep_their_own_cells_past_the_bound(spark):
+    rows = spark.createDataFrame([(1, [0.0, 0.0]), (1, [9.0, 9.0]), (2, [9.0, 8.0])], "item_id bigint, embedding array<float>")
+    cents = spark.createDataFrame([(0, [0.0, 0.0]), (1, [9.0, 9.0])], "cell_id int, centroid array<float>")
+    for cfg in (SearchConfig(), TINY):
+        got = sorted((r.item_id, r.cell_id) for r in assign_cells(rows, cents, cfg=cfg).collect())
+        assert got == [(1, 0), (1, 1), (2, 1)]
+
+
+@pytest.mark.parametrize("strategy", ["broadcast", "tiled"])
+def test_string_keys_agree_with_numbers(spark, strategy):
+    e = _emb(spark).where(F.col("item_id") < 100)
+    pad = F.concat(F.lit("k"), F.lpad(F.col("item_id").cast("string"), 5, "0"))
+    s = e.withColumn("item_id", pad)
+    as_q = lambda d: d.select(F.col("item_id").alias("query_id"), "embedding")
+    numbers = _rows(knn_exact(as_q(e), e, 3, exclude_self=True, strategy=strategy, cfg=SearchConfig(item_tile_rows=16, query_tile_rows=8)))
+    strings = _rows(knn_exact(as_q(s), s, 3, exclude_self=True, strategy=strategy, cfg=SearchConfig(item_tile_rows=16, query_tile_rows=8)))
+    assert strings == [(f"k{q:05d}", f"k{i:05d}", r, d) for q, i, r, d in numbers]
+    idx = build_index(s, nlist=4, seed=1, max_iter=3)
+    assert dict(idx.cells.dtypes)["item_id"] == "string"
+    assert _rows(knn_ivf(as_q(s), idx, 3, nprobe=4, exclude_self=True, strategy=strategy)) == strings
+
+
+def test_one_cell_and_the_default_number_of_cells(spark):
+    e = _emb(spark)
+    one = build_index(e, nlist=1)
+    mean = np.mean(np.array([r.embedding for r in e.collect()], dtype=np.float64), axis=0)
+    assert np.allclose(one.centroids.first()["centroid"], mean, atol=1e-6)
+    assert one.cells.where("cell_id = 0").count() == e.count()
+    assert build_index(e, max_iter=2).nlist == round(e.count() ** 0.5)
+    with pytest.raises(ValueError, match="max_broadcast_bytes"):
+        build_index(e, nlist=16, cfg=SearchConfig(max_broadcast_bytes=10))
+
+
+def test_training_ignores_the_file_layout(spark):
+    from nearfield.operators.index import train_centroids
+
+    e = _emb(spark)
+    for kw in ({}, {"sample_fraction": 0.5}):
+        a, b = (sorted(tuple(r.centroid) for r in train_centroids(d, 4, seed=3, max_iter=3, **kw).collect())
+                for d in (e.coalesce(1), e.repartition(7)))
+        assert np.allclose(a, b, atol=1e-5)
+
+
+def test_double_vectors_are_refused(spark):
+    df = spark.createDataFrame([(1, [1.0, 2.0])], "item_id bigint, embedding array<double>")
+    with pytest.raises(ValueError, match="array<double>"):
+        validate_vectors(df)
+
+
+def test_split_size_is_read_as_bytes(spark):
+    from nearfield.operators.knn import estimated_partitions
+
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+        many = estimated_partitions(_emb(spark))
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "128MB")
+        assert estimated_partitions(_emb(spark)) < many
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_fewer_items_than_k(spark):
     items = spark.createDataFrame([(1, [0.0, 0.0]), (2, [1.0, 0.0])], "item_id bigint, embedding array<float>")
     q = spark.createDataFrame([(9, [0.0, 0.1])], "query_id bigint, embedding array<float>")
