@@ -36,15 +36,34 @@ from pyspark.sql.pandas.types import to_arrow_type
 from nearfield.llm.common import per_process, slices
 
 
-def load_encoder(ranks_path: str, specials: tuple[tuple[str, int], ...]):
-    """The byte-level BPE of a rank file; ``specials`` are recognised in texts."""
-    import tiktoken
-
-    with open(ranks_path, "rb") as f:
-        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-    return tiktoken.Encoding(
-        "packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=dict(specials)
-    )
+class Encoder:
+    """The byte-level BPE of a rank file; ``specials`` are recognised in texts.
+
+    Its splitting pattern has no room for blanks by the hundred thousand in one
+    run; such a text goes through the tokenizer file of the same vocabulary.
+    """
+
+    def __init__(self, ranks_path: str, specials: tuple[tuple[str, int], ...], tokenizer_path: str):
+        import tiktoken
+
+        with open(ranks_path, "rb") as f:
+            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+        self.ranks = tiktoken.Encoding(
+            "packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=dict(specials)
+        )
+        self.allowed = {s for s, _ in specials}
+        self.tokenizer_path = tokenizer_path
+
+    def encode(self, text: str) -> list[int]:
+        try:
+            return self.ranks.encode(text, allowed_special=self.allowed)
+        except ValueError:
+            from tokenizers import Tokenizer
+
+            own = Tokenizer.from_file(self.tokenizer_path)
+            own.no_truncation()
+            own.no_padding()
+            return own.encode(text, add_special_tokens=False).ids
 
 
 def sequence_cost(lengths, linear: float, quadratic: float):
@@ -89,6 +108,7 @@ def assign_pool(
 def pack(
     docs: DataFrame,
     ranks_path: str | None = None,
+    tokenizer_path: str | None = None,
     specials: tuple[tuple[str, int], ...] = (("<|endoftext|>", 50256),),
     end_id: int = 0,
     max_len: int = 1024,
@@ -105,6 +125,7 @@ def pack(
     if max_len < 1:
         raise ValueError("max_len must be positive")
     path = ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken")
+    whole_path = tokenizer_path or public_tokenizers.path("byte_bpe_50k.json")
     pool_tokens = max(pool_tokens, max_len)
     src = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     id_arrow = to_arrow_type(src.schema["id"].dataType)
@@ -114,8 +135,7 @@ def pack(
     )
 
     def kernel(batches):
-        enc = per_process(("packing", path, specials), lambda: load_encoder(path, specials))
-        allowed = {s for s, _ in specials}
+        enc = per_process(("packing", path, specials, whole_path), lambda: Encoder(path, specials, whole_path))
         base = TaskContext.get().partitionId() << 40
         used = 0
         pool, pooled = [], 0  # pieces (id, start, ids, doc_tokens) shorter than max_len
@@ -141,7 +161,7 @@ def pack(
             for keys, texts in slices(batch, 256, ["id", "text"]):
                 whole = []
                 for key, text in zip(keys, texts):
-                    ids = np.append(np.asarray(enc.encode(text, allowed_special=allowed), dtype="<u4"), np.uint32(end_id))
+                    ids = np.append(np.asarray(enc.encode(text), dtype="<u4"), np.uint32(end_id))
                     n = len(ids)
                     full = n // max_len * max_len
                     for at in range(0, full, max_len):

@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 import public_tokenizers
-from nearfield.llm.packing import assign_pool, load_encoder, pack
+from nearfield.llm.packing import Encoder, assign_pool, pack
 from nearfield.llm.queries import all_queries
 from tokenizers import Tokenizer
 
@@ -73,11 +73,11 @@ def test_odd_rows(spark, clashing):
 
 
 def test_rank_file_agrees_with_the_tokenizer_on_every_character():
-    tok, enc = tokenizer(), load_encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"), SPECIALS)
+    tok, enc = tokenizer(), Encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"), SPECIALS, public_tokenizers.path("byte_bpe_50k.json"))
     texts = ["a" + chr(c) + chr(c) + " " + chr(c) + "1" for c in range(0x30000) if not 0xD800 <= c < 0xE000]
     texts += ["<|endoftext|><|endoftext|> a", "it's I'LL  \n\n x\t　y "]
-    got = enc.encode_batch(texts, allowed_special={"<|endoftext|>"}, num_threads=1)
-    assert [list(map(int, g)) for g in got] == [e.ids for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
+    texts += [" " * 1_000_000 + "x", "\n" * 300_000, "a" * 300_000]
+    assert [enc.encode(t) for t in texts] == [e.ids for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
 
 
 @settings(max_examples=60, deadline=None)
