@@ -46,7 +46,9 @@ UNDONE = str.maketrans("0134578@$!", "oieastbasi")
 FEATURES = ("words", "seeds", "learned", "learned_kinds", "near_second_person", "undone", "capitals", "punctuation",
             "exclamations", "obfuscated")
 _WORD = re.compile(r"[^\W\d_]+")
-_MIXED = re.compile(r"(?=\S*[^\W\d_])[^\s]*[0-9@$*!#%&][^\s]*")
+_LETTER = re.compile(r"[^\W\d_]")
+# A whole token with a digit or sign in it; tried at token starts only, so long tokens cost linear time.
+_MIXED = re.compile(r"(?<!\S)[^\s0-9@$*!#%&]*+[0-9@$*!#%&]\S*+")
 _COL = "toxicity_features_"
 
 
@@ -83,7 +85,7 @@ def features_of(text: str, seeds, learned, near: int) -> list[float]:
                 else:
                     waiting.append(i)
     chars = max(1, len(text))
-    mixed = _MIXED.findall(text)
+    mixed = [m for m in _MIXED.findall(text) if _LETTER.search(m)]
     undone = 0
     for m in mixed:
         whole = "".join(_WORD.findall(m.lower().strip("!$@*#%&").translate(UNDONE)))

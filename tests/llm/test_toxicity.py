@@ -72,3 +72,12 @@ def test_sample_bound(spark, docs_of):
     model = fit(docs, labels, max_rows=500, trees=3)
     out = model.transform(docs).join(labels, "doc_id").agg(F.avg((F.col("toxicity_predicted_") == F.col("label")).cast("int"))).first()[0]
     assert out >= 0.97
+
+
+def test_long_tokens_cost_linear_time():
+    import time
+
+    began = time.time()
+    for text in ("a" * 1_000_000, "a1" * 500_000, "!" * 1_000_000, "idiot you " * 100_000):
+        assert len(features_of(text, frozenset(SEEDS), frozenset(), 5)) == len(FEATURES)
+    assert time.time() - began < 30
