@@ -24,6 +24,7 @@ and other columns are ignored. No shuffle.
 
 from __future__ import annotations
 
+import bisect
 import re
 
 import pyarrow as pa
@@ -96,17 +97,26 @@ def novel_spans(
         lower = "".join(c.lower() if c.isascii() else c for c in text)
         if not any(w in lower for w in SENSITIVE):
             return []
-    out, taken = [], sorted((a, b) for a, b, _ in covered)
-    run = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % min_novel)
-    seen = 0
+    # merged covered parts: by their starts, the one before a position is the only one that can hold it
+    starts, ends = [], []
+    for a, b, _ in sorted(covered):
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    out, seen = [], 0
     for word in _SENSITIVE.finditer(lower):
-        for m in run.finditer(text, max(seen, word.end()), min(len(text), word.end() + reach + 4096)):
-            a, b = m.span()
-            if a > word.end() + reach:
-                break
-            seen = b
-            value = m.group()
-            if any(x < b and a < y for x, y in taken):
+        # a run that starts in reach shows its first min_novel characters here
+        for m in _RUN.finditer(text, max(seen, word.end()), min(len(text), word.end() + reach + min_novel)):
+            a = m.start()
+            b = _RUN.match(text, a).end()
+            seen = max(seen, b)
+            if b - a < min_novel or a > word.end() + reach:
+                continue
+            value = text[a:b]
+            i = bisect.bisect_left(starts, b)
+            if i and ends[i - 1] > a:
                 continue
             if not (any(c.isdigit() for c in value) and any(c.isalpha() for c in value)):
                 continue
@@ -115,6 +125,7 @@ def novel_spans(
     return out
 
 
+_RUN = re.compile(r"[A-Za-z0-9+/_=-]+")
 _SENSITIVE = re.compile("|".join(map(re.escape, SENSITIVE)))
 
 

@@ -64,3 +64,15 @@ def test_odd_rows(spark, clashing):
     masked = {r.doc_id: r.masked for r in got}
     assert masked[1] is None and masked[4] == "Authorization: Bearer [SECRET] ok" and masked[5] == "é [SECRET]' x"
     assert find_secrets(clashing(rows).limit(0)).collect() == []
+
+
+def test_dense_words_and_long_runs_cost_linear_time():
+    import time
+
+    from nearfield.llm.secret_scan import novel_spans
+
+    began = time.time()
+    for text in ("token " * 200_000, "secret " + "g" * 1_000_000, "bearer=" * 100_000, "password" + " " * 1_000_000):
+        covered = pattern_spans(text)
+        novel_spans(text, covered, Novelty(), 0.8, 20, 48, 1024)
+    assert time.time() - began < 30
