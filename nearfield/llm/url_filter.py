@@ -104,7 +104,8 @@ class RuleIndex:
     def __init__(self, folder: str, name: str):
         self.hosts = DigestArray(os.path.join(folder, f"{name}.hosts"))
         self.rules = DigestArray(os.path.join(folder, f"{name}.rules"))
-        self.lengths = np.fromfile(os.path.join(folder, f"{name}.lengths"), "<i8").tolist()
+        # the most labels of a rule host, and the lengths of rule paths
+        self.depth, *self.lengths = np.fromfile(os.path.join(folder, f"{name}.lengths"), "<i8").tolist()
 
     @staticmethod
     def write(folder: str, rules: list[str]) -> tuple[str, list[str]]:
@@ -115,17 +116,22 @@ class RuleIndex:
         paths = [os.path.join(folder, f"{name}.{kind}") for kind in ("hosts", "rules", "lengths")]
         DigestArray.write(paths[0], hosts, list(range(len(hosts))))
         DigestArray.write(paths[1], rules, list(range(len(rules))))
-        np.array(sorted({len(p) for _, p in split}), "<i8").tofile(paths[2])
+        depth = max((h.count(".") + 1 for h in hosts), default=0)
+        np.array([depth, *sorted({len(p) for _, p in split})], "<i8").tofile(paths[2])
         return name, paths
 
     def longest(self, hosts: list[str], paths: list[str]) -> list[int]:
         """Per url the index of its longest fitting rule, or -1."""
         probes, owner = [], []
         for i, host in enumerate(hosts):
-            while host:
-                probes.append(host)
-                owner.append(i)
-                host = host.partition(".")[2]
+            at = len(host)
+            for _ in range(self.depth):  # the last label, the last two, ...: no rule has more
+                at = host.rfind(".", 0, at)
+                if at + 1 < len(host):
+                    probes.append(host[at + 1 :])
+                    owner.append(i)
+                if at < 0:
+                    break
         known = np.flatnonzero(self.hosts.find(probes) >= 0)
         deep, rows = [], []
         for j in known:
@@ -195,10 +201,9 @@ def _judge_by_join(src: DataFrame, rules: DataFrame, default: str) -> DataFrame:
         F.when(F.col("rule").contains("/"), F.length("rule") - F.locate("/", "rule") + 1).otherwise(0).alias("n")
     ).distinct().collect()]  # path lengths in use: bounded by the length of a url
     urls = src.select("host", "path").distinct()
+    depth = rules.agg(F.max(F.size(F.split(F.split("rule", "/")[0], "[.]", -1)))).first()[0] or 1  # as in the index
     labels = F.split("host", "[.]", -1)
-    suffixes = F.transform(
-        F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")
-    )
+    suffixes = F.transform(F.sequence(F.lit(1), F.least(F.lit(depth), F.size(labels))), lambda n: F.array_join(F.slice(labels, -n, n), "."))
     probes = (
         urls.withColumn("suffix", F.explode(suffixes))
         .withColumn("n", F.explode(F.array(*[F.lit(n) for n in sorted(lengths)])))

@@ -78,3 +78,12 @@ def test_longest_rule_wins():
     got = index.longest(["z.a.b", "b", "a.b", "q.b", "c", "bb"], ["/x/y/z", "/x", "", "/y", "/long", "/x"])
     assert got == [3, 2, 0, 1, -1, -1]
     assert isinstance(index.rules.keys, np.memmap)
+
+
+def test_long_hosts_cost_linear_time(spark):
+    rules = spark.createDataFrame(list(URL_RULES), "rule string, verdict string")
+    host = "a." * 200_000 + "example.org"
+    pages = spark.createDataFrame([(1, f"http://{host}/es/x")], "page_id bigint, url string")
+    for bound in (1 << 20, 0):
+        got = judge_urls(pages, rules, max_index_bytes=bound).first()
+        assert (got.rule, got.verdict, len(got.host)) == ("example.org/es/", "block", len(host))
