@@ -3,8 +3,9 @@
 Nodes are any orderable keys; every key is replaced by the smallest key it can
 reach. Each round is two shuffles over the edges, written to the shared folder
 so that a lost executor costs one round at most. A node that a third of all
-edges touch is reduced to its smallest neighbour by a partial aggregate before
-anything is joined, and no neighbour lists are ever collected.
+edges touch is reduced to its smallest neighbour by a partial aggregate, which
+is written too: the joins then read two plain shuffles, so adaptive execution
+can split that node's edges over tasks. Neighbour lists are never collected.
 """
 
 from __future__ import annotations
@@ -26,10 +27,11 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         # large star: neighbours above a node go to the smallest key of its neighbourhood
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        least = cut(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         # small star: a node and its smaller neighbours go to the smallest of them
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = cut(large)
+        least = cut(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(least, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         now = cut(small.union(least.select("a", F.col("m").alias("b"))).distinct())
         after = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()

@@ -169,7 +169,8 @@ def join_similar(
         rows.where("size > 0").groupBy("node").agg(first, F.count(F.lit(1)).alias("n"), F.first("size").alias("size"), F.first("keys").alias("keys"))
     )
     prefixes = nodes.select("node", F.explode("keys").alias("key"))
-    meeting = prefixes.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low != high").select("key", "low")
+    meeting = prefixes.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low != high")
+    meeting = cut(meeting.select("key", "low"))  # the join then reads plain shuffles, which can be split at a common prefix
     ties = prefixes.join(meeting, "key").where("node != low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct()
     groups = components(ties)
     members = cut(
@@ -204,9 +205,10 @@ def join_similar(
     # nodes of any class: those without a link are a class of their own
     found = nodes.select("node", "first", "n").join(links, "node", "left").join(classes, "node", "left")
     found = found.select("node", "n", "first", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("class", "node").alias("class"))
-    heads = found.groupBy("class").agg(F.min("first").alias("head"))
-    per_node = found.join(heads, "class").select(
-        "node", F.col("head.id").alias("class_id"), F.col("head.h").alias("class_h"), (F.col("links") + F.col("n") - 1).alias("n_links")
+    heads = cut(classes.join(nodes.select("node", "first"), "node").groupBy("class").agg(F.min("first").alias("head")))
+    head = F.coalesce("head", "first")
+    per_node = found.join(heads, "class", "left").select(
+        "node", head["id"].alias("class_id"), head["h"].alias("class_h"), (F.col("links") + F.col("n") - 1).alias("n_links")
     )
     worded = rows.where("size > 0").select("id", "h", "node").join(per_node, "node")
     turn = F.row_number().over(Window.partitionBy("id", "h").orderBy(F.lit(0)))

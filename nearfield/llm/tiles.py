@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from nearfield.llm.common import cut
+
 RESULT = "node binary, root binary, links bigint, tiles int"
 
 
@@ -24,9 +26,9 @@ def link_tiles(members: DataFrame, payload: DataFrame, linked, block_rows: int,
     a list of payloads and returns the boolean matrix of links. Blocks hold about ``block_rows``
     members or ``block_size`` of ``size`` in total.
     """
-    groups = members.groupBy("grp").agg(
-        F.greatest(F.ceil(F.count(F.lit(1)) / block_rows), F.ceil(F.sum("size") / block_size), F.lit(1)).cast("int").alias("blocks")
-    )
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / block_rows), F.ceil(F.sum("size") / block_size), F.lit(1))
+    # written, so that the join reads plain shuffles and a large group can be split over tasks
+    groups = cut(members.groupBy("grp").agg(blocks.cast("int").alias("blocks")))
     dealt = (
         members.join(groups, "grp")
         .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
