@@ -29,7 +29,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from nearfield.llm.common import per_process, slices
 
-_TABLE = 0x30000
+_TABLE = 0x110000
 
 
 def _letters() -> np.ndarray:
@@ -39,7 +39,8 @@ def _letters() -> np.ndarray:
 def trigrams(text: str, buckets: int, letters: np.ndarray) -> np.ndarray:
     """Hashed trigrams around every letter of a text."""
     codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4")
-    codes = np.concatenate([[np.uint32(32)], np.where(letters[np.minimum(codes, _TABLE - 1)], codes, np.uint32(32)), [np.uint32(32)]])
+    blank = np.array([32], "<u4")
+    codes = np.concatenate([blank, np.where(letters[codes], codes, blank), blank])
     middle = np.flatnonzero(codes[1:-1] != 32)
     if not len(middle):
         return middle
