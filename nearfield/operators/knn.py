@@ -46,6 +46,8 @@ class SearchConfig:
     # Largest tile, in rows, on each side of the tiled strategy.
     item_tile_rows: int = 16384
     query_tile_rows: int = 4096
+    # Largest tile, in bytes of double-precision vectors, on each side.
+    max_tile_bytes: int = 64 << 20
     # Candidates kept in memory per task before a running top-k merge.
     merge_every_rows: int = 1 << 20
     # Largest candidate volume (queries x k x item partitions) the broadcast
@@ -146,20 +148,25 @@ def _broadcast_candidates(
 
 
 # --------------------------------------------------------------------- tiled
-def _tile_plan(q_counts: dict, i_counts: dict, cfg: SearchConfig, parallelism: int) -> list[tuple[int, int, int]]:
+def _tile_plan(
+    q_counts: dict, i_counts: dict, cfg: SearchConfig, parallelism: int, dim: int = 0
+) -> list[tuple[int, int, int]]:
     """``(cell_id, item_blocks, query_blocks)`` for every cell with both sides.
 
-    Blocks are bounded by the tile sizes; small inputs are cut finer so that
-    there are at least about ``parallelism`` tiles overall.
+    Blocks are bounded by the tile sizes in rows and, for vectors of ``dim``
+    elements, in bytes; small inputs are cut finer so that there are at least
+    about ``parallelism`` tiles overall.
     """
+    fit = max(1, cfg.max_tile_bytes // max(1, 8 * dim))
+    item_rows, query_rows = min(cfg.item_tile_rows, fit), min(cfg.query_tile_rows, fit)
     cells = sorted(set(q_counts) & set(i_counts))
     total_pairs = sum(q_counts[c] * i_counts[c] for c in cells)
     target = max(1, total_pairs // max(1, parallelism))
     plan = []
     for c in cells:
         qc, ic = q_counts[c], i_counts[c]
-        ib = math.ceil(ic / cfg.item_tile_rows)
-        qb = math.ceil(qc / cfg.query_tile_rows)
+        ib = math.ceil(ic / item_rows)
+        qb = math.ceil(qc / query_rows)
         # Split further along the query side only while a tile is above target.
         while qb < qc and (qc / qb) * (ic / ib) > target and qc / qb > 64:
             qb *= 2
@@ -175,8 +182,10 @@ def _tiled_candidates(
     schema = _candidate_schema(*types)
     qtype, xtype = map(_arrow_id, types)
     q_counts = {r["cell_id"]: r["n"] for r in probes.groupBy("cell_id").agg(F.count(F.lit(1)).alias("n")).collect()}
-    i_counts = {r["cell_id"]: r["n"] for r in items.groupBy("cell_id").agg(F.count(F.lit(1)).alias("n")).collect()}
-    plan = _tile_plan(q_counts, i_counts, cfg, parallelism(spark))
+    counts = items.groupBy("cell_id").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("dim")).collect()
+    i_counts = {r["cell_id"]: r["n"] for r in counts}
+    dim = max((r["dim"] or 0 for r in counts), default=0)
+    plan = _tile_plan(q_counts, i_counts, cfg, parallelism(spark), dim)
     if not plan:
         return spark.createDataFrame([], schema)
     if len(plan) == 1:

@@ -219,6 +219,9 @@ def test_tile_plan_bounds_hot_cells():
         assert math.ceil(i_counts[c] / ib) <= cfg.item_tile_rows
         assert math.ceil(q_counts[c] / qb) <= cfg.query_tile_rows
     assert plan[7][0] >= 6 and plan[7][1] >= 6
+    # Long vectors make smaller tiles.
+    wide = {c: (ib, qb) for c, ib, qb in _tile_plan(q_counts, i_counts, cfg, parallelism=8, dim=1 << 20)}
+    assert math.ceil(i_counts[7] / wide[7][0]) * 8 * (1 << 20) <= cfg.max_tile_bytes
 
 
 def test_query_validation_rejects_wrong_dimension(spark):
