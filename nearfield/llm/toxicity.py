@@ -160,6 +160,7 @@ class ToxicityModel:
         self.seeds, self.near, self.learned, self.trees, self.calibration = seeds, near, learned, trees, calibration
 
     def transform(self, docs: DataFrame, text_col: str = "text", keep_text: bool = True) -> DataFrame:
+        docs = docs.drop(_COL, "toxicity_score_", "toxicity_predicted_")  # of an earlier scoring
         rows = with_features(docs, text_col, self.seeds, self.learned, self.near, keep_text)
         own = [F.col(f"`{c}`") for c in rows.columns if c != _COL]
         if self.trees is None:

@@ -47,6 +47,8 @@ def test_held_out_accuracy_and_odd_rows(spark, clashing):
     assert {r.toxicity_predicted_ for r in out if r.doc_id in (9001, 9002, 9004)} == {0}
     assert next(r for r in out if r.doc_id == 9003).toxicity_predicted_ == 1
     assert score_documents(docs.limit(0), labels).collect() == []
+    again = score_documents(spark.createDataFrame(out), labels, trees=2)
+    assert sorted(again.columns) == sorted(out[0].asDict()) and again.count() == len(out)
 
 
 @pytest.mark.parametrize("labels", [[], [(1, 0), (2, 0)]])
