@@ -90,12 +90,13 @@ def validate_vectors(df: DataFrame, nlist: int | None = None, dim: int | None =
     return n, int(r["dim_min"])
 
 
-def validate_query(df: DataFrame, dim: int) -> None:
-    """Query vectors must be non-null, finite and of the index dimension."""
+def validate_query(df: DataFrame, dim: int) -> int:
+    """Query vectors must be non-null, finite and of the index dimension; returns their number."""
     _check_float32(df)
     r = vector_stats(df, dim).first()
     if r["n_bad"]:
         raise ValueError(f"{r['n_bad']} query vectors are null, NaN or not of dimension {dim}")
+    return r["n_rows"]
 
 
 def _check_float32(df: DataFrame, col: str = "embedding") -> None:
@@ -278,11 +279,12 @@ def knn_ivf(
     """
     if nprobe <= 0:
         raise ValueError(f"nprobe must be positive, got {nprobe}")
-    if validate:
-        validate_query(queries, index.dim)
+    # The number of queries bounds the probes, so their assignment runs once, for the search itself.
+    n_queries = validate_query(queries, index.dim) if validate else None
+    if max_queries is None:
+        max_queries = n_queries if n_queries is not None else queries.count()
     mat = index.centroid_matrix(cfg)
     probes = assign_cells(queries, index.centroids, nprobe, id_col="query_id", cfg=cfg, matrix=mat).select(
         "query_id", "embedding", "cell_id"
     )
-    bound = None if max_queries is None else max_queries * nprobe
-    return search(probes, index.cells, k, exclude_self, strategy, cfg, max_probe_rows=bound, dim=index.dim)
+    return search(probes, index.cells, k, exclude_self, strategy, cfg, max_probe_rows=max_queries * nprobe, dim=index.dim)

@@ -282,11 +282,8 @@ def search(
     items = items.select(
         id_column(items, "item_id"), F.col("embedding").cast("array<float>"), F.col("cell_id").cast("bigint")
     )
-    held = False
     if strategy != "tiled":
         if max_probe_rows is None or dim is None:
-            # Read by this count, by the fetch and, past the bounds, by the tiles.
-            probes, held = cut_lineage(probes), True
             stats = probes.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("dim")).first()
             max_probe_rows, dim = stats["n"] or 0, stats["dim"] or 0
         size = max_probe_rows * dim * 4
@@ -299,8 +296,7 @@ def search(
                 raise ValueError(f"{table.num_rows} probe rows, more than the stated bound {max_probe_rows}")
             cands = _broadcast_candidates(items, table, dict(probes.dtypes)["query_id"], k, exclude_self, cfg)
             return _final_topk(cands, k)
-    if not held:
-        probes = cut_lineage(probes)
+    probes = cut_lineage(probes)  # checked, counted and tiled
     _check_unique_queries(probes)
     return _final_topk(_tiled_candidates(probes, items, k, exclude_self, cfg), k)
 
