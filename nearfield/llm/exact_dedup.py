@@ -191,17 +191,19 @@ def exact_groups(
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits) -> DataFrame:
     """The rows of ``docs``, all columns, that stay: one of each group of equal texts."""
     verdicts = exact_groups(docs, id_col=id_col, text_col=text_col, **limits)
-    kept = verdicts.where("kept").select(F.col(id_col).alias("kept_id"), F.col("text_sha256").alias("kept_sha"))
-    own = docs.select(
-        F.struct("*").alias("row"), F.col(id_col).cast("bigint").alias("own_id"),
-        F.sha2(_normalised(text_col), 256).alias("own_sha"), F.col(text_col).alias("own_text"),
-    )
-    met = own.join(kept, F.col("own_id").eqNullSafe(F.col("kept_id")) & (F.col("own_sha") == F.col("kept_sha")), "left_semi")
-    # an id repeated with one text is one document: the window needs the join's own partitioning, no further shuffle
-    turn = F.row_number().over(Window.partitionBy("own_id", "own_sha").orderBy("own_text"))
+    kept = verdicts.where("kept").select(*_keys(id_col), F.col("text_sha256").alias("sha"))
+    own = docs.select(F.struct("*").alias("row"), *_keys(id_col), F.sha2(_normalised(text_col), 256).alias("sha"))
+    met = own.join(kept, ["key", "none", "sha"], "left_semi")
+    # an id repeated with one text is one document; the window has the join's partitioning, so rows move once
+    turn = F.row_number().over(Window.partitionBy("key", "none", "sha").orderBy(f"row.{text_col}"))
     return met.withColumn("turn", turn).where("turn = 1").select("row.*")
 
 
+def _keys(id_col: str):
+    """An id as two columns that are never null."""
+    return F.coalesce(F.col(id_col).cast("bigint"), F.lit(0)).alias("key"), F.col(id_col).isNull().alias("none")
+
+
 def _normalised(text_col: str):
     return F.translate(F.coalesce(F.col(text_col), F.lit("")), UPPER, LOWER).cast("binary")
 

@@ -223,11 +223,13 @@ def join_similar(
 def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
     """The rows of ``docs``, all columns, that stay: one of each class."""
     verdicts = join_similar(docs, id_col=id_col, text_col=text_col, **params)
-    kept = verdicts.where("kept").select(F.col(id_col).alias("kept_id"), F.col("text_hash").alias("kept_h"))
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    own = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("own_id"), F.xxhash64(text).alias("own_h"), F.length(text).alias("own_n"))
-    met = own.join(kept, F.col("own_id").eqNullSafe(F.col("kept_id")) & (F.col("own_h") == F.col("kept_h")), "left_semi")
-    # rows that repeat an id and its words stay once, wordless ones all: the window needs no further shuffle
-    turn = F.row_number().over(Window.partitionBy("own_id", "own_h").orderBy(F.lit(0)))
+    # an id as two columns that are never null
+    keys = F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("key"), F.col(id_col).isNull().alias("none")
+    kept = verdicts.where("kept").select(*keys, F.col("text_hash").alias("h"))
+    own = docs.select(F.struct("*").alias("row"), *keys, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h"))
+    met = own.join(kept, ["key", "none", "h"], "left_semi")
+    # rows that repeat an id and its words stay once, wordless ones all; the window has the
+    # join's partitioning, so rows move once
+    turn = F.row_number().over(Window.partitionBy("key", "none", "h").orderBy(F.lit(0)))
     wordless = ~F.coalesce(F.col(f"row.{text_col}"), F.lit("")).rlike(r"(?U)\w")
     return met.withColumn("turn", turn).where((F.col("turn") == 1) | wordless).select("row.*")
