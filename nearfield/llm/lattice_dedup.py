@@ -15,9 +15,12 @@ group are compared in tiles (see ``tiles``), so near copies that make up a third
 of all rows neither overfill a task nor lose a link.
 
 ``cell`` is the scale of the lattice for unit vectors of 64 dimensions (other
-dimensions are scaled alike). With the defaults a pair at cosine 0.9 is found
-with a probability of about 0.95 and nearer pairs more often; larger tables
-want smaller cells and more tables, which costs time, not links.
+dimensions are scaled alike). By default it shrinks with the number of nodes so
+that a node meets about as many unrelated ones at any size (the chance of such
+a meeting falls with the volume of a cell, the power 8 * ``blocks`` of its
+scale). ``tables`` then follows from the wanted ``recall``: the chance that a
+pair right at the threshold meets in one table is measured on random pairs, and
+nearer pairs meet more often.
 
 Vectors that are null, empty, zero or hold null or non-finite components link
 with nothing and are kept. Vectors of different length do not link. Repeated
@@ -29,6 +32,7 @@ from __future__ import annotations
 
 import hashlib
 from itertools import combinations, product
+from math import ceil, log
 
 import numpy as np
 import pyarrow as pa
@@ -108,6 +112,20 @@ class Lattice:
         return np.stack(own, axis=1), np.stack(near, axis=1) if near else np.zeros((len(units), 0), np.int64)
 
 
+def meeting_probability(dim: int, threshold: float, blocks: int, probes: int, cell: float, seed: int, pairs: int = 2000) -> float:
+    """The share of random pairs at cosine ``threshold`` that meet in one table, over eight tables."""
+    rng = np.random.default_rng([seed, dim, 1])
+    a, b = rng.normal(size=(2, pairs, max(dim, 2)))
+    a /= np.sqrt((a * a).sum(1))[:, None]
+    b -= (a * b).sum(1)[:, None] * a
+    b = threshold * a + np.sqrt(max(0.0, 1 - threshold**2)) * b / np.sqrt((b * b).sum(1))[:, None]
+    lattice = Lattice(max(dim, 2), 8, blocks, probes, cell, seed)
+    (own_a, near_a), (own_b, near_b) = lattice.cells(a), lattice.cells(b)
+    near_a, near_b = near_a.reshape(pairs, 8, probes), near_b.reshape(pairs, 8, probes)
+    met = (own_a == own_b) | (near_a == own_b[:, :, None]).any(2) | (near_b == own_a[:, :, None]).any(2)
+    return float(met.mean())
+
+
 def cosines(a: list[bytes], b: list[bytes]) -> np.ndarray:
     """Row-wise cosine in double precision of float vectors (pairs of equal length)."""
     out = np.empty(len(a))
@@ -126,10 +144,11 @@ def _unit(raw: bytes) -> np.ndarray:
 def link_embeddings(
     vectors: DataFrame,
     threshold: float = 0.9,
-    tables: int = 14,
+    tables: int | None = None,
     blocks: int = 2,
     probes: int = 4,
-    cell: float = 0.25,
+    cell: float | None = None,
+    recall: float = 0.96,
     hot_cell: int = 128,
     block_rows: int = 1024,
     seed: int = 8,
@@ -156,6 +175,12 @@ def link_embeddings(
 
     rows = cut(src.mapInArrow(note, f"id {id_name}, node binary, payload binary"))
     nodes = cut(rows.where("node is not null").groupBy("node").agg(F.first("payload").alias("payload"), F.count(F.lit(1)).alias("n")))
+    n, dim = nodes.agg(F.count(F.lit(1)), F.coalesce(F.max(F.octet_length("payload")), F.lit(8)) / 8).first()
+    if cell is None:
+        cell = min(0.5, 0.25 * (50_000 / max(1, n)) ** (1 / (8 * blocks)))
+    if tables is None:
+        met = meeting_probability(int(dim), threshold, blocks, probes, cell, seed)
+        tables = max(1, ceil(log(1 - recall) / log(1 - min(met, 0.999))))
     keyed = pa.schema([("node", pa.binary()), ("own", pa.list_(pa.int64())), ("near", pa.list_(pa.int64()))])
 
     def hash_cells(batches):

@@ -1,6 +1,6 @@
 import numpy as np
 import pytest
-from nearfield.llm.lattice_dedup import Lattice, link_embeddings, minimal_vectors, nearest_e8
+from nearfield.llm.lattice_dedup import Lattice, link_embeddings, meeting_probability, minimal_vectors, nearest_e8
 from nearfield.llm.queries import all_queries
 from pyspark.sql import functions as F
 
@@ -82,6 +82,12 @@ def test_odd_rows(spark):
     assert link_embeddings(df.limit(0)).collect() == []
 
 
+def test_tables_follow_from_the_wanted_recall():
+    met = [meeting_probability(64, 0.9, 2, 4, cell, 8) for cell in (0.15, 0.25, 0.35)]
+    assert met == sorted(met) and 0.01 < met[0] < 0.1 < met[1] < met[2] < 0.8
+    assert meeting_probability(64, 0.99, 2, 4, 0.25, 8) > 0.6 and meeting_probability(3, 0.9, 2, 4, 0.25, 8) > 0
+
+
 def test_e8_decoding_finds_the_nearest_point():
     minimal = minimal_vectors()
     assert minimal.shape == (240, 8) and np.allclose((minimal**2).sum(1), 2)
