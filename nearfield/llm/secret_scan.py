@@ -13,8 +13,11 @@ A fourth kind, ``novel``, reports values that no pattern covers: a run of
 identifier dictionary and the text around the candidate, and the bytes it
 adds for the candidate are divided by its length. What repeats its
 surroundings or common identifiers costs little; random key material costs
-about as much as it is long and is reported from ``novelty`` upwards. Parts
-already covered by a pattern are no candidates.
+about as much as it is long and is reported from ``novelty`` upwards. Candidates
+of 64 characters or more are measured in even pieces, which Zstandard stores as
+they are: it codes longer ones by their alphabet, so that long random keys would
+cost little too. One novel piece reports the whole candidate. Parts already
+covered by a pattern are no candidates.
 
 Spans are code points, end exclusive, and include the name and sign of an
 ``assign`` match. Null text counts as empty (no spans). Repeated rows are
@@ -88,6 +91,20 @@ class Novelty:
         return (len(primed.compress(value.encode())) - len(primed.compress(b""))) / len(value)
 
 
+#: Zstandard codes literals of 64 bytes and more by their frequency.
+_PIECE = 63
+
+
+def is_novel(value: str, before: str, after: str, novelty: Novelty, threshold: float, window: int) -> bool:
+    """Whether an even piece of at most ``_PIECE`` characters costs ``threshold`` a character or more."""
+    n = -(-len(value) // _PIECE)
+    cuts = [len(value) * i // n for i in range(n + 1)]
+    return any(  # a piece also knows the pieces before it
+        novelty.share(value[lo:hi], (before + value[max(0, lo - window) : lo])[-window:], after) >= threshold
+        for lo, hi in zip(cuts, cuts[1:])
+    )
+
+
 def novel_spans(
     text: str, covered: list[tuple[int, int, str]], novelty: Novelty, threshold: float, min_novel: int, reach: int, window: int
 ) -> list[tuple[int, int, str]]:
@@ -120,7 +137,7 @@ def novel_spans(
                 continue
             if not (any(c.isdigit() for c in value) and any(c.isalpha() for c in value)):
                 continue
-            if novelty.share(value, text[max(0, a - window) : a], text[b : b + window]) >= threshold:
+            if is_novel(value, text[max(0, a - window) : a], text[b : b + window], novelty, threshold, window):
                 out.append((a, b, "novel"))
     return out
 

@@ -1,11 +1,13 @@
 import hashlib
 import random
 import re
+import string
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from nearfield.llm.queries import all_queries
-from nearfield.llm.secret_scan import Novelty, find_secrets, pattern_spans
+from nearfield.llm.secret_scan import Novelty, find_secrets, novel_spans, pattern_spans
 
 SF = "/root/testdata/sf0.001"
 
@@ -52,6 +54,24 @@ def test_novelty_reports_random_keys_and_leaves_prose():
     assert n.share(key, f"credential {key} again ", "") < 0.5  # a repetition of its surroundings
 
 
+def random_keys(alphabet, n, count=20):
+    rng = random.Random(f"{alphabet}{n}")
+    return ["".join(rng.choice(alphabet) for _ in range(n)) for _ in range(count)]
+
+
+@pytest.mark.parametrize("alphabet", ["0123456789ABCDEF", string.ascii_uppercase + "234567", string.digits + string.ascii_lowercase,
+                                      string.ascii_letters + string.digits + "+/"])
+def test_long_keys_of_small_alphabets_are_reported(alphabet):
+    prose = "the stone walked under morning light near old houses with many people " * 20
+    for n in (64, 128, 200, 400, 1000, 4000):
+        for key in random_keys(alphabet, n):
+            text = f"{prose}authorization: Bearer {key} {prose}"
+            at = text.index(key)
+            assert novel_spans(text, [], Novelty(), 0.8, 20, 48, 1024) == [(at, at + n, "novel")]
+    for plain in ("abc123" * 100, "a" * 500 + "1", "0123456789abcdefghijklmnopqrstuvwxyz" * 5):
+        assert novel_spans(f"{prose}authorization: Bearer {plain} {prose}", [], Novelty(), 0.8, 20, 48, 1024) == []
+
+
 def test_odd_rows(spark, clashing):
     rng = random.Random(6)
     key = "".join(rng.choice("GHIJKLMNOPQRSTUVWXYZghijklmnopqrstuvwxyz0123456789") for _ in range(40))
