@@ -16,8 +16,10 @@ surroundings or common identifiers costs little; random key material costs
 about as much as it is long and is reported from ``novelty`` upwards. Candidates
 of 64 characters or more are measured in even pieces, which Zstandard stores as
 they are: it codes longer ones by their alphabet, so that long random keys would
-cost little too. One novel piece reports the whole candidate. Parts already
-covered by a pattern are no candidates.
+cost little too. One novel piece reports the whole candidate. Other places of a
+candidate are left out of its surroundings, so a key written twice does not hide
+itself, and what is novel at one place of a text is reported at all that are
+candidates. Parts already covered by a pattern are no candidates.
 
 Spans are code points, end exclusive, and include the name and sign of an
 ``assign`` match. Null text counts as empty (no spans). Repeated rows are
@@ -105,6 +107,20 @@ def is_novel(value: str, before: str, after: str, novelty: Novelty, threshold: f
     )
 
 
+def key_parts(value: str, min_novel: int) -> tuple[str, ...]:
+    """What of a candidate identifies it elsewhere: its long parts between ``=`` signs, else all of it."""
+    return tuple(p for p in value.split("=") if len(p) >= min_novel) or (value,)
+
+
+def surroundings(text: str, a: int, b: int, parts: tuple[str, ...], window: int) -> tuple[str, str]:
+    """``window`` characters before and after a candidate, without its other places."""
+    more = window + b - a  # a place that the window would cut is seen whole
+    before, after = text[max(0, a - more) : a], text[b : b + more]
+    for part in parts:
+        before, after = before.replace(part, " "), after.replace(part, " ")
+    return before[-window:], after[:window]
+
+
 def novel_spans(
     text: str, covered: list[tuple[int, int, str]], novelty: Novelty, threshold: float, min_novel: int, reach: int, window: int
 ) -> list[tuple[int, int, str]]:
@@ -122,14 +138,16 @@ def novel_spans(
         else:
             starts.append(a)
             ends.append(b)
-    out, seen = [], 0
+    places, novel, seen = [], set(), 0
     for word in _SENSITIVE.finditer(lower):
         # a run that starts in reach shows its first min_novel characters here
         for m in _RUN.finditer(text, max(seen, word.end()), min(len(text), word.end() + reach + min_novel)):
             a = m.start()
+            if a > word.end() + reach:
+                break  # a later word may reach it
             b = _RUN.match(text, a).end()
             seen = max(seen, b)
-            if b - a < min_novel or a > word.end() + reach:
+            if b - a < min_novel:
                 continue
             value = text[a:b]
             i = bisect.bisect_left(starts, b)
@@ -137,9 +155,11 @@ def novel_spans(
                 continue
             if not (any(c.isdigit() for c in value) and any(c.isalpha() for c in value)):
                 continue
-            if is_novel(value, text[max(0, a - window) : a], text[b : b + window], novelty, threshold, window):
-                out.append((a, b, "novel"))
-    return out
+            parts = key_parts(value, min_novel)
+            places.append((a, b, parts))
+            if parts not in novel and is_novel(value, *surroundings(text, a, b, parts, window), novelty, threshold, window):
+                novel.add(parts)
+    return [(a, b, "novel") for a, b, parts in places if parts in novel]
 
 
 _RUN = re.compile(r"[A-Za-z0-9+/_=-]+")

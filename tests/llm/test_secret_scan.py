@@ -72,6 +72,19 @@ def test_long_keys_of_small_alphabets_are_reported(alphabet):
         assert novel_spans(f"{prose}authorization: Bearer {plain} {prose}", [], Novelty(), 0.8, 20, 48, 1024) == []
 
 
+def test_repeated_keys_are_reported_at_every_place():
+    prose = "the stone walked under morning light near old houses with many people " * 20
+    for n in (24, 40, 100, 1500):
+        for key in random_keys(string.ascii_letters + string.digits, n):
+            for text in (f"{prose}Authorization: Bearer {key}\nAuthorization: Bearer {key}\n{prose}",
+                         f"access_key={key}\ncredential {key} {key}", f"bearer {key} {prose[:980]} signature: {key}",
+                         f"{prose}bearer user={key}\n" + f"# {key} " * 3 + f"\nbearer user={key}"):
+                at = {m.start() for m in re.finditer(key, text) if any(w in text[max(0, m.start() - 16) : m.start()].lower() for w in ("bearer", "access_key", "credential", "signature"))}
+                got = novel_spans(text, [], Novelty(), 0.8, 20, 48, 1024)
+                assert len(at) >= 2 and all(any(a <= x and b >= x + n for a, b, _ in got) for x in at)
+    assert novel_spans("token 0123456789abcdefghij token 0123456789abcdefghij", [], Novelty(), 0.8, 20, 48, 1024) == []
+
+
 def test_odd_rows(spark, clashing):
     rng = random.Random(6)
     key = "".join(rng.choice("GHIJKLMNOPQRSTUVWXYZghijklmnopqrstuvwxyz0123456789") for _ in range(40))
