@@ -1,3 +1,4 @@
+import inspect
 import random
 import re
 from collections import defaultdict
@@ -5,7 +6,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 from nearfield.llm.components import components
-from nearfield.llm.ngram_join import drop_similar, join_similar, matched_depth, similar_sets
+from nearfield.llm.ngram_join import drop_similar, join_similar, matched_depth, prefix_keys, similar_sets
 from nearfield.llm.queries import all_queries
 from nearfield.llm.tiles import smallest_reachable
 
@@ -84,6 +85,19 @@ def test_recall_at_the_threshold(spark, docs_of):
         matched_depth(0.8, 1, 8, 0.998)
 
 
+def test_default_bands_miss_no_pair_of_thousands_at_the_threshold():
+    default = {k: p.default for k, p in inspect.signature(join_similar).parameters.items()}
+    tries, depth = default["tries"], matched_depth(0.8, default["tries"], default["max_depth"], default["target"])
+    assert (1 - 0.8**depth) ** tries < 1e-5
+    rng = np.random.default_rng(13)
+    sets = []
+    for _ in range(5000):  # 80 shingles of 100 in common
+        every = rng.integers(0, 1 << 63, 100, dtype=np.uint64)
+        sets += [np.sort(every[:90]), np.sort(np.concatenate([every[:80], every[90:]]))]
+    keys = prefix_keys(sets, tries, depth)
+    assert (keys[::2] == keys[1::2]).any(1).all()
+
+
 def test_odd_rows(spark, clashing):
     docs = [(1, None), (2, ""), (3, "?! ..."), (4, "two words"), (5, "Two WORDS!"), (6, "words two"), (7, "long " * 30_000),
             (None, "two words"), (8, "rep eat ed row here now"), (8, "rep eat ed row here now"), (None, "null id only"), (None, "null id only")]
