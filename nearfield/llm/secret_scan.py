@@ -19,7 +19,8 @@ they are: it codes longer ones by their alphabet, so that long random keys would
 cost little too. One novel piece reports the whole candidate. Other places of a
 candidate are left out of its surroundings, so a key written twice does not hide
 itself, and what is novel at one place of a text is reported at all that are
-candidates. Parts already covered by a pattern are no candidates.
+candidates. A run that patterns cover entirely is no candidate; one that they cover
+in part is judged and reported whole.
 
 Spans are code points, end exclusive, and include the name and sign of an
 ``assign`` match. Null text counts as empty (no spans). Repeated rows are
@@ -49,7 +50,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")  # runs are maximal, so this equals dropping shorter ones
 
 SENSITIVE = ("password", "passwd", "passphrase", "secret", "token", "api_key", "apikey", "access_key", "private_key",
-             "credential", "authorization", "bearer", "client_secret", "signature")
+             "credential", "authorization", "bearer", "client_secret", "signature",
+             "api-key", "access-key", "private-key", "client-secret")
 #: Prime content: what commonly surrounds or imitates a secret in code and configuration.
 IDENTIFIERS = (
     "access_key_id secret_access_key api_key apikey api-key client_id client_secret authorization bearer basic token "
@@ -124,7 +126,7 @@ def surroundings(text: str, a: int, b: int, parts: tuple[str, ...], window: int)
 def novel_spans(
     text: str, covered: list[tuple[int, int, str]], novelty: Novelty, threshold: float, min_novel: int, reach: int, window: int
 ) -> list[tuple[int, int, str]]:
-    """Incompressible key-like runs close after a sensitive word and outside ``covered``."""
+    """Incompressible key-like runs close after a sensitive word and not wholly in ``covered``."""
     lower = text.lower()
     if len(lower) != len(text) or not any(w in lower for w in SENSITIVE):
         lower = "".join(c.lower() if c.isascii() else c for c in text)
@@ -150,8 +152,8 @@ def novel_spans(
             if b - a < min_novel:
                 continue
             value = text[a:b]
-            i = bisect.bisect_left(starts, b)
-            if i and ends[i - 1] > a:
+            i = bisect.bisect_right(starts, a)
+            if i and ends[i - 1] >= b:
                 continue
             if not (any(c.isdigit() for c in value) and any(c.isalpha() for c in value)):
                 continue

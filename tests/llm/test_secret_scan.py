@@ -85,6 +85,18 @@ def test_repeated_keys_are_reported_at_every_place():
     assert novel_spans("token 0123456789abcdefghij token 0123456789abcdefghij", [], Novelty(), 0.8, 20, 48, 1024) == []
 
 
+def test_keys_around_a_hex_run_and_after_hyphen_words_are_reported():
+    for one, two in zip(random_keys("GHIJKLMNPQRSTUVWXYZghijkmnpqrstuvwxyz23456789", 20), random_keys("GHJKLMNPQRSTUVWXYZghjkmnpqrstuvwxyz23456789", 20)):
+        key = one + "0123456789abcdef"[::-1] + two
+        text = f"walked Bearer {key} there"
+        covered = pattern_spans(text)
+        assert [k for *_, k in covered] == ["hex"]
+        assert novel_spans(text, covered, Novelty(), 0.8, 20, 48, 1024) == [(14, 14 + len(key), "novel")]
+        assert novel_spans(f"X-Api-Key: {one}{two} there", [], Novelty(), 0.8, 20, 48, 1024) == [(11, 11 + len(one + two), "novel")]
+    whole = "bearer " + hashlib.sha256(b"x").hexdigest()
+    assert novel_spans(whole, pattern_spans(whole), Novelty(), 0.8, 20, 48, 1024) == []
+
+
 def test_odd_rows(spark, clashing):
     rng = random.Random(6)
     key = "".join(rng.choice("GHIJKLMNOPQRSTUVWXYZghijklmnopqrstuvwxyz0123456789") for _ in range(40))
