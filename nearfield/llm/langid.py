@@ -5,7 +5,8 @@ blank, the middle character a letter) are hashed into ``buckets``. Learning
 counts them per language over at most about ``max_rows`` labelled rows. For a
 document, expectation-maximisation estimates the share of each language in its
 trigrams. The languages with the largest shares are then tried as sets of one,
-two and up to ``max_languages``; each set's shares are estimated anew, and the
+two and so on, until no larger set can win (``max_languages`` limits them on
+request only); each set's shares are estimated anew, and the
 set with the highest log-likelihood less ``penalty * log(trigrams)`` for every
 further language is kept. The language with the largest share is predicted,
 its share is the score.
@@ -74,7 +75,7 @@ class MixtureModel:
             shares = np.add.reduceat(part, starts, axis=0) / total[:, None]
         return shares, np.add.reduceat(weight * np.log((like * shares[owner]).sum(1)), starts)
 
-    def infer(self, docs: list[tuple[np.ndarray, np.ndarray]], rounds: int, max_languages: int, penalty: float):
+    def infer(self, docs: list[tuple[np.ndarray, np.ndarray]], rounds: int, max_languages: int | None, penalty: float):
         """Shares of the chosen language set of each document given as distinct trigrams and counts (none empty)."""
         sizes = np.array([len(g) for g, _ in docs])
         starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
@@ -83,20 +84,32 @@ class MixtureModel:
         total = np.add.reduceat(weight, starts)
         like = self.likelihood[np.concatenate([g for g, _ in docs])]
         n = len(self.languages)
-        full, _ = self._em(like, weight, starts, owner, total, np.full((len(docs), n), 1.0 / n), rounds)
+        full, fit = self._em(like, weight, starts, owner, total, np.full((len(docs), n), 1.0 / n), rounds)
+        # no mixture of languages is likelier than this: EM's next factors bound the gain that is left
+        factors = np.add.reduceat(like * (weight / (like * full[owner]).sum(1))[:, None], starts, axis=0) / total[:, None]
+        most = fit + total * np.log(np.maximum(factors.max(1), 1.0))
         order = np.argsort(-full, axis=1, kind="stable")
         best = np.full(len(docs), -np.inf)
         shares = np.zeros_like(full)
         rank = np.empty_like(order)
         np.put_along_axis(rank, order, np.broadcast_to(np.arange(n), order.shape), axis=1)
-        for k in range(1, min(max_languages, n) + 1):
-            start = np.where(rank < k, np.maximum(full, 1e-6), 0.0)
+        open_ = np.arange(len(docs))  # documents that a larger set may still fit better
+        for k in range(1, min(max_languages or n, n) + 1):
+            left = np.flatnonzero(most[open_] - penalty * (k - 1) * np.log(total[open_] + 1) > best[open_])
+            if len(left) < len(open_):
+                at = np.isin(owner, left)
+                like, weight, owner = like[at], weight[at], np.searchsorted(left, owner[at])
+                open_ = open_[left]
+            if not len(open_):
+                break
+            starts = np.searchsorted(owner, np.arange(len(open_)))
+            start = np.where(rank[open_] < k, np.maximum(full[open_], 1e-6), 0.0)
             start /= start.sum(1, keepdims=True)
-            tried, fit = self._em(like, weight, starts, owner, total, start, rounds if k > 1 else 0)
-            value = fit - penalty * (k - 1) * np.log(total + 1)
-            better = value > best
-            best = np.where(better, value, best)
-            shares[better] = tried[better]
+            tried, fit = self._em(like, weight, starts, owner, total[open_], start, rounds if k > 1 else 0)
+            value = fit - penalty * (k - 1) * np.log(total[open_] + 1)
+            better = value > best[open_]
+            best[open_[better]] = value[better]
+            shares[open_[better]] = tried[better]
         return shares
 
 
@@ -146,7 +159,7 @@ def learn(
 
 
 def identify(
-    docs: DataFrame, model: MixtureModel | None, rounds: int = 8, max_languages: int = 3, penalty: float = 4.0,
+    docs: DataFrame, model: MixtureModel | None, rounds: int = 8, max_languages: int | None = None, penalty: float = 4.0,
     id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """One row per document: id, ``lang_pred``, ``score``, ``languages`` (the chosen set with its shares)."""

@@ -1,3 +1,4 @@
+import inspect
 import random
 import zlib
 
@@ -60,3 +61,17 @@ def test_expectation_maximisation_recovers_known_shares():
     drawn = np.concatenate([rng.choice(500, 700, p=model.likelihood[:, 0]), rng.choice(500, 300, p=model.likelihood[:, 2])])
     shares = model.infer([distinct_counts(drawn, 500)], 50, 3, 4.0)[0]
     assert abs(shares[0] - 0.7) < 0.05 and abs(shares[2] - 0.3) < 0.05 and shares[1] < 0.02
+
+
+def test_sets_of_more_than_three_languages():
+    rng = np.random.default_rng(2)
+    names = list("abcdef")
+    counts = rng.integers(1, 100, (800, 6)).astype(float) * (rng.random((800, 6)) < 0.2)
+    model = MixtureModel(names, counts)
+    default = inspect.signature(identify).parameters["max_languages"].default
+    drawn = [np.concatenate([rng.choice(800, 400, p=model.likelihood[:, j]) for j in range(k)]) for k in (5, 1, 4, 2, 6)]
+    shares = model.infer([distinct_counts(d, 800) for d in drawn], 50, default, 4.0)
+    for own, k in zip(shares, (5, 1, 4, 2, 6)):
+        assert np.flatnonzero(own).tolist() == list(range(k)) and np.abs(own[:k] - 1 / k).max() < 0.06
+    alone = [model.infer([distinct_counts(d, 800)], 50, default, 4.0)[0] for d in drawn]
+    assert np.allclose(alone, shares)
