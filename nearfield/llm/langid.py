@@ -2,7 +2,9 @@
 
 Character trigrams of whole texts (letters in lower case, everything else one
 blank, the middle character a letter) are hashed into ``buckets``. Learning
-counts them per language over at most about ``max_rows`` labelled rows. For a
+counts them per language over at most about ``max_rows`` labelled rows: rows are
+counted per language first, and all languages share the bound evenly, where rare
+ones leave the rest of their part to the others. For a
 document, expectation-maximisation estimates the share of each language in its
 trigrams. The languages with the largest shares are then tried as sets of one,
 two and so on, until no larger set can win (``max_languages`` limits them on
@@ -14,7 +16,7 @@ its share is the score.
 Null text, or text without a letter, is ``und`` with score 0. Texts whose
 trigrams say nothing (all languages alike) go to the language first in order.
 Rows with a null language are not learned from; languages seen in fewer than
-``min_docs`` learned rows are left out unless all are. Without a row to learn
+``min_docs`` labelled rows of the whole table are left out unless all are. Without a row to learn
 from every text is ``und``. Repeated rows are predicted each time, null ids
 are carried, an empty table gives an empty result, other columns are ignored.
 No text is shuffled; the model is ``buckets`` doubles per language.
@@ -113,6 +115,16 @@ class MixtureModel:
         return shares
 
 
+def row_quota(rows: list[int], max_rows: int) -> float:
+    """The most rows of one language at which all languages (rows of each) stay within ``max_rows``."""
+    left = max_rows
+    for i, n in enumerate(sorted(rows)):
+        if n * (len(rows) - i) > left:
+            return left / (len(rows) - i)
+        left -= n
+    return float(max(rows, default=0))
+
+
 def learn(
     docs: DataFrame, max_rows: int = 20_000, buckets: int = 1 << 16, min_docs: int = 3,
     id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
@@ -120,41 +132,40 @@ def learn(
     """Trigram counts per language of at most about ``max_rows`` rows of ``docs`` (a hash of the id decides)."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     rows = rows.where("lang is not null and text is not null")
-    n = rows.count()
-    if n > max_rows:
-        rows = rows.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < F.lit(1e6 * max_rows / n))
-    out = pa.schema([("lang", pa.string()), ("bucket", pa.int32()), ("n", pa.int64()), ("docs", pa.int64())])
+    per_lang = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    # one row for each language, as the model has; where none has min_docs rows all stay
+    found = per_lang.where(F.col("n") >= min_docs).collect() or per_lang.collect()
+    if not found:
+        return None
+    quota = row_quota([r.n for r in found], max_rows)
+    limits = docs.sparkSession.createDataFrame([(r.lang, min(1.0, quota / r.n)) for r in found], "lang string, rate double")
+    rows = rows.join(F.broadcast(limits), "lang").where(
+        F.pmod(F.xxhash64("id"), F.lit(1 << 40)) < F.col("rate") * F.lit(float(1 << 40))
+    )
+    out = pa.schema([("lang", pa.string()), ("bucket", pa.int32()), ("n", pa.int64())])
 
     def kernel(batches):
         letters = per_process(("letters",), _letters)
         held: dict[str, np.ndarray] = {}
-        seen: dict[str, int] = {}
         for batch in batches:
             for texts, langs in slices(batch, 512, ["text", "lang"]):
                 for text, lang in zip(texts, langs):
                     if lang not in held:
-                        held[lang], seen[lang] = np.zeros(buckets, np.int64), 0
+                        held[lang] = np.zeros(buckets, np.int64)
                     held[lang] += np.bincount(trigrams(text, buckets, letters), minlength=buckets)
-                    seen[lang] += 1
         for lang, counts in held.items():
             which = np.flatnonzero(counts).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * (len(which) + 1), pa.string()), pa.array(np.append(which, np.int32(-1))),
-                 pa.array(np.append(counts[which], 0)), pa.array(np.append(np.zeros(len(which), np.int64), seen[lang]))],
-                schema=out)
+                [pa.array([lang] * len(which), pa.string()), pa.array(which), pa.array(counts[which])], schema=out)
 
     counted = (
-        rows.select("text", "lang").mapInArrow(kernel, "lang string, bucket int, n bigint, docs bigint")
-        .groupBy("lang", "bucket").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+        rows.select("text", "lang").mapInArrow(kernel, "lang string, bucket int, n bigint")
+        .groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
         .toPandas()  # at most one row for each language and bucket
     )
-    seen = counted[counted.bucket < 0].set_index("lang").docs
-    languages = sorted(seen[seen >= min_docs].index) or sorted(seen.index)
-    if not languages:
-        return None
+    languages = sorted(r.lang for r in found)
     counts = np.zeros((buckets, len(languages)))
-    grams = counted[(counted.bucket >= 0) & counted.lang.isin(languages)]
-    counts[grams.bucket.to_numpy(), grams.lang.map({l: i for i, l in enumerate(languages)}).to_numpy(dtype=int)] = grams.n
+    counts[counted.bucket.to_numpy(), counted.lang.map({l: i for i, l in enumerate(languages)}).to_numpy(dtype=int)] = counted.n
     return MixtureModel(languages, counts)
 
 

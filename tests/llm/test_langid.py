@@ -3,7 +3,7 @@ import random
 import zlib
 
 import numpy as np
-from nearfield.llm.langid import MixtureModel, _letters, distinct_counts, identify, learn, trigrams
+from nearfield.llm.langid import MixtureModel, _letters, distinct_counts, identify, learn, row_quota, trigrams
 from nearfield.llm.queries import all_queries
 
 SF = "/root/testdata/sf0.01"
@@ -75,3 +75,17 @@ def test_sets_of_more_than_three_languages():
         assert np.flatnonzero(own).tolist() == list(range(k)) and np.abs(own[:k] - 1 / k).max() < 0.06
     alone = [model.infer([distinct_counts(d, 800)], 50, default, 4.0)[0] for d in drawn]
     assert np.allclose(alone, shares)
+
+
+def test_rare_languages_keep_their_rows_in_a_bounded_sample(spark, docs_of):
+    rng = random.Random(3)
+    rows = [(i, text_of("aa", 3, rng), "aa") for i in range(4000)] + [(4000 + i, text_of("bb", 3, rng), "bb") for i in range(20)]
+    rows += [(5000 + i, text_of("cc", 3, rng), "cc") for i in range(2)]
+    labelled = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = learn(labelled, max_rows=200)
+    assert model.languages == ["aa", "bb"]  # two rows of "cc" are fewer than min_docs
+    every = learn(labelled, max_rows=10_000)
+    assert (model.counts[:, 1] == every.counts[:, 1]).all()
+    assert 0.02 < model.counts[:, 0].sum() / every.counts[:, 0].sum() < 0.08
+    assert learn(labelled.where("lang = 'cc'")).languages == ["cc"]
+    assert [row_quota(r, 200) for r in ([4000, 20], [50, 60], [4000, 4000, 10], [], [200])] == [180, 60, 95, 0, 200]
