@@ -6,7 +6,7 @@ from nearfield.functions.json import parse_top_result
 from nearfield.operators import enrich as E
 from nearfield.sources import fixtures as FX
 
-from conftest import SF_MID
+from paths import SF_MID
 
 
 def test_parse_top_result_cases(spark):

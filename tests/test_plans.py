@@ -2,7 +2,7 @@
 
 from nearfield.plans import registry as RG
 
-from conftest import SF_SMALL
+from paths import SF_SMALL
 
 
 def _plan(df):

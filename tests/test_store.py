@@ -13,7 +13,7 @@ from nearfield.sources import fixtures as FX
 from nearfield.sources.catalog import load_items, materialize, pending
 from nearfield.sources.store import load_index, save_index
 
-from conftest import SF_SMALL
+from paths import SF_SMALL
 
 
 def test_save_load_round_trip(spark, scratch_dir):

@@ -9,7 +9,7 @@ from nearfield.operators.index import assign_cells, build_index, knn_ivf, valida
 from nearfield.operators.knn import SearchConfig, knn_exact, recall_at_k
 from nearfield.sources import fixtures as FX
 
-from conftest import SF_MID
+from paths import SF_MID
 
 TINY = SearchConfig(item_tile_rows=16, query_tile_rows=8, max_broadcast_bytes=0)
 
