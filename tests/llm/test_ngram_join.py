@@ -1,7 +1,5 @@
 import inspect
 import random
-import re
-from collections import defaultdict
 
 import numpy as np
 import pytest
@@ -10,33 +8,9 @@ from nearfield.llm.ngram_join import drop_similar, join_similar, matched_depth,
 from nearfield.llm.queries import all_queries
 from nearfield.llm.tiles import smallest_reachable
 
-SF = "/root/testdata/sf0.001"
-
+from truth_of_pairs import brute
 
-def brute(docs, threshold=0.8):
-    """(class id, links) per id by comparing every pair of texts."""
-    sets = {}
-    for k, t in docs:
-        w = re.findall(r"\w+", (t or "").lower())
-        sets[k] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
-    ids = sorted(sets)
-    links = defaultdict(set)
-    for i, a in enumerate(ids):
-        for b in ids[i + 1 :]:
-            common = len(sets[a] & sets[b])
-            if sets[a] and sets[b] and common >= threshold * (len(sets[a]) + len(sets[b]) - common) - 1e-9:
-                links[a].add(b)
-                links[b].add(a)
-    root = {}
-    for a in ids:
-        if a not in root:
-            todo = [a]
-            while todo:
-                x = todo.pop()
-                if x not in root:
-                    root[x] = a
-                    todo += links[x]
-    return {a: (root[a], len(links[a])) for a in ids}
+SF = "/root/testdata/sf0.001"
 
 
 def near_copies(rng, n, words=60, edits=2):

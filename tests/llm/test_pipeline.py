@@ -4,8 +4,9 @@ import corpus_pipeline
 import __spark_entry__ as entry
 from nearfield.llm.secret_scan import find_secrets
 from nearfield.llm.toxicity import score_documents
-from test_ngram_join import brute as near_brute
-from test_packing import check as check_packing
+
+from truth_of_packing import check as check_packing
+from truth_of_pairs import brute as near_brute
 
 SF = "/root/testdata/sf0.001"
 
