@@ -143,6 +143,84 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from nearfield.llm.merkle import build, leaf_digest, proofs, verify
+
+    others = ("doc_id", "source", "lang", "n_chars")
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    rows = table(spark, sf_dir, "documents").select("doc_id", "lang", leaf_digest(*others, "text").alias("leaf"),
+                                                    F.when(tampered, leaf_digest(*others, lowered)).alias("shown"))
+    manifest = build(rows, carry="shown")
+    root = F.lit(None if manifest.root is None else manifest.root.hex())
+    shown = proofs(manifest).withColumn("shown", F.coalesce("carried", "leaf"))
+    folded = _hex("folded_root")
+    return verify(shown, "shown").select(
+        F.col("id").alias("doc_id"), _hex("leaf").alias("leaf"), _hex("subroot").alias("subroot"), root.cast("string").alias("root"),
+        F.sha2(_hex("siblings").cast("binary"), 256).alias("proof_sha256"), folded.alias("folded_root"), (folded == root).alias("verified"),
+    )
+
+
+def _hex(col):
+    return F.lower(F.hex(col))
+
+
+#: Levels that the statement below spells out for the documents of a language: up to 8 ** 7 of them.
+SQL_LEVELS = 7
+
+
+def _op11_sql() -> str:
+    """The trees level by level: ``l0`` are the leaves, ``l1`` their parents and so on; then the same over the subroots."""
+
+    def field(x: str) -> str:
+        return f"coalesce(strlen(CAST({x} AS VARCHAR)) || ':' || CAST({x} AS VARCHAR), '-')"
+
+    def leaf(text: str) -> str:
+        return f"sha256({' || '.join(field(x) for x in ('doc_id', 'source', 'lang', 'n_chars', text))})"
+
+    # of a byte list, the bits' steps in one fold: a byte is met by xor, each -1 shifts once
+    steps = "flatten(list_transform(range(1, strlen(id) + 1), lambda i: [ascii(substr(id, i, 1)), -1, -1, -1, -1, -1, -1, -1, -1]))"
+    crc = (f"xor(list_reduce(list_prepend(4294967295, {steps}), "
+           "lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, 3988292384 * (c & 1)) END), 4294967295)")
+    lowered = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    parts = [
+        f"""docs AS (SELECT doc_id, coalesce('=' || lang, '') AS part, {leaf('text')} AS leaf,
+  CASE WHEN {crc} % 3 = 0 THEN {leaf(lowered)} ELSE {leaf('text')} END AS shown
+  FROM (SELECT *, CAST(doc_id AS VARCHAR) AS id FROM documents))""",
+        """l0 AS (SELECT *, row_number() OVER (PARTITION BY part ORDER BY doc_id NULLS FIRST, leaf, shown) - 1 AS i,
+  count(*) OVER (PARTITION BY part) AS n, leaf AS digest FROM docs)""",
+    ]
+
+    def climb(nodes: str, proofs: str, by: str, levels: int) -> tuple[str, str]:
+        """Adds the levels above ``nodes`` and, in ``proofs``, each row's path; names of the last ones."""
+        for k in range(levels):
+            up, on = f"{nodes[0]}{k + 1}", f"{proofs[0]}{k + 1}"
+            parts.append(f"""{up} AS (SELECT {by}, i // 8 AS i, (max(n) + 7) // 8 AS n,
+  CASE WHEN max(n) = 1 THEN any_value(digest) ELSE sha256(string_agg(digest, '' ORDER BY i)) END AS digest
+  FROM {nodes[0]}{k} GROUP BY {by}, i // 8)""")
+            parts.append(f"""{on} AS (SELECT p.row_id, p.{by}, p.at // 8 AS at,
+  p.siblings || coalesce(string_agg(s.digest, '' ORDER BY s.i) FILTER (WHERE s.i <> p.at), '') AS siblings,
+  CASE WHEN max(s.n) = 1 THEN p.folded
+       ELSE sha256(string_agg(CASE WHEN s.i = p.at THEN p.folded ELSE s.digest END, '' ORDER BY s.i)) END AS folded
+  FROM {proofs[0]}{k} p JOIN {nodes[0]}{k} s ON s.{by} = p.{by} AND s.i // 8 = p.at // 8
+  GROUP BY p.row_id, p.{by}, p.at, p.siblings, p.folded)""")
+        return f"{nodes[0]}{levels}", f"{proofs[0]}{levels}"
+
+    parts.append("""rows_ AS (SELECT *, row_number() OVER () AS row_id FROM l0)""")
+    parts.append("p0 AS (SELECT row_id, part, i AS at, '' AS siblings, shown AS folded FROM rows_)")
+    subroots, paths = climb("l", "p", "part", SQL_LEVELS)
+    parts.append(f"""r0 AS (SELECT '' AS whole, part, digest, row_number() OVER (ORDER BY part) - 1 AS i, count(*) OVER () AS n FROM {subroots})""")
+    parts.append(f"q0 AS (SELECT p.row_id, '' AS whole, r.i AS at, p.siblings, p.folded FROM {paths} p JOIN r0 r ON r.part = p.part)")
+    root, whole = climb("r", "q", "whole", 4)
+    return "WITH " + ",\n".join(parts) + f"""
+SELECT d.doc_id, d.leaf, s.digest AS subroot, r.digest AS root, sha256(q.siblings) AS proof_sha256, q.folded AS folded_root,
+  q.folded = r.digest AS verified
+FROM rows_ d JOIN {whole} q ON q.row_id = d.row_id JOIN {subroots} s ON s.part = d.part JOIN {root} r ON true"""
+
+
+OP11_SQL = _op11_sql()
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -161,6 +239,7 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language": op8_language,
         "op9_exact": op9_exact,
         "op10_bpe": op10_bpe,
+        "op11_merkle": op11_merkle,
         "pipeline": pipeline,
     }
 
@@ -169,4 +248,5 @@ def all_oracles() -> dict[str, str]:
     return {
         "op3_urls": OP3_SQL,
         "op9_exact": OP9_SQL,
+        "op11_merkle": OP11_SQL,
     }
