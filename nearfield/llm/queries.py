@@ -185,7 +185,7 @@ def _op11_sql() -> str:
     lowered = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     parts = [
         f"""docs AS (SELECT doc_id, coalesce('=' || lang, '') AS part, {leaf('text')} AS leaf,
-  CASE WHEN {crc} % 3 = 0 THEN {leaf(lowered)} ELSE {leaf('text')} END AS shown
+  CASE WHEN id IS NOT NULL AND {crc} % 3 = 0 THEN {leaf(lowered)} ELSE {leaf('text')} END AS shown
   FROM (SELECT *, CAST(doc_id AS VARCHAR) AS id FROM documents))""",
         """l0 AS (SELECT *, row_number() OVER (PARTITION BY part ORDER BY doc_id NULLS FIRST, leaf, shown) - 1 AS i,
   count(*) OVER (PARTITION BY part) AS n, leaf AS digest FROM docs)""",
