@@ -6,12 +6,13 @@ table and derives the digest columns from what the operator returns.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import table
+from nearfield.llm.common import shared_dir, table
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -221,6 +222,88 @@ FROM rows_ d JOIN {whole} q ON q.row_id = d.row_id JOIN {subroots} s ON s.part =
 OP11_SQL = _op11_sql()
 
 
+def op12_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from nearfield.llm.filter_audit import audit, label_flags, later_copies, numbered, quality_conditions
+
+    conditions = quality_conditions()
+    rows = numbered(table(spark, sf_dir, "documents"), conditions, "source")
+    failing = {name: rows.where(f"fails_{name}").select("row", "id") for name in conditions} | {"E": later_copies(rows)}
+    return audit(rows, failing, label_flags(table(spark, sf_dir, "labels")))
+
+
+OP12_SQL = """
+WITH words AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w
+  FROM documents
+), firsts AS (
+  SELECT text, min(doc_id) AS low FROM words GROUP BY text
+), good AS (
+  SELECT doc_id, bool_or(coalesce(quality = 1, false)) AS good, bool_or(coalesce(toxic = 1, false)) AS toxic FROM labels GROUP BY doc_id
+), fails AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+    CASE WHEN len(w) < 50 THEN 1 ELSE 0 END
+    + CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 2 ELSE 0 END
+    + CASE WHEN 100 * length(regexp_replace(words.text, '[^A-Z]', '', 'g')) > 5 * length(words.text) THEN 4 ELSE 0 END
+    + CASE WHEN regexp_matches(words.text, '[#$%&*|]') THEN 8 ELSE 0 END
+    + CASE WHEN words.doc_id > low THEN 16 ELSE 0 END AS mask
+  FROM words JOIN firsts ON firsts.text = words.text LEFT JOIN good ON good.doc_id = words.doc_id
+), masks AS (
+  SELECT part, mask, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic FROM fails GROUP BY part, mask
+), letters(l, bit) AS (
+  VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)
+), orders AS (
+  SELECT a.l || b.l || c.l || d.l || e.l AS filter_order
+  FROM letters a, letters b, letters c, letters d, letters e
+  WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31 AND len(list_distinct([a.l, b.l, c.l, d.l, e.l])) = 5
+), steps AS (
+  SELECT filter_order, CAST(step AS INTEGER) AS step, (SELECT bit FROM letters WHERE l = substr(filter_order, step, 1)) AS own,
+    list_sum(list_transform(range(1, step), lambda i: 1 << (ascii(substr(filter_order, i, 1)) - 65))) AS set_before
+  FROM orders, range(1, 6) r(step)
+), laid AS (
+  SELECT m.part, filter_order, step, own,
+    sum(n) FILTER (WHERE mask & (CAST(coalesce(set_before, 0) AS BIGINT) | own) = 0) AS kept,
+    sum(n) FILTER (WHERE mask & own <> 0 AND mask & CAST(coalesce(set_before, 0) AS BIGINT) = 0) AS removed,
+    sum(n) FILTER (WHERE mask & own <> 0 AND mask & CAST(coalesce(set_before, 0) AS BIGINT) <> 0) AS redundant,
+    sum(n) FILTER (WHERE mask = own) AS unique_fails,
+    sum(good) FILTER (WHERE mask & own <> 0 AND mask & CAST(coalesce(set_before, 0) AS BIGINT) = 0) AS good_lost,
+    sum(toxic) FILTER (WHERE mask & own <> 0 AND mask & CAST(coalesce(set_before, 0) AS BIGINT) = 0) AS toxic_lost
+  FROM masks m CROSS JOIN steps GROUP BY m.part, filter_order, step, own
+)
+SELECT part, filter_order, step, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed,
+  CAST(coalesce(redundant, 0) AS BIGINT) AS redundant, CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails,
+  CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost, CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost,
+  CAST(sum(coalesce(removed, 0)) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+FROM laid
+"""
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from nearfield.llm.warc import archive_and_read
+
+    return archive_and_read(table(spark, sf_dir, "pages"), f"{shared_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}", min_revisit_bytes=0)
+
+
+#: The base32 digits are taken from the hex digest, five hex digits (20 bits) at a time.
+OP13_SQL = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS payload FROM pages
+), tops AS (
+  SELECT payload, max(page_id) AS top, sha1(payload) AS h FROM p GROUP BY payload
+), marked AS (
+  SELECT p.page_id, strlen(p.payload) AS payload_bytes, t.h, t.top,
+    p.page_id IS NOT DISTINCT FROM t.top AND row_number() OVER (PARTITION BY p.page_id, p.payload) = 1 AS response
+  FROM p JOIN tops t ON t.payload = p.payload
+)
+SELECT page_id, payload_bytes,
+  list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    CAST(((CAST('0x' || substr(h, CAST(i // 4 AS BIGINT) * 5 + 1, 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS INTEGER)) & 31) + 1 AS BIGINT), 1)),
+    'string_agg', '') AS payload_digest,
+  CASE WHEN response THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN NOT response THEN top END AS refers_to
+FROM marked
+"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -240,6 +323,8 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_exact": op9_exact,
         "op10_bpe": op10_bpe,
         "op11_merkle": op11_merkle,
+        "op12_audit": op12_audit,
+        "op13_warc": op13_warc,
         "pipeline": pipeline,
     }
 
@@ -249,4 +334,6 @@ def all_oracles() -> dict[str, str]:
         "op3_urls": OP3_SQL,
         "op9_exact": OP9_SQL,
         "op11_merkle": OP11_SQL,
+        "op12_audit": OP12_SQL,
+        "op13_warc": OP13_SQL,
     }
