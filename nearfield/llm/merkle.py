@@ -174,8 +174,8 @@ def build(
     )
     above = _rounds(listed, n_parts, arity, levels)
     root = above[-1].select(top).first()[0]
-    none = above[-1].select("key", F.col("builder").alias("index"), F.lit(bytearray()).alias("siblings"))
-    proofs = _proofs(above, none, arity, levels, listed.schema["id"].dataType).select(
+    nothing = F.lit(None).cast("binary").alias("subroot"), F.lit(0).cast("bigint").alias("place"), F.lit(0).cast("bigint").alias("parts")
+    proofs = _proofs(above, above[-1].select("key", F.lit(bytearray()).alias("siblings"), *nothing), arity, levels).select(
         F.col("id").alias("key"), F.col("index").alias("place"), F.col("siblings").alias("above")
     )
     parts = cut(
@@ -294,44 +294,52 @@ def log(manifest: Manifest) -> DataFrame:
 def proofs(manifest: Manifest) -> DataFrame:
     """One row per leaf: ``part, id, leaf, carried, index, n, subroot, place, parts, siblings`` (its proof)."""
     m = manifest
-    top = m.parts.select("key", F.lit(0).cast("bigint").alias("index"), F.col("above").alias("siblings"))
-    id_type = m.rounds[0].schema["ids"].dataType.elementType
-    per_leaf = _proofs(m.rounds, top, m.arity, m.levels, id_type)
-    return per_leaf.join(m.parts.drop("above"), "key").select(
-        "part", "id", "leaf", "carried", "index", "n", "subroot", "place", "parts", "siblings"
+    return _proofs(m.rounds, m.parts.select("key", "subroot", "place", "parts", F.col("above").alias("siblings")), m.arity, m.levels).select(
+        "part", "id", "leaf", "carried", "index", F.col("leaves").alias("n"), "subroot", "place", "parts", "siblings"
     )
 
 
-def _proofs(rounds: list[DataFrame], top: DataFrame, arity: int, levels: int, id_type) -> DataFrame:
-    """Proofs of the first round's leaves; ``top`` has those of the parts' last nodes, ``(key, index, siblings)``."""
+#: What a proof says of its part, handed down with the siblings, so that no leaf is shuffled by its part.
+OF_PART = ["subroot", "place", "parts"]
+
+
+def _proofs(rounds: list[DataFrame], top: DataFrame, arity: int, levels: int) -> DataFrame:
+    """Proofs of the first round's leaves; ``top`` has those of the parts' last nodes, ``(key, siblings)`` and ``OF_PART``."""
     span = arity**levels
-    above = top.withColumn("last", F.lit(True))
+    top = top.select("key", F.lit(0).cast("bigint").alias("builder"), "siblings", *OF_PART, F.lit(True).alias("last"))
+    above = top
     for segments in reversed(rounds):
         # a part's last segment gets what stands above the part, any other its last node's proof from the round above
-        given = above.withColumnRenamed("index", "builder")
-        handed = _extract(segments.withColumn("last", F.col("n") <= span).join(given, ["key", "builder", "last"]), arity, levels, id_type)
-        above = top.withColumn("last", F.lit(True)).unionByName(handed.select("key", "index", "siblings", F.lit(False).alias("last")))
+        handed = _extract(segments.withColumn("last", F.col("n") <= span).join(above, ["key", "builder", "last"]), arity, levels)
+        above = top.unionByName(handed.select("key", F.col("index").alias("builder"), "siblings", *OF_PART, F.lit(False).alias("last")))
     return handed
 
 
-def _extract(met: DataFrame, arity: int, levels: int, id_type) -> DataFrame:
+def _extract(met: DataFrame, arity: int, levels: int) -> DataFrame:
     span = arity**levels
+    part_type, id_type = met.schema["part"].dataType, met.schema["ids"].dataType.elementType
     schema = pa.schema([
-        ("key", pa.string()), ("index", pa.int64()), ("id", to_arrow_type(id_type)), ("leaf", pa.binary()), ("carried", pa.binary()),
-        ("siblings", pa.binary()),
+        ("key", pa.string()), ("part", to_arrow_type(part_type)), ("leaves", pa.int64()), ("index", pa.int64()), ("id", to_arrow_type(id_type)),
+        ("leaf", pa.binary()), ("carried", pa.binary()), ("siblings", pa.binary()), ("subroot", pa.binary()), ("place", pa.int64()),
+        ("parts", pa.int64()),
     ])
+    taken = ["key", "part", "leaves", *OF_PART, "n", "builder", "m", "nodes", "ids", "carried", "siblings"]
 
     def kernel(batches):
         for batch in batches:
-            for cols in slices(batch, 16, ["key", "n", "builder", "m", "nodes", "ids", "carried", "siblings"]):
-                for key, n, builder, m, nodes, ids, carried, above in zip(*cols):
+            for cols in slices(batch, 16, taken):
+                for key, part, leaves, subroot, place, parts, n, builder, m, nodes, ids, carried, above in zip(*cols):
                     own = segment_proofs(nodes, m, min(levels, len(level_sizes(n, arity)) - 1), arity, above)
                     at = [DIGEST * postorder(0, i, m, arity) for i in range(m)]
-                    columns = ([key] * m, range(builder * span, builder * span + m), ids, [nodes[p : p + DIGEST] for p in at], carried, own)
+                    digests = [nodes[p : p + DIGEST] for p in at]
+                    columns = ([key] * m, [part] * m, [leaves] * m, range(builder * span, builder * span + m), ids, digests, carried, own,
+                               [subroot] * m, [place] * m, [parts] * m)
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
-    return met.select("key", "n", "builder", "m", "nodes", "ids", "carried", "siblings").mapInArrow(
-        kernel, f"key string, index bigint, id {id_type.simpleString()}, leaf binary, carried binary, siblings binary"
+    return met.select(taken).mapInArrow(
+        kernel,
+        f"key string, part {part_type.simpleString()}, leaves bigint, index bigint, id {id_type.simpleString()}, leaf binary, carried binary, "
+        "siblings binary, subroot binary, place bigint, parts bigint",
     )
 
 
