@@ -7,9 +7,16 @@ inside them.
 
 Cell assignment ships the centroids (nlist x dim, size-checked) to every
 task and scores each Arrow batch with BLAS: no shuffle and no centroid-fold
-row blow-up. Past the size bound it falls back to the tiled exact search with
-the centroids as the item side, on a tag per row, so both forms return the
-same cells for the same rows, repeated ids included.
+row blow-up. Past the size bound the centroids are grouped under coarse centres
+and only the groups that can hold a nearest one are searched (``tree``), on a
+tag per row, so both forms return the same cells for the same rows, repeated
+ids included. Training past that bound goes level by level in the same way.
+
+Each indexed row keeps its residual, the distance to its cell's centroid. A
+query that has found k rows within distance u needs, of a further cell at
+distance c, only rows with residuals from c - u to c + u (triangle inequality),
+and no row of a cell whose residuals all lie outside; a stored index is sorted
+by residual, so that row groups outside are skipped.
 """
 
 from __future__ import annotations
@@ -18,23 +25,29 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from nearfield.functions.vectors import bad_vector
 from nearfield.operators import kernels as K
-from nearfield.operators.knn import DEFAULT_CONFIG, SearchConfig, id_column, knn_exact, search
+from nearfield.operators.knn import DEFAULT_CONFIG, SearchConfig, final_topk, id_column, search
+from nearfield.operators.tree import CellTree, assign_in_tree, grow, train_in_levels
 from nearfield.session import cut_lineage
 
 
 @dataclass
 class IvfIndex:
     centroids: DataFrame  # cell_id int, centroid array<float>
-    cells: DataFrame  # item_id bigint or string, embedding array<float>, cell_id int
+    cells: DataFrame  # item_id bigint or string, embedding array<float>, cell_id int, residual double
     nlist: int
     dim: int
+    # Read back from a store, where cells are partitions: searches prune them at run time.
+    stored: bool = False
+    # Statistics of the rows, observed while they are written; None when they were checked before.
+    checks: Observation | None = field(default=None, repr=False)
     # (cell ids, centroid matrix) once fetched, or False when too large to ship.
     _matrix: object = field(default=None, repr=False)
+    _tree: CellTree | None = field(default=None, repr=False)
 
     def centroid_matrix(self, cfg: SearchConfig = DEFAULT_CONFIG):
         """Centroids as driver-side arrays (size-checked), fetched once."""
@@ -42,40 +55,45 @@ class IvfIndex:
             self._matrix = _centroid_matrix(self.centroids, cfg, self.nlist, self.dim) or False
         return self._matrix or None
 
+    def cell_tree(self, cfg: SearchConfig = DEFAULT_CONFIG) -> CellTree | None:
+        """The centroids under coarse centres, grown once, where they are too large to ship."""
+        if self.centroid_matrix(cfg) is not None:
+            return None
+        if self._tree is None:
+            self._tree = grow(self.centroids, cfg=cfg)
+        return self._tree
 
-def vector_stats(df: DataFrame, dim: int | None = None, col: str = "embedding") -> DataFrame:
-    """One row: ``n_rows, n_null, dim_min, dim_max, n_bad`` (one aggregate).
 
-    ``n_bad`` counts null vectors, vectors whose size differs from ``dim``
-    (from ``dim_min`` when not given) and vectors with a null or NaN element.
-    """
+def _stats(dim: int | None, col: str = "embedding") -> list:
     c = F.col(col)
     size = F.size(c)
-    if dim is None:
-        bad = c.isNull() | F.exists(c, lambda x: x.isNull() | F.isnan(x))
-        return df.agg(
-            F.count(F.lit(1)).alias("n_rows"),
-            F.count_if(c.isNull()).alias("n_null"),
-            F.min(F.when(c.isNotNull(), size)).alias("dim_min"),
-            F.max(F.when(c.isNotNull(), size)).alias("dim_max"),
-            F.count_if(bad).alias("n_bad"),
-        )
-    return df.agg(
+    bad = c.isNull() | F.exists(c, lambda x: x.isNull() | F.isnan(x)) if dim is None else bad_vector(c, dim)
+    return [
         F.count(F.lit(1)).alias("n_rows"),
         F.count_if(c.isNull()).alias("n_null"),
         F.min(F.when(c.isNotNull(), size)).alias("dim_min"),
         F.max(F.when(c.isNotNull(), size)).alias("dim_max"),
-        F.count_if(bad_vector(c, dim)).alias("n_bad"),
-    )
+        F.count_if(bad).alias("n_bad"),
+    ]
 
 
-def validate_vectors(df: DataFrame, nlist: int | None = None, dim: int | None = None) -> tuple[int, int]:
-    """Raise ``ValueError`` on bad vectors or too few rows; return ``(n, dim)``.
+def vector_stats(df: DataFrame, dim: int | None = None, col: str = "embedding") -> DataFrame:
+    """One row: ``n_rows, n_null, dim_min, dim_max, n_bad`` (one aggregate).
 
-    Elements must be single-precision floats (cast first if they are not).
+    ``n_bad`` counts null vectors, vectors whose size differs from ``dim``
+    (from ``dim_min`` when not given) and vectors with a null or NaN element.
     """
-    _check_float32(df)
-    r = vector_stats(df, dim).first()
+    return df.agg(*_stats(dim, col))
+
+
+def observed(df: DataFrame, dim: int | None = None) -> tuple[DataFrame, Observation]:
+    """``df`` and an observation that holds its vector statistics once a job has read it: no scan of its own."""
+    seen = Observation()
+    return df.observe(seen, *_stats(dim)), seen
+
+
+def check_stats(r, nlist: int | None = None, dim: int | None = None) -> tuple[int, int]:
+    """Raise ``ValueError`` on what ``vector_stats`` counted; return ``(n, dim)``."""
     n = r["n_rows"]
     if n == 0:
         raise ValueError("no vectors to index")
@@ -90,6 +108,15 @@ def validate_vectors(df: DataFrame, nlist: int | None = None, dim: int | None =
     return n, int(r["dim_min"])
 
 
+def validate_vectors(df: DataFrame, nlist: int | None = None, dim: int | None = None) -> tuple[int, int]:
+    """Raise ``ValueError`` on bad vectors or too few rows; return ``(n, dim)``.
+
+    Elements must be single-precision floats (cast first if they are not).
+    """
+    _check_float32(df)
+    return check_stats(vector_stats(df, dim).first(), nlist, dim)
+
+
 def validate_query(df: DataFrame, dim: int) -> int:
     """Query vectors must be non-null, finite and of the index dimension; returns their number."""
     _check_float32(df)
@@ -129,29 +156,18 @@ def assign_cells(
     id_col: str = "item_id",
     cfg: SearchConfig = DEFAULT_CONFIG,
     matrix=None,
+    tree: CellTree | None = None,
 ) -> DataFrame:
-    """``(id, embedding, cell_id, probe)``: the ``n`` nearest cells of each
-    vector, ``probe`` 1..n by ``(distance, cell_id)``.
+    """``(id, embedding, cell_id, probe, distance)``: the ``n`` nearest cells of each
+    vector, ``probe`` 1..n by ``(distance, cell_id)``, squared L2 distances.
 
-    ``matrix`` may carry the centroids already fetched as ``(ids, matrix)``.
+    ``matrix`` may carry the centroids already fetched as ``(ids, matrix)``, ``tree`` those already grouped.
     """
     src = vectors.select(id_column(vectors, id_col), F.col("embedding").cast("array<float>"))
     id_type = dict(src.dtypes)[id_col]
-    mat = matrix if matrix is not None else _centroid_matrix(centroids, cfg)
+    mat = matrix if matrix is not None or tree is not None else _centroid_matrix(centroids, cfg)
     if mat is None:
-        # Rows are told apart by a tag, fixed by writing it: ids may repeat.
-        tagged = cut_lineage(src.withColumn("row_tag", F.monotonically_increasing_id()))
-        near = knn_exact(
-            tagged.select(F.col("row_tag").alias("query_id"), "embedding"),
-            centroids.select(F.col("cell_id").alias("item_id"), F.col("centroid").alias("embedding")),
-            n,
-            strategy="tiled",
-            cfg=cfg,
-        )
-        found = near.select(
-            F.col("query_id").alias("row_tag"), F.col("item_id").cast("int").alias("cell_id"), F.col("rank").cast("int").alias("probe")
-        )
-        return tagged.join(found, "row_tag").select(id_col, "embedding", "cell_id", "probe")
+        return assign_in_tree(src, tree or grow(centroids, cfg=cfg), n, id_col, cfg)
     # Shipped in the task closure (broadcast by PySpark above its threshold).
     def nearest(batches):
         cids, C = mat
@@ -160,7 +176,7 @@ def assign_cells(
                 continue
             # Rows are compared by position, and ids only carried through.
             rows = np.arange(rb.num_rows, dtype=np.int64)
-            qi, ci, _ = K.topk(K.to_matrix(rb.column("embedding")), rows, C, cids, n)
+            qi, ci, d = K.topk(K.to_matrix(rb.column("embedding")), rows, C, cids, n)
             probe = np.arange(len(qi)) - np.searchsorted(qi, qi)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -168,11 +184,12 @@ def assign_cells(
                     rb.column("embedding").take(pa.array(qi)),
                     pa.array(ci.astype(np.int32)),
                     pa.array((probe + 1).astype(np.int32)),
+                    pa.array(d),
                 ],
-                names=[id_col, "embedding", "cell_id", "probe"],
+                names=[id_col, "embedding", "cell_id", "probe", "distance"],
             )
 
-    schema = f"{id_col} {id_type}, embedding array<float>, cell_id int, probe int"
+    schema = f"{id_col} {id_type}, embedding array<float>, cell_id int, probe int, distance double"
     return src.mapInArrow(nearest, schema)
 
 
@@ -184,14 +201,18 @@ def train_centroids(
     sample_fraction: float | None = None,
     dim: int | None = None,
     cfg: SearchConfig = DEFAULT_CONFIG,
+    n: int | None = None,
+    rows_per_cell: int = 256,
 ) -> DataFrame:
     """k-means centroids with Spark ML (distributed Lloyd iterations).
 
     Returns ``(cell_id, centroid)``; k-means may return fewer than ``nlist``
     cells on duplicate-heavy data. ``sample_fraction`` trains on a sample (of
-    keys, so the same rows whatever the file layout). One cell has the mean
-    vector as its centroid. k-means keeps all centres on the driver and in
-    every task, so their size is checked against ``max_broadcast_bytes`` first.
+    keys, so the same rows whatever the file layout); without it, and where the
+    number ``n`` of vectors is given, on about ``rows_per_cell`` rows a cell (all,
+    where there are fewer). One cell has the mean vector as its centroid. k-means keeps
+    all centres on the driver and in every task; where these would exceed
+    ``max_broadcast_bytes``, the cells are trained level by level instead (``train_in_levels``).
     """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -201,11 +222,13 @@ def train_centroids(
         raise ValueError(f"nlist must be positive, got {nlist}")
     if dim is None:
         dim = vectors.agg(F.max(F.size("embedding"))).first()[0] or 0
-    if nlist * dim * 8 > cfg.max_broadcast_bytes:
-        raise ValueError(f"{nlist} centres of {dim} elements exceed max_broadcast_bytes ({cfg.max_broadcast_bytes}); train fewer")
     src = vectors
+    if sample_fraction is None and n and n > rows_per_cell * nlist:
+        sample_fraction = rows_per_cell * nlist / n
     if sample_fraction is not None:
         src = vectors.where(F.pmod(F.xxhash64("item_id", F.lit(seed)), F.lit(1_000_000)) < F.lit(sample_fraction * 1e6))
+    if nlist * dim * 8 > cfg.max_broadcast_bytes:
+        return train_in_levels(src, nlist, seed, max_iter, cfg=cfg)
     # Sorted by key, so the layout of the input files decides nothing.
     feats = src.orderBy("item_id").select(array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
     if nlist == 1:
@@ -228,7 +251,7 @@ def build_index(
     seed: int = 42,
     max_iter: int = 20,
     sample_fraction: float | None = None,
-    validate: bool = True,
+    validate: bool | str = True,
     dim: int | None = None,
     cfg: SearchConfig = DEFAULT_CONFIG,
 ) -> IvfIndex:
@@ -238,21 +261,32 @@ def build_index(
     of their number (of the supplied centroids'). Supplied centroids are fetched once
     (at most ``nlist`` rows, checked). ``validate=False`` skips the checking
     pass for vectors valid by construction; ``dim`` must then be given.
+    ``validate="write"`` (``dim`` given too) leaves the checks to the write: ``save_index``
+    counts what it writes and raises before it publishes a bad index.
     """
-    n = None
-    if validate:
+    n, seen = None, None
+    if validate == "write" and dim is not None:
+        _check_float32(vectors)
+        checked, seen = observed(vectors, dim)
+    elif validate:
         n, dim = validate_vectors(vectors, nlist if centroids is None else None, dim)
+        checked = vectors
     elif dim is None:
         raise ValueError("dim is required when validate=False")
+    else:
+        checked = vectors
     if nlist is None:
         nlist = default_nlist(n if n is not None else vectors.count()) if centroids is None else centroids.count()
     if centroids is None:
-        centroids = train_centroids(vectors, nlist, seed, max_iter, sample_fraction, dim, cfg)
+        centroids = train_centroids(vectors, nlist, seed, max_iter, sample_fraction, dim, cfg, n)
     else:
         centroids = centroids.select(F.col("cell_id").cast("int"), F.col("centroid").cast("array<float>"))
-    index = IvfIndex(centroids=centroids, cells=None, nlist=nlist, dim=dim)
-    cells = assign_cells(vectors, centroids, 1, cfg=cfg, matrix=index.centroid_matrix(cfg))
-    index.cells = cells.select("item_id", "embedding", "cell_id")
+    index = IvfIndex(centroids=centroids, cells=None, nlist=nlist, dim=dim, checks=seen)
+    if seen is not None:
+        # only what the kernels can take reaches them; the rest is counted, and raised after the write
+        checked = checked.where(~bad_vector(F.col("embedding"), dim))
+    cells = assign_cells(checked, centroids, 1, cfg=cfg, matrix=index.centroid_matrix(cfg), tree=index.cell_tree(cfg))
+    index.cells = cells.select("item_id", "embedding", "cell_id", F.sqrt("distance").alias("residual"))
     return index
 
 
@@ -266,6 +300,8 @@ def knn_ivf(
     cfg: SearchConfig = DEFAULT_CONFIG,
     max_queries: int | None = None,
     validate: bool = True,
+    prune: bool = False,
+    read: list | None = None,
 ) -> DataFrame:
     """IVF search: probe the ``nprobe`` nearest cells, exact distance inside.
 
@@ -276,6 +312,11 @@ def knn_ivf(
     checks the query vectors first (one aggregate) and raises ``ValueError``
     on vectors that are null, hold NaN, or differ in type or dimension from
     the index; switch it off only for queries taken from the index itself.
+
+    ``prune`` searches each query's nearest cell first and reads of the other cells only rows
+    whose residual allows a nearer neighbour: the same neighbours from fewer rows, for one
+    more job. It pays where cells are large and k small against them. ``read`` receives the
+    rows that were read, as tables ``(cell_id, residual)``.
     """
     if nprobe <= 0:
         raise ValueError(f"nprobe must be positive, got {nprobe}")
@@ -283,8 +324,46 @@ def knn_ivf(
     n_queries = validate_query(queries, index.dim) if validate else None
     if max_queries is None:
         max_queries = n_queries if n_queries is not None else queries.count()
-    mat = index.centroid_matrix(cfg)
-    probes = assign_cells(queries, index.centroids, nprobe, id_col="query_id", cfg=cfg, matrix=mat).select(
-        "query_id", "embedding", "cell_id"
+    probes = assign_cells(
+        queries, index.centroids, nprobe, id_col="query_id", cfg=cfg, matrix=index.centroid_matrix(cfg), tree=index.cell_tree(cfg)
+    )
+    if prune and nprobe > 1:
+        return _knn_pruned(probes, index, k, nprobe, exclude_self, strategy, cfg, max_queries, read)
+    probes = probes.select("query_id", "embedding", "cell_id")
+    return search(
+        probes, index.cells, k, exclude_self, strategy, cfg, max_probe_rows=max_queries * nprobe, dim=index.dim, partitioned=index.stored
     )
-    return search(probes, index.cells, k, exclude_self, strategy, cfg, max_probe_rows=max_queries * nprobe, dim=index.dim)
+
+
+# Slack of the residual bounds: residuals and distances are double, far within it.
+RESIDUAL_MARGIN = 1e-6
+
+
+def _knn_pruned(probes, index, k, nprobe, exclude_self, strategy, cfg, max_queries, read) -> DataFrame:
+    probes = cut_lineage(probes)
+    near = probes.where("probe = 1").select("query_id", "embedding", "cell_id")
+    how = {"exclude_self": exclude_self, "strategy": strategy, "cfg": cfg, "dim": index.dim, "partitioned": index.stored}
+    found = cut_lineage(search(near, index.cells, k, max_probe_rows=max_queries, **how))
+    far = found.groupBy("query_id").agg(F.max("distance").alias("far"), F.count(F.lit(1)).alias("held"))
+    # with fewer than k found, any distance may count
+    reach = F.when(F.col("held") == k, F.sqrt("far") * (1 + RESIDUAL_MARGIN) + RESIDUAL_MARGIN).otherwise(F.lit(float("inf")))
+    others = probes.where("probe > 1").join(far, "query_id", "left").withColumn("at", F.sqrt("distance"))
+    others = others.withColumn("reach", F.coalesce(reach, F.lit(float("inf"))))
+    others = others.select("query_id", "embedding", "cell_id", (F.col("at") - F.col("reach")).alias("low"), (F.col("at") + F.col("reach")).alias("high"))
+    sizes = cell_bounds(index)
+    others = cut_lineage(others.join(sizes, "cell_id").where("low <= largest and high >= smallest").select("query_id", "embedding", "cell_id", "low", "high"))
+    # one row per cell still probed
+    bands = cut_lineage(others.groupBy("cell_id").agg(F.min("low").alias("low"), F.max("high").alias("high")))
+    again = search(others.drop("low", "high"), index.cells, k, max_probe_rows=max_queries * (nprobe - 1), bands=bands, **how)
+    if read is not None:
+        near_cells = near.select("cell_id").distinct()
+        read += [index.cells.join(near_cells, "cell_id", "left_semi").select("cell_id", "residual"),
+                 index.cells.join(bands, "cell_id").where("residual between low and high").select("cell_id", "residual")]
+    return final_topk(found.drop("rank").unionByName(again.drop("rank")), k)
+
+
+def cell_bounds(index: IvfIndex) -> DataFrame:
+    """``(cell_id, smallest, largest)`` residual of every cell: stored with the centroids, else one aggregate."""
+    if "largest" in index.centroids.columns:
+        return index.centroids.select("cell_id", "smallest", "largest").where("largest is not null")
+    return index.cells.groupBy("cell_id").agg(F.min("residual").alias("smallest"), F.max("residual").alias("largest"))

@@ -43,6 +43,8 @@ class SearchConfig:
 
     # Largest query payload shipped to every task (vectors as float32).
     max_broadcast_bytes: int = 64 << 20
+    # Largest set of coarse centres held by the driver and every task.
+    max_coarse_bytes: int = 64 << 20
     # Largest tile, in rows, on each side of the tiled strategy.
     item_tile_rows: int = 16384
     query_tile_rows: int = 4096
@@ -72,7 +74,8 @@ def estimated_partitions(df: DataFrame) -> int:
     return max(parallelism(spark), -(-size // max(1, split)))
 
 
-def _final_topk(cands: DataFrame, k: int) -> DataFrame:
+def final_topk(cands: DataFrame, k: int) -> DataFrame:
+    """The k nearest ``(query_id, item_id, distance)`` of each query, ranked by distance, then by id."""
     w = Window.partitionBy("query_id").orderBy("distance", "item_id")
     return (
         cands.withColumn("rank", F.row_number().over(w))
@@ -82,8 +85,29 @@ def _final_topk(cands: DataFrame, k: int) -> DataFrame:
 
 
 # ----------------------------------------------------------------- broadcast
+def _within(items: DataFrame, bands: DataFrame, cfg: SearchConfig) -> DataFrame:
+    """Rows of the cells in ``bands (cell_id, low, high)`` whose residual lies in their cell's band.
+
+    The widest band is a literal, so that row groups outside it are skipped on the scan; the cells prune the
+    partitions of a stored index at run time."""
+    bands = bands.where("low <= high").select(F.col("cell_id").cast("bigint"), "low", "high")
+    n, low, high = bands.agg(F.count(F.lit(1)), F.min("low"), F.max("high")).first()
+    if not n:
+        return items.limit(0)
+    # one row per cell: shipped while that many are proven to fit
+    bands = F.broadcast(bands) if n * 64 <= cfg.max_broadcast_bytes else bands
+    near = items.where(F.col("residual").between(F.lit(low), F.lit(high)))
+    return near.join(bands, "cell_id").where("residual between low and high").drop("low", "high")
+
+
 def _broadcast_candidates(
-    items: DataFrame, probes: pa.Table, query_type: str, k: int, exclude_self: bool, cfg: SearchConfig
+    items: DataFrame,
+    probes: pa.Table,
+    query_type: str,
+    k: int,
+    exclude_self: bool,
+    cfg: SearchConfig,
+    probed: DataFrame | None = None,
 ) -> DataFrame:
     """Scan ``items (item_id, embedding, cell_id)`` against a shipped probe table
     ``(query_id, embedding, cell_id)``."""
@@ -141,10 +165,11 @@ def _broadcast_candidates(
                 [pa.array(qids[q], qtype), pa.array(x, xtype), pa.array(d)], names=["query_id", "item_id", "distance"]
             )
 
-    # Only probed cells are read: on an index stored partitioned by cell_id
-    # this is partition pruning, which makes the search sub-linear.
-    probed = items.where(F.col("cell_id").isin([int(c) for c in cell_keys]))
-    return probed.select("item_id", "embedding", "cell_id").mapInArrow(scan, schema)
+    if probed is not None:
+        # Only probed cells are read: on an index stored partitioned by cell_id this prunes
+        # partitions at run time, which makes the search sub-linear.
+        items = items.join(F.broadcast(probed), "cell_id", "left_semi")
+    return items.select("item_id", "embedding", "cell_id").mapInArrow(scan, schema)
 
 
 # --------------------------------------------------------------------- tiled
@@ -175,7 +200,7 @@ def _tile_plan(
 
 
 def _tiled_candidates(
-    probes: DataFrame, items: DataFrame, k: int, exclude_self: bool, cfg: SearchConfig
+    probes: DataFrame, items: DataFrame, k: int, exclude_self: bool, cfg: SearchConfig, partitioned: bool
 ) -> DataFrame:
     spark = items.sparkSession
     types = [dict(d.dtypes)[c] for d, c in ((probes, "query_id"), (items, "item_id"))]
@@ -195,11 +220,10 @@ def _tiled_candidates(
         probes = probes.where(F.col("cell_id") == c).withColumns({"ib": F.lit(ib), "qb": F.lit(qb)})
     else:
         # One row per cell: bounded by the number of cells, so broadcasting is safe.
-        tiles = F.broadcast(spark.createDataFrame(plan, "cell_id bigint, ib int, qb int"))
-        if len(plan) < len(i_counts):
-            # Cells no query probes are never read (partition pruning when stored).
-            items = items.where(F.col("cell_id").isin([c for c, _, _ in plan]))
-        items, probes = items.join(tiles, "cell_id"), probes.join(tiles, "cell_id")
+        tiles = spark.createDataFrame(plan, "cell_id bigint, ib int, qb int")
+        tiles = F.broadcast(cut_lineage(tiles) if partitioned else tiles)
+        # Cells no query probes are never read (partition pruning when stored).
+        items, probes = items.join(tiles.where("ib > 0"), "cell_id"), probes.join(tiles, "cell_id")
     it = items.select(
         "item_id",
         "embedding",
@@ -261,6 +285,8 @@ def search(
     cfg: SearchConfig = DEFAULT_CONFIG,
     max_probe_rows: int | None = None,
     dim: int | None = None,
+    partitioned: bool = False,
+    bands: DataFrame | None = None,
 ) -> DataFrame:
     """k nearest items per query, restricted to matching ``cell_id``.
 
@@ -271,6 +297,9 @@ def search(
     removed before ranking when ``exclude_self``. Ids are whole numbers or
     strings. Both strategies raise ``ValueError`` on a repeated query id, a
     null id, and a null, uneven or non-finite vector among the rows compared.
+    ``partitioned``: the items are stored by cell, so that unprobed cells are pruned at
+    run time. ``bands (cell_id, low, high)`` leaves of the items (which then have a
+    ``residual``) those of these cells with residuals in the cell's band.
     """
     if k <= 0:
         raise ValueError(f"k must be positive, got {k}")
@@ -279,9 +308,14 @@ def search(
     probes = probes.select(
         id_column(probes, "query_id"), F.col("embedding").cast("array<float>"), F.col("cell_id").cast("bigint")
     )
+    residual = [] if bands is None else ["residual"]
     items = items.select(
-        id_column(items, "item_id"), F.col("embedding").cast("array<float>"), F.col("cell_id").cast("bigint")
+        id_column(items, "item_id"), F.col("embedding").cast("array<float>"), F.col("cell_id").cast("bigint"), *residual
     )
+    if bands is not None:
+        items, partitioned = _within(items, bands, cfg).drop("residual"), False
+    elif partitioned:
+        probes = cut_lineage(probes)  # what is shipped, and what prunes the partitions
     if strategy != "tiled":
         if max_probe_rows is None or dim is None:
             stats = probes.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("dim")).first()
@@ -294,11 +328,12 @@ def search(
             table = probes.toArrow()
             if table.num_rows > max_probe_rows:
                 raise ValueError(f"{table.num_rows} probe rows, more than the stated bound {max_probe_rows}")
-            cands = _broadcast_candidates(items, table, dict(probes.dtypes)["query_id"], k, exclude_self, cfg)
-            return _final_topk(cands, k)
-    probes = cut_lineage(probes)  # checked, counted and tiled
+            probed = probes.where("cell_id >= 0").select("cell_id").distinct() if partitioned else None
+            cands = _broadcast_candidates(items, table, dict(probes.dtypes)["query_id"], k, exclude_self, cfg, probed)
+            return final_topk(cands, k)
+    probes = probes if partitioned else cut_lineage(probes)  # checked, counted and tiled
     _check_unique_queries(probes)
-    return _final_topk(_tiled_candidates(probes, items, k, exclude_self, cfg), k)
+    return final_topk(_tiled_candidates(probes, items, k, exclude_self, cfg, partitioned), k)
 
 
 def knn_exact(

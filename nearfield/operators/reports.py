@@ -83,6 +83,25 @@ def cell_sizes(cells: DataFrame) -> DataFrame:
     return cells.groupBy("cell_id").agg(F.count(F.lit(1)).alias("n_items"))
 
 
+TIERS = (1, 2, 3, 4)
+
+
+def item_counts(text_col: str = "embedding_input") -> list[F.Column]:
+    """What the run summary says of the items, as aggregates for ``observe``: counted while they are written."""
+    tiers = [F.count_if(F.col("embedding_tier") == t).alias(f"tier_{t}") for t in TIERS]
+    gaps = F.count_if(F.col(text_col).isNull()).alias("true_gaps")
+    return [F.count(F.lit(1)).alias("items_total"), F.count(text_col).alias("items_embeddable"), gaps, *tiers]
+
+
+def observed_summary(counts: dict, cells: DataFrame) -> DataFrame:
+    """``run_summary`` from what ``item_counts`` observed: the items are not read again. Put the observation
+    behind the last shuffle of the write, whose tasks count once each."""
+    given = [(k, float(v)) for k, v in counts.items() if v or not k.startswith("tier_")]
+    sizes = cell_sizes(cells).agg(F.coalesce(F.sum("n_items"), F.lit(0)).alias("index_rows"), F.count(F.lit(1)).alias("index_cells"))
+    of_index = sizes.select(F.explode(F.create_map(*[x for c in sizes.columns for x in (F.lit(c), F.col(c).cast("double"))])).alias("metric", "value"))
+    return cells.sparkSession.createDataFrame(given, "metric string, value double").unionByName(of_index)
+
+
 def run_summary(
     prepared: DataFrame, cells: DataFrame, text_col: str = "embedding_input", figures: dict[str, float] | None = None
 ) -> DataFrame:

@@ -1,10 +1,9 @@
 """End-to-end jobs: build (Q2), similar-items report (Q3), run report (Q4).
 
 The build job is resumable at two stages, with exactly-once rows per key:
-each run writes its new rows to a fresh ``run=<n>`` folder, a folder counts
-only once its ``_SUCCESS`` marker exists, and the next run processes only
-keys missing from the completed folders (left anti-join). A run killed half
-way therefore loses at most its own unfinished folder.
+each run writes its new rows to a fresh run folder (``sources.runs``), and the
+next run processes only keys missing from the finished folders. A run killed
+half way therefore loses at most its own unfinished folder.
 
 What is stored is what was found, so a rerun equals a clean run on the same
 inputs: an item whose response lands later is looked up again until one is
@@ -26,7 +25,9 @@ from nearfield.operators import reports as R
 from nearfield.operators.embed import Encoder, embed, hash_embed
 from nearfield.operators.index import IvfIndex, build_index, knn_ivf
 from nearfield.operators.knn import DEFAULT_CONFIG
-from nearfield.sources.catalog import check_keys, embedding_schema, enrichment_schema, is_complete, key_type, path_exists
+from nearfield.operators.titles import search_titles
+from nearfield.sources.catalog import check_keys, embedding_schema, enrichment_schema, key_type
+from nearfield.sources.runs import KeyedRuns
 from nearfield.sources.store import index_bytes, load_index, save_index
 
 # Shown when a neighbour has no title (fixed value).
@@ -38,30 +39,6 @@ ROW_BYTES = 512
 
 
 # ------------------------------------------------------------ title search
-def search_titles(items: DataFrame, seeds: list[str], literal: bool = False, title_col: str = "title_final") -> DataFrame:
-    """``(seed, item_id, title)`` for every item whose title matches a seed.
-
-    Seeds are case-insensitive regular expressions (``literal=True`` quotes
-    them). The seed list is a parameter, so matching is one projection per
-    row — no join — and a null title never matches.
-    """
-    if not seeds:
-        raise ValueError("at least one seed is required")
-    title = F.col(title_col)
-    hits = [
-        F.when(title.rlike("(?iu)" + (_quote(s) if literal else s)), F.lit(s)) for s in seeds
-    ]
-    return items.select(
-        F.explode(F.filter(F.array(*hits), lambda x: x.isNotNull())).alias("seed"),
-        F.col("item_id"),
-        title.alias("title"),
-    )
-
-
-def _quote(s: str) -> str:
-    return "\\Q" + s.replace("\\E", "\\E\\\\E\\Q") + "\\E"
-
-
 def first_matches(matches: DataFrame) -> DataFrame:
     """``(seed, seed_item_id)``: the smallest matching item id per seed."""
     return matches.groupBy("seed").agg(F.min("item_id").alias("seed_item_id"))
@@ -118,37 +95,9 @@ def similar_items(
 
 
 # ------------------------------------------------------------ build job
-def _run_folders(spark: SparkSession, root: str) -> list[str]:
-    if not path_exists(spark, root):
-        return []
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(root)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    names = sorted(str(s.getPath().toString()) for s in fs.listStatus(p) if s.isDirectory())
-    return [n for n in names if n.rsplit("/", 1)[-1].startswith("run=")]
-
-
-def _read_runs(spark: SparkSession, root: str, schema) -> DataFrame:
-    done = [f for f in _run_folders(spark, root) if is_complete(spark, f)]
-    if not done:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(*done)
-
-
-def _next_run(spark: SparkSession, root: str) -> str:
-    used = [int(f.rsplit("=", 1)[-1]) for f in _run_folders(spark, root)]
-    return f"{root.rstrip('/')}/run={max(used, default=-1) + 1:05d}"
-
-
-def append_missing(spark: SparkSession, root: str, todo: DataFrame, build, schema, keys: list[str]) -> DataFrame:
-    """Build rows for keys of ``todo`` missing under ``root`` into a new run
-    folder; return all completed rows."""
-    done = _read_runs(spark, root, schema)
-    missing = todo.join(done.select(*keys), keys, "left_anti")
-    new = build(missing)
-    target = _next_run(spark, root)
-    new.select([F.col(f.name).cast(f.dataType) for f in schema.fields]).write.mode("overwrite").parquet(target)
-    return _read_runs(spark, root, schema)
+def append_missing(runs: KeyedRuns, todo: DataFrame, build) -> None:
+    """Build the rows of ``todo`` whose keys ``runs`` doesn't have yet, as a new run."""
+    runs.append(build(runs.pending(todo)))
 
 
 @dataclass
@@ -187,20 +136,16 @@ def build_job(
     key = key_type(items)
     tiered = E.with_tier(items)
     weak = tiered.where(F.col("initial_tier") == 4)
-    enrichment = append_missing(
-        spark,
-        f"{root}/enrichment",
-        weak.select("item_id"),
-        # Found results only: an item without one stays due for the next run.
-        lambda due: due.join(E.top_results(responses), "item_id"),
-        enrichment_schema(key),
-        ["item_id"],
-    )
+    n_items = items.count()
+    enriched = KeyedRuns(spark, f"{root}/enrichment", enrichment_schema(key), ["item_id"], n_items)
+    # Found results only: an item without one stays due for the next run.
+    append_missing(enriched, weak.select("item_id"), lambda due: due.join(E.top_results(responses), "item_id"))
     # Items that are no longer weak keep their own fields, as in a clean run.
-    enrichment = enrichment.join(weak.select("item_id"), "item_id", "left_semi")
+    enrichment = enriched.of(weak.select("item_id"))
     prepared = E.finalize(E.merge_enrichment(tiered, enrichment), max_review_words)
     todo = E.embeddable(prepared).select("item_id", F.md5("embedding_input").alias("text_md5"), "embedding_input")
-    stored = embedding_schema(key).add("text_md5", "string")
+    embeddings_path = f"{root}/embeddings"
+    embedded = KeyedRuns(spark, embeddings_path, embedding_schema(key).add("text_md5", "string"), ["item_id", "text_md5"], n_items)
 
     def encode(missing: DataFrame) -> DataFrame:
         if encoder_factory is None:
@@ -209,11 +154,11 @@ def build_job(
             vectors = embed(missing, encoder_factory, dim)
         return vectors.join(missing.select("item_id", "text_md5"), "item_id")
 
-    embeddings_path = f"{root}/embeddings"
-    kept = append_missing(spark, embeddings_path, todo, encode, stored, ["item_id", "text_md5"])
+    append_missing(embedded, todo, encode)
     # Only the vectors of the present texts count.
-    embeddings = kept.join(todo.select("item_id", "text_md5"), ["item_id", "text_md5"], "left_semi").select("item_id", "embedding")
-    index = build_index(embeddings, nlist=nlist, centroids=centroids, seed=seed)
+    embeddings = embedded.of(todo.select("item_id", "text_md5")).select("item_id", "embedding")
+    # The vectors are checked while the index is written: no scan of their own.
+    index = build_index(embeddings, nlist=nlist, centroids=centroids, seed=seed, validate="write", dim=dim)
     index_path = f"{root}/index"
     save_index(index, index_path)
     index = load_index(spark, index_path)

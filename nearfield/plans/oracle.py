@@ -184,6 +184,7 @@ FROM tiered"""
 DIM = 64
 K = 5
 CELLS = 16
+MANY_CELLS = 60
 SEEDS = ("the", "der", "zzz-none")
 
 
@@ -332,6 +333,18 @@ FROM documents"""
     q["build_index_trained"] = """
 SELECT count(*) AS n_rows, true AS cells_in_bound, CAST(0 AS BIGINT) AS n_not_nearest FROM embeddings"""
     q["knn_ivf_trained"] = EXACT_SQL
+    q["build_index_two_level"] = q["build_index_trained"]
+    q["knn_ivf_two_level"] = EXACT_SQL
+    q["assign_cells_tree"] = q["assign_cells"].replace(f"vec_id < {CELLS}", f"vec_id < {MANY_CELLS}")
+    q["knn_ivf_stored"] = q["knn_ivf_stored_pruned"] = q["knn_ivf_stored_pruned_tiled"] = ivf_sql(4)
+    q["enrichment_round_trip"] = text_oracles()["enrich"]
+    q["materialized_stage"] = text_oracles()["needs_enrichment"]
+    q["build_job_resumed"] = q["build_hash_index"]
+    q["first_matches_many"] = with_ctes(*PREP_CTES) + """
+SELECT seed, min(item_id) AS seed_item_id FROM (
+  SELECT item_id, unnest(list_distinct(list_transform(range(1, length(t) - 1), lambda i: substr(t, i, 3)))) AS seed
+  FROM (SELECT item_id, lower(title_final) AS t FROM prepared WHERE embedding_input IS NOT NULL))
+WHERE regexp_full_match(seed, '[a-z]{3}') GROUP BY seed"""
     q["run_summary"] = with_ctes(*HV_CTES) + """
 SELECT 'tier_' || CAST(embedding_tier AS VARCHAR) AS metric, CAST(count(*) AS DOUBLE) AS value
 FROM prepared GROUP BY embedding_tier
@@ -343,6 +356,7 @@ UNION ALL SELECT 'index_cells', CAST(count(DISTINCT cell_id) AS DOUBLE) FROM has
     q["pending_embeddings"] = with_ctes(*PREP_CTES) + """
 SELECT p.item_id, p.embedding_input FROM prepared p
 WHERE p.embedding_input IS NOT NULL AND NOT EXISTS (SELECT 1 FROM embeddings e WHERE e.vec_id = p.item_id)"""
+    q["pending_runs"] = q["pending_embeddings"]
     return q
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from nearfield.functions.text import embedding_input, is_present, truncate_words, word_count
@@ -19,10 +19,24 @@ from nearfield.operators import reports as R
 from nearfield.operators.embed import PythonHashEncoder, embed, hash_embed, hash_vector
 from nearfield.operators.index import assign_cells, build_index, knn_ivf, vector_stats
 from nearfield.operators.knn import SearchConfig, knn_exact, recall_at_k
-from nearfield.plans.jobs import search_titles, similar_items
+from nearfield.operators.titles import search_titles
+from nearfield.operators.tree import assign_in_tree, grow, train_in_levels
+from nearfield.plans.jobs import build_job, first_matches, similar_items
 from nearfield.sources import fixtures as FX
 from nearfield.session import cut_lineage, shared_folder
-from nearfield.sources.catalog import load_embeddings, load_items, load_responses, pending, write_embeddings
+from nearfield.sources.catalog import (
+    embedding_schema,
+    load_embeddings,
+    load_items,
+    load_responses,
+    materialize,
+    pending,
+    read_enrichment,
+    write_embeddings,
+    write_enrichment,
+)
+from nearfield.sources.runs import KeyedRuns
+from nearfield.sources.store import load_index, save_index
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -238,11 +252,14 @@ def q_search_titles(spark, sf):
 
 
 def _vector_base(spark, sf, prepared):
-    """What the reports on items and vectors need, written once: key, title, tier
-    and hashed vector (null without an embedding text). No text is kept."""
-    return cut_lineage(
-        prepared.select("item_id", "title_final", "embedding_tier", hash_vector("embedding_input", DIM).alias("embedding"))
-    )
+    """What the reports on items and vectors need, written once as a table: key, title, tier and hashed vector
+    (null without an embedding text), read by the columns each step takes. No text is kept. The items are
+    counted while they are written."""
+    seen = Observation()
+    base = prepared.select("item_id", "title_final", "embedding_tier", hash_vector("embedding_input", DIM).alias("embedding"))
+    path = _shared(spark, "base")
+    base.observe(seen, *R.item_counts("embedding")).write.parquet(path)
+    return spark.read.schema(base.schema).parquet(path), seen
 
 
 def _base_vectors(base):
@@ -263,7 +280,7 @@ def q_build_hash_index(spark, sf):
 
 
 def _similar(spark, sf, prepared):
-    base = _vector_base(spark, sf, prepared)
+    base, _ = _vector_base(spark, sf, prepared)
     vectors = _base_vectors(base)
     titles = base.where(F.col("embedding").isNotNull()).select("item_id", "title_final")
     return similar_items(titles, vectors, _lowest_index(vectors), SEEDS, K_NEIGHBOURS, nprobe=1)
@@ -294,8 +311,8 @@ def q_assign_cells_fallback(spark, sf):
 
 
 def q_run_summary(spark, sf):
-    base = _vector_base(spark, sf, _prepared(spark, sf))
-    return R.run_summary(base, _lowest_index(_base_vectors(base)).cells, text_col="embedding")
+    base, seen = _vector_base(spark, sf, _prepared(spark, sf))
+    return R.observed_summary(seen.get, _lowest_index(_base_vectors(base)).cells)
 
 
 def _shared(spark, name):
@@ -336,9 +353,12 @@ def _trained_index(spark, sf):
 
 
 def q_build_index_trained(spark, sf):
-    """What holds for any trained index: all rows are in it, in at most ``nlist`` cells,
+    return _index_facts(_trained_index(spark, sf), SUPPLIED_CELLS)
+
+
+def _index_facts(index, max_cells):
+    """What holds for any trained index: all rows are in it, in at most ``max_cells`` cells,
     each in its nearest one (found again by the exact search over the centroids)."""
-    index = _trained_index(spark, sf)
     cells = cut_lineage(index.cells)
     near = knn_exact(
         cells.select(F.col("item_id").alias("query_id"), "embedding"),
@@ -349,7 +369,7 @@ def q_build_index_trained(spark, sf):
     both = cells.join(near.select(F.col("query_id").alias("item_id"), F.col("item_id").alias("nearest")), "item_id", "left")
     return both.agg(
         F.count(F.lit(1)).alias("n_rows"),
-        (F.count_distinct("cell_id") <= SUPPLIED_CELLS).alias("cells_in_bound"),
+        (F.count_distinct("cell_id") <= max_cells).alias("cells_in_bound"),
         F.count_if(~F.col("cell_id").eqNullSafe(F.col("nearest"))).alias("n_not_nearest"),
     )
 
@@ -361,6 +381,120 @@ def q_knn_ivf_trained(spark, sf):
     return _rounded(res)
 
 
+# A training whose every step is met: nodes are split, and split again, before the last fits.
+LEVELS = {"fit_cells": 6, "fan_out": 3, "fit_rows": 400}
+MANY_CELLS = 60
+
+
+def _two_level_index(spark, sf):
+    e = _emb(spark, sf)
+    centroids = cut_lineage(train_in_levels(e, MANY_CELLS, seed=7, **LEVELS))
+    return build_index(e, nlist=MANY_CELLS, centroids=centroids, cfg=TILED)
+
+
+def q_build_index_two_level(spark, sf):
+    """As ``build_index_trained``, the cells trained level by level and assigned through their groups."""
+    return _index_facts(_two_level_index(spark, sf), MANY_CELLS)
+
+
+def q_knn_ivf_two_level(spark, sf):
+    """Probing every cell of an index trained level by level is exact search."""
+    index = _two_level_index(spark, sf)
+    return _rounded(knn_ivf(_queries_from(_emb(spark, sf)), index, K_NEIGHBOURS, MANY_CELLS, exclude_self=True))
+
+
+def q_assign_cells_tree(spark, sf):
+    """Nearest cells of more centroids than most groups hold, through the groups."""
+    tree = grow(FX.supplied_centroids(spark, sf, MANY_CELLS))
+    return assign_in_tree(_emb(spark, sf), tree).select("item_id", "cell_id")
+
+
+def _knn_stored(prune, strategy="auto", cfg=None):
+    """Save, load and search: the neighbours of the index that was saved."""
+
+    def run(spark, sf):
+        path = _shared(spark, "index")
+        cents = FX.supplied_centroids(spark, sf, SUPPLIED_CELLS)
+        save_index(build_index(_emb(spark, sf), centroids=cents, nlist=SUPPLIED_CELLS, validate="write", dim=DIM), path)
+        kw = {"cfg": cfg} if cfg else {}
+        queries = _queries_from(_emb(spark, sf))
+        return _rounded(knn_ivf(queries, load_index(spark, path), K_NEIGHBOURS, 4, exclude_self=True, strategy=strategy, prune=prune, **kw))
+
+    return run
+
+
+def q_enrichment_round_trip(spark, sf):
+    path = _shared(spark, "enrichment")
+    write_enrichment(E.enrich(E.needs_enrichment(_items(spark, sf)), FX.responses_view(spark, sf)), path)
+    return read_enrichment(spark, path)
+
+
+def q_materialized_stage(spark, sf):
+    """A stage built once: the second call reads the finished table and must not build."""
+    path = _shared(spark, "stage")
+
+    def again():
+        raise AssertionError("a finished stage was built again")
+
+    materialize(spark, path, lambda: E.needs_enrichment(_items(spark, sf)))
+    return materialize(spark, path, again)
+
+
+class _Killed(Exception):
+    pass
+
+
+def q_build_job_resumed(spark, sf):
+    """A build that dies while it encodes, its second run, and what the third finds to do: the cells of a clean build."""
+    items, responses, out = _items(spark, sf), FX.responses_view(spark, sf), _shared(spark, "job")
+    vectors = cut_lineage(_hash_vectors(spark, sf))
+    number = F.col("item_id").cast("int").alias("cell_id")
+    cents = cut_lineage(vectors.orderBy("item_id").limit(SUPPLIED_CELLS).select(number, F.col("embedding").alias("centroid")))
+
+    def die():
+        raise _Killed
+
+    try:
+        build_job(spark, items, responses, out, dim=DIM, centroids=cents, encoder_factory=die)
+    except Exception as e:
+        if _Killed.__name__ not in str(e):
+            raise
+    else:
+        raise AssertionError("the first run was to die")
+
+    def must_not():
+        def encode(texts):
+            raise AssertionError(f"{len(texts)} texts were encoded again")
+
+        return encode
+
+    build_job(spark, items, responses, out, dim=DIM, centroids=cents)
+    done = build_job(spark, items, responses, out, dim=DIM, centroids=cents, encoder_factory=must_not)
+    return done.index.cells.select("item_id", "cell_id")
+
+
+def q_pending_runs(spark, sf):
+    """Keys left to do on a store of two finished runs and one that died: what is done is read bucket by bucket."""
+    todo = E.embeddable(_prepared(spark, sf)).select("item_id", "embedding_input")
+    root = _shared(spark, "runs")
+    runs = KeyedRuns(spark, root, embedding_schema(), ["item_id"])
+    for part in (0, 1):
+        runs.append(_emb(spark, sf).where(F.col("item_id") % 2 == part))
+    # a folder that has files but no marker, as a killed run leaves it: all items, none of them done
+    write_embeddings(todo.select("item_id", F.lit(None).cast("array<float>").alias("embedding")), f"{root}/run=00002/_temporary")
+    return runs.pending(todo)
+
+
+#: Every string of three letters.
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+MANY_SEEDS = [a + b + c for a in LETTERS for b in LETTERS for c in LETTERS]
+
+
+def q_first_matches_many(spark, sf):
+    """The first title of each of 17,576 seeds, in one pass over the titles."""
+    return first_matches(search_titles(E.embeddable(_prepared(spark, sf)), MANY_SEEDS))
+
+
 def vector_queries() -> dict[str, Query]:
     return {
         "validate_vectors": q_validate_vectors,
@@ -391,6 +525,17 @@ def vector_queries() -> dict[str, Query]:
         "pending_embeddings": q_pending_embeddings,
         "build_index_trained": q_build_index_trained,
         "knn_ivf_trained": q_knn_ivf_trained,
+        "build_index_two_level": q_build_index_two_level,
+        "knn_ivf_two_level": q_knn_ivf_two_level,
+        "assign_cells_tree": q_assign_cells_tree,
+        "knn_ivf_stored": _knn_stored(False),
+        "knn_ivf_stored_pruned": _knn_stored(True),
+        "knn_ivf_stored_pruned_tiled": _knn_stored(True, "tiled", TINY_TILES),
+        "enrichment_round_trip": q_enrichment_round_trip,
+        "materialized_stage": q_materialized_stage,
+        "build_job_resumed": q_build_job_resumed,
+        "pending_runs": q_pending_runs,
+        "first_matches_many": q_first_matches_many,
     }
 
 
