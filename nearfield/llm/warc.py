@@ -74,17 +74,19 @@ def plan_records(pages: DataFrame, min_revisit_bytes: int = 0, id_col: str = "pa
     ``min_revisit_bytes`` are all responses."""
     payload = F.coalesce(F.col(payload_col).cast("binary"), F.lit(bytearray()))
     own = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
-    key = F.unhex(F.sha2("payload", 256)).alias("key")
-    keys = cut(own.select("id", key, F.octet_length("payload").alias("size")).groupBy("id", "key", "size").agg(F.count(F.lit(1)).alias("same")))
+    # an id as two columns that are never null, so that join and window share their partitioning
+    same = [F.coalesce(F.col("id").cast("string"), F.lit("")).alias("page"), F.col("id").isNull().alias("none"), F.unhex(F.sha2("payload", 256)).alias("key")]
+    by = ["page", "none", "key"]
+    keys = cut(own.select("id", *same, F.octet_length("payload").alias("size")).groupBy(*by, "id", "size").agg(F.count(F.lit(1)).alias("rows")))
     # written, so that the join reads plain shuffles and a very common payload's ids can be split over tasks
     groups = cut(
-        keys.where(F.col("size") >= min_revisit_bytes).groupBy("key").agg(F.max("id").alias("top"), F.sum("same").alias("n")).where("n > 1").drop("n")
+        keys.where(F.col("size") >= min_revisit_bytes).groupBy("key").agg(F.max("id").alias("top"), F.sum("rows").alias("n")).where("n > 1").drop("n")
     )
-    shared = keys.join(groups, "key").select(F.col("id").alias("id_"), F.col("key").alias("key_"), "top")
-    met = own.withColumn("key", key).join(shared, F.col("id").eqNullSafe(F.col("id_")) & (F.col("key") == F.col("key_")), "left")
-    # the window has the join's partitioning, so payloads move once
-    met = met.withColumn("turn", F.row_number().over(Window.partitionBy("id", "key").orderBy(F.lit(0))))
-    revisit = F.col("key_").isNotNull() & ~(F.col("id").eqNullSafe(F.col("top")) & (F.col("turn") == 1))
+    shared = keys.join(groups, "key").select(*by, "top", F.lit(True).alias("shared"))
+    met = own.select("*", *same).join(shared, by, "left")
+    # payloads move once, for the join
+    met = met.withColumn("turn", F.row_number().over(Window.partitionBy(*by).orderBy(F.lit(0))))
+    revisit = F.col("shared").isNotNull() & ~(F.col("id").eqNullSafe(F.col("top")) & (F.col("turn") == 1))
     return met.select(
         "id", "url", "payload", F.when(revisit, "revisit").otherwise("response").alias("kind"), F.when(revisit, F.col("top")).alias("refers_to"), "turn"
     )
