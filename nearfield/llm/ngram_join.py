@@ -1,18 +1,14 @@
-"""Similarity join of documents on word shingles: MinHash banding, then exact Jaccard.
+"""Similarity join of documents on word shingles: MinHash LSH forest, then exact Jaccard.
 
 A text's shingles are the runs of ``words`` lower-cased words (a shorter text
 is one shingle), as 64-bit hashes. Documents with the same set of shingles form
 one node; all further work is per node, so exact copies cost nothing.
 
-Banding: each of ``tries`` bands (tries cut at one depth) keys a node by its
-first MinHash values. Their number is fixed before any row is read: the largest,
-from ``max_depth`` down, at which two nodes at the threshold meet in some band
-with probability ``target`` at least (``matched_depth``). No longer paths are
-kept and nothing is shortened from data, as an LSH forest would; a pair that
-meets in no band and is tied by no other node is lost (3 in a million at 0.8
-with the defaults, 32 bands of 5 values). Nodes that share a key
-in a band are candidates. Their groups are formed on keys alone: every
-node is tied to the smallest node of its key and components are taken.
+Candidates come from an LSH forest (see ``lsh_forest``): sorted tries of MinHash
+paths whose matched prefixes are shortened from ``max_depth`` values on until the
+links found, by their own estimated similarities, are the wanted share
+(``target``) of all. Nodes tied there to a common leader, each found alike by its
+signature, form groups; sharing a prefix alone forms none.
 Each group's members then bring their shingle sets once, and all their pairs
 are verified exactly in tiles (see ``tiles``), which counts links and joins
 classes without writing pairs, so large groups of near copies neither overfill
@@ -41,10 +37,11 @@ from pyspark.sql.window import Window
 
 from nearfield.llm.common import cut, per_process, slices
 from nearfield.llm.components import components
+from nearfield.llm.lsh_forest import forest_ties, signatures
 from nearfield.llm.tiles import link_tiles
 
 _WORD = re.compile(r"\w+")
-_MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
+_MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
 class WordHashes(dict):
@@ -74,32 +71,6 @@ def shingles(text: str, words: int, hashes: WordHashes) -> np.ndarray:
     return np.unique(out)
 
 
-def matched_depth(similarity: float, tries: int, max_depth: int, target: float) -> int:
-    """The longest prefix, from ``max_depth`` down, at which pairs of ``similarity`` meet with probability ``target``."""
-    for depth in range(max_depth, 0, -1):
-        if 1 - (1 - similarity**depth) ** tries >= target:
-            return depth
-    raise ValueError("more tries are needed for this recall")
-
-
-def prefix_keys(sets: list[np.ndarray], tries: int, depth: int) -> np.ndarray:
-    """Per set and trie the key of its path of ``depth`` MinHash values (sets must not be empty)."""
-    rng = np.random.default_rng(20240229)
-    factors = rng.integers(0, 1 << 63, (tries, depth), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    shifts = rng.integers(0, 1 << 63, (tries, depth), dtype=np.uint64)
-    starts = np.concatenate([[0], np.cumsum([len(s) for s in sets])[:-1]]).astype(np.int64)
-    every = np.concatenate(sets)
-    keys = np.empty((len(sets), tries), dtype=np.uint64)
-    for t in range(tries):
-        key = np.full(len(sets), t + 1, dtype=np.uint64)
-        for d in range(depth):
-            low = np.minimum.reduceat(every * factors[t, d] + shifts[t, d], starts)
-            key = (key ^ (low >> np.uint64(7))) * np.uint64(_MIX[2])
-            key ^= key >> np.uint64(31)
-        keys[:, t] = key
-    return keys.view(np.int64)
-
-
 def similar_sets(payloads: list[bytes], similarity: float) -> np.ndarray:
     """Boolean matrix of pairs of sets (sorted 64-bit hashes) with Jaccard similarity at or above the threshold."""
     sets = [np.frombuffer(p, "<u8") for p in payloads]
@@ -142,12 +113,11 @@ def join_similar(
     """One row per document: id, ``class_id`` (smallest id of its class), ``n_links`` (other documents
     linked directly, copies included), ``kept`` (one row per class), ``text_hash``.
     """
-    depth = matched_depth(similarity, tries, max_depth, target)
     text = F.coalesce(F.col(text_col), F.lit(""))
     src = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
     id_type = src.schema["id"].dataType
     noted = pa.schema([("id", to_arrow_type(id_type)), ("h", pa.int64()), ("node", pa.binary()), ("size", pa.int64()),
-                       ("keys", pa.list_(pa.int64()))])
+                       ("sig", pa.binary())])
 
     def sign(batches):
         hashes = per_process(("word hashes",), WordHashes)
@@ -155,26 +125,23 @@ def join_similar(
             for ids, hs, texts in slices(batch, 256, ["id", "h", "text"]):
                 sets = [shingles(t, words, hashes) for t in texts]
                 some = [i for i, s in enumerate(sets) if len(s)]
-                keys = [[]] * len(sets)
+                sigs = [None] * len(sets)
                 if some:
-                    for i, own in zip(some, prefix_keys([sets[i] for i in some], tries, depth).tolist()):
-                        keys[i] = own
+                    for i, own in zip(some, signatures([sets[i] for i in some], tries, max_depth)):
+                        sigs[i] = own
                 # a text without words is a node of its own
                 nodes = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids, noted[0].type), pa.array(hs, pa.int64()), pa.array(nodes, pa.binary()),
-                     pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, noted[4].type)], schema=noted)
+                     pa.array([len(s) for s in sets], pa.int64()), pa.array(sigs, pa.binary())], schema=noted)
 
-    rows = cut(src.mapInArrow(sign, f"id {id_type.simpleString()}, h bigint, node binary, size bigint, keys array<bigint>"))
+    rows = cut(src.mapInArrow(sign, f"id {id_type.simpleString()}, h bigint, node binary, size bigint, sig binary"))
     # the smallest (id, text) of a node stands for it; null ids come last
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("first")
     nodes = cut(
-        rows.where("size > 0").groupBy("node").agg(first, F.count(F.lit(1)).alias("n"), F.first("size").alias("size"), F.first("keys").alias("keys"))
+        rows.where("size > 0").groupBy("node").agg(first, F.count(F.lit(1)).alias("n"), F.first("size").alias("size"), F.first("sig").alias("sig"))
     )
-    prefixes = nodes.select("node", F.explode("keys").alias("key"))
-    meeting = prefixes.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low != high")
-    meeting = cut(meeting.select("key", "low"))  # the join then reads plain shuffles, which can be split at a common prefix
-    ties = prefixes.join(meeting, "key").where("node != low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct()
+    ties = forest_ties(nodes.select("node", "sig"), similarity, tries, max_depth, target)
     groups = components(ties)
     members = cut(
         groups.join(nodes, "node").select(

@@ -4,7 +4,8 @@ import random
 import numpy as np
 import pytest
 from nearfield.llm.components import components
-from nearfield.llm.ngram_join import drop_similar, join_similar, matched_depth, prefix_keys, similar_sets
+from nearfield.llm.lsh_forest import forest_ties, least_depth, matched_paths, meeting, signatures
+from nearfield.llm.ngram_join import drop_similar, join_similar, similar_sets
 from nearfield.llm.queries import all_queries
 from nearfield.llm.tiles import smallest_reachable
 
@@ -54,22 +55,88 @@ def test_recall_at_the_threshold(spark, docs_of):
         pairs += 1
     rows = join_similar(docs_of(docs)).collect()
     assert sum(r.n_links for r in rows) / 2 >= 0.98 * pairs
-    assert all(0.998 <= 1 - (1 - 0.8 ** matched_depth(0.8, t, 8, 0.998)) ** t for t in (16, 32, 64))
-    with pytest.raises(ValueError):
-        matched_depth(0.8, 1, 8, 0.998)
 
 
-def test_default_bands_miss_no_pair_of_thousands_at_the_threshold():
+def test_default_paths_miss_no_pair_of_thousands_at_the_threshold():
     default = {k: p.default for k, p in inspect.signature(join_similar).parameters.items()}
-    tries, depth = default["tries"], matched_depth(0.8, default["tries"], default["max_depth"], default["target"])
-    assert (1 - 0.8**depth) ** tries < 1e-5
+    tries, longest = default["tries"], default["max_depth"]
+    depth = least_depth(0.8, tries, longest, default["target"])
+    assert meeting(0.8, depth, tries) > 1 - 1e-5 > meeting(0.8, depth + 1, tries)
+    with pytest.raises(ValueError):
+        least_depth(0.8, 1, 8, 0.998)
     rng = np.random.default_rng(13)
     sets = []
     for _ in range(5000):  # 80 shingles of 100 in common
         every = rng.integers(0, 1 << 63, 100, dtype=np.uint64)
         sets += [np.sort(every[:90]), np.sort(np.concatenate([every[:80], every[90:]]))]
-    keys = prefix_keys(sets, tries, depth)
-    assert (keys[::2] == keys[1::2]).any(1).all()
+    paths = np.stack([np.frombuffer(x, "<u2") for x in signatures(sets, tries, longest)]).reshape(-1, tries, longest)[:, :, :depth]
+    assert (paths[::2] == paths[1::2]).all(2).any(1).all()
+    # the share of equal values estimates the similarity
+    equal = np.mean([np.frombuffer(a, "<u2") == np.frombuffer(b, "<u2") for a, b in zip(*[iter(signatures(sets[:400], tries, longest))] * 2)])
+    assert abs(equal - 0.8) < 0.01
+
+
+def nodes_of(spark, sets, tries=32, depth=8):
+    sigs = signatures(sets, tries, depth)
+    return spark.createDataFrame([(i.to_bytes(4, "big"), bytes(x)) for i, x in enumerate(sigs)], "node binary, sig binary").repartition(5)
+
+
+def family(rng, n, size, shared):
+    """``n`` sets of ``size`` hashes of which ``shared`` are common to all."""
+    common = rng.integers(0, 1 << 63, shared, dtype=np.uint64)
+    return [np.unique(np.concatenate([common, rng.integers(0, 1 << 63, size - shared, dtype=np.uint64)])) for _ in range(n)]
+
+
+def test_matched_depths_equal_the_longest_common_prefixes(spark):
+    rng = np.random.default_rng(2)
+    sets = family(rng, 60, 100, 70) + family(rng, 40, 50, 10)
+    nodes = nodes_of(spark, sets, 6, 5)
+    got = {(r.trie, r.node): (r.path, r.depth) for r in matched_paths(nodes, 6, 5, 2).collect()}
+    held = {r.node: np.frombuffer(r.sig, "<u2").reshape(6, 5) for r in nodes.collect()}
+    for trie in range(6):
+        for node, sig in held.items():
+            longest = max(int(np.cumprod(sig[trie] == o[trie]).sum()) for k, o in held.items() if k != node)
+            if longest >= 2:
+                path, depth = got[trie, node]
+                # rows at the edge of a partition count as matched in full
+                assert path == sig[trie].astype("<u2").tobytes() and depth in (longest, 5)
+    assert len(got) < 6 * 100
+
+
+def test_prefixes_are_shortened_only_while_links_are_missing(spark):
+    rng = np.random.default_rng(3)
+    close, found = family(rng, 1200, 100, 97), {}
+    forest_ties(nodes_of(spark, close), 0.8, 32, 8, 0.998, found)
+    assert found["depth"] == 8 and found["recall"] >= 0.998
+    border = [s for _ in range(150) for s in family(rng, 2, 100, 89)]  # pairs of about 0.8
+    ties = forest_ties(nodes_of(spark, border), 0.8, 32, 8, 0.9999, found).collect()
+    assert found["depth"] < 8 and found["recall"] >= 0.9999
+    assert {tuple(sorted((r.a, r.b))) for r in ties} >= {((2 * i).to_bytes(4, "big"), (2 * i + 1).to_bytes(4, "big")) for i in range(150)}
+
+
+def test_pages_of_a_template_are_neither_tied_nor_compared(spark):
+    """A thousand pages at 0.3 to each other and some copies among them: ties for the copies alone."""
+    rng = np.random.default_rng(4)
+    pages = family(rng, 1000, 100, 46)
+    copies = [np.unique(np.concatenate([p[:96], rng.integers(0, 1 << 63, 4, dtype=np.uint64)])) for p in pages[:20]]
+    ties = forest_ties(nodes_of(spark, pages + copies), 0.8, 32, 8, 0.99999)
+    got = {tuple(sorted((int.from_bytes(r.a, "big"), int.from_bytes(r.b, "big")))) for r in ties.collect()}
+    assert got >= {(i, 1000 + i) for i in range(20)} and len(got) < 60
+
+
+def test_strangers_behind_a_common_prefix_still_meet(spark):
+    """One trie of one value: everything shares a prefix with strangers, and the leader is none of the pair's."""
+    rng = np.random.default_rng(5)
+    sets = [s for _ in range(40) for s in family(rng, 3, 60, 58)]
+    sigs = [bytes(2) + x[2:] for x in signatures(sets, 1, 64)]  # the first value equal in all
+    nodes = spark.createDataFrame([(i.to_bytes(4, "big"), x) for i, x in enumerate(sigs)], "node binary, sig binary")
+    from nearfield.llm import lsh_forest as LF
+
+    matched = LF.matched_paths(nodes, 1, 64, 1)
+    pairs, ties = LF._ties_at(matched, nodes, 1, True, 0.5, 0.9, block_rows=32)
+    tied = {(r.node, r.lead) for r in pairs.where("similarity >= 0.5").collect()} | {tuple(r) for r in ties.collect()}
+    roots = {r.node: r.component for r in components(spark.createDataFrame(list(tied), "a binary, b binary")).collect()}
+    assert all(len({roots[(3 * g + i).to_bytes(4, "big")] for i in range(3)}) == 1 for g in range(40)) and len(set(roots.values())) == 40
 
 
 def test_odd_rows(spark, clashing):
