@@ -10,10 +10,16 @@ kind; a match that is too short is dropped but still consumes its characters:
 A fourth kind, ``novel``, reports values that no pattern covers: a run of
 ``min_novel`` or more key characters mixing letters and digits, at most
 ``reach`` characters after a sensitive word. Zstandard is primed with the
-identifier dictionary and the text around the candidate, and the bytes it
+identifier dictionaries and the text around the candidate, and the bytes it
 adds for the candidate are divided by its length. What repeats its
-surroundings or common identifiers costs little; random key material costs
-about as much as it is long and is reported from ``novelty`` upwards. Candidates
+surroundings or is made of known words costs little; random key material costs
+about as much as it is long and is reported from ``novelty`` upwards. Two
+dictionaries are used: ``identifiers``, given whole, and the words of a public
+tokenizer's vocabulary (``vocabulary_path``), of which the stretches that a
+candidate is made of are given: words (split at separators, digits and changes
+of case), short numbers and separators in a row. So names, paths and slugs are
+known, whatever words they join, and so are UUIDs, which name things; a key's
+random letters hold no stretch long enough to matter. Candidates
 of 64 characters or more are measured in even pieces, which Zstandard stores as
 they are: it codes longer ones by their alphabet, so that long random keys would
 cost little too. One novel piece reports the whole candidate. Other places of a
@@ -31,6 +37,7 @@ and other columns are ignored. No shuffle.
 from __future__ import annotations
 
 import bisect
+import json
 import re
 
 import pyarrow as pa
@@ -39,7 +46,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from nearfield.llm.common import slices
+import public_tokenizers
+from nearfield.llm.common import per_process, slices
 
 KINDS = ("assign", "access", "hex", "novel")
 
@@ -76,20 +84,56 @@ def pattern_spans(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
+#: Words of two letters that names are made of; longer ones come from the vocabulary.
+SHORT_WORDS = frozenset("an as at be by de do en es fr go he id if in io ip is it js la me my no of ok on or os so tb to ui up us we".split())
+_STRETCH = re.compile(
+    r"(?P<uuid>(?<![0-9A-Fa-f])[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}(?![0-9A-Fa-f]))|(?P<version>(?<![A-Za-z])[vV][0-9]{1,3}(?![0-9]))"
+    r"|(?P<word>[A-Z]?[a-z]+|[A-Z]+(?![a-z]))|(?P<number>[0-9]+)|(?P<sign>[^A-Za-z0-9]+)"
+)
+
+
+def vocabulary_words(path: str) -> frozenset[str]:
+    """The words of three letters or more among a tokenizer file's tokens that begin a word (marked by ``\u0120``)."""
+    with open(path, encoding="utf-8") as f:
+        tokens = json.load(f)["model"]["vocab"]
+    return frozenset(t[1:].lower() for t in tokens if len(t) > 3 and t[0] == "\u0120" and t[1:].isascii() and t[1:].isalpha())
+
+
+def known_stretches(value: str, words: frozenset[str], least: int = 8) -> list[tuple[int, int]]:
+    """Where in ``value`` there are runs of known words, numbers of up to eight digits, UUIDs and signs, ``least`` characters or longer."""
+    out, start, named = [], None, False
+    for m in _STRETCH.finditer(value):
+        text, kind = m[0], m.lastgroup
+        known = kind in ("uuid", "version", "sign") or kind == "number" and len(text) <= 8
+        if kind == "word":
+            known = text.lower() in words or text.lower() in SHORT_WORDS
+        if known:
+            start = m.start() if start is None else start
+            named |= kind != "sign"
+        else:
+            if named and m.start() - start >= least:
+                out.append((start, m.start()))
+            start, named = None, False
+    if named and len(value) - start >= least:
+        out.append((start, len(value)))
+    return out
+
+
 class Novelty:
-    """Marginal compressed size of a string against a dictionary and its surroundings."""
+    """Marginal compressed size of a string against dictionaries and its surroundings."""
 
-    def __init__(self, identifiers: str = IDENTIFIERS, level: int = 3):
+    def __init__(self, identifiers: str = IDENTIFIERS, words: frozenset[str] = frozenset(), level: int = 3):
         self.prime = identifiers.encode()
+        self.words = words
         self.level = level
 
-    def share(self, value: str, before: str, after: str) -> float:
-        """Bytes that ``value`` adds to its compressed surroundings, per character."""
+    def share(self, value: str, before: str, after: str, known: list[str] = ()) -> float:
+        """Bytes that ``value`` adds to its compressed surroundings and ``known`` stretches, per character."""
         # the text before comes last: the closest offsets are the cheapest
-        known = self.prime + b"\n" + after.encode("utf-8", "replace") + b"\n" + before.encode("utf-8", "replace")
+        parts = (self.prime, *(k.encode("utf-8", "replace") for k in known), after.encode("utf-8", "replace"), before.encode("utf-8", "replace"))
         primed = zstandard.ZstdCompressor(
             level=self.level,
-            dict_data=zstandard.ZstdCompressionDict(known, dict_type=zstandard.DICT_TYPE_RAWCONTENT),
+            dict_data=zstandard.ZstdCompressionDict(b"\n".join(parts), dict_type=zstandard.DICT_TYPE_RAWCONTENT),
             write_content_size=False, write_checksum=False, write_dict_id=False,
         )
         return (len(primed.compress(value.encode())) - len(primed.compress(b""))) / len(value)
@@ -101,12 +145,21 @@ _PIECE = 63
 
 def is_novel(value: str, before: str, after: str, novelty: Novelty, threshold: float, window: int) -> bool:
     """Whether an even piece of at most ``_PIECE`` characters costs ``threshold`` a character or more."""
+    known = known_stretches(value, novelty.words)
     n = -(-len(value) // _PIECE)
-    cuts = [len(value) * i // n for i in range(n + 1)]
-    return any(  # a piece also knows the pieces before it
-        novelty.share(value[lo:hi], (before + value[max(0, lo - window) : lo])[-window:], after) >= threshold
-        for lo, hi in zip(cuts, cuts[1:])
-    )
+    first = 0
+    for i in range(n):
+        lo, hi = len(value) * i // n, len(value) * (i + 1) // n
+        while first < len(known) and known[first][1] <= lo:
+            first += 1
+        met, k = [], first  # what of the known stretches lies in this piece
+        while k < len(known) and known[k][0] < hi:
+            met.append(value[max(known[k][0], lo) : min(known[k][1], hi)])
+            k += 1
+        # a piece also knows the pieces before it
+        if novelty.share(value[lo:hi], (before + value[max(0, lo - window) : lo])[-window:], after, met) >= threshold:
+            return True
+    return False
 
 
 def key_parts(value: str, min_novel: int) -> tuple[str, ...]:
@@ -175,6 +228,7 @@ def find_secrets(
     reach: int = 48,
     window: int = 1024,
     identifiers: str = IDENTIFIERS,
+    vocabulary_path: str | None = None,
     id_col: str = "doc_id",
     text_col: str = "text",
     carry: tuple[str, ...] = (),
@@ -182,6 +236,7 @@ def find_secrets(
     """One row per document: id, ``spans`` (array of start, end, kind; by start, then kind),
     ``masked`` (the text with every span replaced by ``[SECRET]``, null for null) and ``carry`` columns.
     """
+    path = vocabulary_path or public_tokenizers.path("byte_bpe_50k.json")
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *[F.col(c).alias(f"carry_{c}") for c in carry])
     span = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())])
     kept = [f for f in src.schema if f.name != "text"]
@@ -204,7 +259,7 @@ def find_secrets(
         return "".join([*out, text[at:]]) if spans else text
 
     def kernel(batches):
-        measure = Novelty(identifiers)
+        measure = Novelty(identifiers, per_process(("vocabulary words", path), lambda: vocabulary_words(path)))
         names = [f.name for f in kept]
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):

@@ -7,7 +7,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from nearfield.llm.queries import all_queries
-from nearfield.llm.secret_scan import Novelty, find_secrets, novel_spans, pattern_spans
+import public_tokenizers
+from nearfield.llm.secret_scan import Novelty, find_secrets, known_stretches, novel_spans, pattern_spans, vocabulary_words
 
 SF = "/root/testdata/sf0.001"
 
@@ -97,6 +98,80 @@ def test_keys_around_a_hex_run_and_after_hyphen_words_are_reported():
     assert novel_spans(whole, pattern_spans(whole), Novelty(), 0.8, 20, 48, 1024) == []
 
 
+WORDS = ("user account session payment invoice customer order shipping address history window garden river castle winter summer report "
+         "overview authentication settings profile password email message image gallery index archive release candidate server client "
+         "request response header cookie cache buffer thread worker queue schedule calendar language translation country population "
+         "culture music popular science physics chemistry biology medicine university library museum national international").split()
+
+
+def ordinary_strings(rng, n):
+    """Names, paths, slugs, UUIDs and times as text and code have them, each with letters and digits."""
+    out = []
+    while len(out) < n:
+        w = [rng.choice(WORDS) for _ in range(rng.randrange(3, 7))]
+        year, number = rng.randrange(1900, 2030), rng.randrange(1, 400)
+        kind = len(out) % 10
+        out.append((
+            "_".join(w) + f"_{number}", w[0] + "".join(x.title() for x in w[1:]) + str(number), "".join(x.title() for x in w) + f"V{number % 9}",
+            "_".join(w).upper() + f"_{number}", f"{year}-{number % 12 + 1:02}-" + "-".join(w), f"/{w[0]}/{year}/{number % 12 + 1:02}/" + "-".join(w[1:]),
+            "wiki/" + "_".join(x.title() for x in w) + f"_{year}", f"get_{w[0]}_by_id_and_{w[1]}_v2", "-".join(w) + f"-v{number}",
+            "-".join("%0*x" % (k, rng.getrandbits(4 * k)) for k in (8, 4, 4, 4, 12)),
+        )[kind])
+    return [x for x in out if len(x) >= 20 and any(c.isdigit() for c in x) and any(c.isalpha() for c in x)]
+
+
+PROSE = "the stone walked under morning light near old houses with many people " * 20
+
+
+@pytest.fixture(scope="module")
+def measure():
+    return Novelty(words=vocabulary_words(public_tokenizers.path("byte_bpe_50k.json")))
+
+
+def reported(value, measure, lead="the signature "):
+    text = f"{PROSE}{lead}{value} {PROSE}"
+    return novel_spans(text, pattern_spans(text), measure, 0.8, 20, 48, 1024) != []
+
+
+def test_ordinary_strings_after_sensitive_words_are_left(measure):
+    """At most one in a hundred of names, paths, slugs, UUIDs and times is taken for a key."""
+    strings = ordinary_strings(random.Random(8), 700)
+    wrong = [x for x in strings if reported(x, measure)]
+    assert len(strings) > 500 and len(wrong) <= 0.01 * len(strings), wrong
+    for x in ("get_user_by_id_and_name_v2", "com/guides/2024/authentication-overview", "Chapter-12-the-old-house-on-the-hill",
+              "/wiki/Garden_of_Eden_in_popular_culture_2019", "2024-01-15T10-30-00", "MAX_CONNECTIONS_PER_HOST_2", "parseHttpResponseHeader2"):
+        assert not reported(x, measure)
+
+
+@pytest.mark.parametrize("alphabet", ["0123456789ABCDEF", string.ascii_uppercase + "234567", string.digits + string.ascii_lowercase,
+                                      string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/"])
+def test_random_keys_of_every_alphabet_are_reported(measure, alphabet):
+    for n, least in ((20, 90), (24, 95), (32, 98), (64, 99), (300, 99)):
+        keys = [k for k in random_keys(alphabet, n, 100) if any(c.isdigit() for c in k) and any(c.isalpha() for c in k)]
+        assert sum(reported(k, measure, "Authorization: Bearer ") for k in keys) >= least / 100 * len(keys), n
+
+
+def test_known_stretches(measure):
+    w = frozenset(["garden", "eden", "http", "server"])
+    for value, known in (("Garden_of_Eden_2019", "Garden_of_Eden_2019"), ("xqzt_gardenEden/v2-qqqq", "_gardenEden/v2-"), ("HTTPServer123456789012", "HTTPServer"),
+                         ("550e8400-e29b-41d4-a716-446655440000", "550e8400-e29b-41d4-a716-446655440000")):
+        assert [value[a:b] for a, b in known_stretches(value, w)] == [known]
+    assert known_stretches("----////====", w) == [] and known_stretches("", w) == [] and known_stretches("qzx7gq0", w) == []
+    assert 20_000 < len(measure.words) and {"garden", "authentication"} <= measure.words and "of" not in measure.words
+
+
+def test_the_measure_runs_on_a_table(spark, docs_of):
+    """Planted keys are masked, planted names stay, through the operator."""
+    rng = random.Random(9)
+    names = ordinary_strings(rng, 150)
+    keys = random_keys(string.ascii_letters + string.digits, 40, 120)
+    rows = [(i, f"{PROSE[:300]}credential {x} {PROSE[:300]}") for i, x in enumerate(names + keys)]
+    got = {r.doc_id: r for r in find_secrets(docs_of(rows)).collect()}
+    masked = [i for i, r in got.items() if any(s.kind == "novel" for s in r.spans)]
+    assert sum(i < len(names) for i in masked) <= 1 and sum(i >= len(names) for i in masked) >= 118
+    assert all(got[i].masked == t.replace(keys[i - len(names)], "[SECRET]") for i, t in rows if i in masked and i >= len(names))
+
+
 def test_odd_rows(spark, clashing):
     rng = random.Random(6)
     key = "".join(rng.choice("GHIJKLMNOPQRSTUVWXYZghijklmnopqrstuvwxyz0123456789") for _ in range(40))
@@ -117,7 +192,8 @@ def test_dense_words_and_long_runs_cost_linear_time():
     from nearfield.llm.secret_scan import novel_spans
 
     began = time.time()
-    for text in ("token " * 200_000, "secret " + "g" * 1_000_000, "bearer=" * 100_000, "password" + " " * 1_000_000):
+    words = frozenset(["garden", "eden"])
+    for text in ("token garden-" + "garden-eden1/" * 80_000, "token garden-" + "garden-edenxq1/" * 60_000, "token " * 200_000, "secret " + "g" * 1_000_000, "bearer=" * 100_000, "password" + " " * 1_000_000):
         covered = pattern_spans(text)
-        novel_spans(text, covered, Novelty(), 0.8, 20, 48, 1024)
+        novel_spans(text, covered, Novelty(words=words), 0.8, 20, 48, 1024)
     assert time.time() - began < 30
