@@ -10,17 +10,22 @@ Every candidate is verified by its cosine in double precision.
 
 Candidates of ordinary cells are written as pairs once and verified by a join
 with the vectors. A cell that more than ``hot_cell`` nodes lie in or probe is
-never paired: its nodes are tied into groups on keys alone, and all pairs of a
-group are compared in tiles (see ``tiles``), so near copies that make up a third
-of all rows neither overfill a task nor lose a link.
+never paired. Each of its nodes is verified against the smallest one; where that
+links all, as with near copies, the cell is done. In any other hot cell the nodes
+meet each other in tiles (see ``tiles``). Only links found so, never a shared cell
+alone, tie nodes into groups, and all pairs of a group are then compared in tiles
+once more, to count links. So near copies that make up a third of all rows
+neither overfill a task nor lose a link, and vectors that merely lie close chain
+into no group.
 
 ``cell`` is the scale of the lattice for unit vectors of 64 dimensions (other
-dimensions are scaled alike). By default it shrinks with the number of nodes so
-that a node meets about as many unrelated ones at any size (the chance of such
-a meeting falls with the volume of a cell, the power 8 * ``blocks`` of its
-scale). ``tables`` then follows from the wanted ``recall``: the chance that a
-pair right at the threshold meets in one table is measured on random pairs, and
-nearer pairs meet more often.
+dimensions are scaled alike). How many unrelated nodes one meets in a cell depends
+on the vectors: embeddings often share a mean direction, or topics. So ``blocks`` and
+``cell`` are by default those of least work (``fitted_scale``): on a sample of at
+most ``sample_nodes`` nodes, without links among them, the meetings in a table are
+counted for a row of scales and carried on to all nodes. ``tables`` follows from the
+wanted ``recall``: the chance that a pair right at the threshold meets in one table
+is measured on random pairs, and nearer pairs meet more often.
 
 Vectors that are null, empty, zero or hold null or non-finite components link
 with nothing and are kept. Vectors of different length do not link. Repeated
@@ -126,6 +131,49 @@ def meeting_probability(dim: int, threshold: float, blocks: int, probes: int, ce
     return float(met.mean())
 
 
+#: Relative work of a candidate pair (two vectors moved and compared) and of a key of a node.
+PAIR_WORK, KEY_WORK = 10.0, 1.0
+CELLS = (0.5, 0.42, 0.35, 0.3, 0.25, 0.21, 0.18)
+
+
+def meetings(units: np.ndarray, lattice: Lattice) -> int:
+    """Pairs of the vectors that meet in a table, over all tables."""
+    own, near = lattice.cells(units)
+    total = 0
+    for t in range(own.shape[1]):
+        keys, counts = np.unique(own[:, t], return_counts=True)
+        total += int((counts * (counts - 1) // 2).sum())
+        asked = near[:, t * lattice.probes : (t + 1) * lattice.probes].ravel()
+        at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+        total += int(counts[at][keys[at] == asked].sum())
+    return total
+
+
+def fitted_scale(units: np.ndarray, n: int, threshold: float, recall: float, probes: int, seed: int, blocks_tried=(2, 3, 4)) -> tuple[int, float, int]:
+    """``(blocks, cell, tables)`` of least work for ``n`` nodes like the ``units`` (rows of length one)."""
+    dim = units.shape[1]
+    close = units @ units.T >= threshold
+    units = units[~np.tril(close, -1).any(1)]  # unrelated ones only: what is linked should meet
+    pairs = max(1, len(units) * (len(units) - 1) // 2)
+    best = None
+    for blocks in blocks_tried:
+        share = 1.0
+        for i, cell in enumerate(CELLS):
+            lattice = Lattice(dim, 4, blocks, probes, cell, seed)
+            met = meetings(units, lattice)
+            # too few to count: they fall with a cell's volume at least as fast as between the last two scales
+            shrunk = share * (cell / CELLS[max(0, i - 1)]) ** (8 * blocks)
+            share = met / (4 * pairs) if met >= 10 else min(share, max(shrunk, met / (4 * pairs)))
+            p = meeting_probability(dim, threshold, blocks, probes, cell, seed, pairs=500)
+            tables = max(1, ceil(log(1 - recall) / log(1 - min(max(p, 1e-6), 0.999))))
+            work = tables * ((1 + probes) * KEY_WORK + share * n * PAIR_WORK)
+            if best is None or work < best[0]:
+                best = (work, blocks, cell, tables)
+            if tables * (1 + probes) * KEY_WORK > best[0]:
+                break  # smaller cells only need more tables
+    return best[1:]
+
+
 def cosines(a: list[bytes], b: list[bytes]) -> np.ndarray:
     """Row-wise cosine in double precision of float vectors (pairs of equal length)."""
     out = np.empty(len(a))
@@ -145,11 +193,12 @@ def link_embeddings(
     vectors: DataFrame,
     threshold: float = 0.9,
     tables: int | None = None,
-    blocks: int = 2,
+    blocks: int | None = None,
     probes: int = 4,
     cell: float | None = None,
     recall: float = 0.96,
     hot_cell: int = 128,
+    sample_nodes: int = 2048,
     block_rows: int = 1024,
     seed: int = 8,
     id_col: str = "vec_id",
@@ -176,6 +225,13 @@ def link_embeddings(
     rows = cut(src.mapInArrow(note, f"id {id_name}, node binary, payload binary"))
     nodes = cut(rows.where("node is not null").groupBy("node").agg(F.first("payload").alias("payload"), F.count(F.lit(1)).alias("n")))
     n, dim = nodes.agg(F.count(F.lit(1)), F.coalesce(F.max(F.octet_length("payload")), F.lit(8)) / 8).first()
+    if cell is None and blocks is None and tables is None and n:
+        rate = min(1.0, 1.25 * sample_nodes / n)
+        some = nodes.where((F.octet_length("payload") == int(dim) * 8) & (F.pmod(F.xxhash64("node"), F.lit(1 << 30)) < int(rate * (1 << 30))))
+        sample = [_unit(bytes(r.payload)) for r in some.select("payload").limit(sample_nodes).collect()]
+        if len(sample) >= 64 and dim >= 2:
+            blocks, cell, tables = fitted_scale(np.stack(sample), n, threshold, recall, probes, seed)
+    blocks = blocks or 2
     if cell is None:
         cell = min(0.5, 0.25 * (50_000 / max(1, n)) ** (1 / (8 * blocks)))
     if tables is None:
@@ -211,10 +267,18 @@ def link_embeddings(
     busy = cut(busy)
     inside = index.join(busy, "key")
     outside = near.select("node", "key").join(busy, "key")
-    ties = inside.union(outside.select(inside.columns)).where("hot and node != low").select(F.col("node").alias("a"), F.col("low").alias("b"))
-    groups = cut(components(ties.distinct()))
-    grouped = groups.select("node", F.col("component").alias("grp"))
-    members = grouped.join(nodes, "node").select("node", "grp", F.col("n").alias("weight"), F.lit(1).cast("bigint").alias("size"))
+    vec_a, vec_b = (nodes.select(F.col("node").alias(c), F.col("payload").alias(f"vec_{c}"), F.col("n").alias(f"n_{c}")) for c in ("a", "b"))
+    checked = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("n_a", pa.int64()), ("n_b", pa.int64())])
+
+    def verify(batches):
+        for batch in batches:
+            for a, b, n_a, n_b, x, y in slices(batch, 4096, ["a", "b", "n_a", "n_b", "vec_a", "vec_b"]):
+                hit = np.flatnonzero(cosines(x, y) >= threshold)
+                yield pa.RecordBatch.from_arrays([pa.array([c[i] for i in hit], f.type) for c, f in zip((a, b, n_a, n_b), checked)], schema=checked)
+
+    def verified(pairs):
+        both = pairs.join(vec_a, "a").join(vec_b, "b").select("a", "b", "n_a", "n_b", "vec_a", "vec_b")
+        return cut(both.mapInArrow(verify, "a binary, b binary, n_a bigint, n_b bigint"))
 
     def close(payloads):
         dims = {len(p) for p in payloads}
@@ -224,6 +288,18 @@ def link_embeddings(
         units = [_unit(p) for p in payloads]
         return np.array([[len(x) == len(y) and x @ y >= threshold for y in units] for x in units])
 
+    # hot cells: all nodes but the smallest, each verified against it
+    hot = cut(inside.union(outside.select(inside.columns)).where("hot and node != low").select("key", "node", "low"))
+    led = verified(cut(hot.select(F.col("node").alias("a"), F.col("low").alias("b")).distinct())).select("a", "b")
+    linked_to_low = led.select(F.col("a").alias("node"), F.col("b").alias("low"), F.lit(True).alias("linked"))
+    mixed = cut(hot.join(linked_to_low, ["node", "low"], "left").where("linked is null").select("key").distinct())
+    strangers = cut(hot.join(mixed, "key", "left_semi").select("node", F.col("key").alias("grp"), F.lit(1).alias("weight"), F.lit(1).alias("size")))
+    met = cut(link_tiles(strangers, nodes.select("node", "payload"), close, block_rows, block_rows))
+    ties = led.union(met.select(F.col("node").alias("a"), F.col("root").alias("b")).where("a != b"))
+    groups = cut(components(ties.distinct()))
+    grouped = groups.select("node", F.col("component").alias("grp"))
+    members = grouped.join(nodes, "node").select("node", "grp", F.col("n").alias("weight"), F.lit(1).cast("bigint").alias("size"))
+
     tiles = cut(link_tiles(members, nodes.select("node", "payload"), close, block_rows, block_rows))
     # pairs of ordinary cells, once each, without those that a tile compares
     in_cell = inside.where("not hot").select("key", F.col("node").alias("b"))
@@ -232,17 +308,7 @@ def link_embeddings(
     group_a, group_b = (grouped.select(F.col("node").alias(c), F.col("grp").alias(f"grp_{c}")) for c in ("a", "b"))
     pairs = pairs.join(group_a, "a", "left").join(group_b, "b", "left")
     pairs = pairs.where("grp_a is null or grp_b is null or grp_a != grp_b").select("a", "b")
-    vec_a, vec_b = (nodes.select(F.col("node").alias(c), F.col("payload").alias(f"vec_{c}"), F.col("n").alias(f"n_{c}")) for c in ("a", "b"))
-    both = pairs.join(vec_a, "a").join(vec_b, "b").select("a", "b", "n_a", "n_b", "vec_a", "vec_b")
-    checked = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("n_a", pa.int64()), ("n_b", pa.int64())])
-
-    def verify(batches):
-        for batch in batches:
-            for a, b, n_a, n_b, x, y in slices(batch, 4096, ["a", "b", "n_a", "n_b", "vec_a", "vec_b"]):
-                hit = np.flatnonzero(cosines(x, y) >= threshold)
-                yield pa.RecordBatch.from_arrays([pa.array([c[i] for i in hit], f.type) for c, f in zip((a, b, n_a, n_b), checked)], schema=checked)
-
-    linked = cut(both.mapInArrow(verify, "a binary, b binary, n_a bigint, n_b bigint"))
+    linked = verified(pairs)
     counts = (
         linked.select(F.col("a").alias("node"), F.col("n_b").alias("links"))
         .union(linked.select(F.col("b").alias("node"), F.col("n_a").alias("links")))

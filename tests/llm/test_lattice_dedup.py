@@ -1,6 +1,6 @@
 import numpy as np
 import pytest
-from nearfield.llm.lattice_dedup import Lattice, link_embeddings, meeting_probability, minimal_vectors, nearest_e8
+from nearfield.llm.lattice_dedup import Lattice, fitted_scale, link_embeddings, meeting_probability, meetings, minimal_vectors, nearest_e8
 from nearfield.llm.queries import all_queries
 from pyspark.sql import functions as F
 
@@ -56,6 +56,46 @@ def test_groups_of_near_copies(spark, hot_cell):
     assert sum(got[k][1] == want[k][1] for k in want) >= 0.98 * len(want)
 
 
+def around_a_mean(rng, n, dim, mean):
+    """Unit vectors whose cosine is ``mean`` on average."""
+    m = np.zeros(dim)
+    m[0] = 1
+    z = rng.normal(size=(n, dim))
+    z[:, 0] = 0
+    return np.sqrt(mean) * m + np.sqrt(1 - mean) * z / np.linalg.norm(z, axis=1)[:, None]
+
+
+def test_vectors_with_a_common_mean_form_no_group(spark, monkeypatch):
+    """Mean cosine 0.6 and no link but the planted ones: few are compared, and none is tied to a stranger."""
+    from nearfield.llm import lattice_dedup as LD
+
+    rng = np.random.default_rng(6)
+    U = around_a_mean(rng, 3000, 64, 0.6)
+    near = U[:150] + rng.normal(size=(150, 64)) * 0.015
+    data = [(i, [float(np.float32(x)) for x in v]) for i, v in enumerate([*U, *near])]
+    seen = []
+    tiles = LD.link_tiles
+    monkeypatch.setattr(LD, "link_tiles", lambda members, *a: seen.append(members) or tiles(members, *a))
+    df = spark.createDataFrame([(k, v, 0) for k, v in data], SCHEMA)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in link_embeddings(df).collect()}
+    want = brute(data)
+    assert all(got[k][0] <= want[k][0] for k in want)
+    assert sum(n for n, _ in got.values()) >= 0.9 * sum(n for n, _ in want.values())
+    largest = seen[1].groupBy("grp").count().agg(F.max("count")).first()[0] or 0
+    assert largest <= max(2, np.unique([c for _, c in want.values()], return_counts=True)[1].max())
+
+
+def test_the_scale_follows_the_vectors():
+    rng = np.random.default_rng(7)
+    plain, mean = around_a_mean(rng, 1000, 64, 0.0), around_a_mean(rng, 1000, 64, 0.7)
+    copies = np.concatenate([plain, np.repeat(plain[:5], 100, axis=0)])
+    one, two = fitted_scale(plain, 20_000, 0.9, 0.96, 4, 8), fitted_scale(mean, 20_000, 0.9, 0.96, 4, 8)
+    assert fitted_scale(copies, 20_000, 0.9, 0.96, 4, 8) == one  # links among the sample don't count
+    assert two[2] > one[2] and fitted_scale(plain, 10**9, 0.9, 0.96, 4, 8)[2] > one[2]
+    met = [meetings(U, Lattice(64, 4, b, 4, c, 8)) for U, (b, c, _) in ((plain, one), (mean, two), (mean, one))]
+    assert met[1] < 0.5 * met[2]
+
+
 def test_recall_near_the_threshold(spark):
     rng = np.random.default_rng(3)
     data = []
