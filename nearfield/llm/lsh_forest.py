@@ -7,8 +7,8 @@ neighbours is the depth at which the node leaves its nearest relatives. One sort
 serves all depths; paths that share too little with anyone are left out.
 
 The join starts with the longest prefixes and shortens them a value at a time.
-At each depth the groups of equal prefixes that are new at it are worked
-through: every member meets the group's smallest node (its leader), and the
+At each depth the groups of equal prefixes whose members are not yet tied to each
+other are worked through: every member not tied to it meets the group's smallest node (its leader), and the
 share of equal values in both signatures estimates their similarity. Members
 that are alike are tied to the leader. Where a group also has members that are
 not, these and the members that could be similar to one of them meet each other,
@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearfield.llm.common import cut
+from nearfield.llm.components import components
 from nearfield.llm.tiles import link_tiles
 
 VALUE = 2  # bytes of a MinHash value
@@ -112,8 +113,8 @@ def estimated(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
                 a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u2").reshape(batch.num_rows, -1) for i in (2, 3))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array((a == b).mean(1))], schema=schema)
 
-    # both joins read plain shuffles, so that the pairs of a common leader can be split over tasks
-    met = cut(pairs.join(nodes.select("node", F.col("sig").alias("own")), "node"))
+    # both joins read shuffles of their own, so that the pairs of a common leader can be split over tasks
+    met = pairs.join(nodes.select("node", F.col("sig").alias("own")), "node")
     met = met.join(nodes.select(F.col("node").alias("lead"), F.col("sig").alias("other")), "lead").select("node", "lead", "own", "other")
     return met.mapInArrow(kernel, NODE_PAIR)
 
@@ -125,24 +126,30 @@ def alike_matrix(sigs: list[bytes], alike: float) -> np.ndarray:
 
 
 def _ties_at(
-    matched: DataFrame, nodes: DataFrame, depth: int, deepest: bool, alike: float, reach: float, block_rows: int = 1024
+    matched: DataFrame, nodes: DataFrame, depth: int, roots: DataFrame | None, alike: float, reach: float, block_rows: int = 1024
 ) -> tuple[DataFrame | None, DataFrame | None]:
-    """What the prefixes of ``depth`` values that are new at it bring: estimated pairs (node, leader), and
-    further ties (a, b) of members that a leader couldn't judge."""
+    """What the prefixes of ``depth`` values bring: estimated pairs (node, leader), and further ties (a, b) of
+    members that a leader couldn't judge. ``roots (node, root)`` are the groups tied so far: only members of
+    different ones meet."""
     prefix = F.expr(f"substring(path, 1, {VALUE * depth})").alias("key")
-    child = F.expr(f"substring(path, 1, {VALUE * (depth + 1)})").alias("child")
-    entries = matched.where(F.col("depth") >= depth).select("trie", prefix, "node", child)
-    lead = entries.groupBy("trie", "key").agg(F.min("node").alias("lead"), F.max("node").alias("last"), F.min("child").alias("low"), F.max("child").alias("high"))
-    # a group that has one longer prefix in common was worked through at that depth
-    lead = cut(lead.where("lead < last" if deepest else "lead < last and low < high").select("trie", "key", "lead"))
-    met = cut(entries.join(lead, ["trie", "key"]).where("node != lead").select("trie", "key", "node", "lead"))
+    entries = matched.where(F.col("depth") >= depth).select("trie", prefix, "node")
+    if roots is None:
+        entries = entries.withColumn("root", F.col("node"))
+    else:
+        entries = cut(entries.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    first = F.min(F.struct("node", "root")).alias("first")
+    lead = entries.groupBy("trie", "key").agg(first, F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+    lead = cut(lead.select("trie", "key", F.col("first.node").alias("lead"), F.col("first.root").alias("lead_root")))
+    met = cut(entries.join(lead, ["trie", "key"]).where("root != lead_root").select("trie", "key", "node", "lead"))
     if met.isEmpty():
         return None, None
     pairs = cut(estimated(met.select("node", "lead").distinct(), nodes))
     marked = met.join(pairs, ["node", "lead"])
     # a member alike enough that nobody similar to it can be a stranger to the leader has met all it needs to
     strange = cut(marked.where(F.col("similarity") < alike).select("trie", "key").distinct())
-    left = marked.where(F.col("similarity") < reach).join(strange, ["trie", "key"], "left_semi").select("trie", "key", "node")
+    done = marked.where(F.col("similarity") >= reach).select("trie", "key", "node")
+    left = entries.join(strange, ["trie", "key"], "left_semi").join(lead.select("trie", "key", "lead"), ["trie", "key"]).where("node != lead")
+    left = left.join(done, ["trie", "key", "node"], "left_anti").select("trie", "key", "node")
     left = cut(left.withColumn("grp", F.concat(F.col("trie").cast("string").cast("binary"), F.lit(":").cast("binary"), "key")))
     # groups of the same members, as small ones are in many tries, are looked at once
     members = F.struct(F.count(F.lit(1)), F.sum(F.xxhash64("node").cast("decimal(20,0)")), F.sum(F.xxhash64("node", F.lit(1)).cast("decimal(20,0)")))
@@ -163,8 +170,9 @@ def forest_ties(nodes: DataFrame, similarity: float, tries: int, max_depth: int,
     reach = alike + (1 - similarity) + 2 * noise  # by the triangle inequality of Jaccard distances
     matched = cut(matched_paths(nodes, tries, max_depth, least))
     pairs = ties = None
+    roots = None
     for depth in range(max_depth, least - 1, -1):
-        more, others = _ties_at(matched, nodes, depth, depth == max_depth, alike, reach)
+        more, others = _ties_at(matched, nodes, depth, roots, alike, reach)
         pairs = pairs.unionByName(more) if pairs is not None and more is not None else pairs if more is None else more
         ties = ties.unionByName(others) if ties is not None and others is not None else ties if others is None else others
         n, stands_for = 0, 0.0
@@ -177,9 +185,15 @@ def forest_ties(nodes: DataFrame, similarity: float, tries: int, max_depth: int,
         recall = (n + at_threshold) / (stands_for + 1)
         if found is not None:
             found.update(depth=depth, recall=recall)
-        if recall >= target:
+        if recall >= target or depth == least:
             break
+        if pairs is not None:
+            roots = cut(components(_tied(pairs, ties, alike)).select("node", F.col("component").alias("root")))
     if pairs is None:
         return nodes.limit(0).select(F.col("node").alias("a"), F.col("node").alias("b"))
+    return _tied(pairs, ties, alike)
+
+
+def _tied(pairs: DataFrame, ties: DataFrame | None, alike: float) -> DataFrame:
     led = pairs.where(F.col("similarity") >= alike).select(F.col("node").alias("a"), F.col("lead").alias("b"))
     return (led if ties is None else led.unionByName(ties)).distinct()

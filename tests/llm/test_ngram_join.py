@@ -133,7 +133,7 @@ def test_strangers_behind_a_common_prefix_still_meet(spark):
     from nearfield.llm import lsh_forest as LF
 
     matched = LF.matched_paths(nodes, 1, 64, 1)
-    pairs, ties = LF._ties_at(matched, nodes, 1, True, 0.5, 0.9, block_rows=32)
+    pairs, ties = LF._ties_at(matched, nodes, 1, None, 0.5, 0.9, block_rows=32)
     tied = {(r.node, r.lead) for r in pairs.where("similarity >= 0.5").collect()} | {tuple(r) for r in ties.collect()}
     roots = {r.node: r.component for r in components(spark.createDataFrame(list(tied), "a binary, b binary")).collect()}
     assert all(len({roots[(3 * g + i).to_bytes(4, "big")] for i in range(3)}) == 1 for g in range(40)) and len(set(roots.values())) == 40
