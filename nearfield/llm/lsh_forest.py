@@ -30,7 +30,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearfield.llm.common import cut
-from nearfield.llm.components import components
 from nearfield.llm.tiles import link_tiles
 
 VALUE = 2  # bytes of a MinHash value
@@ -136,7 +135,7 @@ def _ties_at(
     if roots is None:
         entries = entries.withColumn("root", F.col("node"))
     else:
-        entries = cut(entries.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+        entries = cut(entries.join(roots, "node", "left").withColumn("root", F.least(F.coalesce("root", "node"), "node")))
     first = F.min(F.struct("node", "root")).alias("first")
     lead = entries.groupBy("trie", "key").agg(first, F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
     lead = cut(lead.select("trie", "key", F.col("first.node").alias("lead"), F.col("first.root").alias("lead_root")))
@@ -146,7 +145,7 @@ def _ties_at(
     pairs = cut(estimated(met.select("node", "lead").distinct(), nodes))
     marked = met.join(pairs, ["node", "lead"])
     # a member alike enough that nobody similar to it can be a stranger to the leader has met all it needs to
-    strange = cut(marked.where(F.col("similarity") < alike).select("trie", "key").distinct())
+    strange = marked.where(F.col("similarity") < alike).select("trie", "key").distinct()
     done = marked.where(F.col("similarity") >= reach).select("trie", "key", "node")
     left = entries.join(strange, ["trie", "key"], "left_semi").join(lead.select("trie", "key", "lead"), ["trie", "key"]).where("node != lead")
     left = left.join(done, ["trie", "key", "node"], "left_anti").select("trie", "key", "node")
@@ -154,7 +153,7 @@ def _ties_at(
     # groups of the same members, as small ones are in many tries, are looked at once
     members = F.struct(F.count(F.lit(1)), F.sum(F.xxhash64("node").cast("decimal(20,0)")), F.sum(F.xxhash64("node", F.lit(1)).cast("decimal(20,0)")))
     once = left.groupBy("grp").agg(members.alias("who")).where("who.col1 > 1").groupBy("who").agg(F.min("grp").alias("grp"))
-    left = cut(left.join(cut(once.select("grp")), "grp").select("node", "grp", F.lit(1).alias("weight"), F.lit(1).alias("size")))
+    left = cut(left.join(once.select("grp"), "grp").select("node", "grp", F.lit(1).alias("weight"), F.lit(1).alias("size")))
     if left.isEmpty():
         return pairs, None
     tiles = link_tiles(left, nodes.select("node", F.col("sig").alias("payload")), lambda p: alike_matrix(p, alike), block_rows, block_rows)
@@ -188,7 +187,9 @@ def forest_ties(nodes: DataFrame, similarity: float, tries: int, max_depth: int,
         if recall >= target or depth == least:
             break
         if pairs is not None:
-            roots = cut(components(_tied(pairs, ties, alike)).select("node", F.col("component").alias("root")))
+            # the smallest node tied to stands for the group: near copies nearly all share it, and where two
+            # members don't, they only meet once more than needed
+            roots = _tied(pairs, ties, alike).groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
     if pairs is None:
         return nodes.limit(0).select(F.col("node").alias("a"), F.col("node").alias("b"))
     return _tied(pairs, ties, alike)
