@@ -210,7 +210,7 @@ def train_centroids(
     cells on duplicate-heavy data. ``sample_fraction`` trains on a sample (of
     keys, so the same rows whatever the file layout); without it, and where the
     number ``n`` of vectors is given, on about ``rows_per_cell`` rows a cell (all,
-    where there are fewer). One cell has the mean vector as its centroid. k-means keeps
+    where there are fewer). One cell has the mean vector of all rows as its centroid. k-means keeps
     all centres on the driver and in every task; where these would exceed
     ``max_broadcast_bytes``, the cells are trained level by level instead (``train_in_levels``).
     """
@@ -223,7 +223,7 @@ def train_centroids(
     if dim is None:
         dim = vectors.agg(F.max(F.size("embedding"))).first()[0] or 0
     src = vectors
-    if sample_fraction is None and n and n > rows_per_cell * nlist:
+    if sample_fraction is None and nlist > 1 and n and n > rows_per_cell * nlist:
         sample_fraction = rows_per_cell * nlist / n
     if sample_fraction is not None:
         src = vectors.where(F.pmod(F.xxhash64("item_id", F.lit(seed)), F.lit(1_000_000)) < F.lit(sample_fraction * 1e6))
