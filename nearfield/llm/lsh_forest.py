@@ -6,7 +6,7 @@ neighbours in it, and the longer of the prefixes that a path shares with its two
 neighbours is the depth at which the node leaves its nearest relatives. One sort
 serves all depths; paths that share too little with anyone are left out.
 
-The join starts with the longest prefixes and shortens them a value at a time.
+The join starts with the longest prefixes and then shortens them as far as needed.
 At each depth the groups of equal prefixes whose members are not yet tied to each
 other are worked through: every member not tied to it meets the group's smallest node (its leader), and the
 share of equal values in both signatures estimates their similarity. Members
@@ -17,8 +17,9 @@ and pages that merely share a template are not tied.
 
 The estimates say how much is still to be found: a pair of similarity ``s`` meets
 at depth ``d`` with probability ``1 - (1 - s ** d) ** tries``, so each pair found
-stands for one over that many. Prefixes are shortened until the share found
-reaches the target; one pair at the threshold itself is always reckoned with, so
+stands for one over that many, and what any shorter prefix would find of them is
+known. Prefixes are shortened to where the share found reaches the target, and
+further if the links met there say so; one pair at the threshold itself is always reckoned with, so
 that few or no pairs found never end the search early.
 """
 
@@ -169,23 +170,18 @@ def forest_ties(nodes: DataFrame, similarity: float, tries: int, max_depth: int,
     reach = alike + (1 - similarity) + 2 * noise  # by the triangle inequality of Jaccard distances
     matched = cut(matched_paths(nodes, tries, max_depth, least))
     pairs = ties = None
-    roots = None
-    for depth in range(max_depth, least - 1, -1):
+    roots, depth = None, max_depth
+    while True:
         more, others = _ties_at(matched, nodes, depth, roots, alike, reach)
         pairs = pairs.unionByName(more) if pairs is not None and more is not None else pairs if more is None else more
         ties = ties.unionByName(others) if ties is not None and others is not None else ties if others is None else others
-        n, stands_for = 0, 0.0
-        if pairs is not None:
-            s = F.least(F.lit(1.0), "similarity")
-            p = 1 - F.pow(1 - F.pow(s, F.lit(depth)), F.lit(tries))
-            links = pairs.where(F.col("similarity") >= similarity).groupBy("node", "lead").agg(F.first("similarity").alias("similarity"))
-            n, stands_for = links.agg(F.count(F.lit(1)), F.coalesce(F.sum(1 / p), F.lit(0.0))).first()
-        at_threshold = meeting(similarity, depth, tries)
-        recall = (n + at_threshold) / (stands_for + 1)
+        reckoned = _recall(pairs, similarity, tries, depth, least)
         if found is not None:
-            found.update(depth=depth, recall=recall)
-        if recall >= target or depth == least:
+            found.update(depth=depth, recall=reckoned[depth])
+        if reckoned[depth] >= target or depth == least:
             break
+        # the longest prefix that is reckoned to reach the target; lengths between would only cost jobs
+        depth = max((d for d in reckoned if reckoned[d] >= target), default=least)
         if pairs is not None:
             # the smallest node tied to stands for the group: near copies nearly all share it, and where two
             # members don't, they only meet once more than needed
@@ -195,6 +191,19 @@ def forest_ties(nodes: DataFrame, similarity: float, tries: int, max_depth: int,
     return _tied(pairs, ties, alike)
 
 
+def _recall(pairs: DataFrame | None, similarity: float, tries: int, depth: int, least: int) -> dict[int, float]:
+    """The share of all links that is found at each depth from ``depth`` to ``least``, by the links found at ``depth``."""
+    depths = range(depth, least - 1, -1)
+    sums = [0.0] * len(depths)
+    stands_for = 0.0
+    if pairs is not None:
+        chance = {d: 1 - F.pow(1 - F.pow(F.least(F.lit(1.0), "similarity"), F.lit(d)), F.lit(tries)) for d in depths}
+        total = lambda c: F.coalesce(F.sum(c), F.lit(0.0))
+        links = pairs.where(F.col("similarity") >= similarity)
+        stands_for, *sums = links.agg(total(1 / chance[depth]), *[total(chance[d] / chance[depth]) for d in depths]).first()
+    return {d: (found + meeting(similarity, d, tries)) / (stands_for + 1) for d, found in zip(depths, sums)}
+
+
 def _tied(pairs: DataFrame, ties: DataFrame | None, alike: float) -> DataFrame:
     led = pairs.where(F.col("similarity") >= alike).select(F.col("node").alias("a"), F.col("lead").alias("b"))
     return (led if ties is None else led.unionByName(ties)).distinct()
