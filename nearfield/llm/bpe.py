@@ -17,9 +17,13 @@ A document is the concatenation of its words' ids. Words are remembered per
 Python worker up to ``cache_entries`` (more only while one batch has more
 distinct words); past that the memory is cleared, which costs time only.
 
-Normalisation, word splitting and special tokens follow the tokenizer file.
-Null text counts as empty (no ids, empty decoded text). Repeated rows are
-encoded each time. Null ids are carried, an empty table gives an empty
+Normalisation, word splitting and special tokens follow the tokenizer file; a
+file that asks for more than is built here (another decoder, a prefix space,
+special tokens that take spaces along) raises ``ValueError``. A faster splitter
+for texts up to U+017F is used only with the normaliser and pre-tokenizer that
+it restates. Null text counts as empty (no ids, empty decoded text). Very long
+texts are encoded whole, a word of n characters in time n times the longest
+token. There are no ties: one encoding is valid. Repeated rows are encoded each time. Null ids are carried, an empty table gives an empty
 result, other columns are ignored. No shuffle.
 """
 
@@ -50,6 +54,13 @@ class TrieBpe:
         model = spec["model"]
         if model["type"] != "BPE" or model["continuing_subword_prefix"] or model["byte_fallback"] or model["dropout"]:
             raise ValueError("a plain BPE model with an end-of-word suffix is needed")
+        pre = spec["pre_tokenizer"] or {}
+        last = pre.get("pretokenizers", [pre])[-1]
+        if last.get("type") != "ByteLevel" or last["add_prefix_space"] or spec["decoder"] or spec["post_processor"]:
+            raise ValueError("a byte-level pre-tokenizer without a prefix space, and no decoder or post-processor, is needed")
+        if any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in spec["added_tokens"]):
+            raise ValueError("special tokens that stand for themselves alone are needed")
+        self.latin = (spec["normalizer"], pre) == (_NORMALIZER, _PRE_TOKENIZER)
         self.end = model["end_of_word_suffix"] or ""
         self.vocab = model["vocab"]
         self.names = {i: s for s, i in self.vocab.items()}
@@ -138,7 +149,7 @@ class TrieBpe:
 
     def split_words(self, text: str) -> list[str | int]:
         """A text's words after the tokenizer's normalisation; special tokens as their ids."""
-        if "<" in text:
+        if any(s in text for s in self.special):
             out: list[str | int] = []
             for part in self.special_rx.split(text):
                 out += [self.special[part]] if part in self.special else self.split_plain(part)
@@ -146,9 +157,10 @@ class TrieBpe:
         return self.split_plain(text)
 
     def split_plain(self, text: str) -> list[str]:
-        if _LATER.search(text) is None:  # every character is composed and its class and case are the same everywhere
+        if self.latin and _LATER.search(text) is None:  # every character is composed and its class and case are the same everywhere
             return _LATIN_WORDS.findall(text.lower())
-        text = self.own.normalizer.normalize_str(text)
+        if self.own.normalizer:
+            text = self.own.normalizer.normalize_str(text)
         return [text[a:b] for _, (a, b) in self.own.pre_tokenizer.pre_tokenize_str(text)]
 
     def learn(self, words: set) -> None:
@@ -181,6 +193,13 @@ def _char_class(kind: str) -> str:
     return "".join(re.escape(chr(c)) for c in range(0x180) if unicodedata.category(chr(c))[0] == kind)
 
 
+# fixed values: the normaliser and pre-tokenizer, as tokenizer files write them, that _LATIN_WORDS restates
+_NORMALIZER = {"type": "Sequence", "normalizers": [
+    {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [
+    {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+
 _LATER = re.compile("[^\\x00-\\u017f]")
 _LATIN_WORDS = re.compile(
     "'s|'t|'re|'ve|'m|'ll|'d|[{L}]+|[{N}]|[^ \t-\r\x85\xa0{L}{N}]+".format(L=_char_class("L"), N=_char_class("N"))

@@ -1,7 +1,9 @@
 import array
 import hashlib
+import json
 
 import public_tokenizers
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from nearfield.llm.bpe import TrieBpe, encode_decode
@@ -54,3 +56,31 @@ def test_shared_prefixes_are_walked_once():
     words = {"thing", "things", "thingness", "thin"}
     got = bpe.encode_words(words)
     assert got == {w: LIB.encode(w, add_special_tokens=False).ids for w in words}
+
+
+def changed(tmp_path, **parts):
+    with open(PATH, encoding="utf-8") as f:
+        spec = json.load(f) | parts
+    path = str(tmp_path / "other.json")
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(spec, f)
+    return path
+
+
+def test_another_file_decides_on_case_and_splitting(tmp_path):
+    assert OWN.latin
+    texts = ["It's 2024, THE end", "a1b22 c", "É <|endoftext|> x", "two  blanks\n\tmore"]
+    digits = [{"type": "Split", "pattern": {"Regex": "[a-z]+|[0-9]+|[^\\sa-z0-9]+"}, "behavior": "Removed", "invert": True},
+              {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]
+    for parts in ({"pre_tokenizer": {"type": "Sequence", "pretokenizers": digits}}, {"normalizer": None}, {"normalizer": {"type": "NFC"}}):
+        path = changed(tmp_path, **parts)
+        own, lib = TrieBpe(path), Tokenizer.from_file(path)
+        assert not own.latin
+        for t, (ids, _) in zip(texts, own.encode_texts(texts)):
+            assert array.array("I", ids).tolist() == lib.encode(t, add_special_tokens=False).ids, (parts, t)
+
+
+def test_files_that_ask_for_more_are_refused(tmp_path):
+    for parts in ({"pre_tokenizer": {"type": "Whitespace"}}, {"decoder": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}}):
+        with pytest.raises(ValueError):
+            TrieBpe(changed(tmp_path, **parts))
