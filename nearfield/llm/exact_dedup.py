@@ -13,8 +13,9 @@ room; one content larger than the bound is a bucket of its own.
 
 Of equal texts (identical after lower-casing A-Z) the row with the largest id
 stays; if that id occurs several times with that text, one of these rows
-stays. Null text counts as empty, null ids rank lowest. Every row gets a result
-row. An empty table gives an empty result; other columns are ignored.
+stays. Ids are whole numbers or any other type that Python orders as Spark does
+(strings by code point); their type is kept. Null text counts as empty, null ids
+rank lowest. Every row gets a result row. An empty table gives an empty result; other columns are ignored.
 
 Spill files are unlinked temporary files of one task attempt: nobody else
 reads them, and a lost task starts again from the shuffle files.
@@ -23,6 +24,7 @@ reads them, and a lost task starts again from the shuffle files.
 from __future__ import annotations
 
 import hashlib
+import pickle
 import struct
 import tempfile
 
@@ -30,13 +32,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import IntegralType
 from pyspark.sql.window import Window
 
 from nearfield.llm.common import cut, slices
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 FANOUT = 16
-_HEAD = "<qqqq?"  # hash, content bytes, count, largest id, whether it is null
+_HEAD = "<qqqq"  # hash, content bytes, count, bytes of the largest id
 
 
 class ContentTable:
@@ -112,14 +116,16 @@ def grace(records, table_bytes: int, level: int = 0):
 def _put(files, record, shift: int) -> None:
     h, content, count, largest = record
     f = files[(h >> shift) % FANOUT]
-    f.write(struct.pack(_HEAD, h, len(content), count, largest or 0, largest is None))
+    shown = pickle.dumps(largest)
+    f.write(struct.pack(_HEAD, h, len(content), count, len(shown)))
     f.write(content)
+    f.write(shown)
 
 
 def _read(f):
     while head := f.read(struct.calcsize(_HEAD)):
-        h, size, count, largest, none = struct.unpack(_HEAD, head)
-        yield h, f.read(size), count, None if none else largest
+        h, size, count, shown = struct.unpack(_HEAD, head)
+        yield h, f.read(size), count, pickle.loads(f.read(shown))
 
 
 def exact_groups(
@@ -130,16 +136,18 @@ def exact_groups(
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """One row per document: id (bigint), ``keep_id``, ``group_size``, ``kept``, ``text_sha256``."""
+    """One row per document: id, ``keep_id``, ``group_size``, ``kept``, ``text_sha256``."""
     spark = docs.sparkSession
     norm = _normalised(text_col)
-    src = docs.select(F.col(id_col).cast("bigint").alias("id"), norm.alias("content"))
+    src = docs.select(F.col(id_col).alias("id"), norm.alias("content"))
     rows = cut(
-        docs.select(F.col(id_col).cast("bigint").alias("id"), F.sha2(norm, 256).alias("sha"), F.octet_length(norm).alias("size"))
+        docs.select(F.col(id_col).alias("id"), F.sha2(norm, 256).alias("sha"), F.octet_length(norm).alias("size"))
     )
     total = rows.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     partitions = min(max_partitions, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // partition_bytes)))
-    partial = pa.schema([("h", pa.int64()), ("content", pa.binary()), ("n", pa.int64()), ("id", pa.int64())])
+    id_type = src.schema["id"].dataType
+    in_arrow, in_sql = to_arrow_type(id_type), id_type.simpleString()
+    partial = pa.schema([("h", pa.int64()), ("content", pa.binary()), ("n", pa.int64()), ("id", in_arrow)])
 
     def collapse(batches):
         table = ContentTable()
@@ -159,7 +167,7 @@ def exact_groups(
                     table = ContentTable()
         yield from emit()
 
-    final = pa.schema([("sha", pa.string()), ("keep_id", pa.int64()), ("group_size", pa.int64())])
+    final = pa.schema([("sha", pa.string()), ("keep_id", in_arrow), ("group_size", pa.int64())])
 
     def merge(batches):
         records = (r for b in batches for part in slices(b, 512, ["h", "content", "n", "id"]) for r in zip(*part))
@@ -174,9 +182,9 @@ def exact_groups(
 
     groups = (
         src.withColumn("h", F.xxhash64("content"))
-        .mapInArrow(collapse, "h bigint, content binary, n bigint, id bigint")
+        .mapInArrow(collapse, f"h bigint, content binary, n bigint, id {in_sql}")
         .repartition(partitions, "h")
-        .mapInArrow(merge, "sha string, keep_id bigint, group_size bigint")
+        .mapInArrow(merge, f"sha string, keep_id {in_sql}, group_size bigint")
     )
     # of rows that repeat an id with one text, the first is the one that may stay
     turn = F.row_number().over(Window.partitionBy("sha", "id").orderBy(F.lit(0)))
@@ -191,17 +199,19 @@ def exact_groups(
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits) -> DataFrame:
     """The rows of ``docs``, all columns, that stay: one of each group of equal texts."""
     verdicts = exact_groups(docs, id_col=id_col, text_col=text_col, **limits)
-    kept = verdicts.where("kept").select(*_keys(id_col), F.col("text_sha256").alias("sha"))
-    own = docs.select(F.struct("*").alias("row"), *_keys(id_col), F.sha2(_normalised(text_col), 256).alias("sha"))
+    keys = _keys(id_col, isinstance(docs.schema[id_col].dataType, IntegralType))
+    kept = verdicts.where("kept").select(*keys, F.col("text_sha256").alias("sha"))
+    own = docs.select(F.struct("*").alias("row"), *keys, F.sha2(_normalised(text_col), 256).alias("sha"))
     met = own.join(kept, ["key", "none", "sha"], "left_semi")
     # an id repeated with one text is one document; the window has the join's partitioning, so rows move once
     turn = F.row_number().over(Window.partitionBy("key", "none", "sha").orderBy(f"row.{text_col}"))
     return met.withColumn("turn", turn).where("turn = 1").select("row.*")
 
 
-def _keys(id_col: str):
+def _keys(id_col: str, whole: bool):
     """An id as two columns that are never null."""
-    return F.coalesce(F.col(id_col).cast("bigint"), F.lit(0)).alias("key"), F.col(id_col).isNull().alias("none")
+    key = F.coalesce(F.col(id_col).cast("bigint"), F.lit(0)) if whole else F.coalesce(F.col(id_col).cast("string"), F.lit(""))
+    return key.alias("key"), F.col(id_col).isNull().alias("none")
 
 
 def _normalised(text_col: str):

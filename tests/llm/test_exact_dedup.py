@@ -58,3 +58,17 @@ def test_odd_rows(spark, clashing):
     assert left.columns == clashing(docs).columns
     assert sorted((r.doc_id or 0, (r.text or "").lower()[:9]) for r in left.collect()) == [(0, "only null"), (2, ""), (3, "x" * 9), (7, "same")]
     assert exact_groups(clashing(docs).limit(0)).collect() == [] and drop_copies(clashing(docs).limit(0)).collect() == []
+
+
+def test_ids_of_any_type_keep_it(spark):
+    texts = ["Ab", "aB", None, "", "c" * 300, "C" * 300, "ab"]
+    names = ["x9", "x10", None, "é", "a", "", "x9\U0001f600"]
+    for kind, ids in (("string", names), ("int", [5, 7, None, -3, 2, 1, 7])):
+        docs = spark.createDataFrame(list(zip(ids, texts)), f"doc_id {kind}, text string")
+        for bound in (1, 64 << 20):
+            out = exact_groups(docs, table_bytes=bound)
+            assert out.schema["doc_id"].dataType == out.schema["keep_id"].dataType == docs.schema["doc_id"].dataType
+            stays = {"ab": max(i for i, t in zip(ids, texts) if t and t.lower() == "ab"), "": ids[3], "c" * 300: max(ids[4], ids[5])}
+            want = sorted((str(i), stays[(t or "").lower()]) for i, t in zip(ids, texts))
+            assert sorted((str(r.doc_id), r.keep_id) for r in out.collect()) == want
+        assert sorted(map(str, stays.values())) == sorted(str(r.doc_id) for r in drop_copies(docs).collect())
