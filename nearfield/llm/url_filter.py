@@ -5,7 +5,8 @@ the url's path starts with its path, and of several the longest rule decides
 (of equally long ones the one with the longer host). The rules' xxhash64 keys
 are sorted into one array and written, with the full rule strings, to a file
 that every executor receives once through Spark and memory-maps, so that all
-its workers share the pages. A batch of urls is probed with vectorised binary
+its workers share the pages; rules and verdicts are read from there, and no
+worker holds the list. A batch of urls is probed with vectorised binary
 search: first the host suffixes against the digests of rule hosts, then host
 suffix and path prefix of each length in use against the digests of rules. A
 hit counts only when the stored string equals the probed one.
@@ -19,7 +20,9 @@ Path: from there up to ``?``, ``#`` or the end. A null url, or one without
 ``://``, has both empty and no rule. Urls without a rule get ``default``.
 Repeated rows are judged each time, null ids are carried, an empty table gives
 an empty result, no rules leave ``default`` everywhere, other columns are
-ignored. A rule given twice must have one verdict.
+ignored. Very long urls are judged whole, with as many probes as the rules have
+labels and path lengths. A rule given twice must have one verdict; one with a
+null verdict gives ``default``.
 """
 
 from __future__ import annotations
@@ -29,6 +32,7 @@ import tempfile
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
@@ -52,15 +56,18 @@ class DigestArray:
     """Strings by their sorted 64-bit digests, in one file: counts, digests, ends, payloads, strings."""
 
     @staticmethod
-    def write(path: str, strings: list[str], payload: list[int], digest=xxhash.xxh64_intdigest) -> None:
-        raw = [s.encode() for s in strings]
-        keys = np.array([digest(r) for r in raw], dtype="<u8")
-        order = np.lexsort((np.arange(len(raw)), keys))
-        ends = np.cumsum([len(raw[i]) for i in order], dtype="<u8") if raw else np.zeros(0, "<u8")
+    def write(path: str, strings, payload, digest=xxhash.xxh64_intdigest) -> None:
+        """``strings``: a list or an Arrow array, read in slices."""
+        strings = pa.array(strings, pa.large_string())
+        n = len(strings)
+        keys = np.fromiter((digest(s.encode()) for s in _listed(strings)), "<u8", n)
+        order = np.lexsort((np.arange(n), keys))
+        ends = np.cumsum(pc.binary_length(strings).to_numpy(zero_copy_only=False)[order], dtype="<u8")
         with open(path, "wb") as f:
-            for part in (np.array([len(raw)], "<u8"), keys[order], ends, np.array(payload, "<i8")[order]):
+            for part in (np.array([n], "<u8"), keys[order], ends, np.asarray(payload, "<i8")[order]):
                 f.write(part.astype(part.dtype.newbyteorder("<")).tobytes())
-            f.write(b"".join(raw[i] for i in order))
+            for lo in range(0, n, 4096):
+                f.write("".join(strings.take(pa.array(order[lo : lo + 4096])).to_pylist()).encode())
 
     def __init__(self, path: str, digest=xxhash.xxh64_intdigest):
         self.digest = digest
@@ -76,7 +83,12 @@ class DigestArray:
         return self.strings[int(self.ends[i - 1]) if i else 0 : int(self.ends[i])].tobytes()
 
     def find(self, probes: list[str]) -> np.ndarray:
-        """Per probe the payload of its string, or -1; digests are compared first, then whole strings."""
+        """Per probe the payload of its string, or -1."""
+        at = self.locate(probes)
+        return np.where(at >= 0, self.payload[at], -1) if self.size else at
+
+    def locate(self, probes: list[str]) -> np.ndarray:
+        """Per probe the place of its string, or -1; digests are compared first, then whole strings."""
         out = np.full(len(probes), -1, dtype=np.int64)
         if not self.size or not probes:
             return out
@@ -87,41 +99,67 @@ class DigestArray:
             k = int(at[i])
             while k < self.size and self.keys[k] == keys[i]:  # digests may collide
                 if self.string(k) == raw[i]:
-                    out[i] = self.payload[k]
+                    out[i] = k
                     break
                 k += 1
         return out
 
 
-def _split_rule(rule: str) -> tuple[str, str]:
-    cut = rule.find("/")
-    return (rule, "") if cut < 0 else (rule[:cut], rule[cut:])
+def _listed(strings: pa.Array):
+    for lo in range(0, len(strings), 4096):
+        yield from strings.slice(lo, 4096).to_pylist()
 
 
 class RuleIndex:
-    """Rules in two digest arrays: their hosts, and host with path."""
+    """Rules in two digest arrays, their hosts and host with path, and the verdicts in a third."""
 
     def __init__(self, folder: str, name: str):
         self.hosts = DigestArray(os.path.join(folder, f"{name}.hosts"))
         self.rules = DigestArray(os.path.join(folder, f"{name}.rules"))
+        self.verdicts = DigestArray(os.path.join(folder, f"{name}.verdicts"))
         # the most labels of a rule host, and the lengths of rule paths
         self.depth, *self.lengths = np.fromfile(os.path.join(folder, f"{name}.lengths"), "<i8").tolist()
 
     @staticmethod
-    def write(folder: str, rules: list[str]) -> tuple[str, list[str]]:
-        """Write the three files; they share the folder's name, as Spark ships files of one name once."""
+    def write(folder: str, rules, verdicts=()) -> tuple[str, list[str]]:
+        """Write the files; they share the folder's name, as Spark ships files of one name once.
+
+        Both are lists or Arrow arrays. With verdicts, a rule's payload is the place of its verdict (-1: null), else its index.
+        """
         name = os.path.basename(folder)
-        split = [_split_rule(r) for r in rules]
-        hosts = sorted({h for h, _ in split})
-        paths = [os.path.join(folder, f"{name}.{kind}") for kind in ("hosts", "rules", "lengths")]
-        DigestArray.write(paths[0], hosts, list(range(len(hosts))))
-        DigestArray.write(paths[1], rules, list(range(len(rules))))
-        depth = max((h.count(".") + 1 for h in hosts), default=0)
-        np.array([depth, *sorted({len(p) for _, p in split})], "<i8").tofile(paths[2])
+        rules, verdicts = pa.array(rules, pa.large_string()), pa.array(verdicts, pa.large_string())
+        owner = pc.list_element(pc.split_pattern(rules, "/", max_splits=1), 0)
+        hosts, kinds = pc.unique(owner), pc.unique(verdicts.drop_null())
+        paths = [os.path.join(folder, f"{name}.{kind}") for kind in ("hosts", "rules", "verdicts", "lengths")]
+        DigestArray.write(paths[0], hosts, np.arange(len(hosts)))
+        DigestArray.write(paths[2], kinds, np.arange(len(kinds)))
+        payload = np.arange(len(rules))
+        if len(verdicts):
+            placed = DigestArray(paths[2])
+            place = np.full(len(kinds) + 1, -1)
+            if len(kinds):
+                place[placed.payload] = np.arange(len(kinds))
+            payload = place[pc.fill_null(pc.index_in(verdicts, kinds), len(kinds)).to_numpy(zero_copy_only=False)]
+        DigestArray.write(paths[1], rules, payload)
+        depth = (pc.max(pc.count_substring(hosts, ".")).as_py() or 0) + 1 if len(hosts) else 0
+        lengths = pc.unique(pc.subtract(pc.utf8_length(rules), pc.utf8_length(owner))).to_pylist()
+        np.array([depth, *sorted(lengths)], "<i8").tofile(paths[3])
         return name, paths
 
+    def rule(self, at: int) -> str | None:
+        return self.rules.string(at).decode() if at >= 0 else None
+
+    def verdict(self, at: int, default: str) -> str:
+        kind = int(self.rules.payload[at]) if at >= 0 else -1
+        return self.verdicts.string(kind).decode() if kind >= 0 else default
+
     def longest(self, hosts: list[str], paths: list[str]) -> list[int]:
-        """Per url the index of its longest fitting rule, or -1."""
+        """Per url the payload of its longest fitting rule, or -1."""
+        at = np.array(self.places(hosts, paths), np.int64)
+        return [int(self.rules.payload[k]) if k >= 0 else -1 for k in at]
+
+    def places(self, hosts: list[str], paths: list[str]) -> list[int]:
+        """Per url the place of its longest fitting rule, or -1."""
         probes, owner = [], []
         for i, host in enumerate(hosts):
             at = len(host)
@@ -132,7 +170,7 @@ class RuleIndex:
                     owner.append(i)
                 if at < 0:
                     break
-        known = np.flatnonzero(self.hosts.find(probes) >= 0)
+        known = np.flatnonzero(self.hosts.locate(probes) >= 0)
         deep, rows = [], []
         for j in known:
             path = paths[owner[j]]
@@ -141,7 +179,7 @@ class RuleIndex:
                     deep.append(probes[j] + path[:n])
                     rows.append((owner[j], len(probes[j]) + n, len(probes[j])))
         best: dict[int, tuple[int, int, int]] = {}
-        for (i, size, host_size), rule in zip(rows, self.rules.find(deep)):
+        for (i, size, host_size), rule in zip(rows, self.rules.locate(deep)):
             if rule >= 0:
                 best[i] = max(best.get(i, (-1, -1, -1)), (size, host_size, int(rule)))
         return [best[i][2] if i in best else -1 for i in range(len(hosts))]
@@ -164,15 +202,15 @@ def judge_urls(
     src = pages.select(F.col(id_col).alias("id"), url_host(url).alias("host"), url_path(url).alias("path"))
     rules = rules.select("rule", "verdict").where("rule is not null").distinct()
     bytes_, n, distinct = rules.agg(
-        F.coalesce(F.sum(F.octet_length("rule") + 64), F.lit(0)), F.count("rule"), F.countDistinct("rule")
+        F.coalesce(F.sum(F.octet_length("rule") + F.coalesce(F.octet_length("verdict"), F.lit(0)) + 64), F.lit(0)), F.count("rule"), F.countDistinct("rule")
     ).first()
     if n != distinct:
         raise ValueError("a rule is given with more than one verdict")
     if bytes_ > max_index_bytes:
         return _judge_by_join(src, rules, default).withColumnRenamed("id", id_col)
-    listed = sorted((r.rule, r.verdict) for r in rules.collect())
-    names, verdicts = [r for r, _ in listed], [v for _, v in listed]
-    name, files = RuleIndex.write(tempfile.mkdtemp(prefix="nearfield-rules-"), names)  # where Spark takes the files from
+    listed = rules.toArrow()  # of checked size, by column
+    columns = [listed[c].combine_chunks().cast(pa.large_string()) for c in ("rule", "verdict")]
+    name, files = RuleIndex.write(tempfile.mkdtemp(prefix="nearfield-rules-"), *columns)  # where Spark takes the files from
     for f in files:
         spark.sparkContext.addFile(f)
     id_type = to_arrow_type(src.schema["id"].dataType)
@@ -183,11 +221,11 @@ def judge_urls(
         index = per_process(("urls", folder, name), lambda: RuleIndex(folder, name))
         for batch in batches:
             ids, hosts, paths = (batch.column(batch.schema.get_field_index(c)) for c in ("id", "host", "path"))
-            found = index.longest(hosts.to_pylist(), paths.to_pylist())
+            found = index.places(hosts.to_pylist(), paths.to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [ids.cast(id_type), hosts.cast(pa.string()), paths.cast(pa.string()),
-                 pa.array([names[i] if i >= 0 else None for i in found], pa.string()),
-                 pa.array([verdicts[i] if i >= 0 else default for i in found], pa.string())],
+                 pa.array([index.rule(i) for i in found], pa.string()),
+                 pa.array([index.verdict(i, default) for i in found], pa.string())],
                 schema=schema,
             )
 

@@ -87,3 +87,25 @@ def test_long_hosts_cost_linear_time(spark):
     for bound in (1 << 20, 0):
         got = judge_urls(pages, rules, max_index_bytes=bound).first()
         assert (got.rule, got.verdict, len(got.host)) == ("example.org/es/", "block", len(host))
+
+
+def test_the_kernel_holds_no_rules(spark):
+    """What travels with the function doesn't grow with the rules: their strings and verdicts are read from the mapped file."""
+    pages = pages_of(spark)
+    sizes = []
+    for n in (1, 5000):
+        listed = [(f"host{i}.example.org/" + "p" * 40, f"verdict {i % 700}" if i % 9 else None) for i in range(n)] + [("net/", "v")]
+        folder = tempfile.mkdtemp()
+        name, _ = RuleIndex.write(folder, [r for r, _ in listed], [v for _, v in listed])
+        index = RuleIndex(folder, name)
+        at = index.places([r.split("/")[0] for r, _ in listed], ["/" + "p" * 41] * n + ["/"])
+        assert [(index.rule(k), index.verdict(k, "none")) for k in at] == [(r, v or "none") for r, v in listed]
+        judged = judge_urls(pages, spark.createDataFrame(listed, "rule string, verdict string"))
+        # the Python function of the plan, as it is sent to the workers
+        stack = [judged._jdf.queryExecution().analyzed()]
+        while stack:
+            node = stack.pop()
+            if node.nodeName() == "MapInArrow":
+                sizes.append(node.functionExpr().func().command().size())
+            stack += [node.children().apply(i) for i in range(node.children().size())]
+    assert len(sizes) == 2 and sizes[1] < sizes[0] + 500
