@@ -4,7 +4,10 @@ Character trigrams of whole texts (letters in lower case, everything else one
 blank, the middle character a letter) are hashed into ``buckets``. Learning
 counts them per language over at most about ``max_rows`` labelled rows: rows are
 counted per language first, and all languages share the bound evenly, where rare
-ones leave the rest of their part to the others. For a
+ones leave the rest of their part to the others. A trigram's likelihood mixes
+the language's own share of it with an even spread, at one weight in all
+languages: trigrams that were never seen say nothing, however few rows a
+language was learned from. For a
 document, expectation-maximisation estimates the share of each language in its
 trigrams. The languages with the largest shares are then tried as sets of one,
 two and so on, until no larger set can win (``max_languages`` limits them on
@@ -15,11 +18,14 @@ its share is the score.
 
 Null text, or text without a letter, is ``und`` with score 0. Texts whose
 trigrams say nothing (all languages alike) go to the language first in order.
-Rows with a null language are not learned from; languages seen in fewer than
-``min_docs`` labelled rows of the whole table are left out unless all are. Without a row to learn
+Rows with a null language are not learned from; every language with a labelled
+row is learned (``min_docs`` leaves rare ones out on request only). Without a row to learn
 from every text is ``und``. Repeated rows are predicted each time, null ids
 are carried, an empty table gives an empty result, other columns are ignored.
-No text is shuffled; the model is ``buckets`` doubles per language.
+Very long texts are read whole, as counts of at most ``buckets`` trigrams.
+No text is shuffled. The model holds the trigrams that a language was seen with
+(at most those of the ``max_rows`` rows), no table of buckets by languages; a
+worker spreads ``infer_bytes`` of it at a time, or one document's.
 """
 
 from __future__ import annotations
@@ -64,10 +70,49 @@ def distinct_counts(grams: np.ndarray, buckets: int) -> tuple[np.ndarray, np.nda
 class MixtureModel:
     """Trigram likelihoods of each language and the per-document mixture inference."""
 
-    def __init__(self, languages: list[str], counts: np.ndarray, smoothing: float = 0.5):
+    def __init__(self, languages: list[str], counts, smoothing: float = 0.01):
+        """``counts``: a matrix of buckets by languages, or what ``seen`` holds of one."""
         self.languages = languages
-        self.counts, self.buckets = counts, counts.shape[0]
-        self.likelihood = (counts + smoothing) / (counts.sum(0) + smoothing * self.buckets)
+        if isinstance(counts, np.ndarray):
+            bucket, lang = np.nonzero(counts)
+            counts = (counts.shape[0], bucket, lang, counts[bucket, lang])
+        self.buckets, bucket, lang, n = self.seen = counts
+        total = np.bincount(lang, weights=n, minlength=len(languages))
+        order = np.argsort(bucket, kind="stable")
+        self.first = np.concatenate([[0], np.cumsum(np.bincount(bucket, minlength=self.buckets))]).astype(np.int64)
+        self.lang, self.part = lang[order], ((1 - smoothing) * n / total[lang])[order]
+        self.unseen = smoothing / self.buckets
+
+    @property
+    def counts(self) -> np.ndarray:
+        out = np.zeros((self.buckets, len(self.languages)))
+        out[self.seen[1], self.seen[2]] = self.seen[3]
+        return out
+
+    @property
+    def likelihood(self) -> np.ndarray:
+        return self.likelihoods(np.arange(self.buckets))
+
+    def likelihoods(self, grams: np.ndarray) -> np.ndarray:
+        """Of each trigram in each language."""
+        sizes = self.first[grams + 1] - self.first[grams]
+        row = np.repeat(np.arange(len(grams)), sizes)
+        at = np.arange(len(row)) + np.repeat(self.first[grams] - (np.cumsum(sizes) - sizes), sizes)
+        out = np.full((len(grams), len(self.languages)), self.unseen)
+        out[row, self.lang[at]] += self.part[at]
+        return out
+
+    def portions(self, docs: list, infer_bytes: int):
+        """Ranges of documents whose trigrams by languages stay within the bound (one document at least)."""
+        lo, held = 0, 0
+        for i, (grams, _) in enumerate(docs):
+            own = len(grams) * len(self.languages) * 8
+            if i > lo and held + own > infer_bytes:
+                yield lo, i
+                lo, held = i, 0
+            held += own
+        if lo < len(docs):
+            yield lo, len(docs)
 
     def _em(self, like, weight, starts, owner, total, shares, rounds):
         """Shares after ``rounds`` of expectation-maximisation, and the log-likelihood of each document."""
@@ -84,7 +129,7 @@ class MixtureModel:
         owner = np.repeat(np.arange(len(docs)), sizes)
         weight = np.concatenate([c for _, c in docs]).astype(np.float64)
         total = np.add.reduceat(weight, starts)
-        like = self.likelihood[np.concatenate([g for g, _ in docs])]
+        like = self.likelihoods(np.concatenate([g for g, _ in docs]))
         n = len(self.languages)
         full, fit = self._em(like, weight, starts, owner, total, np.full((len(docs), n), 1.0 / n), rounds)
         # no mixture of languages is likelier than this: EM's next factors bound the gain that is left
@@ -126,7 +171,7 @@ def row_quota(rows: list[int], max_rows: int) -> float:
 
 
 def learn(
-    docs: DataFrame, max_rows: int = 20_000, buckets: int = 1 << 16, min_docs: int = 3,
+    docs: DataFrame, max_rows: int = 20_000, buckets: int = 1 << 16, min_docs: int = 1,
     id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
 ) -> MixtureModel | None:
     """Trigram counts per language of at most about ``max_rows`` rows of ``docs`` (a hash of the id decides)."""
@@ -164,20 +209,21 @@ def learn(
         .toPandas()  # at most one row for each language and bucket
     )
     languages = sorted(r.lang for r in found)
-    counts = np.zeros((buckets, len(languages)))
-    counts[counted.bucket.to_numpy(), counted.lang.map({l: i for i, l in enumerate(languages)}).to_numpy(dtype=int)] = counted.n
-    return MixtureModel(languages, counts)
+    place = {l: i for i, l in enumerate(languages)}
+    # in a fixed order, so that sums come out alike in every run
+    counted = counted.assign(at=counted.lang.map(place).astype("int64")).sort_values(["bucket", "at"])
+    return MixtureModel(languages, (buckets, counted.bucket.to_numpy("int64"), counted["at"].to_numpy(), counted.n.to_numpy("float64")))
 
 
 def identify(
     docs: DataFrame, model: MixtureModel | None, rounds: int = 8, max_languages: int | None = None, penalty: float = 4.0,
-    id_col: str = "doc_id", text_col: str = "text",
+    infer_bytes: int = 32 << 20, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """One row per document: id, ``lang_pred``, ``score``, ``languages`` (the chosen set with its shares)."""
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     spark = docs.sparkSession
-    # `buckets` doubles for each language, whatever the input
-    sent = spark.sparkContext.broadcast(model and (model.languages, model.counts))
+    # trigrams seen in the learning sample, whatever the input
+    sent = spark.sparkContext.broadcast(model and (model.languages, model.seen))
     shares_type = pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())]))
     schema = pa.schema([("id", to_arrow_type(src.schema["id"].dataType)), ("lang_pred", pa.string()), ("score", pa.float64()),
                         ("languages", shares_type)])
@@ -190,9 +236,10 @@ def identify(
                 predicted, score, sets = ["und"] * len(ids), [0.0] * len(ids), [[] for _ in ids]
                 grams = [trigrams(t or "", model.buckets, letters) if model else () for t in texts]
                 rows = [i for i, g in enumerate(grams) if len(g)]
-                if rows:
-                    shares = model.infer([distinct_counts(grams[i], model.buckets) for i in rows], rounds, max_languages, penalty)
-                    for i, own in zip(rows, shares):
+                counted = [distinct_counts(grams[i], model.buckets) for i in rows]
+                for lo, hi in model.portions(counted, infer_bytes) if rows else ():
+                    shares = model.infer(counted[lo:hi], rounds, max_languages, penalty)
+                    for i, own in zip(rows[lo:hi], shares):
                         top = int(own.argmax())
                         predicted[i], score[i] = model.languages[top], min(1.0, float(own[top]))
                         sets[i] = [{"lang": model.languages[k], "share": float(own[k])} for k in np.flatnonzero(own)]

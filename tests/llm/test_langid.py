@@ -1,4 +1,5 @@
 import inspect
+import math
 import random
 import zlib
 
@@ -83,9 +84,75 @@ def test_rare_languages_keep_their_rows_in_a_bounded_sample(spark, docs_of):
     rows += [(5000 + i, text_of("cc", 3, rng), "cc") for i in range(2)]
     labelled = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
     model = learn(labelled, max_rows=200)
-    assert model.languages == ["aa", "bb"]  # two rows of "cc" are fewer than min_docs
+    assert model.languages == ["aa", "bb", "cc"]  # two rows are enough
+    assert learn(labelled, max_rows=200, min_docs=3).languages == ["aa", "bb"]
     every = learn(labelled, max_rows=10_000)
+    assert (model.counts[:, 2] == every.counts[:, 2]).all()
     assert (model.counts[:, 1] == every.counts[:, 1]).all()
     assert 0.02 < model.counts[:, 0].sum() / every.counts[:, 0].sum() < 0.08
     assert learn(labelled.where("lang = 'cc'")).languages == ["cc"]
     assert [row_quota(r, 200) for r in ([4000, 20], [50, 60], [4000, 4000, 10], [], [200])] == [180, 60, 95, 0, 200]
+
+
+def test_a_language_of_one_row_takes_its_texts_and_no_others(spark, docs_of):
+    rng = random.Random(5)
+    rows = [(i, text_of("aa", 60, rng), "aa") for i in range(300)] + [(900, text_of("cc", 60, rng), "cc")]
+    model = learn(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    asked = {1: text_of("cc", 30, rng), 2: text_of("aa", 30, rng), 3: text_of("aa", 20, rng) + " qwy fgh wrj ptk", 4: "日本語の文章 " + text_of("aa", 6, rng)}
+    got = {r.doc_id: r.lang_pred for r in identify(docs_of(list(asked.items())), model).collect()}
+    assert got == {1: "cc", 2: "aa", 3: "aa", 4: "aa"}
+
+
+def test_many_languages_stay_sparse():
+    rng = np.random.default_rng(4)
+    names = [f"l{i:04}" for i in range(1500)]
+    grams = rng.integers(0, 1 << 16, (1500, 60))
+    seen = (1 << 16, grams.ravel(), np.repeat(np.arange(1500), 60), np.ones(grams.size))
+    model = MixtureModel(names, seen)
+    assert sum(a.nbytes for a in (model.first, model.lang, model.part)) < 4 << 20  # the whole matrix takes 786 MB
+    docs = [distinct_counts(np.repeat(grams[i], 3), 1 << 16) for i in (7, 1400, 3, 99)]
+    cuts = list(model.portions(docs, 60 * 1500 * 8 * 2 + 1))
+    assert cuts == [(0, 2), (2, 4)] and list(model.portions(docs, 1)) == [(i, i + 1) for i in range(4)] and list(model.portions([], 1)) == []
+    found = np.concatenate([model.infer(docs[a:b], 8, None, 4.0) for a, b in cuts])
+    assert found.argmax(1).tolist() == [7, 1400, 3, 99]
+
+
+def brute_shares(grams, counts, rounds, penalty):
+    """The mixture as the docstring states it, a loop over one document's trigrams, every set size tried."""
+    buckets, n = counts.shape
+    like = [[0.99 * counts[g][j] / sum(counts[h][j] for h in range(buckets)) + 0.01 / buckets for j in range(n)] for g in grams]
+
+    def em(shares, rounds):
+        for _ in range(rounds):
+            new = [0.0] * n
+            for row in like:
+                whole = sum(p * s for p, s in zip(row, shares))
+                for j in range(n):
+                    new[j] += row[j] * shares[j] / whole / len(like)
+            shares = new
+        return shares, sum(math.log(sum(p * s for p, s in zip(row, shares))) for row in like)
+
+    full, _ = em([1.0 / n] * n, rounds)
+    order = sorted(range(n), key=lambda j: (-full[j], j))
+    best, chosen = -math.inf, None
+    for k in range(1, n + 1):
+        start = [max(full[j], 1e-6) if j in order[:k] else 0.0 for j in range(n)]
+        shares, fit = em([s / sum(start) for s in start], rounds if k > 1 else 0)
+        value = fit - penalty * (k - 1) * math.log(len(like) + 1)
+        if value > best:
+            best, chosen = value, shares
+    return chosen
+
+
+def test_inference_equals_brute_force():
+    rng = np.random.default_rng(6)
+    counts = rng.integers(1, 60, (90, 4)) * (rng.random((90, 4)) < 0.4)
+    model = MixtureModel(list("abcd"), counts.astype(float))
+    drawn = []
+    for i in range(40):
+        mix = rng.dirichlet([0.4] * 4)
+        p = model.likelihood @ mix
+        drawn.append(rng.choice(90, int(rng.integers(1, 250)), p=p / p.sum()))
+    got = model.infer([distinct_counts(d, 90) for d in drawn], 8, None, 4.0)
+    want = np.array([brute_shares(d.tolist(), counts, 8, 4.0) for d in drawn])
+    assert np.allclose(got, want, atol=1e-9) and len({tuple(w > 0) for w in want}) > 3
