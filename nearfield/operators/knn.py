@@ -11,6 +11,7 @@ Two physical strategies, chosen from a size check:
 * **tiled** — otherwise. Each cell is cut into a grid of (query block,
   item block) tiles sized from per-cell counts, so a cell holding a third of
   all rows is spread over many tasks and no task holds more than one tile.
+  A row goes to a bounded number of tiles, which grow with their cell instead.
   Queries are replicated over the item blocks of their cell and items over
   the query blocks; a cogrouped Arrow kernel emits only the local top-k.
 
@@ -50,6 +51,9 @@ class SearchConfig:
     query_tile_rows: int = 4096
     # Largest tile, in bytes of double-precision vectors, on each side.
     max_tile_bytes: int = 64 << 20
+    # Tiles of its cell that a row is copied to at most. Where tiles of the rows above would be more,
+    # they grow with the cell, up to max_tile_bytes, so that what is moved grows with the input only.
+    max_copies: int = 8
     # Candidates kept in memory per task before a running top-k merge.
     merge_every_rows: int = 1 << 20
     # Largest candidate volume (queries x k x item partitions) the broadcast
@@ -180,18 +184,23 @@ def _tile_plan(
 
     Blocks are bounded by the tile sizes in rows and, for vectors of ``dim``
     elements, in bytes; small inputs are cut finer so that there are at least
-    about ``parallelism`` tiles overall.
+    about ``parallelism`` tiles overall. An item is copied to every query block of
+    its cell and a probe to every item block: these are ``max_copies`` at most, and
+    only the bound in bytes asks for more.
     """
     fit = max(1, cfg.max_tile_bytes // max(1, 8 * dim))
-    item_rows, query_rows = min(cfg.item_tile_rows, fit), min(cfg.query_tile_rows, fit)
+
+    def blocks(rows: int, tile_rows: int) -> int:
+        return max(math.ceil(rows / fit), min(math.ceil(rows / tile_rows), cfg.max_copies))
+
     cells = sorted(set(q_counts) & set(i_counts))
     total_pairs = sum(q_counts[c] * i_counts[c] for c in cells)
     target = max(1, total_pairs // max(1, parallelism))
     plan = []
     for c in cells:
         qc, ic = q_counts[c], i_counts[c]
-        ib = math.ceil(ic / item_rows)
-        qb = math.ceil(qc / query_rows)
+        ib = blocks(ic, cfg.item_tile_rows)
+        qb = blocks(qc, cfg.query_tile_rows)
         # Split further along the query side only while a tile is above target.
         while qb < qc and (qc / qb) * (ic / ib) > target and qc / qb > 64:
             qb *= 2

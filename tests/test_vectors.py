@@ -225,6 +225,25 @@ def test_tile_plan_bounds_hot_cells():
     assert math.ceil(i_counts[7] / wide[7][0]) * 8 * (1 << 20) <= cfg.max_tile_bytes
 
 
+def test_rows_are_copied_to_a_bounded_number_of_tiles():
+    from nearfield.operators.knn import _tile_plan
+
+    for n in (10_000, 100_000, 1_000_000):
+        (_, ib, qb), = _tile_plan({0: n}, {0: n}, TINY, parallelism=12, dim=8)
+        assert ib <= 8 and qb <= 8 and ib * qb >= 12
+    # only the bound in bytes asks for more
+    (_, ib, qb), = _tile_plan({0: 10**6}, {0: 10**6}, TINY, parallelism=12, dim=1024)
+    assert 10**6 / ib * 1024 * 8 <= TINY.max_tile_bytes and 10**6 / qb * 1024 * 8 <= TINY.max_tile_bytes
+
+
+def test_grown_tiles_give_the_same_neighbours(spark):
+    e = _emb(spark)
+    q = e.select(F.col("item_id").alias("query_id"), "embedding")
+    wide = SearchConfig(item_tile_rows=16, query_tile_rows=8, max_broadcast_bytes=0, max_copies=10**6)
+    grown = _rows(knn_exact(q, e, 5, exclude_self=True, strategy="tiled", cfg=TINY))
+    assert grown == _rows(knn_exact(q, e, 5, exclude_self=True, strategy="tiled", cfg=wide))
+
+
 def test_query_validation_rejects_wrong_dimension(spark):
     e = _emb(spark)
     idx = build_index(e, nlist=16, centroids=FX.supplied_centroids(spark, SF_MID, 16))
