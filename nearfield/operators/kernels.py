@@ -4,7 +4,7 @@ These are the only hot loops that leave the JVM: bulk squared-L2 top-k and
 the hashed-token fold of the offline encoder. Spark partitions and shuffles
 the work; each call sees one bounded batch or tile.
 
-Top-k is exact. A BLAS pass (``|q|^2 + |x|^2 - 2 q.x``) shortlists every
+Top-k is exact. A BLAS pass (``|x|^2 - 2 q.x``) shortlists every
 candidate within a safe error margin of the k-th value, the shortlist is
 re-scored with the direct sum of squared differences, and ties are broken by
 the smaller id, so results agree with any exact engine. Ids are integers or
@@ -20,12 +20,14 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-# Pairs re-scored exactly per step (bounds memory to about this many x dim x 8 B).
-EXACT_BLOCK_PAIRS = 1 << 18
-# Entries of the query x item score matrix held at once (about 32 MB).
-SCORE_BLOCK = 1 << 22
+# Bytes of the differences of pairs that are re-scored exactly per step.
+EXACT_BLOCK_BYTES = 8 << 20
+# Entries of the query x item score matrix held at once (about 16 MB).
+SCORE_BLOCK = 1 << 21
 # Relative error margin of the BLAS shortlist, far above float64 rounding.
 REL_MARGIN = 1e-8
+# Items whose least score stands for them when a query's k-th value is bounded.
+GROUP_ITEMS = 64
 # Texts turned into Python strings at once by the hashed-token fold.
 FOLD_SLICE_ROWS = 1024
 
@@ -36,12 +38,12 @@ def as_list_array(col) -> pa.Array:
     return col
 
 
-def to_matrix(col, dim: int | None = None) -> np.ndarray:
-    """``array<float>`` Arrow column -> float64 matrix (rows x dim)."""
+def to_matrix(col, dim: int | None = None, dtype=np.float64) -> np.ndarray:
+    """``array<float>`` Arrow column -> matrix (rows x dim), in double precision unless told."""
     arr = as_list_array(col)
     n = len(arr)
     if n == 0:
-        return np.zeros((0, dim or 0), dtype=np.float64)
+        return np.zeros((0, dim or 0), dtype=dtype)
     if arr.null_count:
         raise ValueError("null vector in input; filter or validate first")
     lengths = pc.list_value_length(arr).to_numpy(zero_copy_only=False)
@@ -49,7 +51,7 @@ def to_matrix(col, dim: int | None = None) -> np.ndarray:
     if (lengths != d).any():
         raise ValueError(f"vectors of mixed dimension (expected {d})")
     values = arr.flatten().to_numpy(zero_copy_only=False)
-    return values.astype(np.float64, copy=False).reshape(n, d)
+    return values.astype(dtype, copy=False).reshape(n, d)
 
 
 def to_ids(col) -> np.ndarray:
@@ -82,13 +84,28 @@ def check_finite(M: np.ndarray, what: str) -> None:
 
 def _exact(Q, X, rows, cols) -> np.ndarray:
     out = np.empty(len(rows), dtype=np.float64)
-    for s in range(0, len(rows), EXACT_BLOCK_PAIRS):
-        e = s + EXACT_BLOCK_PAIRS
-        diff = Q[rows[s:e]] - X[cols[s:e]]
+    step = max(1, EXACT_BLOCK_BYTES // (8 * max(1, X.shape[1])))
+    for s in range(0, len(rows), step):
+        e = s + step
+        diff = Q[rows[s:e]]
+        diff -= X[cols[s:e]]
         out[s:e] = np.einsum("ij,ij->i", diff, diff)
     return out
 
 
+def _kth_bound(scores: np.ndarray, k: int) -> np.ndarray:
+    """Per row a value that at least k of its scores don't exceed (infinite, where there are fewer than k).
+
+    The k-th least of the least values of groups of items: no smaller than the k-th score, and
+    close to it, for one pass over the scores."""
+    n, nx = scores.shape
+    full = nx - nx % GROUP_ITEMS
+    if full // GROUP_ITEMS < 4 * k:
+        return np.partition(scores, k - 1, axis=1)[:, k - 1] if k < nx else np.full(n, np.inf)
+    least = scores[:, :full].reshape(n, -1, GROUP_ITEMS).min(axis=2)
+    return np.partition(least, k - 1, axis=1)[:, k - 1]
+
+
 def topk(
     Q: np.ndarray,
     qids: np.ndarray,
@@ -100,7 +117,8 @@ def topk(
     """Exact k nearest rows of ``X`` for each row of ``Q``.
 
     Returns ``(q_index, x_id, distance)`` arrays ordered by query, then by
-    ``(distance, x_id)``; at most k rows per query.
+    ``(distance, x_id)``; at most k rows per query. ``Q`` may be in single
+    precision: it is widened a block at a time.
     """
     empty = (np.zeros(0, np.int64), xids[:0], np.zeros(0, np.float64))
     nq, nx = len(Q), len(X)
@@ -112,20 +130,28 @@ def topk(
     xn = np.einsum("ij,ij->i", X, X)
     xmax = float(xn.max())
     step = max(1, SCORE_BLOCK // nx)
+    if exclude_self:
+        by_id = np.argsort(xrank, kind="stable")
+        sorted_ids = xrank[by_id]
     out_q, out_x, out_d = [], [], []
     for s in range(0, nq, step):
-        Qc = Q[s : s + step]
+        Qc = Q[s : s + step].astype(np.float64, copy=False)
         qn = np.einsum("ij,ij->i", Qc, Qc)
-        approx = qn[:, None] + xn[None, :] - 2.0 * (Qc @ X.T)
+        # squared distances less the query's own norm, which ranks nothing
+        approx = Qc @ X.T
+        approx *= -2.0
+        approx += xn
         if exclude_self:
-            approx[qrank[s : s + step, None] == xrank[None, :]] = np.inf
-        kk = min(k, nx)
-        if kk < nx:
-            thresh = np.partition(approx, kk - 1, axis=1)[:, kk - 1]
-        else:
-            thresh = np.full(len(Qc), np.inf)
+            own = qrank[s : s + step]
+            first, last = (np.searchsorted(sorted_ids, own, side) for side in ("left", "right"))
+            n = last - first
+            at = np.arange(n.sum()) + np.repeat(first - (np.cumsum(n) - n), n)
+            approx[np.repeat(np.arange(len(own)), n), by_id[at]] = np.inf
+        thresh = _kth_bound(approx, min(k, nx))
         margin = REL_MARGIN * (qn + xmax) + 1e-12
-        cand = (approx <= (thresh + margin)[:, None]) & np.isfinite(approx)
+        cand = approx <= (thresh + margin)[:, None]
+        if not np.isfinite(thresh).all():
+            cand &= np.isfinite(approx)
         rows, cols = np.nonzero(cand)
         if len(rows) == 0:
             continue

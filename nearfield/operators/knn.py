@@ -56,6 +56,8 @@ class SearchConfig:
     max_copies: int = 8
     # Candidates kept in memory per task before a running top-k merge.
     merge_every_rows: int = 1 << 20
+    # Shipped queries that a task takes up at once.
+    query_block_rows: int = 1 << 14
     # Largest candidate volume (queries x k x item partitions) the broadcast
     # strategy may send to its final merge; past it the tiled strategy runs.
     max_broadcast_candidates: int = 1 << 28
@@ -119,26 +121,33 @@ def _broadcast_candidates(
     cells_all = K.to_ids(probes.column("cell_id"))
     _, first, qpos = np.unique(K.ranks(qids_all)[0], return_index=True, return_inverse=True)
     uq = qids_all[first]
-    vectors = K.to_matrix(probes.column("embedding")).astype(np.float32)
+    vectors = K.to_matrix(probes.column("embedding"), dtype=np.float32)
     Q = vectors[first]
     # Q[qpos] is every probe's vector, unless an id came with several
     if not np.array_equal(Q[qpos], vectors, equal_nan=True) or len(set(zip(qpos.tolist(), cells_all.tolist()))) < len(qpos):
         raise ValueError(_REPEATED)
     K.check_finite(Q, "query")
-    order = np.argsort(cells_all, kind="stable")
+    order = np.lexsort((qpos, cells_all))
     cell_keys, starts = np.unique(cells_all[order], return_index=True)
     ptr = np.r_[starts, len(order)]
-    # The payload rides in the task closure; PySpark ships closures above its
-    # size threshold as a broadcast, so each executor fetches it once.
-    payload = (uq, Q, cell_keys, ptr, qpos[order])
-    merge_every = cfg.merge_every_rows
+    # Fetched once by each executor; a worker holds the arrays alone, not their pickled form besides.
+    payload = items.sparkSession.sparkContext.broadcast((uq, Q, cell_keys, ptr, qpos[order]))
+    merge_every, block = cfg.merge_every_rows, cfg.query_block_rows
     schema = _candidate_schema(query_type, dict(items.dtypes)["item_id"])
     qtype, xtype = (_arrow_id(t) for t in (query_type, dict(items.dtypes)["item_id"]))
 
     def scan(batches):
-        qids, Qf, ckeys, cptr, cq = payload
-        Qd = Qf.astype(np.float64)
-        acc_q, acc_x, acc_d, held = [], [], [], 0
+        qids, Qf, ckeys, cptr, cq = payload.value
+        # the queries are taken up in ranges: of the vectors one range at a time is copied, and
+        # each range has a running top-k of its own
+        edges = np.arange(0, len(qids) + block, block)
+        acc = [[] for _ in edges[1:]]
+        held, merged = np.zeros(len(acc), np.int64), np.zeros(len(acc), np.int64)
+
+        def merge(r):
+            acc[r] = [K.merge_topk(*(np.concatenate(c) for c in zip(*acc[r])), k)]
+            held[r] = merged[r] = len(acc[r][0][0])
+
         for rb in batches:
             if rb.num_rows == 0:
                 continue
@@ -153,21 +162,25 @@ def _broadcast_candidates(
                 p = np.searchsorted(ckeys, c)
                 if p >= len(ckeys) or ckeys[p] != c:
                     continue
-                qs = cq[cptr[p] : cptr[p + 1]]
                 xs = xo[bptr[j] : bptr[j + 1]]
-                qi, xi, d = K.topk(Qd[qs], qids[qs], X[xs], xids[xs], k, exclude_self)
-                acc_q.append(qs[qi])
-                acc_x.append(xi)
-                acc_d.append(d)
-                held += len(qi)
-            if held > merge_every:
-                q, x, d = K.merge_topk(np.concatenate(acc_q), np.concatenate(acc_x), np.concatenate(acc_d), k)
-                acc_q, acc_x, acc_d, held = [q], [x], [d], len(q)
-        if acc_q:
-            q, x, d = K.merge_topk(np.concatenate(acc_q), np.concatenate(acc_x), np.concatenate(acc_d), k)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(qids[q], qtype), pa.array(x, xtype), pa.array(d)], names=["query_id", "item_id", "distance"]
-            )
+                Xc, xc = X[xs], xids[xs]
+                own = cq[cptr[p] : cptr[p + 1]]  # ascending
+                cuts = np.searchsorted(own, edges)
+                for r in np.flatnonzero(np.diff(cuts)):
+                    qs = own[cuts[r] : cuts[r + 1]]
+                    qi, xi, d = K.topk(Qf[qs], qids[qs], Xc, xc, k, exclude_self)
+                    acc[r].append((qs[qi], xi, d))
+                    held[r] += len(qi)
+                    # what a merge left is merged again once as much has come
+                    if held[r] > max(merge_every // len(acc), 2 * merged[r]):
+                        merge(r)
+        for r in range(len(acc)):
+            if held[r]:
+                merge(r)
+                (q, x, d), acc[r] = acc[r][0], []
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(qids[q], qtype), pa.array(x, xtype), pa.array(d)], names=["query_id", "item_id", "distance"]
+                )
 
     if probed is not None:
         # Only probed cells are read: on an index stored partitioned by cell_id this prunes
@@ -251,9 +264,8 @@ def _tiled_candidates(
     def tile(left: pa.Table, right: pa.Table) -> pa.Table:
         qids = K.to_ids(left.column("query_id"))
         xids = K.to_ids(right.column("item_id"))
-        qi, xi, d = K.topk(
-            K.to_matrix(left.column("embedding")), qids, K.to_matrix(right.column("embedding")), xids, k, exclude_self
-        )
+        Q = K.to_matrix(left.column("embedding"), dtype=np.float32)  # as stored: widened in blocks
+        qi, xi, d = K.topk(Q, qids, K.to_matrix(right.column("embedding")), xids, k, exclude_self)
         return pa.table({"query_id": pa.array(qids[qi], qtype), "item_id": pa.array(xi, xtype), "distance": pa.array(d)})
 
     keys = ["cell_id", "iblock", "qblock"]

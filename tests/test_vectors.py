@@ -261,6 +261,30 @@ def test_candidate_volume_bound_switches_to_tiled(spark):
     assert _rows(auto) == _rows(knn_exact(q, e, 3, exclude_self=True, strategy="broadcast"))
 
 
+@pytest.mark.parametrize("text_keys", [False, True])
+def test_shipped_queries_are_taken_up_in_ranges(spark, text_keys):
+    e = _emb(spark)
+    if text_keys:
+        e = e.withColumn("item_id", F.concat(F.lit("B"), F.col("item_id").cast("string")))
+    idx = build_index(e, nlist=4, seed=1, max_iter=3)
+    q = e.select(F.col("item_id").alias("query_id"), "embedding")
+    few = SearchConfig(query_block_rows=7, merge_every_rows=50)
+    whole = _rows(knn_ivf(q, idx, 5, 3, exclude_self=True, strategy="broadcast"))
+    assert whole and whole == _rows(knn_ivf(q, idx, 5, 3, exclude_self=True, strategy="broadcast", cfg=few))
+
+
+def test_topk_kernel_memory_does_not_grow_with_ties():
+    import tracemalloc
+
+    X = np.tile(np.random.default_rng(3).normal(size=(2, 64)), (1500, 1))  # every query has 1,500 equal neighbours
+    ids = np.arange(len(X))
+    tracemalloc.start()
+    q, x, d = K.topk(X[:400].astype(np.float32), ids[:400], X.astype(np.float32).astype(np.float64), ids, 5, True)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (d == 0).all() and x[:5].tolist() == [2, 4, 6, 8, 10] and peak < 128 << 20
+
+
 def test_hashed_fold_kernel_matches_python_encoder():
     import pyarrow as pa
 
