@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import sys
 import tempfile
 import types
@@ -34,6 +35,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Have the shuffle files of finished steps removed now.
+
+    Spark removes them once the driver has collected the plans that made them; a driver that
+    only plans seldom collects, and many small steps fill the disks meanwhile. What is still
+    referenced stays."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def per_process(key: tuple, build):
     """``build()`` once in each Python worker process, whichever task asks first.
 

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import cut
+from nearfield.llm.common import cut, release
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -35,6 +35,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         small = large.join(_smallest(large), F.col("a") == F.col("k"))
         moved = F.explode(F.array(F.col("a"), F.col("b"))).alias("a")
         now = cut(small.select(moved, F.col("m").alias("b")).where("a != b").distinct())
+        release(edges.sparkSession)
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = now.select(F.col("b").alias("node")).distinct().withColumn("component", F.col("node"))
@@ -50,5 +51,7 @@ def _smallest(edges: DataFrame) -> DataFrame:
 
 def _stars(edges: DataFrame) -> bool:
     """Whether every node has one smaller neighbour at most, and none of these has one itself."""
-    twice = edges.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return twice.isEmpty() and edges.join(edges.select(F.col("a").alias("b")).distinct(), "b", "left_semi").isEmpty()
+    one, none = F.lit(1).alias("below"), F.lit(0).alias("below")
+    ends = edges.select(F.col("a").alias("k"), one).unionAll(edges.select(F.col("b").alias("k"), none))
+    below = ends.groupBy("k").agg(F.sum("below").alias("below"), F.min("below").alias("least"))
+    return below.where("below > 1 or (below = 1 and least = 0)").isEmpty()

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import cut
+from nearfield.llm.common import cut, release
 from nearfield.llm.tiles import link_tiles
 
 VALUE = 2  # bytes of a MinHash value
@@ -140,16 +140,18 @@ def _ties_at(
     first = F.min(F.struct("node", "root")).alias("first")
     lead = entries.groupBy("trie", "key").agg(first, F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
     lead = cut(lead.select("trie", "key", F.col("first.node").alias("lead"), F.col("first.root").alias("lead_root")))
-    met = cut(entries.join(lead, ["trie", "key"]).where("root != lead_root").select("trie", "key", "node", "lead"))
-    if met.isEmpty():
+    met = entries.join(lead, ["trie", "key"]).where("node != lead")
+    met = cut(met.select("trie", "key", "node", "lead", (F.col("root") != F.col("lead_root")).alias("apart")))
+    apart = met.where("apart")
+    if apart.isEmpty():
         return None, None
-    pairs = cut(estimated(met.select("node", "lead").distinct(), nodes))
-    marked = met.join(pairs, ["node", "lead"])
-    # a member alike enough that nobody similar to it can be a stranger to the leader has met all it needs to
+    pairs = cut(estimated(apart.select("node", "lead").distinct(), nodes))
+    if pairs.where(F.col("similarity") < alike).isEmpty():
+        return pairs, None  # no leader has met a stranger
+    marked = cut(met.drop("apart").join(pairs, ["node", "lead"], "left"))
     strange = marked.where(F.col("similarity") < alike).select("trie", "key").distinct()
-    done = marked.where(F.col("similarity") >= reach).select("trie", "key", "node")
-    left = entries.join(strange, ["trie", "key"], "left_semi").join(lead.select("trie", "key", "lead"), ["trie", "key"]).where("node != lead")
-    left = left.join(done, ["trie", "key", "node"], "left_anti").select("trie", "key", "node")
+    # a member alike enough that nobody similar to it can be a stranger to the leader has met all it needs to
+    left = marked.where(F.col("similarity").isNull() | (F.col("similarity") < reach)).join(strange, ["trie", "key"], "left_semi").select("trie", "key", "node")
     left = cut(left.withColumn("grp", F.concat(F.col("trie").cast("string").cast("binary"), F.lit(":").cast("binary"), "key")))
     # groups of the same members, as small ones are in many tries, are looked at once
     members = F.struct(F.count(F.lit(1)), F.sum(F.xxhash64("node").cast("decimal(20,0)")), F.sum(F.xxhash64("node", F.lit(1)).cast("decimal(20,0)")))
@@ -162,7 +164,7 @@ def _ties_at(
 
 
 def forest_ties(nodes: DataFrame, similarity: float, tries: int, max_depth: int, target: float, found: dict | None = None) -> DataFrame:
-    """``(a, b)``: nodes of ``nodes (node, sig)`` tied to leaders they are alike with, so that similar ones
+    """``(a, b)``: nodes of ``nodes (node, sig)`` tied to leaders they are alike with (a tie may come twice), so that similar ones
     share a component with probability ``target`` at least. ``found`` gets the depth reached and the recall reckoned."""
     least = least_depth(similarity, tries, max_depth, target)
     noise = 3 * (0.25 / (tries * max_depth)) ** 0.5  # of an estimate, three standard deviations
@@ -173,6 +175,7 @@ def forest_ties(nodes: DataFrame, similarity: float, tries: int, max_depth: int,
     roots, depth = None, max_depth
     while True:
         more, others = _ties_at(matched, nodes, depth, roots, alike, reach)
+        release(nodes.sparkSession)
         pairs = pairs.unionByName(more) if pairs is not None and more is not None else pairs if more is None else more
         ties = ties.unionByName(others) if ties is not None and others is not None else ties if others is None else others
         reckoned = _recall(pairs, similarity, tries, depth, least)
@@ -206,4 +209,4 @@ def _recall(pairs: DataFrame | None, similarity: float, tries: int, depth: int,
 
 def _tied(pairs: DataFrame, ties: DataFrame | None, alike: float) -> DataFrame:
     led = pairs.where(F.col("similarity") >= alike).select(F.col("node").alias("a"), F.col("lead").alias("b"))
-    return (led if ties is None else led.unionByName(ties)).distinct()
+    return led if ties is None else led.unionByName(ties)

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
-from nearfield.llm.common import cut, per_process, slices
+from nearfield.llm.common import cut, per_process, release, slices
 from nearfield.llm.components import components
 from nearfield.llm.lsh_forest import forest_ties, signatures
 from nearfield.llm.tiles import link_tiles
@@ -143,6 +143,7 @@ def join_similar(
     )
     ties = forest_ties(nodes.select("node", "sig"), similarity, tries, max_depth, target)
     groups = components(ties)
+    release(docs.sparkSession)
     members = cut(
         groups.join(nodes, "node").select(
             "node", F.col("component").alias("grp"), F.col("n").alias("weight"), "size", "first.id", "first.h"
@@ -167,6 +168,7 @@ def join_similar(
     tiles = cut(
         link_tiles(members.select("node", "grp", "weight", "size"), sets, lambda p: similar_sets(p, similarity), block_rows, block_shingles)
     )
+    release(docs.sparkSession)
     links = tiles.groupBy("node").agg(F.sum("links").alias("links"))
     # a group of one tile is settled in it; only larger groups need their tiles joined
     within = tiles.where("tiles = 1").select("node", F.col("root").alias("class"))

@@ -175,3 +175,24 @@ def test_components(spark):
     want = smallest_reachable(links)
     assert got == {i: int(want[i]) for i in np.flatnonzero(links.any(1)).tolist()}
     assert components(spark.createDataFrame([], "a bigint, b bigint")).collect() == []
+
+
+def test_where_no_leader_meets_a_stranger_nothing_more_is_written(spark, monkeypatch):
+    from nearfield.llm import lsh_forest
+
+    base = np.arange(1, 400, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    nodes = nodes_of(spark, [np.unique(np.delete(base, [i])) for i in range(20)])
+    matched = lsh_forest.cut(matched_paths(nodes, 32, 8, 3))
+    written, cut = [], lsh_forest.cut
+    monkeypatch.setattr(lsh_forest, "cut", lambda df: (written.append(df.columns), cut(df))[1])
+    pairs, others = lsh_forest._ties_at(matched, nodes, 8, None, 0.5, 0.8)
+    assert pairs.count() and others is None
+    assert len(written) == 3  # the leaders, who meets them, and how alike they are
+
+
+def test_stars(spark):
+    from nearfield.llm.components import _stars
+
+    stars = lambda edges: _stars(spark.createDataFrame(edges, "a bigint, b bigint"))
+    assert stars([(2, 1), (3, 1), (5, 4)]) and stars([])
+    assert not stars([(3, 1), (3, 2)]) and not stars([(3, 2), (2, 1)])
