@@ -53,11 +53,13 @@ def hash_vector(text_col: str, dim: int) -> Column:
     return F.when(text.isNotNull(), _fold_udf(dim)(spaced_lower(text)))
 
 
-def hash_embed(df: DataFrame, dim: int, text_col: str = "embedding_input", id_col: str = "item_id") -> DataFrame:
-    """``(item_id, embedding)`` for every row with a non-null text."""
+def hash_embed(
+    df: DataFrame, dim: int, text_col: str = "embedding_input", id_col: str = "item_id", carry: Sequence[str] = ()
+) -> DataFrame:
+    """``(item_id, embedding)`` and the columns of ``carry`` for every row with a non-null text."""
     src = df.where(F.col(text_col).isNotNull())
     return src.select(
-        F.col(id_col).alias("item_id"), _fold_udf(dim)(spaced_lower(F.col(text_col))).alias("embedding")
+        F.col(id_col).alias("item_id"), _fold_udf(dim)(spaced_lower(F.col(text_col))).alias("embedding"), *carry
     )
 
 
@@ -68,15 +70,16 @@ def embed(
     text_col: str = "embedding_input",
     id_col: str = "item_id",
     batch_size: int = DEFAULT_BATCH,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
-    """Run a batch encoder over the texts; ``(item_id, embedding)``.
+    """Run a batch encoder over the texts; ``(item_id, embedding)`` and the columns of ``carry``.
 
     Rows with a null text are skipped. The output dimension is checked on
     every batch.
     """
     if batch_size <= 0:
         raise ValueError("batch_size must be positive")
-    src = df.where(F.col(text_col).isNotNull()).select(id_column(df, id_col).alias("item_id"), F.col(text_col))
+    src = df.where(F.col(text_col).isNotNull()).select(id_column(df, id_col).alias("item_id"), F.col(text_col), *carry)
 
     def run(batches):
         encoder = None
@@ -90,11 +93,13 @@ def embed(
                     raise ValueError(f"encoder returned shape {vecs.shape}, expected ({part.num_rows}, {dim})")
                 offsets = pa.array(np.arange(0, vecs.size + 1, dim, dtype=np.int32))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("item_id"), pa.ListArray.from_arrays(offsets, pa.array(vecs.reshape(-1)))],
-                    names=["item_id", "embedding"],
+                    [part.column("item_id"), pa.ListArray.from_arrays(offsets, pa.array(vecs.reshape(-1))), *[part.column(c) for c in carry]],
+                    names=["item_id", "embedding", *carry],
                 )
 
-    return src.mapInArrow(run, f"item_id {dict(src.dtypes)['item_id']}, embedding array<float>")
+    types = dict(src.dtypes)
+    carried = "".join(f", `{c}` {types[c]}" for c in carry)
+    return src.mapInArrow(run, f"item_id {types['item_id']}, embedding array<float>{carried}")
 
 
 class PythonHashEncoder:

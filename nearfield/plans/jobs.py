@@ -26,6 +26,7 @@ from nearfield.operators.embed import Encoder, embed, hash_embed
 from nearfield.operators.index import IvfIndex, build_index, knn_ivf
 from nearfield.operators.knn import DEFAULT_CONFIG
 from nearfield.operators.titles import search_titles
+from nearfield.session import cut_lineage
 from nearfield.sources.catalog import check_keys, embedding_schema, enrichment_schema, key_type
 from nearfield.sources.runs import KeyedRuns
 from nearfield.sources.store import index_bytes, load_index, save_index
@@ -132,31 +133,33 @@ def build_job(
     """
     began = time.time()
     root = out_dir.rstrip("/")
-    check_keys(items)
+    n_items = check_keys(items)
     key = key_type(items)
     tiered = E.with_tier(items)
-    weak = tiered.where(F.col("initial_tier") == 4)
-    n_items = items.count()
+    # Keys are written and meet what is done; of the texts, which may come from a join, each step below
+    # reads those that it needs once.
+    weak = cut_lineage(tiered.where(F.col("initial_tier") == 4).select("item_id"))
     enriched = KeyedRuns(spark, f"{root}/enrichment", enrichment_schema(key), ["item_id"], n_items)
     # Found results only: an item without one stays due for the next run.
-    append_missing(enriched, weak.select("item_id"), lambda due: due.join(E.top_results(responses), "item_id"))
+    append_missing(enriched, weak, lambda due: due.join(E.top_results(responses), "item_id"))
     # Items that are no longer weak keep their own fields, as in a clean run.
-    enrichment = enriched.of(weak.select("item_id"))
-    prepared = E.finalize(E.merge_enrichment(tiered, enrichment), max_review_words)
-    todo = E.embeddable(prepared).select("item_id", F.md5("embedding_input").alias("text_md5"), "embedding_input")
+    prepared = E.finalize(E.merge_enrichment(tiered, enriched.of(weak)), max_review_words)
+    texts = E.embeddable(prepared).select("item_id", F.md5("embedding_input").alias("text_md5"), "embedding_input")
+    keys = cut_lineage(texts.select("item_id", "text_md5"))
     embeddings_path = f"{root}/embeddings"
     embedded = KeyedRuns(spark, embeddings_path, embedding_schema(key).add("text_md5", "string"), ["item_id", "text_md5"], n_items)
 
-    def encode(missing: DataFrame) -> DataFrame:
+    def encode(due: DataFrame) -> DataFrame:
+        due = cut_lineage(due)
+        # Texts stay where the items are: only keys, which are unique, are dealt to buckets and back.
+        missing = texts.limit(0) if due.isEmpty() else texts.join(due.select("item_id"), "item_id", "left_semi")
         if encoder_factory is None:
-            vectors = hash_embed(missing, dim)
-        else:
-            vectors = embed(missing, encoder_factory, dim)
-        return vectors.join(missing.select("item_id", "text_md5"), "item_id")
+            return hash_embed(missing, dim, carry=["text_md5"])
+        return embed(missing, encoder_factory, dim, carry=["text_md5"])
 
-    append_missing(embedded, todo, encode)
+    append_missing(embedded, keys, encode)
     # Only the vectors of the present texts count.
-    embeddings = embedded.of(todo.select("item_id", "text_md5")).select("item_id", "embedding")
+    embeddings = embedded.of(keys).select("item_id", "embedding")
     # The vectors are checked while the index is written: no scan of their own.
     index = build_index(embeddings, nlist=nlist, centroids=centroids, seed=seed, validate="write", dim=dim)
     index_path = f"{root}/index"

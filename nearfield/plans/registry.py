@@ -440,14 +440,24 @@ def q_materialized_stage(spark, sf):
     return materialize(spark, path, again)
 
 
+# Whole texts that a bucket of a landed catalogue is meant to hold.
+TEXTS_PER_BUCKET = 20_000
+
+
 class _Killed(Exception):
     pass
 
 
 def q_build_job_resumed(spark, sf):
     """A build that dies while it encodes, its second run, and what the third finds to do: the cells of a clean build."""
-    items, responses, out = _items(spark, sf), FX.responses_view(spark, sf), _shared(spark, "job")
-    vectors = cut_lineage(_hash_vectors(spark, sf))
+    # The catalogue as a landed table, bucketed by key: the joins of all runs leave its texts where they lie.
+    view, responses, out = _items(spark, sf), FX.responses_view(spark, sf), _shared(spark, "job")
+    # with fewer buckets than a shuffle has partitions, joins would deal the texts anew
+    rows = max(view.count(), TEXTS_PER_BUCKET * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    landed = KeyedRuns(spark, _shared(spark, "items"), view.schema, ["item_id"], rows, rows_per_bucket=TEXTS_PER_BUCKET)
+    landed.append(view)
+    (items,) = landed.finished()
+    vectors = cut_lineage(hash_embed(E.prepare_items(items, responses), DIM))
     number = F.col("item_id").cast("int").alias("cell_id")
     cents = cut_lineage(vectors.orderBy("item_id").limit(SUPPLIED_CELLS).select(number, F.col("embedding").alias("centroid")))
 

@@ -71,8 +71,8 @@ def load_items(spark: SparkSession, src: str | DataFrame, key: str = "item_id")
     return normalize_items(_as_df(spark, src), key)
 
 
-def check_keys(items: DataFrame) -> None:
-    """Fail on null or duplicate keys (one aggregate; opt-in, it shuffles keys)."""
+def check_keys(items: DataFrame) -> int:
+    """Fail on null or duplicate keys (one aggregate; opt-in, it shuffles keys); returns their number."""
     r = items.agg(
         F.count(F.lit(1)).alias("n"),
         F.count("item_id").alias("n_key"),
@@ -82,6 +82,7 @@ def check_keys(items: DataFrame) -> None:
         raise ValueError(f"{r['n'] - r['n_key']} rows have a null item_id")
     if r["n_distinct"] != r["n_key"]:
         raise ValueError(f"{r['n_key'] - r['n_distinct']} duplicate item_id values")
+    return r["n"]
 
 
 def load_responses(

@@ -35,14 +35,16 @@ def run_folders(spark: SparkSession, root: str) -> list[str]:
 
 
 class KeyedRuns:
-    """The finished runs below ``root``; ``rows`` (about how many keys there will be) decides the number of
-    buckets when the store is made."""
+    """The finished runs below ``root``; ``rows`` (about how many keys there will be) and ``rows_per_bucket``
+    decide the number of buckets when the store is made."""
 
-    def __init__(self, spark: SparkSession, root: str, schema: T.StructType, keys: list[str], rows: int = 0):
+    def __init__(
+        self, spark: SparkSession, root: str, schema: T.StructType, keys: list[str], rows: int = 0, rows_per_bucket: int = ROWS_PER_BUCKET
+    ):
         self.spark, self.root, self.schema, self.keys = spark, root.rstrip("/"), schema, keys
         layout = f"{self.root}/layout"
         if not is_complete(spark, layout):
-            n = max(spark.sparkContext.defaultParallelism, -(-rows // ROWS_PER_BUCKET))
+            n = max(spark.sparkContext.defaultParallelism, -(-rows // rows_per_bucket))
             spark.createDataFrame([(n, list(keys))], "buckets int, keys array<string>").coalesce(1).write.mode("overwrite").parquet(layout)
         self.buckets, made_for = spark.read.schema("buckets int, keys array<string>").parquet(layout).first()
         if made_for != list(keys):

@@ -159,6 +159,26 @@ def test_rerun_equals_a_clean_run(spark, scratch_dir, text_keys):
     assert _job_state(back)[0][key(2)] == _job_state(first)[0][key(2)] and back.integrity.first()["ok"]
 
 
+def test_each_step_of_a_build_reads_the_items_once(spark, scratch_dir):
+    rows = [(i, f"t{i}", "g" if i % 3 else None, f"text {i}", "r") for i in range(60)]
+    given = spark.createDataFrame(rows, "item_id bigint, title string, genres string, description string, review_text string")
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    items, resp = given.mapInArrow(counted, given.schema), FX.responses_view(spark, SF_SMALL)
+    out = os.path.join(scratch_dir, "job")
+    first = build_job(spark, items, resp, out, dim=16, nlist=1)
+    assert read.value <= 4 * 60  # the check of the keys, the weak items, the keys to do, the encoder
+    before = read.value
+    again = build_job(spark, items, resp, out, dim=16, nlist=1)
+    assert read.value - before <= 3 * 60  # nothing is left to encode
+    assert first.index.cells.count() == again.index.cells.count() > 0
+
+
 def test_build_job_rejects_repeated_or_null_keys(spark, scratch_dir):
     for rows in ([(1, "t"), (1, "u")], [(None, "t")]):
         items = load_items(spark, spark.createDataFrame(rows, "item_id bigint, title string"))
